@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 SCORE_DECIMALS = 6
 MAX_QUERY_BYTES = 64 << 20
-_TILE_CELLS = 8 << 20  # similarity cells held at once per task (64 MB of float64)
+_TILE_CELLS = 1 << 20  # similarity cells of one tile (8 MB of float64, near the cache size)
+_BATCH_CELLS = 8 << 20  # scores or maxima a task holds before passing them on
 
 
 class QueryBatch:
@@ -52,9 +53,9 @@ class QueryBatch:
         out = np.zeros((len(self.ids), len(starts)))
         if not len(self.tokens) or not len(starts):
             return out
-        best = np.maximum.reduceat(self.tokens @ flat.T, starts, axis=1)
-        weighted = best[self.use_token] * self.use_count[:, None]
-        out[self.present] = np.add.reduceat(weighted, self.query_starts, axis=0)
+        # Document tokens run down the rows, so the segmented maximum works on contiguous vectors.
+        best = np.maximum.reduceat(flat @ self.tokens.T, starts, axis=0)
+        out[self.present] = np.add.reduceat(best[:, self.use_token] * self.use_count, self.query_starts, axis=1).T
         return out
 
 
@@ -142,7 +143,7 @@ def _score_batch(block: QueryBatch, batch: pa.RecordBatch) -> Iterator[tuple[np.
     for lo, hi in _tiles(starts, counts, len(block.tokens)):
         a, b = starts[lo], starts[hi - 1] + counts[hi - 1]
         waiting.append(block.scores(flat[a:b].astype(np.float64), starts[lo:hi] - a))
-        if (hi - begin) * len(block.ids) > _TILE_CELLS or hi == len(rows):
+        if (hi - begin) * len(block.ids) > _BATCH_CELLS or hi == len(rows):
             yield rows[begin:hi], np.concatenate(waiting, axis=1)
             waiting, begin = [], hi
 
@@ -314,13 +315,13 @@ def _token_maxima(block: QueryBatch, part: int):
                 first = int(np.searchsorted(starts, lo, side="right")) - 1
                 inside = starts[(starts > lo) & (starts < lo + len(piece))] - lo
                 cuts = np.concatenate([[0], inside]).astype(np.int64)
-                best = np.maximum.reduceat(block.tokens @ piece.T, cuts, axis=1)
+                best = np.maximum.reduceat(piece @ block.tokens.T, cuts, axis=0)
                 for j in range(len(cuts)):
                     name = str(docs[first + j])
                     old = held.get(name)
-                    held[name] = best[:, j] if old is None else np.maximum(old, best[:, j])
+                    held[name] = best[j] if old is None else np.maximum(old, best[j])
             # Bounded memory: a task over many documents hands its maxima to the shuffle early.
-            if len(held) * max(1, len(block.tokens)) > _TILE_CELLS:
+            if len(held) * max(1, len(block.tokens)) > _BATCH_CELLS:
                 yield from flush()
                 held.clear()
         if held:

@@ -25,6 +25,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         builder = builder.config(key, value)
     spark = (
         builder.config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "12g")
         .getOrCreate()
@@ -70,3 +71,15 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(folder, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
     spark.sparkContext.addPyFile(archive)
+
+
+def spread(df, *keys: str):
+    """Hash-spread rows over the cores when the input has too few splits for CPU-heavy stages.
+
+    Large tables already have more splits than cores and are left where they lie.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 2 * cores:
+        return df
+    return df.repartition(4 * cores, *keys)
