@@ -36,34 +36,38 @@ class HashEmbedder:
     dim = 32
 
     def __init__(self, cache_words: int = 200_000) -> None:
-        self._cache_words = cache_words
-        self._known: dict[str, np.ndarray] = {}
-
-    def __getstate__(self) -> dict:
-        return {"_cache_words": self._cache_words, "_known": {}}
-
-    def _vector(self, word: str) -> np.ndarray:
-        hit = self._known.get(word)
-        if hit is None:
-            raw = np.frombuffer(hashlib.md5(word.encode()).digest(), dtype=np.uint8)
-            digits = np.stack([raw >> 4, raw & 15], axis=1).ravel() - 7.5
-            hit = (digits / np.sqrt((digits * digits).sum())).astype(np.float32)
-            if len(self._known) >= self._cache_words:
-                self._known.clear()
-            self._known[word] = hit
-        return hit
-
-    def _stack(self, words) -> np.ndarray:
-        rows = [self._vector(w) for w in words]
-        return np.stack(rows) if rows else np.zeros((0, self.dim), dtype=np.float32)
+        self.cache_words = cache_words
+        self._row: dict[str, int] = {}
+        self._table = np.zeros((0, self.dim), dtype=np.float32)
+
+    def __reduce__(self):
+        return HashEmbedder, (self.cache_words,)
+
+    def _vectors(self, words: list[str]) -> np.ndarray:
+        """One row per word; unseen words of a batch are hashed and normalised together."""
+        fresh = [w for w in dict.fromkeys(words) if w not in self._row]
+        if len(self._row) + len(fresh) > self.cache_words:
+            self._row, self._table = {}, self._table[:0]
+            fresh = list(dict.fromkeys(words))
+        if fresh:
+            raw = np.frombuffer(b"".join(hashlib.md5(w.encode()).digest() for w in fresh), dtype=np.uint8)
+            digits = np.stack([raw >> 4, raw & 15], axis=1).reshape(-1, self.dim) - 7.5
+            unit = digits / np.sqrt((digits * digits).sum(axis=1, keepdims=True))
+            self._row.update(zip(fresh, range(len(self._row), len(self._row) + len(fresh))))
+            self._table = np.concatenate([self._table, unit.astype(np.float32)])
+        return self._table[[self._row[w] for w in words]]
+
+    def _embed(self, words: list[list[str]]) -> list[np.ndarray]:
+        flat = self._vectors([w for ws in words for w in ws])
+        return np.split(flat, np.cumsum([len(ws) for ws in words])[:-1]) if words else []
 
     def embed_texts(self, texts: list[str]) -> list[np.ndarray]:
         # A repeated word cannot change a maximum, so each word is kept once.
-        return [self._stack(dict.fromkeys(WORD.findall(t.lower()))) for t in texts]
+        return self._embed([list(dict.fromkeys(WORD.findall(t.lower()))) for t in texts])
 
     def embed_queries(self, texts: list[str]) -> list[np.ndarray]:
         # Every occurrence counts: the score sums over query tokens.
-        return [self._stack(WORD.findall(t.lower())) for t in texts]
+        return self._embed([WORD.findall(t.lower()) for t in texts])
 
 
 def to_arrow_multivectors(vectors: list[np.ndarray], dim: int) -> pa.Array:

@@ -27,6 +27,14 @@ _TILE_CELLS = 1 << 20  # similarity cells of one tile (8 MB of float64, near the
 _BATCH_CELLS = 8 << 20  # scores or maxima a task holds before passing them on
 
 
+def segment_max(cells: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Column maxima of the row segments beginning at ``starts`` (one vectorised pass per segment)."""
+    out = np.empty((len(starts), cells.shape[1]), dtype=cells.dtype)
+    for i, (a, b) in enumerate(zip(starts, [*starts[1:], len(cells)])):
+        cells[a:b].max(axis=0, out=out[i])
+    return out
+
+
 class QueryBatch:
     """Query tokens of one block: unique token rows plus how often each query uses them."""
 
@@ -36,28 +44,42 @@ class QueryBatch:
             self.tokens, inverse = np.unique(tokens, axis=0, return_inverse=True)
         else:
             self.tokens, inverse = tokens, np.zeros(0, dtype=np.int64)
-        self.use_query = self.use_token = np.zeros(0, dtype=np.int64)
-        self.use_count = np.zeros(0)
-        order = np.lexsort((inverse.ravel(), token_query))
-        pairs = np.stack([token_query[order], inverse.ravel()[order]])
-        if pairs.shape[1]:
-            first = np.concatenate([[True], np.any(np.diff(pairs, axis=1) != 0, axis=0)])
-            at = np.flatnonzero(first)
-            self.use_query, self.use_token = pairs[0][at], pairs[1][at]
-            self.use_count = np.diff(np.append(at, pairs.shape[1])).astype(np.float64)
-            self.query_starts = np.flatnonzero(np.concatenate([[True], np.diff(self.use_query) != 0]))
-            self.present = self.use_query[self.query_starts]
+        self.tokens32 = self.tokens.astype(np.float32)
+        pairs, counts = np.unique(np.stack([token_query, inverse.ravel()], axis=1), axis=0, return_counts=True)
+        self.use_query, self.use_token, self.use_count = pairs[:, 0], pairs[:, 1], counts.astype(np.float64)
+        self.present, starts = np.unique(self.use_query, return_index=True)
+        self.use_starts = starts
+        self.use_ends = np.append(starts[1:], len(self.use_query))
+        self._total_uses = np.zeros(len(ids))
+        np.add.at(self._total_uses, self.use_query, self.use_count)
+        self._longest = float(np.sqrt((self.tokens**2).sum(axis=1)).max()) if len(tokens) else 0.0
 
     def scores(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """(n_queries, n_docs) scores of the documents whose tokens start at ``starts`` in ``flat``."""
+        """(n_queries, n_docs) scores of the documents whose tokens start at ``starts``, in ``flat``'s precision."""
         out = np.zeros((len(self.ids), len(starts)))
         if not len(self.tokens) or not len(starts):
             return out
-        # Document tokens run down the rows, so the segmented maximum works on contiguous vectors.
-        best = np.maximum.reduceat(flat @ self.tokens.T, starts, axis=0)
-        out[self.present] = np.add.reduceat(best[:, self.use_token] * self.use_count, self.query_starts, axis=1).T
+        mine = self.tokens32 if flat.dtype == np.float32 else self.tokens
+        best = segment_max(flat @ mine.T, starts)
+        out[self.present] = np.add.reduceat(best[:, self.use_token] * self.use_count, self.use_starts, axis=1).T
         return out
 
+    def exact(self, q: int, doc: np.ndarray) -> float:
+        """Score of one pair in float64."""
+        at = int(np.searchsorted(self.present, q))
+        if at == len(self.present) or self.present[at] != q:
+            return 0.0
+        used = slice(self.use_starts[at], self.use_ends[at])
+        best = (self.tokens[self.use_token[used]] @ doc.astype(np.float64).T).max(axis=1)
+        return float(np.round((best * self.use_count[used]).sum(), SCORE_DECIMALS))
+
+    def slack(self, flat: np.ndarray) -> np.ndarray:
+        """Per query: how far a float32 score can be from the rounded exact one."""
+        dim = flat.shape[1]
+        longest = float(np.sqrt(np.einsum("ij,ij->i", flat, flat).max())) if len(flat) else 0.0
+        unit = 2.0**-23 * (dim + 3) * self._longest * longest
+        return self._total_uses * unit * 1.01 + 10.0**-SCORE_DECIMALS
+
 
 def _read_block(rows: DataFrame) -> QueryBatch:
     """Bring one size-checked block of query tokens (query_id, v) to the driver for broadcasting."""
@@ -135,16 +157,21 @@ def _tiles(starts: np.ndarray, counts: np.ndarray, n_query_tokens: int) -> Itera
         lo = hi
 
 
-def _score_batch(block: QueryBatch, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Score matrices (queries x documents) covering every document of the batch that has tokens."""
+def _score_batch(block: QueryBatch, batch: pa.RecordBatch, precision: type) -> Iterator[tuple]:
+    """(row numbers, scores, slack, tokens of a document) for groups of documents that have tokens."""
     rows, starts, counts, flat = _documents(batch)
+    flat = flat.astype(precision, copy=False)
     waiting: list[np.ndarray] = []
     begin = 0
     for lo, hi in _tiles(starts, counts, len(block.tokens)):
         a, b = starts[lo], starts[hi - 1] + counts[hi - 1]
-        waiting.append(block.scores(flat[a:b].astype(np.float64), starts[lo:hi] - a))
+        waiting.append(block.scores(flat[a:b], starts[lo:hi] - a))
         if (hi - begin) * len(block.ids) > _BATCH_CELLS or hi == len(rows):
-            yield rows[begin:hi], np.concatenate(waiting, axis=1)
+            first = begin
+            slack = block.slack(flat[starts[first] : b])
+            yield rows[first:hi], np.concatenate(waiting, axis=1), slack, (
+                lambda i: flat[starts[first + i] : starts[first + i] + counts[first + i]]
+            )
             waiting, begin = [], hi
 
 
@@ -156,32 +183,35 @@ class _Leaders:
         self.best: dict[str, tuple[float, str]] = {}
         self.floor = -np.inf
 
-    def offer(self, scores: np.ndarray, segments: list[str], groups: list[str]) -> None:
-        candidates = np.flatnonzero(scores >= self.floor)
-        if len(candidates) > 4 * self.k:
-            # More than k groups may tie or repeat, so only drop what k distinct groups already beat.
-            order = candidates[np.argsort(-scores[candidates], kind="stable")]
-            seen: set[str] = set()
-            cut = -np.inf
-            for i in order:
-                seen.add(groups[i])
-                if len(seen) >= self.k:
-                    cut = scores[i]
-                    break
-            candidates = candidates[scores[candidates] >= cut]
-        for i in candidates:
-            entry = (-float(scores[i]), segments[i])
-            held = self.best.get(groups[i])
-            if held is None or entry < held:
-                self.best[groups[i]] = entry
-        if len(self.best) > self.k:
-            kept = sorted(self.best.items(), key=lambda item: item[1])[: self.k]
-            self.best = dict(kept)
+    def candidates(self, approximate: np.ndarray, slack: float, groups: list[str]) -> np.ndarray:
+        """Documents that could enter, best first; the rest is beaten by k groups beyond the slack."""
+        open_to = np.flatnonzero(approximate >= self.floor - slack)
+        open_to = open_to[np.argsort(-approximate[open_to], kind="stable")]
+        seen: set[str] = set()
+        for n, i in enumerate(open_to):
+            seen.add(groups[i])
+            if len(seen) >= self.k:
+                cut = approximate[i] - 2 * slack
+                return open_to[: n + 1 + int(np.count_nonzero(approximate[open_to[n + 1 :]] >= cut))]
+        return open_to
+
+    def offer(self, score: float, segment: str, group: str) -> None:
+        entry = (-score, segment)
+        held = self.best.get(group)
+        if held is not None:
+            if entry < held:
+                self.best[group] = entry
+        elif len(self.best) < self.k:
+            self.best[group] = entry
+        else:
+            worst = max(self.best, key=self.best.__getitem__)
+            if entry < self.best[worst]:
+                del self.best[worst]
+                self.best[group] = entry
         if len(self.best) == self.k:
             self.floor = -max(self.best.values())[0]
 
 
-_TOPK_SCHEMA = "query_id string, segment_id string, group_id string, score double"
 _SCORE_SCHEMA = "query_id string, segment_id string, group_id string, score double"
 
 
@@ -191,12 +221,13 @@ def _local_topk(block: QueryBatch, k: int):
         for batch in batches:
             segments = batch.column("segment_id").to_pylist()
             groups = batch.column("group_id").to_pylist()
-            for rows, scores in _score_batch(block, batch):
-                scores = np.round(scores, SCORE_DECIMALS)
-                seg, grp = [segments[i] for i in rows], [groups[i] for i in rows]
+            # float32 finds who could matter, float64 decides.
+            for rows, scores, slack, tokens in _score_batch(block, batch, np.float32):
+                grp = [groups[i] for i in rows]
                 floors = np.array([lead.floor for lead in leaders])
-                for q in np.flatnonzero(scores.max(axis=1) >= floors):
-                    leaders[q].offer(scores[q], seg, grp)
+                for q in np.flatnonzero(scores.max(axis=1) >= floors - slack):
+                    for i in leaders[q].candidates(scores[q], slack[q], grp):
+                        leaders[q].offer(block.exact(q, tokens(i)), segments[rows[i]], grp[i])
         found = [(qid, seg, grp, -neg) for qid, lead in zip(block.ids, leaders) for grp, (neg, seg) in lead.best.items()]
         for at in range(0, len(found), 50_000):
             part = list(zip(*found[at : at + 50_000]))
@@ -211,7 +242,7 @@ def _local_topk(block: QueryBatch, k: int):
 def _all_scores(block: QueryBatch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, scores in _score_batch(block, batch):
+            for rows, scores, _, _ in _score_batch(block, batch, np.float64):
                 at = pa.array(rows)
                 seg, grp = batch.column("segment_id").take(at), batch.column("group_id").take(at)
                 for q, qid in enumerate(block.ids):
@@ -243,7 +274,7 @@ def maxsim_topk(
     """
     whole, partial = _blocks(query_tokens(queries), max_query_bytes)
     corpus = _scorable(points, group)
-    found = [corpus.mapInArrow(_local_topk(b, k), _TOPK_SCHEMA) for b in whole]
+    found = [corpus.mapInArrow(_local_topk(b, k), _SCORE_SCHEMA) for b in whole]
     if partial:
         pieces = [corpus.mapInArrow(_all_scores(b), _SCORE_SCHEMA) for b in partial]
         found.append(
@@ -315,7 +346,7 @@ def _token_maxima(block: QueryBatch, part: int):
                 first = int(np.searchsorted(starts, lo, side="right")) - 1
                 inside = starts[(starts > lo) & (starts < lo + len(piece))] - lo
                 cuts = np.concatenate([[0], inside]).astype(np.int64)
-                best = np.maximum.reduceat(piece @ block.tokens.T, cuts, axis=0)
+                best = segment_max(piece @ block.tokens.T, cuts)
                 for j in range(len(cuts)):
                     name = str(docs[first + j])
                     old = held.get(name)
