@@ -161,3 +161,8 @@ def unfenced(text: Column) -> Column:
     stripped = strip(text)
     opened = F.regexp_replace(stripped, r"^```[^\n]*\n", "")
     return F.when(F.startswith(stripped, F.lit("```")), F.regexp_replace(opened, r"\s*```$", "")).otherwise(stripped)
+
+
+def base64_line(content: Column) -> Column:
+    """Base64 without the line breaks that ``base64`` may insert."""
+    return F.translate(F.base64(content), "\r\n", "")
