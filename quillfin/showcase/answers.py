@@ -25,7 +25,7 @@ hits AS (SELECT query_id, rank, round(1.0 / (t + 2), 3)::DOUBLE AS score, '/talk
   CASE role WHEN 'system' THEN '' ELSE upper(role) END AS title, CASE role WHEN 'assistant' THEN '' ELSE 'About ' || substr(text, 1, 300) END AS summary,
   CASE role WHEN 'user' THEN [t + 1, t + 2, t + 4] END AS page_refs, CASE role WHEN 'assistant' THEN [[1, t + 3], [t + 9, t + 12]] END AS line_ranges,
   sha256(query_id) AS sha, CASE WHEN t % 2 = 1 THEN 'moved up' END AS rerank_reason FROM raw),
-cached AS (SELECT sha256(CAST(conv_id AS VARCHAR)) AS sha, CAST(turn AS INTEGER) + 1 AS page, text AS image FROM conversations WHERE role <> 'user'),
+cached AS (SELECT sha256(CAST(conv_id AS VARCHAR)) AS sha, CAST(turn AS INTEGER) + 1 AS page, text AS image FROM conversations),
 refs AS (SELECT query_id, rank, h.sha, unnest(page_refs) AS page, generate_subscripts(page_refs, 1) AS pos FROM hits h),
 ctx AS (SELECT r.query_id, r.rank, r.pos, r.page, CASE WHEN c.sha IS NOT NULL THEN '/cache/' || substr(r.sha, 1, 2) || '/' || r.sha || '/' || r.page || '.webp' END AS img_path,
   to_base64(encode(c.image)) AS img_b64, strlen(c.image) AS img_size FROM refs r LEFT JOIN cached c USING (sha, page)),
@@ -70,7 +70,7 @@ def stored_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").where("role <> 'user'").select(
+    return table(spark, sf_dir, "conversations").select(
         F.sha2(F.col("conv_id").cast("string"), 256).alias("sha"), (F.col("turn") + 1).alias("page"), F.encode("text", "UTF-8").alias("image")
     )
 
@@ -121,8 +121,8 @@ def compact_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add(f"""WITH RECURSIVE {_HITS_SQL},
 hero AS (SELECT h.query_id, h.rank, coalesce(min(c.pos) FILTER (c.page = h.page OR c.page = h.page_refs[1]), 1) AS pos FROM hits h JOIN ctx c USING (query_id, rank) GROUP BY ALL),
 hp AS (SELECT o.query_id, o.rank, c.page, c.img_path, c.img_size, c.img_b64, row_number() OVER (PARTITION BY o.query_id ORDER BY o.rank) AS n FROM hero o JOIN ctx c USING (query_id, rank, pos)),
-fold AS (SELECT query_id, n, CASE WHEN img_size <= 4000 THEN img_size ELSE 0 END AS used, coalesce(img_size <= 4000, false) AS kept FROM hp WHERE n = 1
-  UNION ALL SELECT h.query_id, h.n, f.used + CASE WHEN f.used + h.img_size <= 4000 THEN h.img_size ELSE 0 END, coalesce(f.used + h.img_size <= 4000, false)
+fold AS (SELECT query_id, n, CASE WHEN img_size <= 2000 THEN img_size ELSE 0 END AS used, coalesce(img_size <= 2000, false) AS kept FROM hp WHERE n = 1
+  UNION ALL SELECT h.query_id, h.n, f.used + CASE WHEN f.used + h.img_size <= 2000 THEN h.img_size ELSE 0 END, coalesce(f.used + h.img_size <= 2000, false)
   FROM fold f JOIN hp h ON h.query_id = f.query_id AND h.n = f.n + 1)
 SELECT h.query_id, h.rank, md5(substr(h.excerpt, 1, 400)) AS excerpt_md5, hp.page AS hero_page, hp.img_path AS hero_page_image_path,
   md5(CASE WHEN fold.kept THEN hp.img_b64 END) AS image_md5
@@ -131,7 +131,7 @@ def trimmed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = page_images(spark, sf_dir).select(
         F.concat(F.lit("/cache/"), present.page_path(F.col("sha"), F.col("page"))).alias("page_image_path"), "image"
     )
-    slim = present.trim(results(spark, sf_dir), images, 4000)
+    slim = present.trim(results(spark, sf_dir), images, 2000)
     return slim.select(
         "query_id", "rank", F.md5("excerpt").alias("excerpt_md5"), "hero_page", "hero_page_image_path",
         F.md5("hero_page_image_b64").alias("image_md5"),
