@@ -98,3 +98,23 @@ def embed(df: DataFrame, text_col: str, model: Embedder, out: str = "vectors", a
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, out])
 
     return df.mapInArrow(run, schema)
+
+
+def embed_images(df: DataFrame, image_col: str, model, out: str = "vectors") -> DataFrame:
+    """Append the multivector of an image column; an image the model refuses gets null."""
+    keep = [c for c in df.columns if c != image_col]
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, VECTORS, True)])
+
+    def one(image: bytes):
+        try:
+            return np.asarray(model.embed_images([image])[0], dtype=np.float32)
+        except Exception:  # noqa: BLE001 - one bad page must not lose the chunk
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [one(i) for i in batch.column(image_col).to_pylist()]
+            nested = pa.array([None if m is None else m.tolist() for m in made], pa.list_(pa.list_(pa.float32())))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [nested], names=[*keep, out])
+
+    return df.mapInArrow(run, schema)

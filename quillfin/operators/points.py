@@ -113,12 +113,12 @@ def latest(rows: DataFrame, key: str, version: str) -> DataFrame:
 
 
 def live(points: DataFrame, tombstones: DataFrame | None, key: str = "segment_id", version: str = "version") -> DataFrame:
-    """Points not deleted at or after their own version (a later upsert revives a key)."""
+    """Points that no later tombstone covers; a point written with or after its tombstone lives."""
     if tombstones is None:
         return points
     gone = tombstones.groupBy(key).agg(F.max(version).alias("gone_at"))
     return points.join(
-        gone.withColumnRenamed(key, "_k"), (F.col(key) == F.col("_k")) & (F.col("gone_at") >= F.col(version)), "left_anti"
+        gone.withColumnRenamed(key, "_k"), (F.col(key) == F.col("_k")) & (F.col("gone_at") > F.col(version)), "left_anti"
     )
 
 

@@ -50,11 +50,10 @@ def superseded_points(planned: DataFrame, version: int) -> DataFrame:
     )
 
 
-def orphaned_points(state: DataFrame, current: DataFrame, roots: list[str], version: int) -> DataFrame:
-    """Tombstones for files that lay under ``roots`` and are gone."""
-    under = F.exists(F.array(*[F.lit(r.rstrip("/")) for r in roots]), lambda r: (F.col("path") == r) | F.startswith("path", F.concat(r, F.lit("/"))))
-    return (
-        state.where(under)
-        .join(current.select("path"), "path", "left_anti")
-        .select(F.explode("point_ids").alias("segment_id"), F.lit(version).cast("long").alias("version"))
+def orphaned_files(known: DataFrame, current: DataFrame, roots: list[str]) -> DataFrame:
+    """Recorded files under ``roots`` that are gone, with the points they leave behind."""
+    below = F.exists(
+        F.array(*[F.lit(r.rstrip("/")) for r in roots]),
+        lambda r: (F.col("path") == r) | F.startswith("path", F.concat(r, F.lit("/"))),
     )
+    return known.where(below).join(current.select("path"), "path", "left_anti").select("path", "point_ids")

@@ -92,6 +92,7 @@ def unparsed_windows(pages: DataFrame, assignments: DataFrame, stride: int, bloc
     return failed.select(
         "path",
         "page",
+        "window_no",
         F.lit(0).alias("ord"),
         F.concat(F.lit("unparsed_"), F.col("window_no")).alias("topic_id"),
         F.lit(False).alias("is_continuation"),
@@ -109,6 +110,40 @@ def page_windows(pages: DataFrame, stride: int, block: int = PAGE_BLOCK) -> Data
     return counted.withColumn("window_no", F.floor((F.col("nth") - 1) / stride)).drop("nth")
 
 
+WINDOW_CHUNK = "path string, title string, summary string, page_refs array<int>, hero_page int, part int"
+
+
+def window_chunks(assignments: DataFrame, cold_pages: int = 20, max_pages: int = 15) -> DataFrame:
+    """Chunks for windows of several pages, where topics close only at window ends.
+
+    How far a topic overruns its page cap depends on every earlier window, so a file is folded in
+    order. The rows of a file come from one reader of one file, which bounds the group.
+    ``assignments`` also has ``window_no`` and ``newest``, the last page of the window.
+    """
+    from quillfin.models.topics import OpenTopics
+
+    def fold(key, rows):
+        import pandas as pd
+
+        state = OpenTopics(cold_pages, max_pages)
+        rows = rows.sort_values(["window_no", "page", "ord"])
+        for _, window in rows.groupby("window_no", sort=True):
+            listed = zip(window["page"], window["topic_id"], window["title"], window["summary"])
+            state.window([(int(p), t, n, s) for p, t, n, s in listed], int(window["newest"].iloc[0]))
+        made = [
+            (key[0], title[:200], summary[:500], sorted(pages), hero, n)
+            for n, (_, (title, summary, pages, hero)) in enumerate(state.finish())
+        ]
+        return pd.DataFrame(made, columns=["path", "title", "summary", "page_refs", "hero_page", "part"])
+
+    rows = assignments.select("path", "window_no", "newest", "page", "ord", "topic_id", "title", "summary")
+    folded = rows.groupBy("path").applyInPandas(fold, WINDOW_CHUNK)
+    text = F.concat("title", F.lit("\n"), "summary")
+    return folded.withColumns(
+        {"excerpt": F.substring(strip(text), 1, 2000), "order_key": F.col("hero_page"), "topic_id": F.lit("window"), "session": F.lit(0)}
+    )
+
+
 def coalesce_titles(topics: DataFrame, block: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Merge topics of overlapping windows that share a title: ``(heads, ranges)``.
 

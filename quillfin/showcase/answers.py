@@ -121,8 +121,8 @@ def compact_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add(f"""WITH RECURSIVE {_HITS_SQL},
 hero AS (SELECT h.query_id, h.rank, coalesce(min(c.pos) FILTER (c.page = h.page OR c.page = h.page_refs[1]), 1) AS pos FROM hits h JOIN ctx c USING (query_id, rank) GROUP BY ALL),
 hp AS (SELECT o.query_id, o.rank, c.page, c.img_path, c.img_size, c.img_b64, row_number() OVER (PARTITION BY o.query_id ORDER BY o.rank) AS n FROM hero o JOIN ctx c USING (query_id, rank, pos)),
-fold AS (SELECT query_id, n, CASE WHEN img_size <= 2000 THEN img_size ELSE 0 END AS used, coalesce(img_size <= 2000, false) AS kept FROM hp WHERE n = 1
-  UNION ALL SELECT h.query_id, h.n, f.used + CASE WHEN f.used + h.img_size <= 2000 THEN h.img_size ELSE 0 END, coalesce(f.used + h.img_size <= 2000, false)
+fold AS (SELECT query_id, n, CASE WHEN img_size <= 1000 THEN img_size ELSE 0 END AS used, coalesce(img_size <= 1000, false) AS kept FROM hp WHERE n = 1
+  UNION ALL SELECT h.query_id, h.n, f.used + CASE WHEN f.used + h.img_size <= 1000 THEN h.img_size ELSE 0 END, coalesce(f.used + h.img_size <= 1000, false)
   FROM fold f JOIN hp h ON h.query_id = f.query_id AND h.n = f.n + 1)
 SELECT h.query_id, h.rank, md5(substr(h.excerpt, 1, 400)) AS excerpt_md5, hp.page AS hero_page, hp.img_path AS hero_page_image_path,
   md5(CASE WHEN fold.kept THEN hp.img_b64 END) AS image_md5
@@ -131,7 +131,7 @@ def trimmed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = page_images(spark, sf_dir).select(
         F.concat(F.lit("/cache/"), present.page_path(F.col("sha"), F.col("page"))).alias("page_image_path"), "image"
     )
-    slim = present.trim(results(spark, sf_dir), images, 2000)
+    slim = present.trim(results(spark, sf_dir), images, 1000)
     return slim.select(
         "query_id", "rank", F.md5("excerpt").alias("excerpt_md5"), "hero_page", "hero_page_image_path",
         F.md5("hero_page_image_b64").alias("image_md5"),

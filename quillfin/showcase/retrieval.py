@@ -100,7 +100,7 @@ def maxsim_path_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def maxsim_soft_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = vector_points(spark, sf_dir)
     mean = F.aggregate("vectors", F.lit(0.0), lambda a, v: a + F.get(v, F.lit(0)).cast("double"))
-    dead = pts.where(mean < 0).select("segment_id", F.lit(1).cast("long").alias("version"))
+    dead = pts.where(mean < 0).select("segment_id", F.lit(2).cast("long").alias("version"))
     return maxsim.maxsim_topk(points.live(pts, dead), label_queries(spark, sf_dir), 10)
 
 
@@ -250,9 +250,9 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH last AS (SELECT user_id, event_type, max(event_id) AS version, arg_max(value, event_id) AS value FROM events GROUP BY ALL),
 gone AS (SELECT user_id, max(event_id) AS gone_at FROM events WHERE event_type = 'error' GROUP BY user_id)
 SELECT l.event_type, count(*) AS points_count FROM last l LEFT JOIN gone g USING (user_id)
-WHERE g.gone_at IS NULL OR g.gone_at < l.version GROUP BY l.event_type""")
+WHERE g.gone_at IS NULL OR g.gone_at <= l.version GROUP BY l.event_type""")
 def points_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points are (user, type) keys; an error deletes what the user had so far, later events revive it."""
+    """Points are (user, type) keys; an error deletes what the user had before it, later events revive it."""
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
     keyed = events.withColumn("segment_id", F.concat_ws("|", "user_id", "event_type"))
     stored = points.latest(keyed, "segment_id", "event_id").withColumnRenamed("event_id", "version")
