@@ -130,7 +130,7 @@ def _blocks(tokens: DataFrame, max_bytes: int) -> tuple[list[QueryBatch], list[Q
             m = int(-(-2 * r["b"] // max_bytes))
             for j in range(m):
                 partial.append(_read_block(part.where(F.pmod(F.hash("query_id", "qi"), F.lit(m)) == j)))
-    return whole, partial
+    return whole, [b for b in partial if b.ids]
 
 
 def _documents(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -333,7 +333,7 @@ def _token_maxima(block: QueryBatch, part: int):
                 )
 
         for batch in batches:
-            if not batch.num_rows:
+            if not batch.num_rows or not block.ids:
                 continue
             docs, code = np.unique(np.asarray(batch.column("doc_id").to_pylist(), dtype=object).astype(str), return_inverse=True)
             order = np.argsort(code, kind="stable")
