@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillfin.operators.running import Running, running
+from quillfin.operators.running import Running, key_blocks, running
 
 
 def safe_sha(sha: Column) -> Column:
@@ -35,7 +35,7 @@ def lru_evictions(entries: DataFrame, order: list[str], block: Column, max_bytes
     """
     cap = F.lit(max_bytes) if isinstance(max_bytes, int) else max_bytes
     total = entries.agg(F.sum("bytes").alias("_total"))
-    summed = running(entries, [], [F.col(c) for c in order], block, [Running("older_bytes", "sum", F.col("bytes"), before=True)])
+    summed = running(entries, [], [F.col(c) for c in order], key_blocks(entries, [], block), [Running("older_bytes", "sum", F.col("bytes"), before=True)])
     # The total is one row, so attaching it is a constant, not a join of two tables.
     return (
         summed.join(F.broadcast(total), F.lit(True))

@@ -143,7 +143,7 @@ def _documents(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarra
     flat = inner.flatten().to_numpy(zero_copy_only=False)
     flat = flat.reshape(len(inner), -1) if len(inner) else np.zeros((0, 1))
     kept = counts[rows]
-    return rows, np.concatenate([[0], np.cumsum(kept)[:-1]]).astype(np.int64), kept, flat
+    return rows, np.cumsum(kept, dtype=np.int64) - kept, kept, flat
 
 
 def _tiles(starts: np.ndarray, counts: np.ndarray, n_query_tokens: int) -> Iterator[tuple[int, int]]:

@@ -41,17 +41,20 @@ def merge_ranks(results: DataFrame, ranks: DataFrame, max_candidates: int = 10)
     )
 
 
-def reply_entries(reply: Column) -> Column:
-    """Rank objects of a model reply as ``array<struct>``: the whole array if it parses, otherwise
-    every complete flat ``{...}`` on its own."""
-    body = unfenced(reply)
-    array_text = F.nullif(F.regexp_extract(body, r"(?s)\[.*\]", 0), F.lit(""))
-    # A permissive parse would accept a damaged array in part, so damage is detected first.
-    whole = F.when(F.try_parse_json(array_text).isNotNull(), F.from_json(array_text, f"array<struct<{_ddl(RANK_ENTRY)}>>"))
+def reply_entries(replies: DataFrame) -> DataFrame:
+    """One row per rank object of a reply, ``query_id, ord, e``: the whole array if it parses,
+    otherwise every complete flat ``{...}`` on its own."""
+    # Steps are separate projections so that no regular expression runs twice.
+    body = replies.select("query_id", unfenced(F.col("reply")).alias("body"))
+    listed = body.withColumn("array_text", F.nullif(F.regexp_extract("body", r"(?s)\[.*\]", 0), F.lit("")))
+    # from_json would accept a damaged array in part, so damage is detected first.
+    checked = listed.withColumn("whole", F.try_parse_json("array_text").isNotNull())
     single = F.transform(
-        F.regexp_extract_all(body, F.lit(r"(\{[^{}]*\})"), F.lit(1)), lambda s: F.when(F.try_parse_json(s).isNotNull(), F.from_json(s, RANK_ENTRY))
+        F.regexp_extract_all("body", F.lit(r"(\{[^{}]*\})"), F.lit(1)),
+        lambda s: F.when(F.try_parse_json(s).isNotNull(), F.from_json(s, RANK_ENTRY)),
     )
-    return F.coalesce(whole, F.array_compact(single))
+    entries = F.when(F.col("whole"), F.from_json("array_text", f"array<struct<{_ddl(RANK_ENTRY)}>>")).otherwise(F.array_compact(single))
+    return checked.select("query_id", F.posexplode(entries).alias("ord", "e"))
 
 
 def _ddl(fields: str) -> str:
@@ -64,8 +67,7 @@ def parse_ranks(replies: DataFrame, candidates: DataFrame) -> DataFrame:
     Ids must be integers among the query's candidates; a rank or score that is not a number is 0;
     reasons are cut at 200 characters.
     """
-    entries = replies.select("query_id", F.posexplode(reply_entries(F.col("reply"))).alias("ord", "e"))
-    typed = entries.select(
+    typed = reply_entries(replies).select(
         "query_id",
         "ord",
         _int(F.col("e.id")).alias("id"),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillfin.functions.text import strip, title_key
-from quillfin.operators.running import Running, running
+from quillfin.operators.running import Running, key_blocks, running
 
 PAGE_BLOCK = 4096  # pages of one file handled by one window group
 
@@ -34,7 +34,7 @@ def topic_sessions(
     whenever it has ``max_pages`` pages; a later page of a closed topic opens a new chunk. The newest
     page before a row is a running maximum over the file, the topic's last page one over the topic.
     """
-    by_block = F.floor(F.col("page") / block)
+    by_block = key_blocks(assignments, ["path"], F.floor(F.col("page") / block))
     pages = assignments.select("path", "page").distinct()
     newest = running(pages, ["path"], [F.col("page")], by_block, [Running("newest", "max", F.col("page"), before=True)])
     rows = topic_pages(assignments).join(newest, ["path", "page"])
@@ -103,10 +103,9 @@ def unparsed_windows(pages: DataFrame, assignments: DataFrame, stride: int, bloc
 
 def page_windows(pages: DataFrame, stride: int, block: int = PAGE_BLOCK) -> DataFrame:
     """Tumbling windows of ``stride`` existing pages; the last window of a file may be short."""
-    counted = running(
-        pages.select("path", "page").distinct(), ["path"], [F.col("page")], F.floor(F.col("page") / block),
-        [Running("nth", "count", F.lit(1))],
-    )
+    existing = pages.select("path", "page").distinct()
+    by_block = key_blocks(pages, ["path"], F.floor(F.col("page") / block))
+    counted = running(existing, ["path"], [F.col("page")], by_block, [Running("nth", "count", F.lit(1))])
     return counted.withColumn("window_no", F.floor((F.col("nth") - 1) / stride)).drop("nth")
 
 
@@ -169,7 +168,7 @@ def merge_range_rows(ranges: DataFrame, keys: list[str], block: Column | None =
     A range opens an island when it starts more than one past everything before it; the island is
     named by its start, so merging is a plain ``max(end)``.
     """
-    block = F.floor(F.col("start") / PAGE_BLOCK) if block is None else block
+    block = key_blocks(ranges, keys, F.floor(F.col("start") / PAGE_BLOCK) if block is None else block)
     # Ranges with one start collapse to the longest before anything is ordered.
     valid = ranges.where("start <= end").groupBy(*keys, "start").agg(F.max("end").alias("end"))
     order = [F.col("start")]
@@ -184,6 +183,7 @@ def merge_range_rows(ranges: DataFrame, keys: list[str], block: Column | None =
 
 def page_runs(pages: DataFrame, keys: list[str]) -> DataFrame:
     """Runs of consecutive pages per key: ``run_start, run_end, n_pages``."""
+    # A page is a range of length one.
     merged = merge_range_rows(
         pages.select(*keys, F.col("page").alias("start"), F.col("page").alias("end")), keys
     )

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from quillfin.functions import jsonx
 from quillfin.operators import points, rerank, topics
-from quillfin.operators.running import Running, running
+from quillfin.operators.running import Running, key_blocks, running
+from quillfin.session import spread
 from quillfin.showcase import Showcase, table
 
 shown = Showcase()
@@ -84,7 +85,7 @@ def numbered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row numbers and running sums per user, however many events one user has."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.col("value").cast("decimal(18,4)").alias("v"))
     counted = running(
-        events, ["user_id"], [F.col("ts"), F.col("event_id")], F.date_trunc("hour", "ts"),
+        events, ["user_id"], [F.col("ts"), F.col("event_id")], key_blocks(events, ["user_id"], F.date_trunc("hour", "ts")),
         [Running("page", "count", F.lit(1)), Running("value_so_far", "sum", F.col("v"))],
     )
     return counted.select("event_id", "user_id", "page", F.col("value_so_far").cast("double").alias("value_so_far"))
@@ -201,7 +202,7 @@ def rank_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(event == "purchase", F.concat(F.lit("Ranks: ["), body, F.lit("] done")))
         .otherwise(F.lit("no ranks today"))
     )
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events"), "event_id").select(
         F.col("event_id").cast("string").alias("query_id"), k.alias("k"), event.alias("event_type"), reply.alias("reply")
     )
 
@@ -238,7 +239,7 @@ def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     blob = jsonx.json_block(reply)
     fixed = jsonx.repair_json(blob)
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events"), "event_id").select(
         "event_id",
         F.when(blob.isNull(), "none").when(fixed == blob, "whole").otherwise("repaired").alias("outcome"),
         fixed.alias("json"),
@@ -267,7 +268,7 @@ def topic_reply_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
         topic(F.lit("c"), "false", F.lit(" Second ")), F.lit(", "), topic(F.lit("d"), "false", first), F.lit(", "), topic(F.lit("e"), "false", F.lit("Third")),
         F.lit(']}, {"page": '), k + 7, F.lit(', "topics": ['), topic(F.lit("f"), "true", F.lit("stray")), F.lit("]}]}"),
     )
-    replies = table(spark, sf_dir, "events").select(
+    replies = spread(table(spark, sf_dir, "events"), "event_id").select(
         F.col("event_id").cast("string").alias("path"), F.lit(0).alias("window_no"), F.array(k, k + 1).alias("pages"),
         F.when(F.col("event_type") != "signup", reply).alias("reply"),
     )
@@ -284,7 +285,7 @@ def text_topic_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('[{"title": " Intro ", "ranges": [[1, '), k + 1, F.lit("], ["), k, F.lit(', 500], [9, 3], [1], ["x", 2]]}, '),
         F.lit('{"title": "", "ranges": [[1, 2]]}, {"title": "None", "ranges": [[5, 4]]}]'),
     )
-    replies = table(spark, sf_dir, "events").select(
+    replies = spread(table(spark, sf_dir, "events"), "event_id").select(
         F.col("event_id").cast("string").alias("path"), F.lit(0).alias("window_no"), F.lit(40).alias("n_lines"),
         F.lit(100).alias("line_offset"), reply.alias("reply"),
     )

@@ -57,6 +57,8 @@ def main() -> None:
     sf_dir = os.path.join("/root/testdata", f"sf{sf}")
     spark, con = local_session(8), connect(sf_dir)
     queries, oracles = e.queries(), e.oracle_sql()
+    if os.environ.get("HOT_ROWS"):
+        spark.conf.set("spark.quillfin.hotKeyRows", os.environ["HOT_ROWS"])
     names = sys.argv[2:] or list(queries)
     bad = 0
     for n in names:

@@ -74,12 +74,13 @@ def test_page_label(spark):
 # ---- running aggregates and topics --------------------------------------------------------------
 
 
-def test_running_matches_loops_with_one_hot_key(spark):
+@pytest.mark.parametrize("block", ["blocks", "plain"])
+def test_running_matches_loops_with_one_hot_key(spark, block):
     rng = random.Random(2)
     rows = [(1 if rng.random() < 0.6 else rng.randrange(5), i, rng.randrange(100)) for i in range(600)]
     df = spark.createDataFrame(rows, "k int, o int, v int")
     got = running.running(
-        df, ["k"], [F.col("o")], F.floor(F.col("o") / 16),
+        df, ["k"], [F.col("o")], F.floor(F.col("o") / 16) if block == "blocks" else None,
         [
             running.Running("before", "sum", F.col("v"), before=True),
             running.Running("top", "max", F.col("v")),
@@ -121,7 +122,9 @@ def _random_assignments(seed):
 
 
 @pytest.mark.parametrize("seed, cold, cap", [(1, 3, 4), (2, 1, 2), (3, 20, 15), (4, 6, 1)])
-def test_sessions_match_the_page_walk(spark, seed, cold, cap):
+@pytest.mark.parametrize("hot", ["0", "1000000"])
+def test_sessions_match_the_page_walk(spark, seed, cold, cap, hot):
+    spark.conf.set(running.HOT_ROWS_SETTING, hot)
     rows = _random_assignments(seed)
     df = spark.createDataFrame(rows, "path string, page int, ord int, topic_id string").withColumns(
         {"title": F.concat("topic_id", F.lit("@"), "page"), "summary": F.lit(""), "is_continuation": F.lit(False)}
