@@ -21,8 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillfin.models.embed import Embedder, to_arrow_multivectors
+
 SCORE_DECIMALS = 6
 MAX_QUERY_BYTES = 64 << 20
+_PROBE_TOKENS = 8192
 _TILE_CELLS = 1 << 20  # similarity cells of one tile (8 MB of float64, near the cache size)
 _BATCH_CELLS = 8 << 20  # scores or maxima a task holds before passing them on
 
@@ -83,7 +86,10 @@ class QueryBatch:
 
 def _read_block(rows: DataFrame) -> QueryBatch:
     """Bring one size-checked block of query tokens (query_id, v) to the driver for broadcasting."""
-    table = rows.select("query_id", "v").toArrow()
+    return _as_block(rows.select("query_id", "v").toArrow())
+
+
+def _as_block(table: pa.Table) -> QueryBatch:
     ids, code = np.unique(np.asarray(table["query_id"].to_pylist(), dtype=object).astype(str), return_inverse=True)
     values = table["v"].combine_chunks()
     dim = len(values[0]) if len(values) else 0
@@ -100,6 +106,10 @@ def query_tokens(queries: DataFrame) -> DataFrame:
 
 def _blocks(tokens: DataFrame, max_bytes: int) -> tuple[list[QueryBatch], list[QueryBatch]]:
     """(whole, partial): blocks that hold whole queries, and token slices of oversized queries."""
+    # A batch of few tokens is read and measured in one job.
+    probe = tokens.select("query_id", "v").limit(_PROBE_TOKENS + 1).toArrow()
+    if probe.num_rows <= _PROBE_TOKENS and probe["v"].nbytes * 2 <= max_bytes:
+        return [_as_block(probe)], []
     size = F.sum(F.size("v") * 8)
     total = tokens.agg(size.alias("b")).first()["b"] or 0
     if total <= max_bytes:
@@ -254,9 +264,22 @@ def _all_scores(block: QueryBatch):
     return run
 
 
-def _scorable(points: DataFrame, group: str | None) -> DataFrame:
+def _scorable(points: DataFrame, group: str | None, content: str) -> DataFrame:
     group_id = F.col("segment_id") if group is None else F.coalesce(F.nullif(F.col(group), F.lit("")), F.col("segment_id"))
-    return points.select("segment_id", group_id.alias("group_id"), "vectors")
+    return points.select("segment_id", group_id.alias("group_id"), content)
+
+
+def _embedding(run, model: Embedder):
+    """``run`` over batches of text: embedded next to the scoring, so vectors never leave the worker."""
+
+    def to_vectors(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = model.embed_texts([t or "" for t in batch.column("text").to_pylist()])
+        return pa.RecordBatch.from_arrays(
+            [batch.column("segment_id"), batch.column("group_id"), to_arrow_multivectors(found, model.dim)],
+            names=["segment_id", "group_id", "vectors"],
+        )
+
+    return lambda batches: run(to_vectors(b) for b in batches)
 
 
 def maxsim_topk(
@@ -265,18 +288,24 @@ def maxsim_topk(
     k: int,
     group: str | None = None,
     max_query_bytes: int = MAX_QUERY_BYTES,
+    text_model: Embedder | None = None,
 ) -> DataFrame:
     """Best ``k`` points per query: ``(query_id, rank, segment_id, score)``.
 
     ``points`` has ``segment_id string`` and ``vectors``; filters and anti-joins belong before this
     call so that dropped points are never scored. With ``group`` (a column such as ``chunk_id``) each
     group is represented by its best point before the cut; a null or empty group stands for itself.
+    With ``text_model`` the points carry ``text`` that has not been embedded yet instead of vectors.
     """
     whole, partial = _blocks(query_tokens(queries), max_query_bytes)
-    corpus = _scorable(points, group)
-    found = [corpus.mapInArrow(_local_topk(b, k), _SCORE_SCHEMA) for b in whole]
+    corpus = _scorable(points, group, "text" if text_model else "vectors")
+
+    def over_corpus(run) -> DataFrame:
+        return corpus.mapInArrow(_embedding(run, text_model) if text_model else run, _SCORE_SCHEMA)
+
+    found = [over_corpus(_local_topk(b, k)) for b in whole]
     if partial:
-        pieces = [corpus.mapInArrow(_all_scores(b), _SCORE_SCHEMA) for b in partial]
+        pieces = [over_corpus(_all_scores(b)) for b in partial]
         found.append(
             reduce(DataFrame.unionByName, pieces)
             .groupBy("query_id", "segment_id", "group_id")

@@ -164,7 +164,7 @@ def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select(
         F.concat(_pad("d", F.col("doc_id")), _pad("#", F.col("chunk_no"))).alias("segment_id"),
         _pad("d", F.col("doc_id")).alias("doc"),
-        "chunk_text",
+        F.col("chunk_text").alias("text"),
     )
 
 
@@ -204,17 +204,16 @@ TEXT_SEARCH_SQL = f"WITH RECURSIVE {CHUNK_SQL}, {_TEXT_SQL} {_TOP.format(src='sc
 @add(TEXT_SEARCH_SQL)
 def text_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents cut into chunks, embedded, and scored for every benchmark text: best ten chunks."""
-    vectors = embed(text_chunks(spark, sf_dir).drop("doc"), "chunk_text", HashEmbedder())
-    return maxsim.maxsim_topk(vectors, text_queries(spark, sf_dir), 10)
+    return maxsim.maxsim_topk(text_chunks(spark, sf_dir), text_queries(spark, sf_dir), 10, text_model=HashEmbedder())
 
 
 @add(f"""WITH RECURSIVE {CHUNK_SQL}, {_TEXT_SQL},
 rolled AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, substr(segment_id, 1, 10) ORDER BY score DESC, segment_id) AS rn FROM sc) WHERE rn = 1)
 {_TOP.format(src='rolled', k=10)}""")
 def text_search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same search rolled up to the best chunk per document."""
-    vectors = embed(text_chunks(spark, sf_dir), "chunk_text", HashEmbedder())
-    return maxsim.maxsim_topk(vectors, text_queries(spark, sf_dir), 10, group="doc")
+    """The same search rolled up to the best chunk per document, over materialised multivectors."""
+    stored = embed(text_chunks(spark, sf_dir), "text", HashEmbedder())
+    return maxsim.maxsim_topk(stored, text_queries(spark, sf_dir), 10, group="doc")
 
 
 @add(rf"""WITH w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS ws FROM conversations),
