@@ -154,3 +154,54 @@ def run_checks(results: DataFrame, skipped: DataFrame, queries: DataFrame) -> Da
 
 def totals(checks: DataFrame) -> DataFrame:
     return checks.agg(F.sum("passed").alias("passed"), F.sum("total").alias("total"))
+
+
+def diff_table(diff: DataFrame, name_a: str = "a", name_b: str = "b") -> DataFrame:
+    """Markdown lines of a report diff in the order of ``METRICS``: ``line_no, line``."""
+    spark = diff.sparkSession
+    head = spark.createDataFrame(
+        [(0, f"| Metric | {name_a} | {name_b} | Δ |"), (1, "|---|---:|---:|---:|")], "line_no int, line string"
+    )
+    place = F.create_map(*[F.lit(x) for i, m in enumerate(METRICS) for x in (m, i + 2)])
+    body = diff.select(
+        F.element_at(place, F.col("metric")).alias("line_no"),
+        F.format_string(
+            "| %s | %.3f | %.3f | %s%.3f %s |", "metric", "a", "b", F.when(F.col("delta") >= 0, "+").otherwise(""), "delta",
+            F.when(F.col("better"), "✓").otherwise("✗"),
+        ).alias("line"),
+    )
+    return head.unionByName(body).orderBy("line_no")
+
+
+def load_queries(spark, path: str) -> DataFrame:
+    """Validation queries from a JSON or YAML file with a top-level ``queries`` list.
+
+    Every query needs ``id``, ``query`` and ``paths``.
+    """
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if path.endswith(".json"):
+        raw = json.loads(text)
+    else:
+        try:
+            import yaml
+        except ImportError as exc:
+            raise RuntimeError("reading YAML queries needs PyYAML") from exc
+        raw = yaml.safe_load(text)
+    listed = raw.get("queries") if isinstance(raw, dict) else None
+    if not isinstance(listed, list):
+        raise ValueError(f"{path} has no list of queries")
+    for n, q in enumerate(listed):
+        missing = [k for k in ("id", "query", "paths") if k not in q]
+        if missing:
+            raise ValueError(f"query {n} in {path} lacks {', '.join(missing)}")
+    rows = [
+        (q["id"], q["query"], q["paths"], q.get("min_results", 0), q.get("expected_paths_contain", []), bool(q.get("expect_skipped", False)))
+        for q in listed
+    ]
+    return spark.createDataFrame(
+        rows,
+        "query_id string, query string, paths array<string>, min_results int, expected_paths_contain array<string>, expect_skipped boolean",
+    )

@@ -6,7 +6,7 @@ import time
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillfin.functions import jsonx
@@ -50,6 +50,7 @@ class Models:
 def ingest(
     index: Index, paths: list[str], models: Models, settings: Settings, force: bool = False, purge: bool = True
 ) -> Ingested:
+    started = time.time()
     spark = index.spark
     ship_package(spark)
     checkpoint_dir(spark)
@@ -68,8 +69,13 @@ def ingest(
     if stale.isEmpty() and (gone is None or gone.isEmpty()):
         return Ingested(_stats(planned, planned.select("path")), left_out.unionByName(unsupported), supported.select("path"), index.version)
 
+    if time.time() - started > settings.indexing_timeout:
+        late = stale.select("path", F.lit("indexing timeout").alias("reason"))
+        skipped = reduce(DataFrame.unionByName, [left_out, unsupported, late])
+        return Ingested(_stats(planned, planned.where("action = 'unchanged'").select("path")), skipped, supported.select("path"), index.version)
+
     version = index.next_version()
-    chunks, failed = _plan(spark, stale, models, settings)
+    chunks, failed = _plan(index, version, stale, models, settings)
     index.append("points", _points(chunks, models.embedder, settings, version))
     # From here on the written rows are the source, so no model runs twice.
     written = index.written("points", POINT, version).select("path", "segment_id")
@@ -108,7 +114,7 @@ def _gone_rows(gone: DataFrame, version: int) -> DataFrame:
     )
 
 
-def _plan(spark: SparkSession, stale: DataFrame, models: Models, settings: Settings) -> tuple[DataFrame, DataFrame]:
+def _plan(index: Index, version: int, stale: DataFrame, models: Models, settings: Settings) -> tuple[DataFrame, DataFrame]:
     """(chunks with bodies, files that failed with a reason) over all file types."""
     chunks, failed = [_image_chunks(stale)], []
     for kind, plan, missing in (
@@ -119,7 +125,7 @@ def _plan(spark: SparkSession, stale: DataFrame, models: Models, settings: Setti
         if missing:
             failed.append(mine.select("path", F.lit(missing).alias("reason")))
         else:
-            made, lost = plan(mine, models, settings)
+            made, lost = plan(index, version, mine, models, settings)
             chunks.append(made)
             failed.append(lost)
     return reduce(DataFrame.unionByName, chunks), reduce(DataFrame.unionByName, failed)
@@ -157,7 +163,7 @@ def _image_chunks(stale: DataFrame) -> DataFrame:
     return _shaped(images.withColumn("body", points.image_body(F.col("title"), F.col("summary"))))
 
 
-def _text_chunks(stale: DataFrame, models: Models, settings: Settings) -> tuple[DataFrame, DataFrame]:
+def _text_chunks(index: Index, version: int, stale: DataFrame, models: Models, settings: Settings) -> tuple[DataFrame, DataFrame]:
     texts = fs.with_content(stale).select("path", "content_hash_sha256", decode_text("content").alias("text"))
     filled = texts.where(~is_blank(F.col("text")))
     windows = chunking.line_windows(filled, "text", settings.chunker_vlm_ctx_tokens)
@@ -208,9 +214,16 @@ def _text_chunks(stale: DataFrame, models: Models, settings: Settings) -> tuple[
     return _shaped(made.withColumn("body", body)), failed
 
 
-def _pdf_chunks(stale: DataFrame, models: Models, settings: Settings) -> tuple[DataFrame, DataFrame]:
+def _pdf_chunks(index: Index, version: int, stale: DataFrame, models: Models, settings: Settings) -> tuple[DataFrame, DataFrame]:
     content = fs.with_content(stale)
     pages = pdf_pages(content, models.pdf, settings).checkpoint()
+    named = stale.select("path", F.col("content_hash_sha256").alias("sha"))
+    index.append(
+        "pages",
+        pages.where("image IS NOT NULL").join(named, "path").select(
+            "sha", "page", "image", F.length("image").cast("long").alias("bytes"), F.lit(version).cast("long").alias("version")
+        ),
+    )
     replies = pdf_replies(content, models.pdf, models.topics, settings).checkpoint()
     parsed = jsonx.parse_page_topics(replies, settings.chunker_max_topics_per_call)
     stride, cold, cap = settings.chunker_stride_pages, settings.chunker_topic_cold_pages, settings.chunker_topic_max_pages

@@ -37,7 +37,7 @@ def project(hits: DataFrame) -> DataFrame:
     return hits.withColumns(changed)
 
 
-def attach_pages(results: DataFrame, cache: DataFrame, mode: str = "path", root: str = "") -> DataFrame:
+def attach_pages(results: DataFrame, cache: DataFrame | None, mode: str = "path", root: str = "") -> DataFrame:
     """Add ``context_pages``: one entry per page ref, with image path or base64 where cached.
 
     ``cache``: ``sha, page, image binary``. ``mode``: path, base64 or none.

@@ -11,11 +11,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillfin.functions.text import dirname
 from quillfin.models.embed import embed
 from quillfin.models.rerank import reranked
 from quillfin.models.topics import TopicModel
 from quillfin.operators import listing, maxsim, points
-from quillfin.functions.text import dirname
 from quillfin.plans import present
 from quillfin.plans.ingest import Ingested, Models, ingest
 from quillfin.settings import Settings
@@ -62,7 +62,6 @@ def search(
     top_k: int | None = None,
     reranker: TopicModel | None = None,
     cut_first: bool = False,
-    images: DataFrame | None = None,
     image_mode: str | None = None,
 ) -> Answer:
     """Answer ``queries`` (``query_id, query``) over the files under ``paths``.
@@ -93,10 +92,11 @@ def search(
     shown = present.project(rows)
     shown = reranked(shown, queries, reranker, settings.rerank_max_candidates) if reranker else shown.withColumn("rerank_reason", F.lit(None).cast("string"))
     shown = shown.where(F.col("rank") <= k).checkpoint()
-    mode = image_mode or settings.include_page_images_default
-    if images is None:
-        images = queries.sparkSession.createDataFrame([], "sha string, page int, image binary")
-    shown = present.attach_pages(shown, images, mode)
+    mode, images = image_mode or settings.include_page_images_default, None
+    if mode != "none":
+        wanted = shown.where(F.size("page_refs") > 0).select(F.col("file_sha256").alias("sha"), F.explode("page_refs").alias("page"))
+        images = index.page_images(wanted)
+    shown = present.attach_pages(shown, images, mode, f"{index.root}/pages")
     directories = shown.select(dirname(F.col("path")).alias("directory")).distinct()
     entries = directory_entries(directories, settings.location_respect_gitignore)
     kept = entries.where(~listing.ignored(F.col("name"), listing.ignore_patterns(F.col("rules"))))

@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillfin.operators import points
+from quillfin.operators import cache, points
 
 FORMAT = 1
 
@@ -28,6 +28,7 @@ STATE = (
     "path string, size bigint, mtime_ns bigint, content_hash_sha256 string, last_indexed_at double, point_ids array<string>, "
     "n_points int, version bigint"
 )
+PAGE = "sha string, page int, image binary, bytes bigint, version bigint"
 COMMIT = "version bigint, dim int, format int, at double"
 
 
@@ -66,6 +67,20 @@ class Index:
         """Newest recorded state of each file; files recorded as gone drop out."""
         return points.latest(self._committed("state", STATE), "path", "version").where("content_hash_sha256 IS NOT NULL")
 
+    def page_images(self, wanted: DataFrame) -> DataFrame:
+        """Stored page images ``sha, page, image`` of the wanted ``(sha, page)`` rows, each once."""
+        found = self._committed("pages", PAGE).join(wanted.select("sha", "page").distinct(), ["sha", "page"], "left_semi")
+        return found.groupBy("sha", "page").agg(F.min_by("image", "version").alias("image"))
+
+    def evict_pages(self, target: str, max_bytes: int) -> DataFrame:
+        """Write the page images that fit in ``max_bytes``, newest versions first, to another folder."""
+        held = self._committed("pages", PAGE).dropDuplicates(["sha", "page"])
+        sizes = held.select("sha", "page", "bytes", "version")
+        marked = cache.lru_evictions(sizes, ["version", "sha", "page"], F.col("version"), max_bytes)
+        kept = held.join(marked.where("NOT evict").select("sha", "page"), ["sha", "page"], "left_semi")
+        kept.write.mode("append").parquet(target)
+        return marked.where("evict").select("sha", "page", "bytes")
+
     def append(self, name: str, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(self._path(name))
 

@@ -1,11 +1,11 @@
 import pytest
 
-from quillfin.session import local_session, ship_package
+from quillfin.session import checkpoint_dir, local_session, ship_package
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     session = local_session(8, shuffle_partitions=4, app="tests")
-    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
+    checkpoint_dir(session)
     ship_package(session)
     yield session

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillfin import settings as conf
 from quillfin.models.embed import HashEmbedder
 from quillfin.models.topics import OutlineModel
+from quillfin.plans import evaluate
 from quillfin.plans.ingest import Models, ingest
 from quillfin.plans.search import search
 from quillfin.sources import files as fs
@@ -127,6 +128,9 @@ def test_ingest_update_purge_and_search(spark, corpus, tmp_path):
     best = [r for r in rows if r["rank"] == 1]
     assert os.path.basename(best[0]["path"]) == "gpio.md" and best[0]["start_line"] == 1 and "baud" in best[0]["excerpt"]
     assert best[1]["page_refs"] == [2] and best[1]["context_pages"][0]["page"] == 2
+    assert best[1]["context_pages"][0]["page_image_path"].endswith("/2.webp")
+    gone = reopened.evict_pages(str(tmp_path / "kept"), 20)
+    assert 0 < spark.read.parquet(str(tmp_path / "kept")).agg(F.sum("bytes")).first()[0] <= 20 and gone.count() > 0
     # Both points of a page are one result, so three results are three chunks.
     assert len({r["chunk_id"] for r in rows if r["query_id"] == "q2"}) == 3
     assert "sub/" in best[0]["location"]["directory_listing"]
@@ -158,6 +162,34 @@ def test_without_models_files_are_skipped(spark, corpus, tmp_path):
     assert titles == {"Unparsed window (pages 1–2)", "Unparsed window (pages 3–3)"}
 
 
+def test_deadline(spark, corpus, tmp_path):
+    embedder = HashEmbedder()
+    index = _index(spark, tmp_path, embedder)
+    done = ingest(index, [str(corpus)], Models(embedder, OutlineModel()), conf.Settings(indexing_timeout=0.0))
+    assert "indexing timeout" in {r["reason"] for r in done.skipped.collect()} and _stats(done) == (0, 0, 0)
+
+
+def test_validation_queries(spark, tmp_path):
+    file = tmp_path / "q.json"
+    file.write_text(json.dumps({"queries": [{"id": "a", "query": "x", "paths": ["/p"], "expected_paths_contain": ["hit"]}]}))
+    queries = evaluate.load_queries(spark, str(file))
+    results = spark.createDataFrame([("a", "/some/hit.md")], "query_id string, path string")
+    none = spark.createDataFrame([], "query_id string")
+    assert tuple(evaluate.run_checks(results, none, queries).first())[1:] == (2, 2)
+    file.write_text(json.dumps({"queries": [{"id": "a"}]}))
+    with pytest.raises(ValueError):
+        evaluate.load_queries(spark, str(file))
+
+
+def test_diff_table(spark):
+    a = spark.createDataFrame([("mrr", 0.5), ("semantic_at_5", 1.0)], "metric string, value double")
+    b = spark.createDataFrame([("mrr", 0.75), ("semantic_at_5", 0.5)], "metric string, value double")
+    diff = evaluate.report_diff(a, b)
+    assert [r["metric"] for r in diff.where("regression").collect()] == ["semantic_at_5"]
+    lines = [r["line"] for r in evaluate.diff_table(diff).collect()]
+    assert "| mrr | 0.500 | 0.750 | +0.250 ✓ |" in lines and "| semantic_at_5 | 1.000 | 0.500 | -0.500 ✗ |" in lines
+
+
 def test_index_refuses_another_dimension(spark, tmp_path):
     index = Index(spark, str(tmp_path / "index"), 4)
     index.commit(index.next_version())
