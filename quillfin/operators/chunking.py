@@ -63,38 +63,61 @@ def _emit(batch: pa.RecordBatch, keep: list[str], source: list[int], made: list[
     return pa.RecordBatch.from_arrays(columns, names=[*keep, "chunk_no", "start_line", "end_line", "chunk_text"])
 
 
-def line_windows(df: DataFrame, text_col: str, context_tokens: int = 8192) -> DataFrame:
-    """Sliding line windows for texts over the model context: ``window_no, first_line, last_line``.
-
-    Window length follows the mean line length of the first 100 lines; windows overlap by a quarter
-    and stop with the first that reaches the last line. Texts within the context get one window.
-    """
-    lines = F.split(F.col(text_col), "\n")
+def window_bounds(df: DataFrame, text_col: str, context_tokens: int) -> DataFrame:
+    """Add ``n_lines`` and ``bounds``, the ``(first_line, last_line)`` of every window in order."""
+    head = F.slice(F.split(F.col(text_col), "\n"), 1, 100)
+    mean = F.floor(F.aggregate("_head", F.lit(0), lambda a, x: a + F.length(x)) / F.size("_head")).cast("int")
+    fitting = F.floor(F.lit(context_tokens * 4) / F.greatest(F.lit(1), mean)).cast("int")
     sized = (
         df.withColumn("n_lines", newlines(F.col(text_col)) + 1)
-        .withColumn("_head", F.slice(lines, 1, 100))
-        .withColumn(
-            "_mean",
-            F.greatest(
-                F.lit(1),
-                F.floor(F.aggregate("_head", F.lit(0), lambda a, x: a + F.length(x)) / F.size("_head")).cast("int"),
-            ),
-        )
+        .withColumn("_head", head)
         .withColumn(
             "_len",
-            F.when(token_estimate(F.col(text_col)) <= context_tokens, F.col("n_lines")).otherwise(
-                F.greatest(F.lit(40), F.floor(F.lit(context_tokens * 4) / F.col("_mean")).cast("int"))
-            ),
+            F.when(token_estimate(F.col(text_col)) <= context_tokens, F.col("n_lines")).otherwise(F.greatest(F.lit(40), fitting)),
         )
         .withColumn("_step", F.greatest(F.lit(1), F.floor(F.col("_len") * 0.75).cast("int")))
     )
     # The last window is the first whose end reaches n_lines.
     last = F.greatest(F.lit(0), F.ceil((F.col("n_lines") - F.col("_len")) / F.col("_step")).cast("int"))
-    return (
-        sized.withColumn("window_no", F.explode(F.sequence(F.lit(0), last)))
-        .withColumn("first_line", F.col("window_no") * F.col("_step") + 1)
-        .withColumn("last_line", F.least(F.col("n_lines"), F.col("window_no") * F.col("_step") + F.col("_len")))
-        .drop("_head", "_mean", "_len", "_step")
+    bounds = F.transform(
+        F.sequence(F.lit(0), last),
+        lambda n: F.struct(
+            (n * F.col("_step") + 1).alias("first_line"),
+            F.least(F.col("n_lines"), n * F.col("_step") + F.col("_len")).alias("last_line"),
+        ),
+    )
+    return sized.withColumn("bounds", bounds).drop("_head", "_len", "_step")
+
+
+def line_windows(df: DataFrame, text_col: str, context_tokens: int = 8192) -> DataFrame:
+    """Sliding line windows for texts over the model context: ``window_no, first_line, last_line``.
+
+    Window length follows the mean line length of the first 100 lines; windows overlap by a quarter
+    and stop with the first that reaches the last line. Texts within the context get one window.
+    """
+    keep = [c for c in df.columns if c != text_col]
+    sized = window_bounds(df, text_col, context_tokens)
+    return sized.select(*keep, "n_lines", F.posexplode("bounds").alias("window_no", "b")).select(*keep, "n_lines", "window_no", "b.*")
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def cut_lines(texts: pa.Array, first: pa.Array, last: pa.Array) -> pa.Array:
+    """Texts of line ranges; the text is split once however many ranges it has."""
+    out = []
+    for text, a, b in zip(texts.to_pylist(), first.to_pylist(), last.to_pylist()):
+        lines = text.split("\n")
+        out.append(["\n".join(lines[i - 1 : j]) for i, j in zip(a, b)])
+    return pa.array(out, pa.list_(pa.string()))
+
+
+def window_texts(df: DataFrame, text_col: str, context_tokens: int = 8192) -> DataFrame:
+    """``line_windows`` with ``window_text`` in place of the text, which is not repeated per window."""
+    keep = [c for c in df.columns if c != text_col]
+    sized = window_bounds(df, text_col, context_tokens)
+    cut = sized.withColumn("texts", cut_lines(text_col, "bounds.first_line", "bounds.last_line"))
+    zipped = F.arrays_zip("bounds", F.col("texts"))
+    return cut.select(*keep, F.posexplode(zipped).alias("window_no", "w")).select(
+        *keep, "window_no", "w.bounds.first_line", "w.bounds.last_line", F.col("w.texts").alias("window_text")
     )
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,12 @@ def visible(relative_path: Column, include_hidden: bool = False) -> Column:
     return F.lit(True) if include_hidden else ~relative_path.rlike(r"(^|/)\.")
 
 
+def under(path: Column, roots: list[str]) -> Column:
+    """The path is one of the roots or lies below one: a plain predicate for one request's few roots."""
+    tests = [(path == r) | F.startswith(path, F.lit(r + "/")) for r in (x.rstrip("/") for x in roots)]
+    return reduce(or_, tests, F.lit(False))
+
+
 def expand_requests(requests: DataFrame, files: DataFrame) -> DataFrame:
     """(request, path) pairs where the path is the request itself or lies below it.
 

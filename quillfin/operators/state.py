@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillfin.operators import listing
+
 
 def fingerprints(files: DataFrame, content: str = "content") -> DataFrame:
     """Add ``content_hash_sha256``. Hashed once per ingest, whole content, in the JVM."""
@@ -52,8 +54,5 @@ def superseded_points(planned: DataFrame, version: int) -> DataFrame:
 
 def orphaned_files(known: DataFrame, current: DataFrame, roots: list[str]) -> DataFrame:
     """Recorded files under ``roots`` that are gone, with the points they leave behind."""
-    below = F.exists(
-        F.array(*[F.lit(r.rstrip("/")) for r in roots]),
-        lambda r: (F.col("path") == r) | F.startswith("path", F.concat(r, F.lit("/"))),
-    )
+    below = listing.under(F.col("path"), roots)
     return known.where(below).join(current.select("path"), "path", "left_anti").select("path", "point_ids")

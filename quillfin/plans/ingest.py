@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import time
 from dataclasses import dataclass
 from functools import reduce
@@ -51,6 +52,7 @@ def ingest(
     index: Index, paths: list[str], models: Models, settings: Settings, force: bool = False, purge: bool = True
 ) -> Ingested:
     started = time.time()
+    paths = [os.path.realpath(p) for p in paths]
     spark = index.spark
     ship_package(spark)
     checkpoint_dir(spark)
@@ -64,8 +66,8 @@ def ingest(
         planned = planned.withColumn("action", F.when(F.col("action") == "unchanged", "changed").otherwise(F.col("action")))
     planned = planned.checkpoint()
     stale = planned.where("action <> 'unchanged'").select("path", "content_hash_sha256", "file_type")
-    # Vanished files are compared with everything present, indexable or not.
-    gone = state.orphaned_files(index.state(), looked_at, paths).checkpoint() if purge else None
+    # With purging, what the index holds under the paths is what was found there.
+    gone = state.orphaned_files(index.state(), supported, paths).checkpoint() if purge else None
     if stale.isEmpty() and (gone is None or gone.isEmpty()):
         return Ingested(_stats(planned, planned.select("path")), left_out.unionByName(unsupported), supported.select("path"), index.version)
 
@@ -166,14 +168,13 @@ def _image_chunks(stale: DataFrame) -> DataFrame:
 def _text_chunks(index: Index, version: int, stale: DataFrame, models: Models, settings: Settings) -> tuple[DataFrame, DataFrame]:
     texts = fs.with_content(stale).select("path", "content_hash_sha256", decode_text("content").alias("text"))
     filled = texts.where(~is_blank(F.col("text")))
-    windows = chunking.line_windows(filled, "text", settings.chunker_vlm_ctx_tokens)
-    lines = F.slice(F.split("text", "\n"), F.col("first_line"), F.col("last_line") - F.col("first_line") + 1)
+    windows = chunking.window_texts(filled.select("path", "text"), "text", settings.chunker_vlm_ctx_tokens)
     asked = windows.select(
         "path",
         "window_no",
         (F.col("last_line") - F.col("first_line") + 1).alias("n_lines"),
         (F.col("first_line") - 1).alias("line_offset"),
-        text_prompt(F.array_join(lines, "\n"), language_hint(F.col("path"))).alias("prompt"),
+        text_prompt(F.col("window_text"), language_hint(F.col("path"))).alias("prompt"),
     )
     replies = text_replies(asked, models.topics).checkpoint()
     found = jsonx.parse_text_topics(replies)
@@ -190,12 +191,26 @@ def _text_chunks(index: Index, version: int, stale: DataFrame, models: Models, s
     of_file = heads.join(ranges, ["path", "title_key"]).groupBy("path").agg(
         F.sort_array(F.collect_list(F.struct("first_ord", "title_key", "title", "summary", "line_ranges"))).alias("topics")
     )
-    placed = (
+    with_text = (
         filled.join(of_file, "path")
         .withColumn("starts", chunking.line_starts("text"))
         .withColumn("lines", F.split("text", "\n"))
-        .select("path", "content_hash_sha256", "text", "starts", "lines", F.posexplode("topics").alias("order_key", "t"))
-        .withColumn("char_ranges", chunking.char_ranges(F.col("t.line_ranges"), F.col("starts"), F.length("text")))
+    )
+
+    def located(t):
+        spots = chunking.char_ranges(t["line_ranges"], F.col("starts"), F.length("text"))
+        return F.struct(
+            t["title"].alias("title"),
+            t["summary"].alias("summary"),
+            t["line_ranges"].alias("line_ranges"),
+            spots.alias("char_ranges"),
+            chunking.excerpt(F.col("lines"), t["line_ranges"]).alias("excerpt"),
+            chunking.text_slices(F.col("text"), spots).alias("slices"),
+        )
+
+    # Topics take their pieces before they become rows, so the text is not repeated per topic.
+    placed = with_text.withColumn("placed", F.transform("topics", located)).select(
+        "path", "content_hash_sha256", F.posexplode("placed").alias("order_key", "t")
     )
     made = placed.select(
         "path",
@@ -204,11 +219,11 @@ def _text_chunks(index: Index, version: int, stale: DataFrame, models: Models, s
         F.lit("text_topic").alias("kind"),
         F.substring("t.title", 1, 200).alias("title"),
         F.substring("t.summary", 1, 500).alias("summary"),
-        F.col("t.line_ranges").alias("line_ranges"),
-        "char_ranges",
+        "t.line_ranges",
+        "t.char_ranges",
         "order_key",
-        F.substring(chunking.excerpt(F.col("lines"), F.col("t.line_ranges")), 1, 2000).alias("excerpt"),
-        chunking.text_slices(F.col("text"), F.col("char_ranges")).alias("slices"),
+        F.substring("t.excerpt", 1, 2000).alias("excerpt"),
+        "t.slices",
     )
     body = points.text_body(F.col("title"), F.col("summary"), F.col("slices"))
     return _shaped(made.withColumn("body", body)), failed

@@ -5,6 +5,7 @@ Any number of queries is answered by one scan of the points.
 
 from __future__ import annotations
 
+import os
 import time
 from dataclasses import dataclass, field
 
@@ -69,13 +70,18 @@ def search(
     ``cut_first`` takes the best ``top_k`` points before deduplicating by chunk, which may return
     fewer than ``top_k`` chunks; the default deduplicates first.
     """
+    paths = [os.path.realpath(p) for p in paths]
     k = min(top_k or settings.top_k, settings.max_top_k)
     wanted = k * settings.rerank_oversample if reranker else k
     clock = time.time()
     timing: dict[str, float] = {}
     done = ingest(index, paths, models, settings)
     timing["indexing"] = (time.time() - clock) * 1000
-    corpus = points.in_paths(index.points(), done.files)
+    # Ingest purged what is gone, so the roots say which points count and nothing is joined; only
+    # links that lead out of the roots need the list of files.
+    below = listing.under(F.col("path"), paths)
+    inside = done.files.where(~below).isEmpty()
+    corpus = index.points().where(below) if inside else points.in_paths(index.points(), done.files)
     errors: list[str] = []
     try:
         vectors = embed(queries.select("query_id", "query"), "query", models.embedder, as_query=True)

@@ -130,6 +130,7 @@ def test_sessions_match_the_page_walk(spark, seed, cold, cap, hot):
         {"title": F.concat("topic_id", F.lit("@"), "page"), "summary": F.lit(""), "is_continuation": F.lit(False)}
     )
     chunks = topics.topic_chunks(topics.topic_sessions(df, cold, cap, block=16)).collect()
+    spark.conf.unset(running.HOT_ROWS_SETTING)
     assert {(r["path"], tuple(r["page_refs"]), r["title"]) for r in chunks} == _fold(rows, cold, cap)
 
 
