@@ -355,7 +355,7 @@ def downscaled_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- ranges and titles --------------------------------------------------------------------------
 
 @add("""
-WITH r AS (SELECT l_suppkey, CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS INTEGER) AS s,
+WITH r AS (SELECT DISTINCT l_suppkey, CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS INTEGER) AS s,
    CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) + floor(l_quantity / 10) AS INTEGER) AS e FROM lineitem),
 m AS (SELECT *, max(e) OVER (PARTITION BY l_suppkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r WHERE s <= e),
 g AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m)
@@ -402,8 +402,8 @@ def title_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.coalesce_titles(_titles(spark, sf_dir))[0]
 
 
-@add(f"""WITH {_TITLES_SQL},
-m AS (SELECT *, max(e) OVER (PARTITION BY path, title_key ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM k),
+@add(f"""WITH {_TITLES_SQL}, u AS (SELECT DISTINCT path, title_key, s, e FROM k),
+m AS (SELECT *, max(e) OVER (PARTITION BY path, title_key ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM u),
 g AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY path, title_key ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m)
 SELECT path, title_key, CAST(min(s) AS BIGINT) AS range_start, max(e) AS range_end FROM g GROUP BY path, title_key, island""")
 def title_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
