@@ -169,8 +169,8 @@ def _tiles(starts: np.ndarray, counts: np.ndarray, n_query_tokens: int) -> Itera
 
 def _score_batch(block: QueryBatch, batch: pa.RecordBatch, precision: type) -> Iterator[tuple]:
     """(row numbers, scores, slack, tokens of a document) for groups of documents that have tokens."""
-    rows, starts, counts, flat = _documents(batch)
-    flat = flat.astype(precision, copy=False)
+    rows, starts, counts, stored = _documents(batch)
+    flat = stored.astype(precision, copy=False)
     waiting: list[np.ndarray] = []
     begin = 0
     for lo, hi in _tiles(starts, counts, len(block.tokens)):
@@ -180,7 +180,7 @@ def _score_batch(block: QueryBatch, batch: pa.RecordBatch, precision: type) -> I
             first = begin
             slack = block.slack(flat[starts[first] : b])
             yield rows[first:hi], np.concatenate(waiting, axis=1), slack, (
-                lambda i: flat[starts[first + i] : starts[first + i] + counts[first + i]]
+                lambda i: stored[starts[first + i] : starts[first + i] + counts[first + i]]
             )
             waiting, begin = [], hi
 

@@ -55,7 +55,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers (once per application)."""
+    """Make this package importable in the Python workers (once per application).
+
+    The archive is built on the driver, which serves it to the executors.
+    """
     import os
     import zipfile
 

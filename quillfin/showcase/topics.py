@@ -80,7 +80,7 @@ def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @add("""SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS page,
-  sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS value_so_far FROM events""")
+  CAST(sum(CAST(value AS DECIMAL(18, 4))) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS value_so_far FROM events""")
 def numbered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row numbers and running sums per user, however many events one user has."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.col("value").cast("decimal(18,4)").alias("v"))
