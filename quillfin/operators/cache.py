@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillfin.operators.running import Running, key_blocks, running
+from quillfin.operators.skew import keyed_filter
 
 
 def safe_sha(sha: Column) -> Column:
@@ -24,7 +25,7 @@ def cache_size(entries: DataFrame) -> DataFrame:
 
 def evict_files(entries: DataFrame, gone: DataFrame) -> DataFrame:
     """Entries left after dropping every page of the given source files."""
-    return entries.join(gone.select("sha").distinct(), "sha", "left_anti")
+    return keyed_filter(entries, gone, "sha", "page", "left_anti")
 
 
 def lru_evictions(entries: DataFrame, order: list[str], block: Column, max_bytes: Column | int) -> DataFrame:

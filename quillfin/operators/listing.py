@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillfin.functions.text import ancestors, basename, dirname, glob_regex
+from quillfin.operators.skew import keyed_filter
 
 
 def visible(relative_path: Column, include_hidden: bool = False) -> Column:
@@ -25,11 +26,12 @@ def under(path: Column, roots: list[str]) -> Column:
 def expand_requests(requests: DataFrame, files: DataFrame) -> DataFrame:
     """(request, path) pairs where the path is the request itself or lies below it.
 
-    Each path knows its own short list of ancestors, so the prefix test is an equi-join.
+    Each path knows its own short list of ancestors, so the prefix test is an equi-join. A top
+    directory is an ancestor of every path, hence the salted join.
     """
     above = files.select("path", F.explode(ancestors(F.col("path"))).alias("request"))
     wanted = requests.select(F.regexp_replace("request", r"(.)/+$", "$1").alias("request")).distinct()
-    return above.join(wanted, "request", "left_semi").select("request", "path").distinct()
+    return keyed_filter(above, wanted, "request", "path").select("request", "path").distinct()
 
 
 def ignored(name: Column, patterns: Column) -> Column:

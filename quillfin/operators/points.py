@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillfin.functions.text import is_blank, strip
+from quillfin.operators.skew import keyed_filter
 
 # Stored file type of each chunk kind.
 FILE_TYPE_OF_KIND = {"pdf_topic": "pdf", "text_topic": "text", "image": "image"}
@@ -128,7 +129,7 @@ def in_paths(points: DataFrame, paths: DataFrame | list[str] | None) -> DataFram
         return points
     if isinstance(paths, list):
         return points.where(F.col("path").isin(paths) if paths else F.lit(False))
-    return points.join(paths.select("path").distinct(), "path", "left_semi")
+    return keyed_filter(points, paths, "path", "segment_id")
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[Column], k: int, out: str = "rank") -> DataFrame:
