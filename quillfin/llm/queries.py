@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillfin.llm import ballhash
+from quillfin.llm import balance, ballhash, countmin
 from quillfin.showcase import Showcase, table
 
 shown = Showcase()
@@ -15,3 +15,16 @@ shown = Showcase()
 def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ballhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@shown.add()
+def op6_countmin_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return countmin.drop_repeated(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@shown.add()
+def op5_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sized = docs.select("doc_id", "source", balance.word_count(F.col("text")).alias("size"))
+    return balance.mixed(sized).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")

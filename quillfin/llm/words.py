@@ -49,12 +49,14 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 @dataclass(frozen=True)
 class Words:
     """Words of some texts: each is ``data[start:end]``, followed by one space; text ``i`` owns the
-    words ``first[i]`` to ``first[i + 1]``. Consecutive words of a text are one slice of ``data``."""
+    words ``first[i]`` to ``first[i + 1]``. Consecutive words of a text are one slice of ``data``.
+    ``at`` is where each word begins in the bytes that ``utf8`` gives."""
 
     data: np.ndarray
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
+    at: np.ndarray
 
     @property
     def counts(self) -> np.ndarray:
@@ -90,7 +92,8 @@ def words(texts: pa.Array, lower: bool = False) -> Words:
     """The words of each text; ``lower`` maps A-Z to a-z first."""
     raw, offsets = utf8(texts)
     if not len(raw):
-        return Words(raw, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64))
+        none = np.zeros(0, np.int64)
+        return Words(raw, none, none, np.zeros(len(offsets), np.int64), none)
     solid = ~SPACE[raw]
     opens = solid.copy()
     opens[1:] &= ~solid[:-1]
@@ -106,8 +109,8 @@ def words(texts: pa.Array, lower: bool = False) -> Words:
     # Bytes inside words before each word, plus one space for each word before it.
     before = np.searchsorted(inside, at)
     start = before + np.arange(len(at))
-    end = np.append(start[1:], len(data) + 0) - 1 if len(at) else start
-    return Words(data, start, end, np.searchsorted(at, offsets))
+    end = np.append(start[1:], len(data)) - 1 if len(at) else start
+    return Words(data, start, end, np.searchsorted(at, offsets), at)
 
 
 def _rotated(x: np.ndarray, r: int) -> np.ndarray:
