@@ -1,17 +1,19 @@
 """Substring dedup with a count-min prefilter.
 
-Pass 1 adds every 13-word window, once per document, to a count-min sketch. Each chunk of texts sends
-its sketch in sparse form (sorted cells as gaps, about a byte each); cells are merged per segment, and
-all that is kept of a merged counter is whether it reached two. Pass 2 looks every window up and sends on
-only those that the sketch estimates as repeated. A sketch never underestimates, so no repeated window
-is lost. Those are grouped exactly, by 96 bits of hash, to find the smallest document of each.
-
-Inside a chunk, repeats are settled before the shuffle: only the chunk's smallest document of a window is
-sent on. A passage that a third of all documents share is therefore sent once per chunk.
-
-The merged sketch is broadcast. Its size follows the input up to ``MAX_BITS`` (2 rows of 32 MB), a bound
-that holds for any input; beyond about 300 million windows more and more windows pass it, up to all,
-which costs shuffle in proportion to the input but never changes the result.
+Two sketches are filled one after the other: the first with every 13-word window, once per document, the
+second with only those windows that the first one estimates as repeated. A last pass looks every window
+up in the second sketch and sends on those estimated as repeated there. A sketch never underestimates, so
+no repeated window is lost. What is sent on is grouped exactly, by 96 bits of hash, to find the smallest
+document of each window.
+
+Each chunk of texts sends its sketch in sparse form (sorted cells as gaps, about a byte each); cells are
+merged per segment, and all that is kept of a merged counter is whether it reached two. Inside a chunk,
+repeats are settled before the shuffle: only the chunk's smallest document of a window is sent on. A
+passage that a third of all documents share is therefore sent once per chunk.
+
+A merged sketch is broadcast. Its size follows the input up to ``MAX_BITS`` (64 MB), a bound that holds
+for any input; beyond about 300 million windows more and more windows pass it, up to all, which costs
+shuffle in proportion to the input but never changes the result.
 """
 
 from __future__ import annotations
@@ -28,14 +30,16 @@ from quillfin.llm.words import Words, chained, mixed, rows_in_steps, utf8, words
 from quillfin.session import checkpoint_dir
 
 WINDOW = 13
-ROWS = 2
-MIN_BITS, MAX_BITS = 16, 28
+LEVELS = 2
+MIN_BITS, MAX_BITS = 16, 29
 CELLS_PER_WINDOW = 4
 # Cells that one reduce task merges at a time.
 SEGMENT_BITS = 22
-# Windows of the texts that one chunk handles, and repeated windows that one reduce group handles.
-CHUNK_BYTES = 12 << 20
-WINDOWS_PER_BUCKET = 1_000_000
+# Text that one chunk handles, and windows of the input for each reduce group of suspected ones.
+CHUNK_BYTES = 6 << 20
+WINDOWS_PER_BUCKET = 4_000_000
+# Reduce groups for each one that gathers the results of documents.
+BUCKETS_PER_HOME = 4
 # Average bytes of a word and its space, only to size the sketch.
 WORD_BYTES = 6
 
@@ -54,11 +58,8 @@ def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     new = ["n_words", "n_removed", "kept_sha256", "kept_text"]
     rest = [c for c in docs.columns if c not in new and c != text_col]
     keyed = docs.select(*rest, text_col, F.xxhash64(text_col).alias("_text_key"))
-    marked = keyed.join(
-        starts.groupBy(F.col("id").alias(id_col), F.col("key").alias("_text_key")).agg(F.collect_list("starts").alias("_starts")),
-        [id_col, "_text_key"],
-        "left",
-    ).select(*rest, text_col, "_starts")
+    found = starts.select(F.col("id").alias(id_col), F.col("key").alias("_text_key"), F.col("starts").alias("_starts"))
+    marked = keyed.join(found, [id_col, "_text_key"], "left").select(*rest, text_col, "_starts")
     schema = ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema.fields[:-1]]
         + ["n_words long", "n_removed long", "kept_sha256 string", "kept_text string"]
@@ -78,7 +79,7 @@ def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``(id, key, starts)``: windows of a row, as packed 32-bit word positions, that also start in a
-    document with a smaller id. ``key`` is Spark's hash of the text; a row may have several results."""
+    document with a smaller id. ``key`` is Spark's hash of the text; rows equal in both share a result."""
     spark = docs.sparkSession
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")
@@ -86,31 +87,45 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_windows = size // WORD_BYTES
     bits = min(max(int(max(n_windows, 1) * CELLS_PER_WINDOW).bit_length(), MIN_BITS), MAX_BITS)
+    sketch = None
+    for level in range(LEVELS):
+        sketch = spark.sparkContext.broadcast(_sketch(rows, window, bits, level, sketch))
+    buckets = max(1, n_windows // WINDOWS_PER_BUCKET)
+    homes = 1 + buckets // BUCKETS_PER_HOME
+
+    def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, keys, texts in _chunks(batches):
+            yield _suspects(ids, keys, texts, window, bits, sketch.value, buckets)
+
+    def settled(group: pa.Table) -> pa.Table:
+        return _settled(group, homes)
+
+    packed = "ids binary, keys binary, row binary, start binary"
+    sent = rows.mapInArrow(suspected, f"bucket int, {packed}, hash binary, check binary")
+    found = sent.groupBy("bucket").applyInArrow(settled, f"home int, {packed}")
+    return found.groupBy("home").applyInArrow(_by_document, "id long, key long, starts binary")
+
+
+def _sketch(rows: DataFrame, window: int, bits: int, level: int, before) -> np.ndarray:
+    """Which cells of this level's sketch at least two documents hit, as packed bits, over all windows
+    that the level before (a broadcast) estimates as repeated."""
     segment_bits = min(SEGMENT_BITS, bits)
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, _, texts in _chunks(batches):
-            yield _sparse(ids, texts, window, bits, segment_bits)
+            yield _sparse(ids, texts, window, bits, segment_bits, level, before.value if before else None)
 
     def merged(group: pa.Table) -> pa.Table:
         twice = _merged_segment(group.column("gaps"), 1 << segment_bits)
-        return pa.table({"sketch_row": group.column("sketch_row")[:1], "segment": group.column("segment")[:1], "twice": [np.packbits(twice).tobytes()]})
+        return pa.table({"segment": group.column("segment")[:1], "twice": [np.packbits(twice).tobytes()]})
 
-    cells = rows.mapInArrow(sketched, "sketch_row int, segment int, gaps binary")
-    segments = cells.groupBy("sketch_row", "segment").applyInArrow(merged, "sketch_row int, segment int, twice binary")
-    # At most ROWS bitmaps of 2^MAX_BITS bits, whatever the input.
-    sketch = np.zeros((ROWS, 1 << (bits - segment_bits), 1 << max(segment_bits - 3, 0)), np.uint8)
+    cells = rows.mapInArrow(sketched, "segment int, gaps binary")
+    segments = cells.groupBy("segment").applyInArrow(merged, "segment int, twice binary")
+    # One bitmap of at most 2^MAX_BITS bits, whatever the input.
+    out = np.zeros((1 << (bits - segment_bits), 1 << (segment_bits - 3)), np.uint8)
     for r in segments.toLocalIterator():
-        sketch[r["sketch_row"], r["segment"]] = np.frombuffer(r["twice"], np.uint8)
-    shared = spark.sparkContext.broadcast(sketch.reshape(ROWS, -1))
-    buckets = max(1, n_windows // WINDOWS_PER_BUCKET)
-
-    def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, keys, texts in _chunks(batches):
-            yield _suspects(ids, keys, texts, window, bits, shared.value, buckets)
-
-    sent = rows.mapInArrow(suspected, "bucket int, ids binary, keys binary, row binary, start binary, hash binary, check binary")
-    return sent.groupBy("bucket").applyInArrow(_settled, "id long, key long, starts binary")
+        out[r["segment"]] = np.frombuffer(r["twice"], np.uint8)
+    return out.ravel()
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
@@ -148,34 +163,41 @@ def _windows(texts: pa.Array, window: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield rows, first - w.first[rows - begin], chained(one, window)[first], chained(mixed(one + np.uint64(1)), window)[first]
 
 
-def _cells(h: np.ndarray, bits: int) -> list[np.ndarray]:
-    return [h >> np.uint64(64 - bits), mixed(h ^ np.uint64(0x5555555555555555)) >> np.uint64(64 - bits)]
+def _cells(h: np.ndarray, bits: int, level: int) -> np.ndarray:
+    return ((mixed(h + np.uint64(level)) if level else h) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _estimated(h: np.ndarray, bits: int, level: int, sketch: np.ndarray) -> np.ndarray:
+    """Which windows the sketch of a level estimates as repeated."""
+    cell = _cells(h, bits, level)
+    return (sketch[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0
 
 
-def _sparse(ids: np.ndarray, texts: pa.Array, window: int, bits: int, segment_bits: int) -> pa.RecordBatch:
-    """The chunk's sketch: for each row and segment the cells hit, twice if hit by two documents."""
-    parts = [(ids[r], h) for r, _, h, _ in _windows(texts, window)]
+def _sparse(ids: np.ndarray, texts: pa.Array, window: int, bits: int, segment_bits: int, level: int, before: np.ndarray | None) -> pa.RecordBatch:
+    """The chunk's sketch: for each segment the cells hit, twice if hit by two documents."""
+    parts = []
+    for r, _, h, _ in _windows(texts, window):
+        passed = slice(None) if before is None else _estimated(h, bits, level - 1, before)
+        parts.append((ids[r[passed]], h[passed]))
     out = []
     if parts:
         owner, h = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(h, kind="stable")
         owner, h = owner[order], h[order]
-        once = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))
-        for row, cell in enumerate(_cells(h[once], bits)):
-            cell = np.sort(cell)
-            # Counters saturate at two: a third hit of a cell says nothing new.
-            cell = cell[np.append([True, True], cell[2:] != cell[:-2])[: len(cell)]].astype(np.int64)
-            segment = cell >> segment_bits
-            heads = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
-            for begin, end in zip(heads, np.append(heads[1:], len(cell))):
-                inside = cell[begin:end] & ((1 << segment_bits) - 1)
-                out.append((row, int(segment[begin]), packed_gaps(inside)))
-    kinds = (pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out)) or [[], [], []], kinds)], ["sketch_row", "segment", "gaps"])
+        once = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))[: len(h)]
+        cell = np.sort(_cells(h[once], bits, level))
+        # Counters saturate at two: a third hit of a cell says nothing new.
+        cell = cell[np.append([True, True], cell[2:] != cell[:-2])[: len(cell)]]
+        segment = cell >> segment_bits
+        heads = np.flatnonzero(np.append(True, segment[1:] != segment[:-1])[: len(cell)])
+        for begin, end in zip(heads, np.append(heads[1:], len(cell))):
+            out.append((int(segment[begin]), packed_gaps(cell[begin:end] & ((1 << segment_bits) - 1))))
+    kinds = (pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out)) or [[], []], kinds)], ["segment", "gaps"])
 
 
 def _merged_segment(lists: pa.ChunkedArray, cells: int) -> np.ndarray:
-    seen, twice = np.zeros(cells, bool), np.zeros(max(cells, 8), bool)
+    seen, twice = np.zeros(cells, bool), np.zeros(cells, bool)
     for gaps in lists:
         cell = unpacked_gaps(np.frombuffer(gaps.as_buffer(), np.uint8))
         new = np.append(True, cell[1:] != cell[:-1])
@@ -214,10 +236,7 @@ def _suspects(ids, keys, texts, window: int, bits: int, sketch: np.ndarray, buck
     with no hashes."""
     parts = []
     for rows, start, h, check in _windows(texts, window):
-        repeated = np.ones(len(h), bool)
-        for row, cell in enumerate(_cells(h, bits)):
-            cell = cell.astype(np.int64)
-            repeated &= (sketch[row][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0
+        repeated = _estimated(h, bits, LEVELS - 1, sketch)
         parts.append((rows[repeated], start[repeated], h[repeated], check[repeated].astype(np.uint32)))
     out = []
     if parts:
@@ -245,24 +264,39 @@ def _suspects(ids, keys, texts, window: int, bits: int, sketch: np.ndarray, buck
 
 
 def _row(bucket, ids, keys, rows, start, h, check) -> tuple:
+    return (bucket, *_documents(ids, keys, rows, start), h.tobytes(), check.tobytes())
+
+
+def _documents(ids: np.ndarray, keys: np.ndarray, rows: np.ndarray, start: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
+    """The documents used, and for each window its document among them and its first word."""
     used, local = np.unique(rows, return_inverse=True)
-    return (
-        bucket, ids[used].tobytes(), keys[used].tobytes(),
-        local.astype(np.uint32).tobytes(), start.astype(np.uint32).tobytes(), h.tobytes(), check.tobytes(),
-    )
+    return ids[used].tobytes(), keys[used].tobytes(), _small(local), _small(start)
 
 
-def _settled(group: pa.Table) -> pa.Table:
-    """Per document the windows of this bucket that a smaller document has, too."""
-    kinds = {"ids": np.int64, "keys": np.int64, "row": np.uint32, "start": np.uint32, "hash": np.uint64, "check": np.uint32}
+def _small(a: np.ndarray) -> bytes:
+    return a.astype(np.uint16 if a.max(initial=0) < 1 << 16 else np.uint32).tobytes()
+
+
+def _unpacked(record: pa.RecordBatch, i: int) -> list[np.ndarray]:
+    """Id, text key and first word of each window of a row."""
+    ids, keys = (np.frombuffer(record.column(c)[i].as_buffer(), np.int64) for c in ("ids", "keys"))
+    row, start = (record.column(c)[i].as_buffer() for c in ("row", "start"))
+    # Documents are numbered without gaps, so their number gives the width; then that of the other is known.
+    row = np.frombuffer(row, np.uint16 if len(ids) <= 1 << 16 else np.uint32)
+    start = np.frombuffer(start, np.uint16 if start.size == 2 * len(row) else np.uint32)
+    return [ids[row], keys[row], start.astype(np.uint32)]
+
+
+def _settled(group: pa.Table, homes: int) -> pa.Table:
+    """The windows of this bucket that a smaller document has, too, by the home of their document."""
     found: list[list[np.ndarray]] = []
     open_: list[list[np.ndarray]] = []
     for record in group.to_batches():
         for i in range(record.num_rows):
-            x = {c: np.frombuffer(record.column(c)[i].as_buffer(), k) for c, k in kinds.items()}
-            own = [x["ids"][x["row"]], x["keys"][x["row"]], x["start"]]
-            if len(x["hash"]):
-                open_.append([*own, x["hash"], x["check"]])
+            own = _unpacked(record, i)
+            h, check = (np.frombuffer(record.column(c)[i].as_buffer(), k) for c, k in (("hash", np.uint64), ("check", np.uint32)))
+            if len(h):
+                open_.append([*own, h, check])
             else:
                 found.append(own)
     if open_:
@@ -273,11 +307,24 @@ def _settled(group: pa.Table) -> pa.Table:
         later = ids > ids[heads][np.cumsum(heads) - 1]
         found.append([ids[later], keys[later], start[later]])
     ids, keys, start = (np.concatenate(c) for c in zip(*found))
+    home = (mixed(ids.view(np.uint64)) % np.uint64(homes)).astype(np.int32)
+    out = []
+    for at in np.unique(home):
+        mine = home == at
+        documents, local = np.unique(np.stack([ids[mine], keys[mine]], 1), axis=0, return_inverse=True)
+        out.append((at, *_documents(documents[:, 0], documents[:, 1], local.ravel(), start[mine])))
+    kinds = {"home": pa.int32(), **{c: pa.binary() for c in ("ids", "keys", "row", "start")}}
+    return pa.table({c: pa.array(x, k) for (c, k), x in zip(kinds.items(), list(zip(*out)) or [[]] * 5)})
+
+
+def _by_document(group: pa.Table) -> pa.Table:
+    """One row for each document of a home."""
+    parts = [_unpacked(record, i) for record in group.to_batches() for i in range(record.num_rows)]
+    ids, keys, start = (np.concatenate(c) for c in zip(*parts))
     order = np.lexsort((start, keys, ids))
     ids, keys, start = ids[order], keys[order], start[order]
     heads = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]))[: len(ids)])
-    ends = np.append(heads[1:], len(ids))
-    packed = [start[b:e].tobytes() for b, e in zip(heads, ends)]
+    packed = [start[b:e].tobytes() for b, e in zip(heads, np.append(heads[1:], len(ids)))]
     return pa.table({"id": ids[heads], "key": keys[heads], "starts": pa.array(packed, pa.binary())})
 
 
@@ -300,11 +347,11 @@ def _kept(texts: pa.Array, starts: pa.Array, window: int) -> list[pa.Array]:
 def _covered(w: Words, starts: pa.Array, window: int) -> np.ndarray:
     """Which words are covered by the windows that begin at the given positions."""
     change = np.zeros(len(w.start) + 1, np.int64)
-    for i, lists in enumerate(starts):
-        if lists.is_valid:
-            at = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in lists.values])).astype(np.int64) + w.first[i] if len(lists) else []
+    for i, own in enumerate(starts):
+        if own.is_valid:
+            at = np.unique(np.frombuffer(own.as_buffer(), np.uint32)).astype(np.int64) + w.first[i]
             change[at] += 1
-            np.subtract.at(change, np.minimum(np.asarray(at, np.int64) + window, len(w.start)), 1)
+            change[at + window] -= 1
     return np.cumsum(change)[:-1] > 0
 
 
