@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillfin.llm import balance, ballhash, countmin
+from quillfin.llm import balance, ballhash, countmin, divergence, fingerprint, grouping
 from quillfin.showcase import Showcase, table
 
 shown = Showcase()
@@ -28,3 +28,21 @@ def op5_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = docs.select("doc_id", "source", balance.word_count(F.col("text")).alias("size"))
     return balance.mixed(sized).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
+
+
+@shown.add()
+def op4_group_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return grouping.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@shown.add()
+def op1_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = divergence.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return judged.drop("text", "lang")
+
+
+@shown.add()
+def op9_permutation_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
