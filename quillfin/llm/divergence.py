@@ -2,8 +2,9 @@
 
 A text's histograms of character classes and of common words are compared with those of each language of
 the corpus, by Jensen-Shannon distance (base 2, so 0 to 1). A text far from every language is rejected.
-Short texts have noisy histograms: below a minimum length nothing is compared, above it the limit falls
-with the square root of the length.
+Short texts have noisy histograms: below a minimum length nothing is compared, above it the limits fall
+with the length. The distance that chance alone makes is about the square root of ``k / (8 n ln 2)`` for
+``n`` words that hit ``k`` bins, so the limit for words follows that.
 
 References come from all documents, in two passes. A word is common if it makes up a share of at least
 ``COMMON`` of a language's words. Such a word has that share in at least one part of the corpus, so the
@@ -28,9 +29,10 @@ COMMON = 1 / 1000
 MIN_REFERENCE_WORDS = 1_000
 # Texts with fewer words than this are not compared.
 MIN_WORDS = 50
-# Limits of the distance: at any length, plus this much over the square root of the number of words.
-CLASS_LIMIT = (0.14, 0.8)
-WORD_LIMIT = (0.14, 3.2)
+# Limit for classes: at any length, plus this much over the square root of the number of words.
+CLASS_LIMIT = (0.18, 0.8)
+# Limit for words, squared: at any length, plus this much for each bin hit by chance and word.
+WORD_LIMIT = (0.2**2, 3 / (8 * np.log(2)))
 # Fixed rules.
 LEAST_WORDS = 20
 REPEAT_WINDOW = 8
@@ -216,20 +218,22 @@ def _verdicts(texts: pa.Array, known: list[Reference]) -> list[pa.Array]:
     hashes = _word_hashes(w)
     repeats = _repeat_words(w, hashes)
     failed = (n < LEAST_WORDS) | (100 * repeats > REPEAT_PERCENT * n)
-    class_distance, word_distance = np.full(rows, np.nan), np.full(rows, np.nan)
+    class_distance, word_distance, excess = (np.full(rows, np.nan) for _ in range(3))
     judged = np.flatnonzero(n >= MIN_WORDS) if known else np.zeros(0, int)
     if len(judged):
         shares = classes[judged] / classes[judged].sum(1, keepdims=True)
         class_distance[judged] = np.min([js_distance(shares, r.class_shares) for r in known], 0)
         owner = w.owner()
-        nearest = []
+        nearest, over = [], []
         for r in known:
             width = len(r.words) + 1
             counts = np.bincount(owner * width + _slots(hashes, r.words), minlength=rows * width).reshape(rows, width)[judged]
             nearest.append(js_distance(counts / n[judged][:, None], r.word_shares))
+            hit = np.minimum(n[judged][:, None] * r.word_shares, 1).sum(1)
+            over.append(nearest[-1] - np.sqrt(WORD_LIMIT[0] + WORD_LIMIT[1] * hit / n[judged]))
         word_distance[judged] = np.min(nearest, 0)
-    root = np.sqrt(np.maximum(n, 1))
-    far = (class_distance > CLASS_LIMIT[0] + CLASS_LIMIT[1] / root) | (word_distance > WORD_LIMIT[0] + WORD_LIMIT[1] / root)
+        excess[judged] = np.min(over, 0)
+    far = (class_distance > CLASS_LIMIT[0] + CLASS_LIMIT[1] / np.sqrt(np.maximum(n, 1))) | (excess > 0)
     longs = [pa.array(x.astype(np.int64)) for x in (n, word_chars, symbols, _duplicate_lines(raw, offsets, w), repeats)]
     distances = [pa.array(x, mask=np.isnan(x)) for x in (class_distance, word_distance)]
     return [*longs, pa.array(failed), *distances, pa.array(~failed & ~far)]

@@ -33,7 +33,7 @@ def sample(seed=1):
     for i in range(6, 190):
         lang = r.choice(list(langs))
         v = langs[lang]
-        w = [r.choice(v[:3]) if r.random() < 0.4 else r.choice(v) for _ in range(r.randrange(5, 160))]
+        w = r.choices(v, [1 / (k + 1) for k in range(len(v))], k=r.randrange(5, 160))
         text = "".join(x + r.choice([" ", " ", " ", "\n", "\t "]) for x in w)
         rows.append((i, text + r.choice(["", text[:40], "\n" + text]), r.choice([lang, lang, None])))
     for i in range(190, 195):
