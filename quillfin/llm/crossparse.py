@@ -200,7 +200,7 @@ def phrases(texts: list[str], models: Models) -> tuple[np.ndarray, np.ndarray, n
     codes = table[np.frombuffer("".join(texts).encode("utf-32-le", "replace"), "<u4")]
     owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     has_letter = np.bincount(owner[codes != GAP], minlength=len(texts)) > 0
-    keep = (codes != GAP) | np.append(True, (codes[1:] != GAP) | (owner[1:] != owner[:-1]))[: len(codes)]
+    keep = (codes != GAP) | np.append(True, (codes[:-1] != GAP) | (owner[1:] != owner[:-1]))[: len(codes)]
     codes, owner = codes[keep], owner[keep]
     n = np.bincount(owner, minlength=len(texts))
     first = np.cumsum(n) - n

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillfin.llm import balance, ballhash, countmin, divergence, fingerprint, grouping
+from quillfin.llm import balance, ballhash, countmin, crossparse, divergence, fingerprint, grouping
 from quillfin.showcase import Showcase, table
 
 shown = Showcase()
@@ -46,3 +46,12 @@ def op1_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @shown.add()
 def op9_permutation_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
+
+
+@shown.add()
+def op3_crossparse_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.expr("crc32(cast(doc_id as string)) % 3 = 1")
+    models = crossparse.learn(docs, where=~held_out, order=F.xxhash64("doc_id"))
+    named = crossparse.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), models)
+    return named.drop("text")
