@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillfin.llm import balance, ballhash, countmin, crossparse, divergence, fingerprint, grouping
+from quillfin.llm import balance, ballhash, countmin, crossparse, divergence, fingerprint, grouping, treescore
 from quillfin.showcase import Showcase, table
 
 shown = Showcase()
@@ -55,3 +55,8 @@ def op3_crossparse_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = crossparse.learn(docs, where=~held_out, order=F.xxhash64("doc_id"))
     named = crossparse.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), models)
     return named.drop("text")
+
+
+@shown.add()
+def op10_tree_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treescore.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
