@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillfin.llm import balance, ballhash, countmin, crossparse, divergence, fingerprint, grouping, treescore
+from quillfin.llm import balance, ballhash, boosting, countmin, crossparse, divergence, factors, fingerprint, grouping, treescore
 from quillfin.showcase import Showcase, table
 
 shown = Showcase()
@@ -60,3 +60,21 @@ def op3_crossparse_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @shown.add()
 def op10_tree_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treescore.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+# Rows of ``labels`` that the classifiers learn from, and rows of ``documents`` that they are judged on.
+_LEARNED = "crc32(cast(doc_id as string)) % 5 <> 0"
+
+
+@shown.add()
+def op2_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    machine = factors.learn(docs, table(spark, sf_dir, "labels"), allowed=F.expr(_LEARNED), metadata=["n_chars"])
+    return factors.scored(docs.withColumn("held_out", ~F.expr(_LEARNED)), machine, metadata=["n_chars"]).drop("text", "n_chars")
+
+
+@shown.add()
+def op7_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = boosting.learn(docs, table(spark, sf_dir, "labels"), allowed=F.expr(_LEARNED))
+    return boosting.scored(docs.withColumn("held_out", ~F.expr(_LEARNED)), model).drop("text")
