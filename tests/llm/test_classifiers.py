@@ -54,7 +54,7 @@ def test_dense_features_of_a_text():
     texts = [None, "", "You are an 1D10T, a scumbag!!", "plain words " * 20 + "idiot", "HEY w0rd sooooo"]
     got = [dict(zip(FEATURES, x)) for x in features(pa.array(texts, pa.string()), lexicon)]
     assert got[0] == got[1] and not any(v for k, v in got[0].items())
-    assert got[2]["word_odds"] == 5 and got[2]["stem_odds"] == 3 and got[2]["near_you_hits"] == 1 and got[2]["top_odds"] == 5
+    assert got[2]["word_odds"] == 5 and got[2]["stem_odds"] == 3 and got[2]["near_you_hits"] == 2 and got[2]["top_odds"] == 5
     assert got[2]["obfuscated"] > 0 and got[2]["exclamations"] > 0
     assert got[3]["word_density"] == pytest.approx(1 / 41) and got[3]["near_you_hits"] == 0
     assert got[4]["shouted_words"] == pytest.approx(1 / 3) and got[4]["obfuscated"] == pytest.approx(1 / 3) and got[4]["drawn_out"] > 0
