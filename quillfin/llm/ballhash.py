@@ -28,10 +28,10 @@ from quillfin.session import checkpoint_dir
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-# Points that one reduce group handles, and fingerprints whose points are made at a time.
+# Points that one reduce group handles, and fingerprints whose points are made at a time (about 100 MB).
 POINTS_PER_BUCKET = 2_000_000
 POINTS_PER_PRINT = 561
-PRINTS_PER_STEP = 16_384
+PRINTS_PER_STEP = 4_096
 _TILE = 1_024
 
 _ONE = np.uint64(1)
@@ -74,13 +74,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def links(prints: DataFrame, points_per_bucket: int = POINTS_PER_BUCKET) -> DataFrame:
     """Edges ``(a, b)`` that connect all fingerprints ``fp`` (distinct, not null) differing in at most
     three bits. Every edge is such a pair; pairs connected through others may be left out."""
-    buckets = max(1, -(-prints.count() * POINTS_PER_PRINT // points_per_bucket))
+    n = prints.count()
+    buckets = max(1, -(-n * POINTS_PER_PRINT // points_per_bucket))
+    # The points are 70 times the prints, so their tasks are counted by points.
+    steps = prints.select("fp").repartition(max(1, -(-n // PRINTS_PER_STEP)))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for fps in _steps(batches):
             yield _packed(fps, buckets)
 
-    points = prints.select("fp").mapInArrow(emit, "bucket int, fps binary, fp_index binary, code binary")
+    points = steps.mapInArrow(emit, "bucket int, fps binary, fp_index binary, code binary")
     found = points.groupBy("bucket").applyInArrow(_stars, "a long, b long")
     return found.distinct()
 
