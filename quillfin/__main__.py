@@ -32,7 +32,7 @@ def main(argv: list[str] | None = None) -> int:
         if not args.new:
             print("no index or config file found here or above; use --new to start one", file=sys.stderr)
             return 1
-        settings = conf.in_directory(os.getcwd()) or conf.Settings(index_path=os.path.abspath(conf.INDEX_DIR))
+        settings = conf.Root(os.getcwd()).settings() or conf.Settings(index_path=os.path.abspath(conf.INDEX_DIR))
     else:
         settings = found[1]
     spark = local_session()

@@ -35,29 +35,35 @@ LANGUAGES = {
     ".cfg": "config",
 }
 
-_BREAKS = tuple(re.compile(p) for p in BREAKS)
+# Everything up to the end of the last break of one kind; greedy, so it is found from the right.
+_UP_TO_LAST = tuple(re.compile(f"(?s:.*)(?:{p})") for p in BREAKS)
 
+Window = tuple[int, int]
 
-def break_after(text: str, start: int, end: int) -> int:
-    """Where to cut ``text[start:end]``: after the last match of the strongest break present, else ``end``."""
-    for rx in _BREAKS:
-        cut = 0
-        for hit in rx.finditer(text, start, end):
-            cut = hit.end()
-        if cut > start:
-            return cut
-    return end
 
+def cut_window(text: str, begin: int, target: int) -> Window:
+    """The window from ``begin`` of at most ``target`` characters, ended behind the last break of the
+    strongest kind that it has; without a break it is full."""
+    full = min(begin + target, len(text))
+    breaks = (rx.match(text, begin, full) for rx in _UP_TO_LAST)
+    return begin, next((m.end() for m in breaks if m), full)
 
-def spans(text: str, target: int, overlap: int) -> Iterator[tuple[int, int]]:
-    """Cover the whole text with overlapping windows of at most ``target`` characters."""
-    start, size = 0, len(text)
-    while start < size:
-        cut = break_after(text, start, min(start + target, size))
-        yield start, cut
-        if cut >= size:
-            return
-        start = cut - overlap if cut - overlap > start else cut
+
+def following(text: str, window: Window, target: int, overlap: int) -> Window | None:
+    """The window behind one: it goes back by the overlap unless that would not get ahead."""
+    begin, end = window
+    if end == len(text):
+        return None
+    back = end - overlap
+    return cut_window(text, end if back <= begin else back, target)
+
+
+def spans(text: str, target: int, overlap: int) -> Iterator[Window]:
+    """All windows of a text, each made from the one before it; none for an empty text."""
+    window = cut_window(text, 0, target) if text else None
+    while window:
+        yield window
+        window = following(text, window, target, overlap)
 
 
 def strip(col: Column) -> Column:
@@ -138,11 +144,40 @@ def numbered_lines(col: Column, first: int = 1) -> Column:
 
 
 def glob_regex(pattern: Column) -> Column:
-    """Shell glob (``*``, ``?``, ``[..]``, ``[!..]``) as an anchored regular expression."""
-    quoted = F.regexp_replace(pattern, r"([\\.^$+{}()|])", r"\\$1")
-    ranged = F.regexp_replace(quoted, r"\[!", "[^")
-    stars = F.regexp_replace(ranged, r"\*+", ".*")
-    return F.concat(F.lit("(?s)^"), F.regexp_replace(stars, r"\?", "."), F.lit("$"))
+    """Shell glob (``*``, ``?``, ``[..]``, ``[!..]``) as an anchored regular expression.
+
+    The pattern is split into classes and what lies between them. A ``[`` without its ``]`` is an
+    ordinary character. In a class ``]`` may come first, ranges stay, and a range whose ends are the
+    wrong way round matches nothing.
+    """
+    # A class: [, perhaps !, perhaps ] as its first member, and all up to the next ].
+    pieces = F.regexp_extract_all(pattern, F.lit(r"(?s)(\[!?\]?[^\]]*\]|.)"), F.lit(1))
+    return F.concat(F.lit("(?s)^"), F.array_join(F.transform(pieces, _glob_piece), ""), F.lit("$"))
+
+
+def _glob_piece(piece: Column) -> Column:
+    inner = F.regexp_replace(F.substring(piece, 2, 1_000_000), r"(?s)\]$", "")
+    negated = F.startswith(inner, F.lit("!"))
+    members = F.when(negated, F.substring(inner, 2, 1_000_000)).otherwise(inner)
+    # A range of two members, or a single member; reversed ranges have no members.
+    listed = F.regexp_extract_all(members, F.lit(r"(?s)(.-.|.)"), F.lit(1))
+    known = F.filter(listed, lambda m: (F.length(m) < 3) | (F.substring(m, 1, 1) <= F.substring(m, 3, 1)))
+    safe = F.transform(
+        known,
+        lambda m: F.when(
+            F.length(m) == 3, F.concat(_quoted(F.substring(m, 1, 1)), F.lit("-"), _quoted(F.substring(m, 3, 1)))
+        ).otherwise(_quoted(m)),
+    )
+    body = F.array_join(safe, "")
+    none = F.when(negated, F.lit(".")).otherwise(F.lit("(?!)"))
+    as_class = F.when(F.size(known) == 0, none).otherwise(F.concat(F.when(negated, "[^").otherwise("["), body, F.lit("]")))
+    return (
+        F.when(F.length(piece) > 1, as_class).when(piece == "*", ".*").when(piece == "?", ".").otherwise(_quoted(piece))
+    )
+
+
+def _quoted(member: Column) -> Column:
+    return F.regexp_replace(member, r"([^\p{L}\p{N}\s_/])", r"\\$1")
 
 
 def downscaled(width: Column, height: Column, max_side: int) -> tuple[Column, Column]:

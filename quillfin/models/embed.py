@@ -70,8 +70,16 @@ class HashEmbedder:
         return self._embed([WORD.findall(t.lower()) for t in texts])
 
 
-def to_arrow_multivectors(vectors: list[np.ndarray], dim: int) -> pa.Array:
+def _joined(parts: list[np.ndarray | None]) -> np.ndarray | None:
+    if any(p is None for p in parts):
+        return None
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
+def to_arrow_multivectors(vectors: list[np.ndarray | None], dim: int) -> pa.Array:
     """Ragged (tokens x dim) matrices as one Arrow ``list<list<float>>`` without a Python loop per value."""
+    missing = np.array([v is None for v in vectors], bool)
+    vectors = [np.zeros((0, dim), dtype=np.float32) if v is None else v for v in vectors]
     lengths = np.fromiter((len(v) for v in vectors), dtype=np.int64, count=len(vectors))
     flat = np.concatenate(vectors) if len(vectors) else np.zeros((0, dim), dtype=np.float32)
     tokens = pa.ListArray.from_arrays(
@@ -79,13 +87,40 @@ def to_arrow_multivectors(vectors: list[np.ndarray], dim: int) -> pa.Array:
         pa.array(np.ascontiguousarray(flat, dtype=np.float32).ravel()),
     )
     starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), tokens)
-
-
-def embed(df: DataFrame, text_col: str, model: Embedder, out: str = "vectors", as_query: bool = False) -> DataFrame:
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), tokens, mask=pa.array(missing))
+
+
+def windows(text: str, limit: int) -> list[str]:
+    """The whole text in pieces of at most ``limit`` characters, cut at white space where there is some."""
+    out, begin = [], 0
+    while len(text) - begin > limit:
+        space = max(text.rfind(c, begin + 1, begin + limit) for c in " \n\t")
+        end = space if space > begin else begin + limit
+        out.append(text[begin:end])
+        begin = end
+    return [*out, text[begin:]]
+
+
+def _safely(embed_all, texts: list[str], dim: int) -> list[np.ndarray | None]:
+    """Multivectors of texts; if the model fails on them together, one by one, and null where it fails."""
+    if not texts:
+        return []
+    try:
+        return list(embed_all(texts))
+    except Exception:  # noqa: BLE001 - one bad text must not lose the others
+        if len(texts) == 1:
+            return [None]
+        return [v for t in texts for v in _safely(embed_all, [t], dim)]
+
+
+def embed(
+    df: DataFrame, text_col: str, model: Embedder, out: str = "vectors", as_query: bool = False, window_chars: int | None = None
+) -> DataFrame:
     """Append a multivector column. Rows are embedded in Arrow batches where they lie; no shuffle.
 
-    ``text_col`` is consumed; rows whose text holds no token get an empty multivector.
+    ``text_col`` is consumed; rows whose text holds no token get an empty multivector. With
+    ``window_chars`` a longer text is embedded window by window and has the tokens of all of them. A text
+    that the model fails on gets null; a query that it fails on raises.
     """
     keep = [c for c in df.columns if c != text_col]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, VECTORS, True)])
@@ -93,7 +128,12 @@ def embed(df: DataFrame, text_col: str, model: Embedder, out: str = "vectors", a
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            found = model.embed_queries(texts) if as_query else model.embed_texts(texts)
+            if as_query:
+                found = list(model.embed_queries(texts))
+            else:
+                pieces = [windows(t, window_chars) if window_chars else [t] for t in texts]
+                made = iter(_safely(model.embed_texts, [p for own in pieces for p in own], model.dim))
+                found = [_joined([next(made) for _ in own]) for own in pieces]
             columns = [batch.column(c) for c in keep] + [to_arrow_multivectors(found, model.dim)]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, out])
 

@@ -39,7 +39,7 @@ def reranked(results: DataFrame, queries: DataFrame, model: TopicModel, max_cand
     )
     lists = results.where(F.col("rank") <= max_candidates).groupBy("query_id").agg(F.sort_array(F.collect_list(entry)).alias("c"))
     asked = lists.join(queries.select("query_id", "query"), "query_id").select(
-        "query_id", rank_prompt(F.col("query"), F.col("c")).alias("prompt")
+        "query_id", F.transform("c", lambda c: c["id"]).alias("candidates"), rank_prompt(F.col("query"), F.col("c")).alias("prompt")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,8 +50,7 @@ def reranked(results: DataFrame, queries: DataFrame, model: TopicModel, max_cand
                     replies.append(model.generate(prompt, []))
                 except Exception:  # noqa: BLE001 - no reply, no change of order
                     replies.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), pa.array(replies, pa.string())], names=["query_id", "reply"])
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("candidates"), pa.array(replies, pa.string())], names=["query_id", "candidates", "reply"])
 
-    replies = asked.mapInArrow(run, "query_id string, reply string")
-    candidates = results.where(F.col("rank") <= max_candidates).select("query_id", (F.col("rank") - 1).alias("id"))
-    return rerank.merge_ranks(results, rerank.parse_ranks(replies, candidates), max_candidates)
+    replies = asked.mapInArrow(run, "query_id string, candidates array<int>, reply string")
+    return rerank.merge_ranks(results, rerank.parse_ranks(replies), max_candidates)

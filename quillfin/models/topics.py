@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -71,35 +72,79 @@ def page_prompt(pages: list[tuple[int, str]], running: dict[str, str], max_topic
     )
 
 
-def readable(reply: str | None, opener: str) -> bool:
-    """The reply holds a JSON object or array, possibly after repair."""
+def found_value(reply: str | None, opener: str):
+    """The JSON object or array in a reply, repaired if need be; null if there is none."""
     closer = "}" if opener == "{" else "]"
-    found = re.search(re.escape(opener) + ".*" + re.escape(closer), reply or "", re.DOTALL)
-    return bool(found) and repaired(found.group(0)) is not None
+    block = re.search(re.escape(opener) + ".*" + re.escape(closer), reply or "", re.DOTALL)
+    text = repaired(block.group(0)) if block else None
+    return None if text is None else json.loads(text)
+
+
+def page_topics(reply: str | None, pages: list[int], max_topics: int) -> list[tuple[int, str, bool, str, str]]:
+    """``(page, id, is_continuation, title, summary)`` of a reply about these pages, entry by entry: the
+    rules of ``functions.jsonx.parse_page_topics``, for the loop that needs each reply before the next."""
+    doc = found_value(reply, "{")
+    if not isinstance(doc, dict):
+        return []
+    listed = doc.get("pages")
+    if len(pages) == 1 and not isinstance(listed, list):
+        listed = [{"page": pages[0], "topics": doc.get("topics")}]
+    rows, new = [], []
+    for entry in listed if isinstance(listed, list) else []:
+        page, said = (entry.get("page"), entry.get("topics")) if isinstance(entry, dict) else (None, None)
+        if type(page) is not int or page not in pages or not isinstance(said, list):
+            continue
+        for t in said:
+            if not isinstance(t, dict) or not isinstance(t.get("id"), str) or not t["id"]:
+                continue
+            carried = bool(t.get("is_continuation", t.get("c")))
+            title, summary = (_label(t.get(long, t.get(brief))) for long, brief in (("title", "t"), ("summary", "s")))
+            if not carried and title and title not in new:
+                if len(new) >= max_topics:
+                    continue
+                new.append(title)
+            rows.append((page, t["id"], carried, title, summary))
+    return rows
+
+
+def unparsed_title(first: int, last: int) -> str:
+    return f"Unparsed window (pages {first}–{last})"
+
+
+def _label(value) -> str:
+    if isinstance(value, bool):
+        return "true" if value else ""
+    return re.sub(r"^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$", "", str(value)) if value and isinstance(value, (str, int, float)) else ""
 
 
-def ask(model: TopicModel, prompt: str, images: list[bytes], opener: str) -> str | None:
-    """A readable reply within three attempts, else null."""
+def ask(model: TopicModel, prompt: str, images: list[bytes], opener: str, deadline: float | None = None) -> str | None:
+    """A reply that holds JSON, within three attempts and before the deadline; else null."""
     for attempt in range(ATTEMPTS):
+        if deadline and time.time() > deadline:
+            return None
         try:
             reply = model.generate(RETRY + prompt if attempt else prompt, images)
+            if found_value(reply, opener) is not None:
+                return reply
         except Exception:  # noqa: BLE001 - a failing model is a missing reply, reported as a skip
             continue
-        if readable(reply, opener):
-            return reply
     return None
 
 
-def text_replies(windows: DataFrame, model: TopicModel) -> DataFrame:
-    """Replace ``prompt`` by ``reply``; one model call per row, where the row lies."""
+def text_replies(windows: DataFrame, model: TopicModel, deadline: float | None = None) -> DataFrame:
+    """Replace ``prompt`` by ``reply``; one model call per row, where the row lies. Behind the deadline the
+    model is no longer called, and ``late`` says so."""
     keep = [c for c in windows.columns if c != "prompt"]
-    schema = T.StructType([windows.schema[c] for c in keep] + [T.StructField("reply", T.StringType())])
+    schema = T.StructType([windows.schema[c] for c in keep] + [T.StructField("reply", T.StringType()), T.StructField("late", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            replies = [ask(model, p, [], "[") for p in batch.column("prompt").to_pylist()]
+            replies, late = [], []
+            for prompt in batch.column("prompt").to_pylist():
+                replies.append(ask(model, prompt, [], "[", deadline))
+                late.append(replies[-1] is None and deadline is not None and time.time() > deadline)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in keep] + [pa.array(replies, pa.string())], names=[*keep, "reply"]
+                [batch.column(c) for c in keep] + [pa.array(replies, pa.string()), pa.array(late)], names=[*keep, "reply", "late"]
             )
 
     return windows.mapInArrow(run, schema)

@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from quillfin.functions.text import is_blank, strip
 from quillfin.operators.skew import keyed_filter
 
-# Stored file type of each chunk kind.
-FILE_TYPE_OF_KIND = {"pdf_topic": "pdf", "text_topic": "text", "image": "image"}
-
-
 def file_type_of(kind: Column) -> Column:
     return F.when(kind == "pdf_topic", "pdf").when(kind == "text_topic", "text").otherwise("image")
 
@@ -72,12 +68,12 @@ def visual_multivector(pages: Column) -> Column:
     return F.when(F.size(vectors) > 0, vectors)
 
 
-def modality_rows(chunks: DataFrame, body: Column, has_image: Column, max_chars: int = 3200) -> DataFrame:
+def modality_rows(chunks: DataFrame, body: Column, has_image: Column) -> DataFrame:
     """Route chunks to points: a text point unless the body is blank, an image point if there is one.
 
-    Text files never get an image point. The embedded text is the first ``max_chars`` of the body.
+    Text files never get an image point. The whole body is embedded.
     """
-    text = F.when(~is_blank(body), F.struct(F.lit("text").alias("modality"), F.substring(body, 1, max_chars).alias("embed_text")))
+    text = F.when(~is_blank(body), F.struct(F.lit("text").alias("modality"), body.alias("embed_text")))
     image = F.when(
         has_image & (F.col("kind") != "text_topic"),
         F.struct(F.lit("image").alias("modality"), F.lit(None).cast("string").alias("embed_text")),
@@ -113,11 +109,21 @@ def latest(rows: DataFrame, key: str, version: str) -> DataFrame:
     )
 
 
+# Tombstones of about 100 bytes that are broadcast at most.
+BROADCAST_TOMBSTONES = 300_000
+
+
 def live(points: DataFrame, tombstones: DataFrame | None, key: str = "segment_id", version: str = "version") -> DataFrame:
-    """Points that no later tombstone covers; a point written with or after its tombstone lives."""
+    """Points that no later tombstone covers; a point written with or after its tombstone lives.
+
+    Tombstones are broadcast while their number allows, so that no vector is shuffled; compaction keeps it
+    small. Beyond that both sides are shuffled by key.
+    """
     if tombstones is None:
         return points
     gone = tombstones.groupBy(key).agg(F.max(version).alias("gone_at"))
+    if tombstones.limit(BROADCAST_TOMBSTONES + 1).count() <= BROADCAST_TOMBSTONES:
+        gone = F.broadcast(gone)
     return points.join(
         gone.withColumnRenamed(key, "_k"), (F.col(key) == F.col("_k")) & (F.col("gone_at") > F.col(version)), "left_anti"
     )

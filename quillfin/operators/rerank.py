@@ -6,16 +6,14 @@ score, reason`` with ``id`` the zero-based candidate position; ``ord`` keeps the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillfin.functions.text import strip, unfenced
+from quillfin.functions import jsonx
+from quillfin.functions.text import unfenced
 
 UNRANKED = 999
 
-RANK_ENTRY = "id string, rank string, score string, reason string"
-
-
 def merge_ranks(results: DataFrame, ranks: DataFrame, max_candidates: int = 10) -> DataFrame:
     """Results with new ``rank`` and ``rerank_reason``.
 
@@ -42,42 +40,31 @@ def merge_ranks(results: DataFrame, ranks: DataFrame, max_candidates: int = 10)
 
 
 def reply_entries(replies: DataFrame) -> DataFrame:
-    """One row per rank object of a reply, ``query_id, ord, e``: the whole array if it parses,
-    otherwise every complete flat ``{...}`` on its own."""
+    """One row per rank object of a reply, ``query_id, candidates, ord, e``: the items of the array if the
+    reply's outermost brackets hold one, otherwise every complete flat ``{...}`` on its own."""
     # Steps are separate projections so that no regular expression runs twice.
-    body = replies.select("query_id", unfenced(F.col("reply")).alias("body"))
-    listed = body.withColumn("array_text", F.nullif(F.regexp_extract("body", r"(?s)\[.*\]", 0), F.lit("")))
-    # from_json would accept a damaged array in part, so damage is detected first.
-    checked = listed.withColumn("whole", F.try_parse_json("array_text").isNotNull())
-    single = F.transform(
-        F.regexp_extract_all("body", F.lit(r"(\{[^{}]*\})"), F.lit(1)),
-        lambda s: F.when(F.try_parse_json(s).isNotNull(), F.from_json(s, RANK_ENTRY)),
-    )
-    entries = F.when(F.col("whole"), F.from_json("array_text", f"array<struct<{_ddl(RANK_ENTRY)}>>")).otherwise(F.array_compact(single))
-    return checked.select("query_id", F.posexplode(entries).alias("ord", "e"))
-
+    body = replies.select("query_id", "candidates", unfenced(F.col("reply")).alias("body"))
+    listed = body.withColumn("whole", jsonx.strict(F.nullif(F.regexp_extract("body", r"(?s)\[.*\]", 0), F.lit(""))))
+    single = F.transform(F.regexp_extract_all("body", F.lit(r"(\{[^{}]*\})"), F.lit(1)), jsonx.strict)
+    entries = F.when(jsonx.kind(F.col("whole")) == "ARRAY", jsonx.items(F.col("whole"))).otherwise(single)
+    return listed.select("query_id", "candidates", F.posexplode(F.filter(entries, jsonx.is_object)).alias("ord", "e"))
 
-def _ddl(fields: str) -> str:
-    return ",".join(f.strip().replace(" ", ":") for f in fields.split(","))
 
-
-def parse_ranks(replies: DataFrame, candidates: DataFrame) -> DataFrame:
+def parse_ranks(replies: DataFrame) -> DataFrame:
     """Validated ranks: ``query_id, ord, id, rank, score, reason``.
 
-    Ids must be integers among the query's candidates; a rank or score that is not a number is 0;
+    ``replies``: ``query_id, reply`` and ``candidates``, the ids that count. Each entry is judged by
+    itself: its id must be an integer among the candidates; a rank or score that is no number is 0;
     reasons are cut at 200 characters.
     """
+    e = F.col("e")
     typed = reply_entries(replies).select(
         "query_id",
+        "candidates",
         "ord",
-        _int(F.col("e.id")).alias("id"),
-        F.coalesce(_int(F.col("e.rank")), F.lit(0)).alias("rank"),
-        F.coalesce(F.col("e.score").try_cast("double"), F.lit(0.0)).alias("score"),
-        F.substring(strip(F.coalesce("e.reason", F.lit(""))), 1, 200).alias("reason"),
+        jsonx.whole_number(jsonx.member(e, "id")).alias("id"),
+        F.coalesce(jsonx.whole_number(jsonx.member(e, "rank")), F.lit(0)).alias("rank"),
+        F.coalesce(jsonx.number(jsonx.member(e, "score")), F.lit(0.0)).alias("score"),
+        F.substring(jsonx.label(jsonx.member(e, "reason")), 1, 200).alias("reason"),
     )
-    return typed.join(candidates.select("query_id", "id").distinct(), ["query_id", "id"], "left_semi")
-
-
-def _int(text: Column) -> Column:
-    """Integer value of a JSON scalar; decimals are truncated."""
-    return text.try_cast("double").cast("int")
+    return typed.where(F.array_contains("candidates", F.col("id"))).drop("candidates")

@@ -14,7 +14,7 @@ from quillfin.functions import jsonx
 from quillfin.functions.text import basename, is_blank, language_hint
 from quillfin.models.embed import Embedder, embed
 from quillfin.models.topics import TopicModel, text_prompt, text_replies
-from quillfin.operators import chunking, points, state, topics
+from quillfin.operators import chunking, listing, points, state, topics
 from quillfin.session import checkpoint_dir, ship_package
 from quillfin.settings import Settings
 from quillfin.sources import files as fs
@@ -71,17 +71,16 @@ def ingest(
     if stale.isEmpty() and (gone is None or gone.isEmpty()):
         return Ingested(_stats(planned, planned.select("path")), left_out.unionByName(unsupported), supported.select("path"), index.version)
 
-    if time.time() - started > settings.indexing_timeout:
-        late = stale.select("path", F.lit("indexing timeout").alias("reason"))
-        skipped = reduce(DataFrame.unionByName, [left_out, unsupported, late])
-        return Ingested(_stats(planned, planned.where("action = 'unchanged'").select("path")), skipped, supported.select("path"), index.version)
-
     version = index.next_version()
-    chunks, failed = _plan(index, version, stale, models, settings)
+    # Files whose models are not done by then are named as late; all others are indexed.
+    chunks, failed = _plan(index, version, stale, models, settings, started + settings.indexing_timeout)
     index.append("points", _points(chunks, models.embedder, settings, version))
     # From here on the written rows are the source, so no model runs twice.
-    written = index.written("points", POINT, version).select("path", "segment_id")
-    made = written.groupBy("path").agg(F.sort_array(F.collect_list("segment_id")).alias("_ids"))
+    written = index.written("points", POINT, version).select("path", "segment_id", F.col("vectors").isNull().alias("lost"))
+    made = written.where("NOT lost").groupBy("path").agg(F.sort_array(F.collect_list("segment_id")).alias("_ids"))
+    refused = written.where("lost").groupBy("path").agg(
+        F.format_string("embed error: %d chunks could not be embedded", F.count("*")).alias("reason")
+    )
     done = planned.where("action <> 'unchanged'").join(failed, "path", "left_anti")
     index.append("tombstones", state.superseded_points(done, version))
     index.append(
@@ -98,11 +97,18 @@ def ingest(
         index.append("tombstones", gone.select(F.explode("point_ids").alias("segment_id"), F.lit(version).cast("long").alias("version")))
         index.append("state", _gone_rows(gone, version))
     index.commit(version)
-    skipped = reduce(DataFrame.unionByName, [left_out, unsupported, failed])
+    skipped = reduce(DataFrame.unionByName, [left_out, unsupported, failed, refused])
     finished = planned.select("path").join(failed, "path", "left_anti")
     return Ingested(_stats(planned, finished), skipped, supported.select("path"), version)
 
 
+def nothing_ingested(index: Index, paths: list[str]) -> Ingested:
+    """What there is to say when an ingest failed: the files that the index has under the paths."""
+    held = index.state().select("path").where(listing.under(F.col("path"), paths))
+    none = state.ingest_stats(index.spark.createDataFrame([], "path string, action string"))
+    return Ingested(none, index.spark.createDataFrame([], SKIP), held, index.version)
+
+
 def _stats(planned: DataFrame, finished: DataFrame) -> DataFrame:
     return state.ingest_stats(planned.join(finished, "path", "left_semi"))
 
@@ -116,7 +122,9 @@ def _gone_rows(gone: DataFrame, version: int) -> DataFrame:
     )
 
 
-def _plan(index: Index, version: int, stale: DataFrame, models: Models, settings: Settings) -> tuple[DataFrame, DataFrame]:
+def _plan(
+    index: Index, version: int, stale: DataFrame, models: Models, settings: Settings, deadline: float
+) -> tuple[DataFrame, DataFrame]:
     """(chunks with bodies, files that failed with a reason) over all file types."""
     chunks, failed = [_image_chunks(stale)], []
     for kind, plan, missing in (
@@ -127,7 +135,7 @@ def _plan(index: Index, version: int, stale: DataFrame, models: Models, settings
         if missing:
             failed.append(mine.select("path", F.lit(missing).alias("reason")))
         else:
-            made, lost = plan(index, version, mine, models, settings)
+            made, lost = plan(index, version, mine, models, settings, deadline)
             chunks.append(made)
             failed.append(lost)
     return reduce(DataFrame.unionByName, chunks), reduce(DataFrame.unionByName, failed)
@@ -165,7 +173,13 @@ def _image_chunks(stale: DataFrame) -> DataFrame:
     return _shaped(images.withColumn("body", points.image_body(F.col("title"), F.col("summary"))))
 
 
-def _text_chunks(index: Index, version: int, stale: DataFrame, models: Models, settings: Settings) -> tuple[DataFrame, DataFrame]:
+def _late_files(replies: DataFrame) -> DataFrame:
+    return replies.where("late").select("path").distinct().select("path", F.lit("indexing timeout").alias("reason"))
+
+
+def _text_chunks(
+    index: Index, version: int, stale: DataFrame, models: Models, settings: Settings, deadline: float
+) -> tuple[DataFrame, DataFrame]:
     texts = fs.with_content(stale).select("path", "content_hash_sha256", decode_text("content").alias("text"))
     filled = texts.where(~is_blank(F.col("text")))
     windows = chunking.window_texts(filled.select("path", "text"), "text", settings.chunker_vlm_ctx_tokens)
@@ -176,10 +190,12 @@ def _text_chunks(index: Index, version: int, stale: DataFrame, models: Models, s
         (F.col("first_line") - 1).alias("line_offset"),
         text_prompt(F.col("window_text"), language_hint(F.col("path"))).alias("prompt"),
     )
-    replies = text_replies(asked, models.topics).checkpoint()
+    replies = text_replies(asked, models.topics, deadline).checkpoint()
+    late = _late_files(replies)
     found = jsonx.parse_text_topics(replies)
     silent = replies.select("path", "window_no").join(found.select("path", "window_no").distinct(), ["path", "window_no"], "left_anti")
-    failed = silent.select("path").distinct().select("path", F.lit("plan error: the topic model gave no usable topics").alias("reason"))
+    useless = silent.select("path").distinct().join(late, "path", "left_anti")
+    failed = useless.select("path", F.lit("plan error: the topic model gave no usable topics").alias("reason")).unionByName(late)
     spans = found.join(failed, "path", "left_anti").select(
         "path", (F.col("window_no").cast("long") * 100_000 + F.col("ord")).alias("ord"), "title", "summary", F.explode("ranges").alias("r")
     ).select("path", "ord", "title", "summary", "r.start", "r.end")
@@ -229,7 +245,9 @@ def _text_chunks(index: Index, version: int, stale: DataFrame, models: Models, s
     return _shaped(made.withColumn("body", body)), failed
 
 
-def _pdf_chunks(index: Index, version: int, stale: DataFrame, models: Models, settings: Settings) -> tuple[DataFrame, DataFrame]:
+def _pdf_chunks(
+    index: Index, version: int, stale: DataFrame, models: Models, settings: Settings, deadline: float
+) -> tuple[DataFrame, DataFrame]:
     content = fs.with_content(stale)
     pages = pdf_pages(content, models.pdf, settings).checkpoint()
     named = stale.select("path", F.col("content_hash_sha256").alias("sha"))
@@ -239,10 +257,13 @@ def _pdf_chunks(index: Index, version: int, stale: DataFrame, models: Models, se
             "sha", "page", "image", F.length("image").cast("long").alias("bytes"), F.lit(version).cast("long").alias("version")
         ),
     )
-    replies = pdf_replies(content, models.pdf, models.topics, settings).checkpoint()
+    every = pdf_replies(content, models.pdf, models.topics, settings, deadline).checkpoint()
+    late = _late_files(every)
+    replies = every.join(late, "path", "left_anti")
     parsed = jsonx.parse_page_topics(replies, settings.chunker_max_topics_per_call)
     stride, cold, cap = settings.chunker_stride_pages, settings.chunker_topic_cold_pages, settings.chunker_topic_max_pages
-    assigned = parsed.unionByName(topics.unparsed_windows(pages.select("path", "page"), parsed, stride))
+    in_time = pages.select("path", "page").join(late, "path", "left_anti")
+    assigned = parsed.unionByName(topics.unparsed_windows(in_time, parsed, stride))
     if stride == 1:
         chunks = topics.topic_chunks(topics.topic_sessions(assigned, cold, cap))
     else:
@@ -257,7 +278,8 @@ def _pdf_chunks(index: Index, version: int, stale: DataFrame, models: Models, se
     )
     with_pages = points.chunk_pages(named, pages, ["page_text"])
     made = with_pages.withColumn("body", points.pdf_body(F.col("title"), F.col("summary"), F.col("pages")))
-    failed = stale.join(pages.select("path").distinct(), "path", "left_anti").select("path", F.lit("plan error: no readable pages").alias("reason"))
+    unread = stale.join(pages.select("path").distinct(), "path", "left_anti").join(late, "path", "left_anti")
+    failed = unread.select("path", F.lit("plan error: no readable pages").alias("reason")).unionByName(late)
     if hasattr(models.embedder, "embed_images"):
         made = _with_page_vectors(made, pages, models)
     return _shaped(made), failed
@@ -273,8 +295,10 @@ def _with_page_vectors(chunks: DataFrame, pages: DataFrame, models: Models) -> D
 
 def _points(chunks: DataFrame, embedder: Embedder, settings: Settings, version: int) -> DataFrame:
     has_image = F.col("image_vectors").isNotNull()
-    rows = points.materialise(points.modality_rows(chunks, F.col("body"), has_image, settings.embed_text_max_chars).drop("body"))
-    seen = embed(rows, "embed_text", embedder, out="text_vectors")
+    rows = points.materialise(points.modality_rows(chunks, F.col("body"), has_image).drop("body"))
+    seen = embed(rows, "embed_text", embedder, out="text_vectors", window_chars=settings.embed_text_max_chars)
     vectors = F.when(F.col("modality") == "image", F.col("image_vectors")).otherwise(F.col("text_vectors"))
-    ready = seen.withColumn("vectors", vectors).where(F.size("vectors") > 0).withColumn("version", F.lit(version).cast("long"))
+    # A chunk that the model failed on stays as a row without vectors, which no search reads.
+    kept = F.col("vectors").isNull() | (F.size("vectors") > 0)
+    ready = seen.withColumn("vectors", vectors).where(kept).withColumn("version", F.lit(version).cast("long"))
     return ready.select(*_PAYLOAD)

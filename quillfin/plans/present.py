@@ -305,6 +305,6 @@ def as_rich_markdown(response: DataFrame) -> DataFrame:
     return response.select("query_id", F.array_join(body, "\n").alias("response"))
 
 
-def recent(log: DataFrame, order: str, n: int = 20) -> DataFrame:
-    """Newest entries of a query log, newest first."""
-    return log.orderBy(F.desc(order)).limit(n)
+def recent(log: DataFrame, order: str, tie: str, n: int = 20) -> DataFrame:
+    """Newest entries of a query log, newest first; of equally new ones the higher ``tie`` first."""
+    return log.orderBy(F.desc(order), F.desc(tie)).limit(n)

@@ -18,11 +18,15 @@ from quillfin.models.rerank import reranked
 from quillfin.models.topics import TopicModel
 from quillfin.operators import listing, maxsim, points
 from quillfin.plans import present
-from quillfin.plans.ingest import Ingested, Models, ingest
+from quillfin.plans.ingest import Ingested, Models, ingest, nothing_ingested
+from quillfin.session import checkpoint_dir
 from quillfin.settings import Settings
 from quillfin.sources.files import directory_entries
 from quillfin.sources.index import Index
 
+# Winners of about 200 bytes that are broadcast at most.
+BROADCAST_HITS = 100_000
+
 FORMATS = ("json", "compact-json", "markdown", "markdown-rich")
 
 
@@ -71,27 +75,37 @@ def search(
     fewer than ``top_k`` chunks; the default deduplicates first.
     """
     paths = [os.path.realpath(p) for p in paths]
-    k = min(top_k or settings.top_k, settings.max_top_k)
+    k = top_k or settings.top_k
     wanted = k * settings.rerank_oversample if reranker else k
     clock = time.time()
     timing: dict[str, float] = {}
-    done = ingest(index, paths, models, settings)
+    errors: list[str] = []
+    try:
+        done = ingest(index, paths, models, settings)
+    except Exception as exc:  # noqa: BLE001 - what is indexed can still be searched
+        errors.append(f"Indexing error: {str(exc)[:300]}")
+        done = nothing_ingested(index, paths)
     timing["indexing"] = (time.time() - clock) * 1000
     # Ingest purged what is gone, so the roots say which points count and nothing is joined; only
     # links that lead out of the roots need the list of files.
     below = listing.under(F.col("path"), paths)
     inside = done.files.where(~below).isEmpty()
     corpus = index.points().where(below) if inside else points.in_paths(index.points(), done.files)
-    errors: list[str] = []
+    checkpoint_dir(index.spark)
+    none = "query_id string, rank int, segment_id string, score double"
+    began = time.time()
     try:
-        vectors = embed(queries.select("query_id", "query"), "query", models.embedder, as_query=True)
-        hits = maxsim.maxsim_topk(corpus, vectors, wanted, group=None if cut_first else "chunk_id")
-    except Exception as exc:  # noqa: BLE001 - a failing embedder is an error of the answer
-        errors.append(f"Query embedding error: {str(exc)[:300]}")
-        hits = queries.sparkSession.createDataFrame([], "query_id string, rank int, segment_id string, score double")
-    # Payload is read for the winners only.
+        vectors = embed(queries.select("query_id", "query"), "query", models.embedder, as_query=True).checkpoint()
+        timing["query_embedding"] = (time.time() - began) * 1000
+        hits = maxsim.maxsim_topk(corpus, vectors, wanted, group=None if cut_first else "chunk_id").checkpoint()
+    except Exception as exc:  # noqa: BLE001 - a failing embedder or scan is an error of the answer
+        step = "Retrieval" if "query_embedding" in timing else "Query embedding"
+        errors.append(f"{step} error: {str(exc)[:300]}")
+        hits = queries.sparkSession.createDataFrame([], none)
+    # Payload is read for the winners only; few winners travel to it, many are joined by key.
     payload = corpus.drop("vectors", "version")
-    rows = hits.join(payload, "segment_id")
+    few = hits.limit(BROADCAST_HITS + 1).count() <= BROADCAST_HITS
+    rows = payload.join(F.broadcast(hits) if few else hits, "segment_id")
     if cut_first:
         best = points.best_per_group(rows, ["query_id"], F.col("chunk_id")).drop("rank")
         rows = points.ranked(best, ["query_id"], [F.desc("score"), F.col("segment_id")], wanted)

@@ -3,10 +3,10 @@ users act as questions and their events, ranked three ways, as results."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillfin.operators import listing, points
+from quillfin.operators import listing
 from quillfin.plans import evaluate, present
 from quillfin.showcase import Showcase, table
 
@@ -16,13 +16,13 @@ add = shown.add
 # ---- presentation -------------------------------------------------------------------------------
 
 _HITS_SQL = """
-raw AS (SELECT CAST(conv_id AS VARCHAR) AS query_id, CAST(turn AS INTEGER) + 1 AS rank, CAST(turn AS INTEGER) AS t, role, text FROM conversations WHERE turn < 50),
+raw AS (SELECT CAST(conv_id AS VARCHAR) AS query_id, CAST(turn AS INTEGER) + 1 AS rank, CAST(turn AS INTEGER) AS t, role, text FROM conversations),
 hits AS (SELECT query_id, rank, round(1.0 / (t + 2), 3)::DOUBLE AS score, '/talk/' || query_id || '/' || role || t || '.md' AS path,
   CASE role WHEN 'user' THEN 'pdf' ELSE 'text' END AS file_type, 'text' AS modality,
   CASE role WHEN 'user' THEN t + 2 END AS page,
   CASE role WHEN 'assistant' THEN 1 ELSE t END AS start_line, CASE role WHEN 'assistant' THEN t + 3 ELSE t + 5 END AS end_line,
-  CASE role WHEN 'system' THEN 'About ' || substr(text, 1, 300) ELSE text END AS excerpt, 'c' || query_id || '.' || t AS chunk_id,
-  CASE role WHEN 'system' THEN '' ELSE upper(role) END AS title, CASE role WHEN 'assistant' THEN '' ELSE 'About ' || substr(text, 1, 300) END AS summary,
+  CASE role WHEN 'system' THEN 'About ' || text ELSE text END AS excerpt, 'c' || query_id || '.' || t AS chunk_id,
+  CASE role WHEN 'system' THEN '' ELSE upper(role) END AS title, CASE role WHEN 'assistant' THEN '' ELSE 'About ' || text END AS summary,
   CASE role WHEN 'user' THEN [t + 1, t + 2, t + 4] END AS page_refs, CASE role WHEN 'assistant' THEN [[1, t + 3], [t + 9, t + 12]] END AS line_ranges,
   sha256(query_id) AS sha, CASE WHEN t % 2 = 1 THEN 'moved up' END AS rerank_reason FROM raw),
 cached AS (SELECT sha256(CAST(conv_id AS VARCHAR)) AS sha, CAST(turn AS INTEGER) + 1 AS page, text AS image FROM conversations),
@@ -37,11 +37,11 @@ loc AS (SELECT directory, list(CASE WHEN n > 4 AND r = 2 THEN [name, '...'] ELSE
 
 
 def stored_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").where("turn < 50")
+    turns = table(spark, sf_dir, "conversations")
     t = F.col("turn").cast("int")
     role = F.col("role")
     query = F.col("conv_id").cast("string")
-    about = F.concat(F.lit("About "), F.substring("text", 1, 300))
+    about = F.concat(F.lit("About "), "text")
 
     def span(a: Column, b: Column) -> Column:
         return F.struct(a.alias("start"), b.alias("end"))
@@ -210,7 +210,7 @@ def json_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("SELECT event_id, user_id, event_type, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
 def recent_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return present.recent(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts"), "ts")
+    return present.recent(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts"), "ts", "event_id")
 
 
 # ---- evaluation ---------------------------------------------------------------------------------
@@ -224,7 +224,7 @@ SELECT q.query_id, q.difficulty, coalesce(bool_or(hit AND rank <= 1), false) AS
   coalesce(bool_or(hit AND rank <= 10), false) AS top10, coalesce(1.0 / min(rank) FILTER (hit), 0)::DOUBLE AS mrr,
   coalesce(contains(c, 'error {{"k": 9') OR contains(c, 'signup {{"k": 1'), false) AS semantic5, CAST(coalesce(any_value(np), 0) AS INTEGER) AS distinct_pages_top10
 FROM q LEFT JOIN (SELECT *, (k BETWEEN lo AND hi) OR (hod BETWEEN lo AND hi) AS hit FROM
-   (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {order}) AS rank, (user_id * 7) % 90 AS lo, (user_id * 7) % 90 + 1 AS hi FROM ev) WHERE rank <= 12) r ON r.user_id = q.user_id
+   (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {order}) AS rank, (user_id * 7) % 90 AS lo, (user_id * 7) % 90 + 1 AS hi FROM ev)) r ON r.user_id = q.user_id
 LEFT JOIN (SELECT user_id, string_agg(lower('Event ' || event_type), ' ' ORDER BY rank) || string_agg(' ' || event_type || ' ' || props, '' ORDER BY rank) AS c
    FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {order}) AS rank FROM ev) WHERE rank <= 5 GROUP BY user_id) x ON x.user_id = q.user_id
 LEFT JOIN (SELECT user_id, count(DISTINCT p) AS np FROM (SELECT user_id, unnest([k, hod]) AS p, rank FROM
@@ -246,10 +246,11 @@ def event_results(spark: SparkSession, sf_dir: str, ranking: str) -> DataFrame:
         "newest": [F.desc("event_id")],
         "by_k": [F.desc("k"), F.col("event_id")],
     }[ranking]
-    top = points.ranked(rows, ["user_id"], order, 12)
-    return top.select(
+    # Grades look at all results of a question, however many it has.
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(*order))
+    return rows.select(
         F.col("user_id").cast("string").alias("query_id"),
-        "rank",
+        rank.alias("rank"),
         F.concat_ws("/", F.lit("/log"), "event_type", "k").alias("path"),
         F.lit(None).cast("int").alias("page"),
         F.array("k", F.hour("ts")).alias("page_refs"),
@@ -318,9 +319,9 @@ def report_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CHECK_SQL = f"""WITH {_EVENTS_SQL},
 r AS (SELECT user_id, count(*) AS got, bool_or(contains(path, 'error/9') OR contains(path, 'click/8')) AS matched FROM
-  (SELECT user_id, '/log/' || event_type || '/' || k AS path, row_number() OVER (PARTITION BY user_id ORDER BY {_RANKINGS['by_k']}) AS rank FROM ev) WHERE rank <= 12 GROUP BY user_id),
+  (SELECT user_id, '/log/' || event_type || '/' || k AS path, row_number() OVER (PARTITION BY user_id ORDER BY {_RANKINGS['by_k']}) AS rank FROM ev) GROUP BY user_id),
 s AS (SELECT user_id, count(*) AS ns FROM ev WHERE value < 0.1 GROUP BY user_id),
-c AS (SELECT q.query_id, CAST(CAST(got >= 12 AS INTEGER) + CASE WHEN difficulty <> 'H' AND matched THEN 1 ELSE 0 END + CASE WHEN difficulty = 'E' AND coalesce(ns, 0) > 0 THEN 1 ELSE 0 END AS INTEGER) AS passed,
+c AS (SELECT q.query_id, CAST(CAST(got >= 60 AS INTEGER) + CASE WHEN difficulty <> 'H' AND matched THEN 1 ELSE 0 END + CASE WHEN difficulty = 'E' AND coalesce(ns, 0) > 0 THEN 1 ELSE 0 END AS INTEGER) AS passed,
   CAST(1 + CASE WHEN difficulty <> 'H' THEN 1 ELSE 0 END + CASE WHEN difficulty = 'E' THEN 1 ELSE 0 END AS INTEGER) AS total
 FROM q JOIN r USING (user_id) LEFT JOIN s USING (user_id))"""
 
@@ -328,7 +329,7 @@ FROM q JOIN r USING (user_id) LEFT JOIN s USING (user_id))"""
 def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = event_questions(spark, sf_dir).select(
         "query_id",
-        F.lit(12).alias("min_results"),
+        F.lit(60).alias("min_results"),
         F.when(F.col("difficulty") != "H", F.array(F.lit("error/9"), F.lit("click/8"))).alias("expected_paths_contain"),
         (F.col("difficulty") == "E").alias("expect_skipped"),
     )

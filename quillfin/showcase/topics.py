@@ -147,7 +147,7 @@ def chunk_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 m AS (SELECT *, unnest(CASE WHEN kind = 'text_topic' THEN ['text'] ELSE ['text', 'image'] END) AS modality FROM kinds)
 SELECT sha256(chunk_id || '|' || modality) AS segment_id, chunk_id, modality, CASE kind WHEN 'pdf_topic' THEN 'pdf' WHEN 'text_topic' THEN 'text' ELSE 'image' END AS file_type,
   hero_page AS page, hero_page AS start_line, CAST(hero_page + n_pages AS INTEGER) AS end_line,
-  CASE modality WHEN 'text' THEN md5(substr(body, 1, 3200)) END AS embed_md5 FROM m""")
+  CASE modality WHEN 'text' THEN md5(body) END AS embed_md5 FROM m""")
 def point_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("topic_id") == "user", "pdf_topic").when(F.col("topic_id") == "system", "image").otherwise("text_topic")
     ranges = F.array(F.struct(F.col("hero_page").alias("start"), (F.col("hero_page") + F.size("page_refs")).alias("end")))
@@ -197,9 +197,9 @@ def rank_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     event = F.col("event_type")
     reply = (
         F.when(event == "click", F.concat(F.lit("["), body, F.lit("]")))
-        .when(event == "view", F.concat(F.lit("```json\n["), body, F.lit("]\n```")))
+        .when(event == "view", F.concat(F.lit('```json\n[7, null, "x", '), body, F.lit(', {"id": "1.5", "rank": 1}, {"id": [0]}]\n```')))
         .when(event == "error", F.concat(F.lit("["), body, F.lit(', {"id": 3, "reas')))
-        .when(event == "purchase", F.concat(F.lit("Ranks: ["), body, F.lit("] done")))
+        .when(event == "purchase", F.concat(F.lit("[1] then, ranks: ["), body, F.lit("] done")))
         .otherwise(F.lit("no ranks today"))
     )
     return spread(table(spark, sf_dir, "events"), "event_id").select(
@@ -215,8 +215,8 @@ SELECT query_id, ord, id, rank, CAST(score AS DOUBLE) AS score, reason FROM r WH
 def rank_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six candidates per query: ids 6 to 8 of the replies are unknown and drop out."""
     replies = rank_replies(spark, sf_dir)
-    candidates = replies.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("id"))
-    return rerank.parse_ranks(replies.select("query_id", "reply"), candidates)
+    candidates = F.sequence(F.lit(0), F.lit(5)).alias("candidates")
+    return rerank.parse_ranks(replies.select("query_id", "reply", candidates))
 
 
 @add(f"""
@@ -264,7 +264,7 @@ def topic_reply_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     reply = F.concat(
         F.lit('{"pages": [{"page": '), k, F.lit(', "topics": ['),
         topic(F.concat(F.lit("a"), "user_id"), "false", first), F.lit(", "), topic(F.lit("b"), "true", F.lit("carried on")),
-        F.lit(', {"id": "", "title": "no id"}]}, {"page": '), k + 1, F.lit(', "topics": ['),
+        F.lit(', {"id": "", "title": "no id"}, {"id": 5, "title": "a number"}, 7, "junk"]}, 9, {"page": "1", "topics": [{"id": "z"}]}, {"page": '), k + 1, F.lit(', "topics": ['),
         topic(F.lit("c"), "false", F.lit(" Second ")), F.lit(", "), topic(F.lit("d"), "false", first), F.lit(", "), topic(F.lit("e"), "false", F.lit("Third")),
         F.lit(']}, {"page": '), k + 7, F.lit(', "topics": ['), topic(F.lit("f"), "true", F.lit("stray")), F.lit("]}]}"),
     )
@@ -282,7 +282,7 @@ def text_topic_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranges are clamped to a window of 40 lines and shifted by 100; bad ranges and topics drop out."""
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
     reply = F.concat(
-        F.lit('[{"title": " Intro ", "ranges": [[1, '), k + 1, F.lit("], ["), k, F.lit(', 500], [9, 3], [1], ["x", 2]]}, '),
+        F.lit('[{"title": " Intro ", "ranges": [[1, '), k + 1, F.lit("], ["), k, F.lit(', 500], [9, 3], [1], ["x", 2], 7, {"a": 1}]}, 5, null, '),
         F.lit('{"title": "", "ranges": [[1, 2]]}, {"title": "None", "ranges": [[5, 4]]}]'),
     )
     replies = spread(table(spark, sf_dir, "events"), "event_id").select(

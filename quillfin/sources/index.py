@@ -1,8 +1,9 @@
-"""The index on disk: three append-only Parquet tables and a manifest.
+"""The index on disk: append-only Parquet tables, one folder per version, and a manifest.
 
 ``points`` (payload and vectors), ``tombstones`` and ``state`` rows carry the ingest version that
 wrote them. A version counts only once ``commits`` lists it, so a run that dies half-way leaves
-rows that nobody reads; the same ingest can simply run again.
+rows that nobody reads; the same ingest can simply run again. A version is claimed by creating a file
+that did not exist, so two writers never share one. Rows of a version are sorted by path.
 """
 
 from __future__ import annotations
@@ -55,13 +56,15 @@ class Index:
             return self.spark.createDataFrame([], schema)
 
     def _committed(self, name: str, schema: str) -> DataFrame:
-        done = self._read("commits", COMMIT).select("version").distinct()
-        return self._read(name, schema).join(done, "version", "left_semi")
+        # Few literals, so that Spark reads the folders of these versions only.
+        done = [r["version"] for r in self._read("commits", COMMIT).select("version").distinct().collect()]
+        return self._read(name, schema).where(F.col("version").isin(done) if done else F.lit(False))
 
     def points(self) -> DataFrame:
         """Live points: the newest row of each id that no tombstone covers."""
         # Ids embed the file's content, so a re-ingest writes new ids and tombstones the old ones.
-        return points.live(self._committed("points", POINT), self._committed("tombstones", TOMBSTONE))
+        stored = self._committed("points", POINT).where("vectors IS NOT NULL")
+        return points.live(stored, self._committed("tombstones", TOMBSTONE))
 
     def state(self) -> DataFrame:
         """Newest recorded state of each file; files recorded as gone drop out."""
@@ -82,18 +85,27 @@ class Index:
         return marked.where("evict").select("sha", "page", "bytes")
 
     def append(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(self._path(name))
+        order = next((c for c in ("path", "sha", "segment_id") if c in rows.columns), None)
+        sorted_ = rows.sortWithinPartitions(order) if order else rows
+        writer = sorted_.write.mode("append")
+        (writer.partitionBy("version") if order else writer).parquet(self._path(name))
 
     def written(self, name: str, schema: str, version: int) -> DataFrame:
         """Rows of one version, committed or not (for the run that is writing it)."""
         return self._read(name, schema).where(F.col("version") == version)
 
     def next_version(self) -> int:
-        """A version above anything on disk, including rows of runs that died."""
-        used = [self.version]
-        for name, schema in (("points", POINT), ("tombstones", TOMBSTONE), ("state", STATE)):
-            used.append(self._read(name, schema).agg(F.max("version")).first()[0] or 0)
-        return max(used) + 1
+        """The first version that nobody has claimed; runs claim one before they write, so rows of runs
+        that died are below it."""
+        version = self.version + 1
+        while not self._claimed(version):
+            version += 1
+        return version
+
+    def _claimed(self, version: int) -> bool:
+        """Whether this call created the version's file; exclusive in any file system that Spark writes to."""
+        file = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/claims/{version}")
+        return file.getFileSystem(self.spark._jsc.hadoopConfiguration()).createNewFile(file)
 
     def commit(self, version: int) -> None:
         row = self.spark.createDataFrame([(version, self.dim, FORMAT, time.time())], COMMIT)
@@ -108,8 +120,11 @@ class Index:
         out = Index(self.spark, target, self.dim)
         if out.version:
             raise RuntimeError(f"{target} already holds an index")
-        for name, rows in (("points", self.points()), ("state", self.state())):
-            rows.write.mode("append").parquet(out._path(name))
+        # Images count as long as a live point is of their file.
+        files = self.points().select(F.col("file_sha256").alias("sha")).distinct()
+        images = self._committed("pages", PAGE).join(files, "sha", "left_semi").dropDuplicates(["sha", "page"])
+        for name, rows in (("points", self.points()), ("state", self.state()), ("pages", images)):
+            out.append(name, rows)
         done = self._read("commits", COMMIT)
         out.append("commits", done.coalesce(1))
         out.version = self.version

@@ -7,17 +7,19 @@ files are skipped with a reason.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
+from itertools import islice
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from quillfin.models.topics import OpenTopics, TopicModel, ask, page_prompt
+from quillfin.models.topics import OpenTopics, TopicModel, ask, page_prompt, page_topics, unparsed_title
 from quillfin.settings import Settings
 
 PAGE = "path string, page int, page_text string, image binary"
-REPLY = "path string, window_no int, pages array<int>, reply string"
+REPLY = "path string, window_no int, pages array<int>, reply string, late boolean"
 
 
 class PdfReader(Protocol):
@@ -51,11 +53,14 @@ def pdf_pages(files: DataFrame, reader: PdfReader, settings: Settings) -> DataFr
     return files.select("path", "content").mapInPandas(run, PAGE)
 
 
-def pdf_replies(files: DataFrame, reader: PdfReader, model: TopicModel, settings: Settings) -> DataFrame:
+def pdf_replies(
+    files: DataFrame, reader: PdfReader, model: TopicModel, settings: Settings, deadline: float | None = None
+) -> DataFrame:
     """One row per page window with the model's reply.
 
     Each prompt names the topics still open, so the windows of a file are asked one after another
-    while its pages stream by; files are independent.
+    while its pages stream by; files are independent. A file that is not done by the deadline ends with a
+    row that says ``late``.
     """
     stride = settings.chunker_stride_pages
 
@@ -63,35 +68,30 @@ def pdf_replies(files: DataFrame, reader: PdfReader, model: TopicModel, settings
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"]):
                 state = OpenTopics(settings.chunker_topic_cold_pages, settings.chunker_topic_max_pages)
-                window: list[tuple[int, str, bytes | None]] = []
-                number = 0
-                for page in _read(reader, content or b"", settings.ocr_threshold):
-                    window.append(page)
-                    if len(window) == stride:
-                        yield _ask(model, settings, state, path, number, window)
-                        window, number = [], number + 1
-                if window:
-                    yield _ask(model, settings, state, path, number, window)
+                pages = _read(reader, content or b"", settings.ocr_threshold)
+                for number, window in enumerate(_windows(pages, stride)):
+                    late = deadline is not None and time.time() > deadline
+                    yield _ask(model, settings, state, path, number, window, late)
+                    if late:
+                        break
 
     return files.select("path", "content").mapInPandas(run, REPLY)
 
 
-def _ask(model, settings, state: OpenTopics, path: str, number: int, window: list) -> pd.DataFrame:
-    import json
-    import re
-
-    from quillfin.functions.jsonx import repaired
-
-    prompt = page_prompt([(p, t) for p, t, _ in window], state.running(), settings.chunker_max_topics_per_call)
-    reply = ask(model, prompt, [i for _, _, i in window if i is not None], "{")
-    rows = []
-    if reply is not None:
-        doc = json.loads(repaired(re.search(r"\{.*\}", reply, re.DOTALL).group(0)))
-        listed = doc.get("pages") if isinstance(doc, dict) else None
-        listed = listed or [{"page": window[0][0], "topics": doc.get("topics") or []}]
-        for entry in listed:
-            for t in entry.get("topics") or []:
-                if t.get("id"):
-                    rows.append((entry.get("page"), t["id"], t.get("title") or t.get("t") or "", t.get("summary") or t.get("s") or ""))
-    state.window([r for r in rows if r[0] in {p for p, _, _ in window}], window[-1][0])
-    return pd.DataFrame([(path, number, [p for p, _, _ in window], reply)], columns=["path", "window_no", "pages", "reply"])
+def _windows(pages: Iterator, size: int) -> Iterator[list]:
+    while window := list(islice(pages, size)):
+        yield window
+
+
+def _ask(model, settings, state: OpenTopics, path: str, number: int, window: list, late: bool = False) -> pd.DataFrame:
+    """The reply for one window; the open topics become what will be stored for it."""
+    pages = [p for p, _, _ in window]
+    limit = settings.chunker_max_topics_per_call
+    reply = None
+    if not late:
+        prompt = page_prompt([(p, t) for p, t, _ in window], state.running(), limit)
+        reply = ask(model, prompt, [i for _, _, i in window if i is not None], "{")
+    rows = [(p, t, title, summary) for p, t, _, title, summary in page_topics(reply, pages, limit)]
+    rows = rows or [(p, f"unparsed_{number}", unparsed_title(min(pages), max(pages)), "") for p in pages]
+    state.window(rows, pages[-1])
+    return pd.DataFrame([(path, number, pages, reply, late)], columns=["path", "window_no", "pages", "reply", "late"])

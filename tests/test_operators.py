@@ -1,6 +1,8 @@
 """Operators against brute force on small random inputs, and edge cases the tables do not have."""
 
+import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -8,67 +10,96 @@ from pyspark.sql import functions as F
 
 from quillfin.functions import jsonx
 from quillfin.functions import text as tx
-from quillfin.models.topics import OpenTopics
+from quillfin.models.topics import OpenTopics, page_topics
 from quillfin.operators import cache, chunking, listing, maxsim, points, rerank, running, skew, topics
 
 
 # ---- text ---------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(
-    "text, cut",
-    [
-        ("Hello. World and more", "Hello. "),
-        ("one\n\ntwo\n \nthree four", "one\n\ntwo\n \n"),
-        ("intro text\n# Title here", "intro text\n# "),
-        ("just some words", "just some "),
-        ("unbroken", "unbroken"),
-    ],
-)
-def test_break_prefers_strongest_and_rightmost(text, cut):
-    assert text[: tx.break_after(text, 0, len(text))] == cut
+def _plain_cut(text: str, begin: int, target: int) -> int:
+    """The cut by the rule as worded, from all matches of each kind of break."""
+    piece = text[begin : begin + target]
+    for kind in tx.BREAKS:
+        ends = [m.end() for m in re.finditer(kind, piece)]
+        if ends:
+            return begin + ends[-1]
+    return begin + len(piece)
 
 
-def test_spans_without_overlap_rebuild_the_text():
-    rng = random.Random(1)
-    text = "".join(rng.choice(["word ", "end. ", "\n", "\n\n", "# h ", "x" * 30]) for _ in range(400))
-    assert "".join(text[a:b] for a, b in tx.spans(text, 50, 0)) == text
+def _random_text(rng: random.Random) -> str:
+    return "".join(rng.choices(["wall ", "tide. ", "\n", "\n\n", "\n## x ", "é" * 17, "! ", "?", " \n \n"], k=rng.randrange(80)))
 
 
-def test_spans_end_when_overlap_exceeds_target():
-    found = list(tx.spans("abcd", 3, 100))
-    assert found[-1][1] == 4
+def test_windows_end_behind_the_strongest_last_break():
+    rng = random.Random(11)
+    for _ in range(300):
+        text, target, overlap = _random_text(rng), rng.randrange(1, 60), rng.randrange(0, 70)
+        found = list(tx.spans(text, target, overlap))
+        for begin, end in found:
+            assert end == _plain_cut(text, begin, target) and begin < end <= begin + target
+        for (b0, e0), (b1, _) in zip(found, found[1:]):
+            assert b1 == (e0 - overlap if e0 - overlap > b0 else e0)
+        assert (found[0][0], found[-1][1]) == (0, len(text)) if text else not found
 
 
-def test_merge_ranges(spark):
-    rows = [([(5, 10), (11, 20), (30, 40)],), ([(5, 15), (10, 20)],), ([(9, 3)],), ([],)]
+def test_range_merging_and_slices_against_sets(spark):
+    rng = random.Random(12)
+    rows = [([(lo, lo + rng.randrange(-2, 9)) for lo in rng.choices(range(1, 40), k=rng.randrange(6))],) for _ in range(40)]
     df = spark.createDataFrame(rows, "r array<struct<start:int,end:int>>")
-    got = [[tuple(x) for x in r[0]] for r in df.select(chunking.merge_ranges(F.col("r"))).collect()]
-    assert got == [[(5, 20), (30, 40)], [(5, 20)], [], []]
-
-
-def test_line_ranges_to_characters(spark):
-    text = "".join(f"L{i}\n" for i in range(1, 11))
-    df = spark.createDataFrame([(text, [(1, 2), (6, 7), (11, 99)])], "t string, r array<struct<start:int,end:int>>")
+    for (given,), got in zip(rows, (r[0] for r in df.select(chunking.merge_ranges(F.col("r"))).collect())):
+        covered = {i for a, b in given for i in range(a, b + 1)}
+        # Touching ranges become one, so runs of covered numbers are the answer.
+        heads = sorted(i for i in covered if i - 1 not in covered)
+        assert [g["start"] for g in got] == heads
+        assert {i for g in got for i in range(g["start"], g["end"] + 1)} == covered
+
+
+def test_line_ranges_give_whole_lines(spark):
+    rng = random.Random(13)
+    lines = ["x" * rng.randrange(5) + "é\n" for _ in range(23)]
+    ranges = [(a, a + rng.randrange(6)) for a in rng.choices(range(1, 30), k=12)]
+    df = spark.createDataFrame([("".join(lines), ranges)], "t string, r array<struct<start:int,end:int>>")
     df = df.withColumn("s", chunking.line_starts("t"))
     slices = chunking.text_slices(F.col("t"), chunking.char_ranges(F.col("r"), F.col("s"), F.length("t")))
-    assert df.select(slices).first()[0] == ["L1\nL2\n", "L6\nL7\n", ""]
+    assert df.select(slices).first()[0] == ["".join(lines[a - 1 : b]) for a, b in ranges]
+
+
+def test_globs_match_as_the_shell_does(spark):
+    import fnmatch
 
+    rng = random.Random(14)
+    bits = ["a", "b", "B", "*", "?", "[", "]", "!", "-", "^", "&&", ".", "\\", "[ab]", "[!a-c]", "[]x]", "{", "(", "+", "|", "é", "~"]
+    patterns = ["notes[", "[!]a]", "[z-a]", "[&&b]", *("".join(rng.choices(bits, k=rng.randrange(1, 6))) for _ in range(150))]
+    names = ["", "a", "b", "ab", "notes[", "]a", "x", "^", "&", "\\", "é", *("".join(rng.choices("abB[]!-^&.\\xé~", k=rng.randrange(1, 5))) for _ in range(60))]
+    rows = [(p, n) for p in patterns for n in names]
+    df = spark.createDataFrame(rows, "p string, n string").repartition(4)
+    matched = df.withColumn("rx", tx.glob_regex(F.col("p"))).select("p", "n", F.expr("n rlike rx").alias("hit"))
+    for r in matched.collect():
+        assert r["hit"] == fnmatch.fnmatchcase(r["n"], r["p"]), r
 
-def test_glob_and_listing(spark):
-    names = [(f"n{i:03d}",) for i in range(100)] + [("build/",), ("a.log",)]
-    df = spark.createDataFrame(names, "name string").withColumn("directory", F.lit("/d"))
-    rules = F.array(*[F.lit(x) for x in ("build/", "*.log", "# c", "!keep")])
+
+def test_listing_leaves_out_ignored_names_and_the_middle(spark):
+    names = [f"part-{i}.txt" for i in range(37)]
+    df = spark.createDataFrame([(n,) for n in [*names, "tmp/", "x.bak", "notes["]], "name string").withColumn("directory", F.lit("/d"))
+    rules = F.array(*[F.lit(x) for x in ("tmp/", "*.bak", "notes[", "# c", "!keep")])
     kept = df.where(~listing.ignored(F.col("name"), listing.ignore_patterns(rules)))
-    row = listing.directory_listings(kept, 10).first()
-    assert row["total"] == 100 and row["truncated"]
-    assert row["listing"] == [f"n{i:03d}" for i in range(5)] + ["..."] + [f"n{i:03d}" for i in range(95, 100)]
+    row = listing.directory_listings(kept, 8).first()
+    assert row["total"] == 37 and row["truncated"]
+    assert row["listing"] == [*sorted(names)[:4], "...", *sorted(names)[-4:]]
 
 
-def test_page_label(spark):
-    df = spark.createDataFrame([([7, 2, 8, 3, 1],), ([12, 7, 8, 1, 2, 3, 3],), ([],)], "p array<int>")
-    assert [r[0] for r in df.select(topics.page_label(F.col("p"))).collect()] == ["1–3, 7–8", "1–3, 7–8, 12", ""]
-    assert df.select(topics.page_label(F.col("p"), "-", 100)).first()[0] == "1-3, 7-8"
+def test_page_labels_against_runs(spark):
+    rng = random.Random(15)
+    rows = [(rng.choices(range(1, 20), k=rng.randrange(7)),) for _ in range(40)]
+    df = spark.createDataFrame(rows, "p array<int>")
+    for (pages,), got in zip(rows, (r[0] for r in df.select(topics.page_label(F.col("p"), "-", 100)).collect())):
+        have = set(pages)
+        runs = []
+        for lo in sorted(p for p in have if p - 1 not in have):
+            hi = next(p for p in range(lo, 40) if p + 1 not in have)
+            runs.append(str(lo) if lo == hi else f"{lo}-{hi}")
+        assert got == ", ".join(runs)
 
 
 # ---- running aggregates and topics --------------------------------------------------------------
@@ -292,3 +323,51 @@ def test_merge_ranks(spark):
     assert [r["rerank_reason"] for r in got][:4] == ["first", "second", "third", None]
     same = rerank.merge_ranks(results, ranks.where("false"), 5).orderBy("rank").collect()
     assert "".join(r["title"] for r in same) == "abcdefgh"
+
+
+# ---- replies of any kind ------------------------------------------------------------------------
+
+
+def _random_value(rng: random.Random, depth: int = 0):
+    if depth < 3 and rng.random() < 0.35:
+        return [_random_value(rng, depth + 1) for _ in range(rng.randrange(4))]
+    if depth < 3 and rng.random() < 0.5:
+        keys = ["pages", "page", "topics", "id", "is_continuation", "c", "title", "t", "summary", "s", "ranges", "rank"]
+        return {k: _random_value(rng, depth + 1) for k in rng.sample(keys, rng.randrange(5))}
+    return rng.choice(["a", "b", "", " x ", "7", "1.5", 1, 2, 3, 0, True, False, None])
+
+
+def _random_reply(rng: random.Random) -> str:
+    topic = lambda: {"id": rng.choice(["t1", "t2", "", 5, None]), "title": rng.choice(["A", "B", " C ", "", 0]), rng.choice(["c", "is_continuation"]): rng.choice([0, 1, True, "", "no"])}
+    page = lambda: {"page": rng.choice([1, 2, 3, "1", True]), "topics": [rng.choice([topic(), topic(), _random_value(rng)]) for _ in range(3)]}
+    doc = rng.choice([{"pages": [rng.choice([page(), page(), _random_value(rng)]) for _ in range(3)]}, {"topics": [topic(), topic(), 7]}, _random_value(rng)])
+    text = json.dumps(doc)
+    cut = text[: rng.randrange(len(text) + 1)] if rng.random() < 0.3 else text
+    return rng.choice(["", "Sure: ", "```json\n"]) + cut + rng.choice(["", " bye", "}", "\n```"])
+
+
+def test_page_replies_are_read_alike_by_table_and_by_loop(spark):
+    rng = random.Random(21)
+    rows = [(str(i), 0, rng.choice([[1], [1, 2], [2, 3]]), rng.choice([_random_reply(rng), None]) if i % 40 == 0 else _random_reply(rng)) for i in range(400)]
+    df = spark.createDataFrame(rows, "path string, window_no int, pages array<int>, reply string").repartition(4)
+    got: dict = {}
+    for r in jsonx.parse_page_topics(df, 2).collect():
+        got.setdefault(r["path"], []).append((r["page"], r["topic_id"], r["is_continuation"], r["title"], r["summary"]))
+    for path, _, pages, reply in rows:
+        assert sorted(got.get(path, [])) == sorted(page_topics(reply, pages, 2)), (pages, reply)
+    assert sum(map(len, got.values())) > 50
+
+
+def test_no_reply_raises_and_good_entries_stay(spark):
+    rng = random.Random(22)
+    replies = [_random_reply(rng) for _ in range(200)]
+    df = spark.createDataFrame([(str(i), 0, 9, 0, r) for i, r in enumerate(replies)], "path string, window_no int, n_lines int, line_offset int, reply string")
+    jsonx.parse_text_topics(df).collect()
+    ranks = spark.createDataFrame([(str(i), [0, 1], r) for i, r in enumerate(replies)], "query_id string, candidates array<int>, reply string")
+    rerank.parse_ranks(ranks).collect()
+    odd = ['[{"title": "T", "ranges": [[1, 2], 7, ["3", 4.9]]}, 5, {"title": 3, "ranges": [[1, 1]]}]']
+    df = spark.createDataFrame([("p", 0, 9, 0, odd[0])], df.schema)
+    assert [(r["title"], [tuple(x) for x in r["ranges"]]) for r in jsonx.parse_text_topics(df).collect()] == [("T", [(1, 2), (3, 4)]), ("3", [(1, 1)])]
+    said = '[1] then [{"id": 0, "rank": 1}, {"id": "1.5"}, {"id": "1", "rank": "2", "score": true}, 5]'
+    got = rerank.parse_ranks(spark.createDataFrame([("q", [0, 1], said)], ranks.schema)).collect()
+    assert [(r["id"], r["rank"], r["score"]) for r in got] == [(0, 1, 0.0), (1, 2, 1.0)]

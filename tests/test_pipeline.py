@@ -14,7 +14,7 @@ from quillfin.plans import evaluate
 from quillfin.plans.ingest import Models, ingest
 from quillfin.plans.search import search
 from quillfin.sources import files as fs
-from quillfin.sources.index import Index
+from quillfin.sources.index import PAGE, Index
 from quillfin.streaming.ingest import arrivals, keep_indexed
 from quillfin.streaming.topics import closed_topics
 from tests.test_operators import _fold, _random_assignments
@@ -121,6 +121,9 @@ def test_ingest_update_purge_and_search(spark, corpus, tmp_path):
     assert reopened.points_count().first()[0] == 8
     small = reopened.compact(str(tmp_path / "small"))
     assert small.points_count().first()[0] == 8
+    refs = spark.createDataFrame([(r["sha"], r["page"]) for r in reopened._read("pages", PAGE).collect()], "sha string, page int")
+    images = lambda i: {(r["sha"], r["page"], bytes(r["image"])) for r in i.page_images(refs).collect()}
+    assert len(images(small)) == 3 and images(small) == images(reopened)
 
     queries = spark.createDataFrame([("q1", "baud rate"), ("q2", "dac voltage")], "query_id string, query string")
     answer = search(reopened, queries, [str(corpus)], models, settings, top_k=3)
@@ -166,7 +169,68 @@ def test_deadline(spark, corpus, tmp_path):
     embedder = HashEmbedder()
     index = _index(spark, tmp_path, embedder)
     done = ingest(index, [str(corpus)], Models(embedder, OutlineModel()), conf.Settings(indexing_timeout=0.0))
-    assert "indexing timeout" in {r["reason"] for r in done.skipped.collect()} and _stats(done) == (0, 0, 0)
+    late = {os.path.basename(r["path"]) for r in done.skipped.where("reason = 'indexing timeout'").collect()}
+    # An image and a blank text need no model; only files that a model should have read are late, and are read next time.
+    assert {"gpio.md", "_clock.c"} <= late and _stats(done) == (2, 0, 0)
+    again = ingest(index, [str(corpus)], Models(embedder, OutlineModel()), conf.Settings())
+    assert _stats(again) == (2, 0, 2)
+
+
+class Picky(HashEmbedder):
+    """Fails on a whole batch if one of its texts is bad."""
+
+    def __reduce__(self):
+        return Picky, (self.cache_words,)
+
+    def embed_texts(self, texts):
+        if any("kaboom" in t for t in texts):
+            raise RuntimeError("bad text")
+        return super().embed_texts(texts)
+
+
+def test_one_bad_text_and_a_word_deep_inside(spark, tmp_path):
+    root = tmp_path / "docs"
+    root.mkdir()
+    (root / "notes[").write_text("x")
+    (root / ".gitignore").write_text("notes[\n")
+    (root / "bad.md").write_text("# Bad\nkaboom\n")
+    # One topic of one line, with a word that is nowhere else far behind its beginning.
+    (root / "long.md").write_text("filler " * 9_000 + "quokka" + " filler" * 50)
+    embedder = Picky()
+    index = _index(spark, tmp_path, embedder)
+    models = Models(embedder, OutlineModel())
+    queries = spark.createDataFrame([("q", "quokka")], "query_id string, query string")
+    answer = search(index, queries, [str(root)], models, conf.Settings(), top_k=500)
+    top = answer.results.orderBy("rank").first()
+    assert os.path.basename(top["path"]) == "long.md" and top["score"] > 0.99 and answer.status == "complete"
+    reasons = {os.path.basename(r["path"]): r["reason"] for r in answer.ingested.skipped.collect()}
+    assert reasons["bad.md"].startswith("embed error")
+    assert "notes[" not in top["location"]["directory_listing"]
+
+
+def test_search_answers_in_part(spark, corpus, tmp_path):
+    class NoQueries(HashEmbedder):
+        def __reduce__(self):
+            return NoQueries, ()
+
+        def embed_queries(self, texts):
+            raise RuntimeError("no queries today")
+
+    embedder = NoQueries()
+    index = _index(spark, tmp_path, embedder)
+    queries = spark.createDataFrame([("q", "pin")], "query_id string, query string")
+    answer = search(index, queries, [str(corpus)], Models(embedder, OutlineModel()), conf.Settings())
+    assert answer.status == "partial" and "no queries today" in " ".join(answer.errors) and answer.results.count() == 0
+    (corpus / "new.md").write_text("fresh pin")
+    index.next_version = lambda: 1 / 0
+    found = search(index, queries, [str(corpus / "gpio.md"), str(corpus / "new.md")], Models(HashEmbedder(), OutlineModel()), conf.Settings())
+    assert found.status == "partial" and "Indexing error" in found.errors[0]
+    assert {os.path.basename(r["path"]) for r in found.results.collect()} == {"gpio.md"}
+
+
+def test_two_writers_get_two_versions(spark, tmp_path):
+    a, b = (Index(spark, str(tmp_path / "index"), 4) for _ in range(2))
+    assert a.next_version() != b.next_version()
 
 
 def test_validation_queries(spark, tmp_path):
@@ -206,9 +270,9 @@ def test_settings(tmp_path):
     where, found = conf.find(str(tmp_path / "a" / "b"))
     assert where == str(tmp_path / "a") and found.top_k == 10
     (tmp_path / "a" / "quillfin.json").write_text("not json")
-    assert conf.in_directory(str(tmp_path / "a")) is None
+    assert conf.Root(str(tmp_path / "a")).settings() is None
     with pytest.raises(ValueError):
-        conf.Settings(top_k=51)
+        conf.Settings(top_k=0)
 
 
 def test_stream_of_files(spark, corpus, tmp_path):
