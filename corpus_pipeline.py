@@ -28,7 +28,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without an id can't be named by another one and stay.
     """
-    found = ballhash.near_duplicates(docs.where("doc_id is not null"), shingle=SHINGLE)
+    found = ballhash.similar_documents(docs.where("doc_id is not null"), shingle=SHINGLE)
     stay = found.where("doc_id = component_id").select("doc_id").distinct()
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
     named = docs.join(stay, "doc_id", "left_semi").withColumn("_nth", nth).where("_nth = 1").drop("_nth")

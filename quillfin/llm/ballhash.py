@@ -1,4 +1,8 @@
-"""SimHash near-duplicates by meet-in-the-middle ball hashing.
+"""Near-duplicates by meet-in-the-middle ball hashing of fingerprints.
+
+``near_duplicates`` takes 64-bit SimHash fingerprints. ``similar_documents`` takes short one-permutation
+sketches, several of them for each text, which find pairs of a Jaccard similarity of 0.8 that SimHash
+leaves too far apart. Both use the same half-balls.
 
 Two fingerprints that differ in at most three bits meet at a point that is at most one bit from one of
 them and at most two bits from the other. So every distinct fingerprint emits itself, its 64 one-bit
@@ -22,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillfin.llm.components import components
+from quillfin.llm.fingerprint import signatures
 from quillfin.llm.words import mixed, rows_in_steps, words
 from quillfin.session import checkpoint_dir
 
@@ -30,16 +35,27 @@ SHINGLE = 3
 SEED = 42
 # Points that one reduce group handles, and fingerprints whose points are made at a time (about 100 MB).
 POINTS_PER_BUCKET = 2_000_000
-POINTS_PER_PRINT = 561
 PRINTS_PER_STEP = 4_096
 _TILE = 1_024
 
+# Sketches: so many fingerprints of so many bits, and bins in all; what two texts must agree in. At a
+# similarity of 0.8 a bit differs with probability 0.1, and one fingerprint or more of six is within
+# three bits with probability 0.96. The similarity that all bins together estimate then decides; its
+# standard error is 0.027 there, so the limit is two of these lower.
+TABLES, TABLE_BITS, SKETCH_BINS = 6, 40, 512
+SIMILARITY, ERROR = 0.8, 0.027
+
 _ONE = np.uint64(1)
-_SINGLES = np.concatenate([np.zeros(1, np.uint64), _ONE << np.arange(64, dtype=np.uint64)])
-_P, _Q = np.triu_indices(64, 1)
-_PAIRS = (_ONE << _P.astype(np.uint64)) | (_ONE << _Q.astype(np.uint64))
-# The bits that each code flips: none, one, or two.
-MASKS = np.concatenate([_SINGLES, _PAIRS])
+
+
+def masks(width: int) -> np.ndarray:
+    """The bits, of the lowest ``width``, that each code flips: none, one, or two."""
+    singles = np.concatenate([np.zeros(1, np.uint64), _ONE << np.arange(width, dtype=np.uint64)])
+    p, q = np.triu_indices(width, 1)
+    return np.concatenate([singles, (_ONE << p.astype(np.uint64)) | (_ONE << q.astype(np.uint64))])
+
+
+MASKS = masks(64)
 
 
 def simhashes(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -71,20 +87,26 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(prints, f"`{id_col}` {kind}, fp long")
 
 
-def links(prints: DataFrame, points_per_bucket: int = POINTS_PER_BUCKET) -> DataFrame:
+def links(prints: DataFrame, points_per_bucket: int = POINTS_PER_BUCKET, width: int = 64) -> DataFrame:
     """Edges ``(a, b)`` that connect all fingerprints ``fp`` (distinct, not null) differing in at most
-    three bits. Every edge is such a pair; pairs connected through others may be left out."""
+    three of the lowest ``width`` bits and in no other. Every edge is such a pair; pairs connected through
+    others may be left out."""
     n = prints.count()
-    buckets = max(1, -(-n * POINTS_PER_PRINT // points_per_bucket))
-    # The points are 70 times the prints, so their tasks are counted by points.
+    points_per_print = 1 + width + width * (width - 1) // 8
+    buckets = max(1, -(-n * points_per_print // points_per_bucket))
+    flips = masks(width)
+    # The points are many times the prints, so their tasks are counted by points.
     steps = prints.select("fp").repartition(max(1, -(-n // PRINTS_PER_STEP)))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for fps in _steps(batches):
-            yield _packed(fps, buckets)
+            yield _packed(fps, buckets, flips)
+
+    def stars(group: pa.Table) -> pa.Table:
+        return _stars(group, flips, width)
 
     points = steps.mapInArrow(emit, "bucket int, fps binary, fp_index binary, code binary")
-    found = points.groupBy("bucket").applyInArrow(_stars, "a long, b long")
+    found = points.groupBy("bucket").applyInArrow(stars, "a long, b long")
     return found.distinct()
 
 
@@ -102,20 +124,22 @@ def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield np.concatenate(held)
 
 
-def _points(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _points(fps: np.ndarray, flips: np.ndarray = MASKS) -> tuple[np.ndarray, np.ndarray]:
     """Index into ``fps`` and code of every point of every half-ball."""
+    near = int((np.bitwise_count(flips) < 2).sum())
+    pairs = flips[near:]
     index, code = [], []
     for at in range(0, len(fps), _TILE):
         tile = fps[at : at + _TILE]
-        i, c = np.nonzero((tile[:, None] & _PAIRS) == _PAIRS)
-        index += [np.repeat(np.arange(at, at + len(tile)), 65), i + at]
-        code += [np.tile(np.arange(65), len(tile)), c + 65]
+        i, c = np.nonzero((tile[:, None] & pairs) == pairs)
+        index += [np.repeat(np.arange(at, at + len(tile)), near), i + at]
+        code += [np.tile(np.arange(near), len(tile)), c + near]
     return np.concatenate(index).astype(np.uint16), np.concatenate(code).astype(np.uint16)
 
 
-def _packed(fps: np.ndarray, buckets: int) -> pa.RecordBatch:
-    index, code = _points(fps)
-    bucket = (mixed(fps[index] ^ MASKS[code]) % np.uint64(buckets)).astype(np.uint32)
+def _packed(fps: np.ndarray, buckets: int, flips: np.ndarray = MASKS) -> pa.RecordBatch:
+    index, code = _points(fps, flips)
+    bucket = (mixed(fps[index] ^ flips[code]) % np.uint64(buckets)).astype(np.uint32)
     order = np.argsort(bucket, kind="stable")
     index, code = index[order], code[order]
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -129,7 +153,7 @@ def _packed(fps: np.ndarray, buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["bucket", "fps", "fp_index", "code"])
 
 
-def _stars(group: pa.Table) -> pa.Table:
+def _stars(group: pa.Table, flips: np.ndarray, width: int) -> pa.Table:
     fps, code = [], []
     for row in group.to_batches():
         for f, i, c in zip(row.column("fps"), row.column("fp_index"), row.column("code")):
@@ -137,7 +161,7 @@ def _stars(group: pa.Table) -> pa.Table:
             fps.append(own[np.frombuffer(i.as_buffer(), np.uint16)])
             code.append(np.frombuffer(c.as_buffer(), np.uint16))
     fps, code = np.concatenate(fps), np.concatenate(code)
-    point = fps ^ MASKS[code]
+    point = fps ^ flips[code]
     order = np.argsort(point)
     same = point[order]
     begins = np.flatnonzero(np.append(True, same[1:] != same[:-1]))
@@ -146,7 +170,7 @@ def _stars(group: pa.Table) -> pa.Table:
     shared = np.repeat(sizes > 1, sizes)
     order = order[shared]
     group_of = np.repeat(np.arange(len(sizes)), sizes)[shared]
-    fps, near = fps[order], code[order] < 65
+    fps, near = fps[order], code[order] <= width
     # The hub: the smallest fingerprint within one bit of the point.
     rank = np.lexsort((fps, ~near, group_of))
     fps, near, group_of = fps[rank], near[rank], group_of[rank]
@@ -177,3 +201,65 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = member.join(least, "root").select("fp", "component_id")
     # A class may own any share of the rows; adaptive execution splits its side of this join.
     return prints.join(named, "fp").select(id_col, "fp", "component_id")
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """``(id_col, sketch)`` per row: the low bit of each bin, packed; all zero for null and wordless texts."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = signatures(batch.column(1), SKETCH_BINS, 1, shingle)
+            rows = [r.tobytes() for r in np.packbits(bits, axis=1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], [id_col, "sketch"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(made, f"`{id_col}` {kind}, sketch binary")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """``(id_col, component_id)`` per row of ``docs`` (ids not null): rows whose texts share at least
+    ``similarity`` of their word shingles are linked, ``component_id`` is the smallest id reachable.
+
+    Equal sketches (equal texts, all wordless or null texts) are one class. The six fingerprints of each
+    class go through one pass of half-balls, told apart by their upper bits. Every pair that meets, and
+    every class with the same fingerprint as a smaller one, is then checked by the whole sketches. Other
+    columns of ``docs`` are ignored.
+    """
+    checkpoint_dir(docs.sparkSession)
+    rows = sketches(docs, id_col, text_col, shingle).checkpoint()
+    classes = rows.groupBy("sketch").agg(F.min(id_col).alias("node")).checkpoint()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = _ONE << np.arange(TABLE_BITS - 1, -1, -1, dtype=np.uint64)
+        for batch in batches:
+            raw = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            bits = np.unpackbits(raw, axis=1)[:, : TABLES * TABLE_BITS].reshape(-1, TABLES, TABLE_BITS).astype(np.uint64)
+            fp = (bits * weights).sum(2) | (np.arange(TABLES, dtype=np.uint64) << np.uint64(TABLE_BITS))
+            node = np.repeat(batch.column(1).to_numpy(), TABLES)
+            yield pa.RecordBatch.from_arrays([pa.array(fp.ravel().view(np.int64)), pa.array(node)], ["fp", "node"])
+
+    tables = classes.select("sketch", F.col("node").cast("long")).mapInArrow(cut, "fp long, node long").checkpoint()
+    heads = tables.groupBy("fp").agg(F.min("node").alias("head")).checkpoint()
+    met = links(heads, width=TABLE_BITS)
+    of = lambda side: heads.select(F.col("fp").alias(side), F.col("head").alias(f"node_{side}"))
+    across = met.join(of("a"), "a").join(of("b"), "b").select("node_a", "node_b")
+    same = tables.join(heads, "fp").where("node <> head").select(F.col("head").alias("node_a"), F.col("node").alias("node_b"))
+    pairs = across.unionAll(same).where("node_a <> node_b").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    sketch = lambda side: classes.select(F.col("node").cast("long").alias(side), F.col("sketch").alias(f"sketch_{side}"))
+    compared = pairs.join(sketch("a"), "a").join(sketch("b"), "b")
+    limit = similarity - 2 * ERROR
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in (2, 3))
+            differ = np.bitwise_count(a ^ b).sum(1)
+            alike = pa.array(1 - 2 * differ / SKETCH_BINS >= limit)
+            yield batch.filter(alike).select([0, 1])
+
+    verified = compared.select("a", "b", "sketch_a", "sketch_b").mapInArrow(checked, "a long, b long")
+    labels = components(verified).withColumnRenamed("node", "labelled")
+    named = classes.join(labels, F.col("node").cast("long") == F.col("labelled"), "left").select(
+        "sketch", F.coalesce("component", F.col("node").cast("long")).alias("component_id")
+    )
+    # A class may own any share of the rows; adaptive execution splits its side of this join.
+    return rows.join(named, "sketch").select(id_col, "component_id")

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from quillfin.llm.ballhash import MASKS, _packed, _points, links, near_duplicates, simhashes
+from quillfin.llm.ballhash import MASKS, _packed, _points, links, near_duplicates, similar_documents, simhashes
 from quillfin.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -118,3 +118,45 @@ def test_components_of_a_long_chain_and_odd_edges(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(201)}, 300: 300, 301: 300}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_narrow_balls_leave_the_upper_bits_alone(spark):
+    r = random.Random(6)
+    fps = []
+    for table in range(3):
+        for _ in range(10):
+            x = r.getrandbits(40)
+            fps.append(table << 40 | x)
+            for bit in r.sample(range(40), 3):
+                x ^= 1 << bit
+            fps.append(table << 40 | x)
+    edges = links(spark.createDataFrame([(x,) for x in set(fps)], "fp long"), width=40).collect()
+    assert all((e["a"] ^ e["b"]).bit_count() <= 3 and e["a"] >> 40 == e["b"] >> 40 for e in edges)
+    linked = {frozenset((e["a"], e["b"])) for e in edges}
+    assert all(frozenset(p) in linked for p in zip(fps[::2], fps[1::2]))
+
+
+def test_similar_documents_of_a_table(spark):
+    r = random.Random(7)
+    word = lambda: f"w{r.randrange(10**6)}"
+    rows, groups = [], {}
+    for g in range(120):
+        base = [word() for _ in range(r.randrange(60, 400))]
+        for copy in range(r.randrange(1, 5)):
+            w = list(base)
+            # Each changed word takes five shingles out: at most 2 % keeps the similarity over 0.8.
+            for i in r.sample(range(len(w)), copy and len(w) // 60):
+                w[i] = word()
+            groups[len(rows)] = g
+            rows.append((len(rows), " ".join(w), "x"))
+    rows += [(9000, None, "x"), (9001, " ", "x"), (9002, rows[0][1], "x"), (9002, rows[0][1], "x"), (9003, "short text", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string").repartition(5)
+    got = [(x["doc_id"], x["component_id"]) for x in similar_documents(docs).collect()]
+    assert len(got) == len(rows)
+    found = dict(got)
+    assert (found[9000], found[9001], found[9002], found[9003]) == (9000, 9000, found[0], 9003)
+    first = {g: min(i for i, x in groups.items() if x == g) for g in groups.values()}
+    # No two groups are ever joined, and nearly all copies find their group.
+    assert all(groups[c] == groups[i] for i, c in got if i < 9000)
+    assert sum(found[i] == first[g] for i, g in groups.items()) >= 0.97 * len(groups)
+    assert similar_documents(docs.limit(0)).collect() == []
