@@ -10,7 +10,7 @@ variants, and the two-bit variants that clear two set bits. That half-ball is co
 differing bits one of the two fingerprints has at least two set, it clears these, and the other one
 flips the third. It is about 560 points for a fingerprint instead of the 2,081 of the full ball.
 
-Points are shuffled in packed form (per bucket: the fingerprints used, and 4 bytes for each point).
+Points are shuffled in packed form (per bucket: the fingerprints used, how often, and 2 bytes a point).
 At a point, whoever is within one bit is within three bits of everyone there, so a star around the
 smallest such fingerprint carries the links of the whole group, without all pairs. A group cannot grow
 with the data: at most 2,081 different fingerprints lie within two bits of a point.
@@ -87,25 +87,25 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(prints, f"`{id_col}` {kind}, fp long")
 
 
-def links(prints: DataFrame, points_per_bucket: int = POINTS_PER_BUCKET, width: int = 64) -> DataFrame:
+def links(prints: DataFrame, points_per_bucket: int = POINTS_PER_BUCKET, width: int = 64, tables: int = 1) -> DataFrame:
     """Edges ``(a, b)`` that connect all fingerprints ``fp`` (distinct, not null) differing in at most
     three of the lowest ``width`` bits and in no other. Every edge is such a pair; pairs connected through
-    others may be left out."""
+    others may be left out. The bits above tell ``tables`` tables apart, which have buckets of their own."""
     n = prints.count()
     points_per_print = 1 + width + width * (width - 1) // 8
-    buckets = max(1, -(-n * points_per_print // points_per_bucket))
+    buckets = max(1, -(-n * points_per_print // (points_per_bucket * tables)))
     flips = masks(width)
     # The points are many times the prints, so their tasks are counted by points.
     steps = prints.select("fp").repartition(max(1, -(-n // PRINTS_PER_STEP)))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for fps in _steps(batches):
-            yield _packed(fps, buckets, flips)
+            yield _packed(fps, buckets, flips, width, tables)
 
     def stars(group: pa.Table) -> pa.Table:
         return _stars(group, flips, width)
 
-    points = steps.mapInArrow(emit, "bucket int, fps binary, fp_index binary, code binary")
+    points = steps.mapInArrow(emit, "bucket int, fps binary, times binary, code binary")
     found = points.groupBy("bucket").applyInArrow(stars, "a long, b long")
     return found.distinct()
 
@@ -137,28 +137,30 @@ def _points(fps: np.ndarray, flips: np.ndarray = MASKS) -> tuple[np.ndarray, np.
     return np.concatenate(index).astype(np.uint16), np.concatenate(code).astype(np.uint16)
 
 
-def _packed(fps: np.ndarray, buckets: int, flips: np.ndarray = MASKS) -> pa.RecordBatch:
+def _packed(fps: np.ndarray, buckets: int, flips: np.ndarray = MASKS, width: int = 64, tables: int = 1) -> pa.RecordBatch:
+    """Per bucket the fingerprints with points in it, how many each has, and the codes of these points."""
     index, code = _points(fps, flips)
-    bucket = (mixed(fps[index] ^ flips[code]) % np.uint64(buckets)).astype(np.uint32)
-    order = np.argsort(bucket, kind="stable")
-    index, code = index[order], code[order]
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    table = (fps >> np.uint64(width)).astype(np.int64)[index] if tables > 1 else 0
+    bucket = table * buckets + (mixed(fps[index] ^ flips[code]) % np.uint64(buckets)).astype(np.int64)
+    key = bucket * len(fps) + index
+    order = np.argsort(key)
+    key, code = key[order], code[order]
+    cuts = np.searchsorted(key, np.arange(buckets * tables + 1) * len(fps))
     rows = []
     for b in np.flatnonzero(np.diff(cuts)):
         part = slice(cuts[b], cuts[b + 1])
-        used, local = np.unique(index[part], return_inverse=True)
-        rows.append((int(b), fps[used].tobytes(), local.astype(np.uint16).tobytes(), code[part].tobytes()))
+        used, times = np.unique(key[part] - b * len(fps), return_counts=True)
+        rows.append((int(b), fps[used].tobytes(), times.astype(np.uint16).tobytes(), code[part].tobytes()))
     kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
     columns = [pa.array(x, t) for x, t in zip(zip(*rows), kinds)]
-    return pa.RecordBatch.from_arrays(columns, ["bucket", "fps", "fp_index", "code"])
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "fps", "times", "code"])
 
 
 def _stars(group: pa.Table, flips: np.ndarray, width: int) -> pa.Table:
     fps, code = [], []
     for row in group.to_batches():
-        for f, i, c in zip(row.column("fps"), row.column("fp_index"), row.column("code")):
-            own = np.frombuffer(f.as_buffer(), np.uint64)
-            fps.append(own[np.frombuffer(i.as_buffer(), np.uint16)])
+        for f, times, c in zip(row.column("fps"), row.column("times"), row.column("code")):
+            fps.append(np.repeat(np.frombuffer(f.as_buffer(), np.uint64), np.frombuffer(times.as_buffer(), np.uint16)))
             code.append(np.frombuffer(c.as_buffer(), np.uint16))
     fps, code = np.concatenate(fps), np.concatenate(code)
     point = fps ^ flips[code]
@@ -240,7 +242,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     tables = classes.select("sketch", F.col("node").cast("long")).mapInArrow(cut, "fp long, node long").checkpoint()
     heads = tables.groupBy("fp").agg(F.min("node").alias("head")).checkpoint()
-    met = links(heads, width=TABLE_BITS)
+    met = links(heads, width=TABLE_BITS, tables=TABLES)
     of = lambda side: heads.select(F.col("fp").alias(side), F.col("head").alias(f"node_{side}"))
     across = met.join(of("a"), "a").join(of("b"), "b").select("node_a", "node_b")
     same = tables.join(heads, "fp").where("node <> head").select(F.col("head").alias("node_a"), F.col("node").alias("node_b"))

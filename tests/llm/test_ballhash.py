@@ -89,8 +89,8 @@ def test_packed_points_are_all_points():
     fps = np.random.default_rng(0).integers(0, 2**63, 50).astype(np.uint64)
     batch = _packed(fps, 7)
     points = []
-    for f, i, c in zip(*(batch.column(x).to_pylist() for x in ("fps", "fp_index", "code"))):
-        points += (np.frombuffer(f, np.uint64)[np.frombuffer(i, np.uint16)] ^ MASKS[np.frombuffer(c, np.uint16)]).tolist()
+    for f, i, c in zip(*(batch.column(x).to_pylist() for x in ("fps", "times", "code"))):
+        points += (np.repeat(np.frombuffer(f, np.uint64), np.frombuffer(i, np.uint16)) ^ MASKS[np.frombuffer(c, np.uint16)]).tolist()
     index, code = _points(fps)
     assert sorted(points) == sorted((fps[index] ^ MASKS[code]).tolist())
 
@@ -130,7 +130,7 @@ def test_narrow_balls_leave_the_upper_bits_alone(spark):
             for bit in r.sample(range(40), 3):
                 x ^= 1 << bit
             fps.append(table << 40 | x)
-    edges = links(spark.createDataFrame([(x,) for x in set(fps)], "fp long"), width=40).collect()
+    edges = links(spark.createDataFrame([(x,) for x in set(fps)], "fp long"), 2_000, width=40, tables=3).collect()
     assert all((e["a"] ^ e["b"]).bit_count() <= 3 and e["a"] >> 40 == e["b"] >> 40 for e in edges)
     linked = {frozenset((e["a"], e["b"])) for e in edges}
     assert all(frozenset(p) in linked for p in zip(fps[::2], fps[1::2]))
