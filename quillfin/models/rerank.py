@@ -30,8 +30,14 @@ def rank_prompt(query: Column, candidates: Column) -> Column:
     )
 
 
-def reranked(results: DataFrame, queries: DataFrame, model: TopicModel, max_candidates: int) -> DataFrame:
-    """Results in the model's order with ``rerank_reason``; one model call per query."""
+def reranked(
+    results: DataFrame, queries: DataFrame, model: TopicModel, max_candidates: int, images: DataFrame | None = None
+) -> DataFrame:
+    """Results in the model's order with ``rerank_reason``; one model call per query.
+
+    ``images`` (``sha, page, image``) are the pages that the model sees: each candidate's hero page, in the
+    order of the candidates, where there is one.
+    """
     entry = F.struct(
         (F.col("rank") - 1).alias("id"), "title", "summary",
         page_label(F.coalesce("page_refs", F.array().cast("array<int>")), "-", 100).alias("pages"),
@@ -41,13 +47,23 @@ def reranked(results: DataFrame, queries: DataFrame, model: TopicModel, max_cand
     asked = lists.join(queries.select("query_id", "query"), "query_id").select(
         "query_id", F.transform("c", lambda c: c["id"]).alias("candidates"), rank_prompt(F.col("query"), F.col("c")).alias("prompt")
     )
+    if images is None:
+        asked = asked.withColumn("images", F.array().cast("array<binary>"))
+    else:
+        heroes = results.where(F.col("rank") <= max_candidates).select("query_id", "rank", F.col("file_sha256").alias("sha"), F.col("hero_page").alias("page"))
+        # At most max_candidates images for each query.
+        seen = heroes.join(images, ["sha", "page"]).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "image"))).alias("i"))
+        asked = asked.join(seen, "query_id", "left").select(
+            "query_id", "candidates", "prompt",
+            F.coalesce(F.transform("i", lambda i: i["image"]), F.array().cast("array<binary>")).alias("images"),
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             replies = []
-            for prompt in batch.column("prompt").to_pylist():
+            for prompt, pictures in zip(batch.column("prompt").to_pylist(), batch.column("images").to_pylist()):
                 try:
-                    replies.append(model.generate(prompt, []))
+                    replies.append(model.generate(prompt, pictures))
                 except Exception:  # noqa: BLE001 - no reply, no change of order
                     replies.append(None)
             yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("candidates"), pa.array(replies, pa.string())], names=["query_id", "candidates", "reply"])

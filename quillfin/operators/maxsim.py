@@ -2,10 +2,11 @@
 
 The query batch is small and the corpus is not, so queries travel and documents stay: each task
 multiplies the query matrix with its own Arrow batches of documents and keeps only its local best
-``k`` per query, and a per-query top-k over those few rows gives the result. No (query, document)
-pair is ever shuffled. The query matrix is shipped only while its measured size is under
-``max_query_bytes``; larger batches are cut into blocks of queries (one corpus pass each), and a
-single query beyond the bound is cut into blocks of tokens whose scores add up.
+``k`` per query, and a per-query top-k over those few rows gives the result. The query matrix is
+shipped only while its measured size is under ``max_query_bytes``; larger batches are cut into blocks
+of queries, read and scored one after the other (one corpus pass each), and a single query beyond the
+bound is cut into blocks of tokens whose scores add up. Pairs of a query and a document are shuffled
+only for such a query, and by ``maxsim_scores``, whose result they are.
 
 Scores are accumulated in float64 and compared at ``SCORE_DECIMALS`` decimals, ties broken by
 ``segment_id``, so the order does not depend on summation order.
@@ -13,8 +14,10 @@ Scores are accumulated in float64 and compared at ``SCORE_DECIMALS`` decimals, t
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillfin.models.embed import Embedder, to_arrow_multivectors
+from quillfin.session import checkpoint_dir
 
 SCORE_DECIMALS = 6
 MAX_QUERY_BYTES = 64 << 20
@@ -104,16 +108,22 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     )
 
 
-def _blocks(tokens: DataFrame, max_bytes: int) -> tuple[list[QueryBatch], list[QueryBatch]]:
-    """(whole, partial): blocks that hold whole queries, and token slices of oversized queries."""
+def _blocks(tokens: DataFrame, max_bytes: int) -> Iterator[tuple[bool, QueryBatch]]:
+    """Blocks of query tokens, one after the other: ``True`` with whole queries, ``False`` with a slice of
+    the tokens of an oversized one. The caller needs no more than one of them at a time."""
     # A batch of few tokens is read and measured in one job.
     probe = tokens.select("query_id", "v").limit(_PROBE_TOKENS + 1).toArrow()
     if probe.num_rows <= _PROBE_TOKENS and probe["v"].nbytes * 2 <= max_bytes:
-        return [_as_block(probe)], []
+        yield True, _as_block(probe)
+        return
     size = F.sum(F.size("v") * 8)
     total = tokens.agg(size.alias("b")).first()["b"] or 0
     if total <= max_bytes:
-        return [_read_block(tokens)], []
+        yield True, _read_block(tokens)
+        return
+    # Read once for each block, so no model embeds a query twice.
+    checkpoint_dir(tokens.sparkSession)
+    tokens = tokens.checkpoint()
     n = int(-(-2 * total // max_bytes))
     placed = tokens.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n)))
     # One row per block: a few numbers, however many queries there are.
@@ -122,25 +132,22 @@ def _blocks(tokens: DataFrame, max_bytes: int) -> tuple[list[QueryBatch], list[Q
         .groupBy("block").agg(F.sum("b").alias("b"), F.max("b").alias("largest"), F.count("*").alias("n"))
         .collect()
     )
-    whole: list[QueryBatch] = []
-    partial: list[QueryBatch] = []
     for r in sizes:
         part = placed.where(F.col("block") == r["block"])
         if r["b"] <= max_bytes:
-            whole.append(_read_block(part))
+            yield True, _read_block(part)
         elif r["largest"] <= max_bytes and r["n"] > 1:
             # Unlucky hash block: rehash just this block until every piece fits.
             m = 2 * int(r["n"])
             for j in range(m):
                 piece = part.where(F.pmod(F.hash("query_id", F.lit(r["block"])), F.lit(m)) == j)
-                w, p = _blocks(piece, max_bytes)
-                whole += [b for b in w if b.ids]
-                partial += p
+                yield from ((whole, b) for whole, b in _blocks(piece, max_bytes) if b.ids)
         else:
             m = int(-(-2 * r["b"] // max_bytes))
             for j in range(m):
-                partial.append(_read_block(part.where(F.pmod(F.hash("query_id", "qi"), F.lit(m)) == j)))
-    return whole, [b for b in partial if b.ids]
+                block = _read_block(part.where(F.pmod(F.hash("query_id", "qi"), F.lit(m)) == j))
+                if block.ids:
+                    yield False, block
 
 
 def _documents(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -191,6 +198,8 @@ class _Leaders:
     def __init__(self, k: int) -> None:
         self.k = k
         self.best: dict[str, tuple[float, str]] = {}
+        # The same entries in order, so that the worst is at the end.
+        self.order: list[tuple[tuple[float, str], str]] = []
         self.floor = -np.inf
 
     def candidates(self, approximate: np.ndarray, slack: float, groups: list[str]) -> np.ndarray:
@@ -209,17 +218,17 @@ class _Leaders:
         entry = (-score, segment)
         held = self.best.get(group)
         if held is not None:
-            if entry < held:
-                self.best[group] = entry
-        elif len(self.best) < self.k:
-            self.best[group] = entry
-        else:
-            worst = max(self.best, key=self.best.__getitem__)
-            if entry < self.best[worst]:
-                del self.best[worst]
-                self.best[group] = entry
+            if entry >= held:
+                return
+            del self.order[bisect_left(self.order, (held, group))]
+        elif len(self.best) == self.k:
+            if entry >= self.order[-1][0]:
+                return
+            del self.best[self.order.pop()[1]]
+        self.best[group] = entry
+        insort(self.order, (entry, group))
         if len(self.best) == self.k:
-            self.floor = -max(self.best.values())[0]
+            self.floor = -self.order[-1][0][0]
 
 
 _SCORE_SCHEMA = "query_id string, segment_id string, group_id string, score double"
@@ -297,15 +306,16 @@ def maxsim_topk(
     group is represented by its best point before the cut; a null or empty group stands for itself.
     With ``text_model`` the points carry ``text`` that has not been embedded yet instead of vectors.
     """
-    whole, partial = _blocks(query_tokens(queries), max_query_bytes)
     corpus = _scorable(points, group, "text" if text_model else "vectors")
 
     def over_corpus(run) -> DataFrame:
         return corpus.mapInArrow(_embedding(run, text_model) if text_model else run, _SCORE_SCHEMA)
 
-    found = [over_corpus(_local_topk(b, k)) for b in whole]
-    if partial:
-        pieces = [over_corpus(_all_scores(b)) for b in partial]
+    found: list[DataFrame] = []
+    pieces: list[DataFrame] = []
+    for whole, result in _each_block(queries, max_query_bytes, lambda whole, b: over_corpus(_local_topk(b, k) if whole else _all_scores(b))):
+        (found if whole else pieces).append(result)
+    if pieces:
         found.append(
             reduce(DataFrame.unionByName, pieces)
             .groupBy("query_id", "segment_id", "group_id")
@@ -324,6 +334,26 @@ def maxsim_topk(
     )
 
 
+def _each_block(queries: DataFrame, max_bytes: int, score) -> Iterator[tuple[bool, DataFrame]]:
+    """``score(whole, block)`` of every block. A single one stays lazy; of several, each is scored and its
+    result written before the next is read, so that the driver holds one."""
+    blocks = _blocks(query_tokens(queries), max_bytes)
+    whole, block = next(blocks)
+    second = next(blocks, None)
+    if second is None:
+        yield whole, score(whole, block)
+        return
+    checkpoint_dir(queries.sparkSession)
+    yield whole, score(whole, block).checkpoint()
+    whole, block = second
+    while True:
+        yield whole, score(whole, block).checkpoint()
+        try:
+            whole, block = next(blocks)
+        except StopIteration:
+            return
+
+
 _PARTIAL_SCHEMA = "query_id string, qi int, doc_id string, best double"
 
 
@@ -333,10 +363,14 @@ def maxsim_scores(tokens: DataFrame, queries: DataFrame, max_query_bytes: int =
     A document may be spread over any number of tasks, and may hold any share of the rows: each task
     reduces its batches to one maximum per (query token, document) before the shuffle.
     """
-    whole, partial = _blocks(query_tokens(queries), max_query_bytes)
-    pieces = []
-    for part, block in enumerate([*whole, *partial]):
-        pieces.append(tokens.select("doc_id", "v").mapInArrow(_token_maxima(block, part), _PARTIAL_SCHEMA))
+    number = count()
+    pieces = [
+        piece
+        for _, piece in _each_block(
+            queries, max_query_bytes,
+            lambda _, block: tokens.select("doc_id", "v").mapInArrow(_token_maxima(block, next(number)), _PARTIAL_SCHEMA),
+        )
+    ]
     best = reduce(DataFrame.unionByName, pieces).groupBy("query_id", "qi", "doc_id").agg(F.max("best").alias("best"))
     return best.groupBy("query_id", "doc_id").agg(F.round(F.sum("best"), SCORE_DECIMALS).alias("score"))
 

@@ -105,7 +105,7 @@ def ingest(
 def nothing_ingested(index: Index, paths: list[str]) -> Ingested:
     """What there is to say when an ingest failed: the files that the index has under the paths."""
     held = index.state().select("path").where(listing.under(F.col("path"), paths))
-    none = state.ingest_stats(index.spark.createDataFrame([], "path string, action string"))
+    none = state.ingest_stats(index.spark.createDataFrame([], "path string, action string, point_ids array<string>"))
     return Ingested(none, index.spark.createDataFrame([], SKIP), held, index.version)
 
 
@@ -126,7 +126,7 @@ def _plan(
     index: Index, version: int, stale: DataFrame, models: Models, settings: Settings, deadline: float
 ) -> tuple[DataFrame, DataFrame]:
     """(chunks with bodies, files that failed with a reason) over all file types."""
-    chunks, failed = [_image_chunks(stale)], []
+    chunks, failed = [_image_chunks(stale, models)], []
     for kind, plan, missing in (
         ("text", _text_chunks, None if models.topics else "plan error: no topic model"),
         ("pdf", _pdf_chunks, None if models.topics and models.pdf else "plan error: no topic model or PDF reader"),
@@ -158,19 +158,35 @@ def _shaped(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def _image_chunks(stale: DataFrame) -> DataFrame:
+def _image_chunks(stale: DataFrame, models: Models) -> DataFrame:
+    """One chunk per image file, with the image's vectors if the embedder sees images and its text if the
+    reader has OCR; either may fail for an image, which then goes without."""
+    from quillfin.models.embed import embed_images
+    from quillfin.sources.pdf import image_texts
+
     name = basename(F.col("path"))
-    images = stale.where("file_type = 'image'").select(
+    own = stale.where("file_type = 'image'")
+    sees, reads = hasattr(models.embedder, "embed_images"), hasattr(models.pdf, "ocr")
+    if sees or reads:
+        content = fs.with_content(own).select("path", "content_hash_sha256", "content")
+        own = image_texts(content, models.pdf) if reads else content.withColumn("ocr_text", F.lit(""))
+        own = embed_images(own, "content", models.embedder, "image_vectors") if sees else own.drop("content")
+    else:
+        own = own.withColumn("ocr_text", F.lit(""))
+    images = own.select(
         "path",
         chunk_id("path", "content_hash_sha256", F.lit("0")).alias("chunk_id"),
         F.col("content_hash_sha256").alias("file_sha256"),
         F.lit("image").alias("kind"),
         name.alias("title"),
         F.lit("standalone image").alias("summary"),
-        name.alias("excerpt"),
+        F.when(is_blank(F.col("ocr_text")), name).otherwise(F.col("ocr_text")).alias("excerpt"),
         F.lit(0).alias("order_key"),
+        "ocr_text",
+        *(["image_vectors"] if sees else []),
     )
-    return _shaped(images.withColumn("body", points.image_body(F.col("title"), F.col("summary"))))
+    words = F.when(~is_blank(F.col("ocr_text")), F.col("ocr_text"))
+    return _shaped(images.withColumn("body", F.concat_ws("\n\n", points.image_body(F.col("title"), F.col("summary")), words)))
 
 
 def _late_files(replies: DataFrame) -> DataFrame:

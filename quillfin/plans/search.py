@@ -6,6 +6,7 @@ Any number of queries is answered by one scan of the points.
 from __future__ import annotations
 
 import os
+import re
 import time
 from dataclasses import dataclass, field
 
@@ -58,6 +59,12 @@ class Answer:
         return present.as_markdown(shaped) if form == "markdown" else present.as_rich_markdown(shaped)
 
 
+def _reason(exc: Exception) -> str:
+    """What a worker's Python code raised, if that is in the message; else how the message begins."""
+    raised = re.findall(r"^\w*(?:Error|Exception): .*$", str(exc), re.MULTILINE)
+    return (raised[-1] if raised else str(exc))[:300]
+
+
 def search(
     index: Index,
     queries: DataFrame,
@@ -83,7 +90,7 @@ def search(
     try:
         done = ingest(index, paths, models, settings)
     except Exception as exc:  # noqa: BLE001 - what is indexed can still be searched
-        errors.append(f"Indexing error: {str(exc)[:300]}")
+        errors.append(f"Indexing error: {_reason(exc)}")
         done = nothing_ingested(index, paths)
     timing["indexing"] = (time.time() - clock) * 1000
     # Ingest purged what is gone, so the roots say which points count and nothing is joined; only
@@ -100,7 +107,7 @@ def search(
         hits = maxsim.maxsim_topk(corpus, vectors, wanted, group=None if cut_first else "chunk_id").checkpoint()
     except Exception as exc:  # noqa: BLE001 - a failing embedder or scan is an error of the answer
         step = "Retrieval" if "query_embedding" in timing else "Query embedding"
-        errors.append(f"{step} error: {str(exc)[:300]}")
+        errors.append(f"{step} error: {_reason(exc)}")
         hits = queries.sparkSession.createDataFrame([], none)
     # Payload is read for the winners only; few winners travel to it, many are joined by key.
     payload = corpus.drop("vectors", "version")
@@ -110,7 +117,13 @@ def search(
         best = points.best_per_group(rows, ["query_id"], F.col("chunk_id")).drop("rank")
         rows = points.ranked(best, ["query_id"], [F.desc("score"), F.col("segment_id")], wanted)
     shown = present.project(rows)
-    shown = reranked(shown, queries, reranker, settings.rerank_max_candidates) if reranker else shown.withColumn("rerank_reason", F.lit(None).cast("string"))
+    if reranker:
+        shown = shown.checkpoint()
+        heroes = shown.where((F.col("rank") <= settings.rerank_max_candidates) & F.col("hero_page").isNotNull())
+        seen = index.page_images(heroes.select(F.col("file_sha256").alias("sha"), F.col("hero_page").alias("page")))
+        shown = reranked(shown, queries, reranker, settings.rerank_max_candidates, seen)
+    else:
+        shown = shown.withColumn("rerank_reason", F.lit(None).cast("string"))
     shown = shown.where(F.col("rank") <= k).checkpoint()
     mode, images = image_mode or settings.include_page_images_default, None
     if mode != "none":

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from quillfin.operators import cache, points
 
 FORMAT = 1
+# Page keys of about 100 bytes that are broadcast at most.
+BROADCAST_PAGES = 200_000
 
 POINT = (
     "segment_id string, path string, file_type string, modality string, page int, start_line int, end_line int, "
@@ -72,7 +74,10 @@ class Index:
 
     def page_images(self, wanted: DataFrame) -> DataFrame:
         """Stored page images ``sha, page, image`` of the wanted ``(sha, page)`` rows, each once."""
-        found = self._committed("pages", PAGE).join(wanted.select("sha", "page").distinct(), ["sha", "page"], "left_semi")
+        keys = wanted.select("sha", "page").distinct()
+        # The pages of some results: few enough to travel to the images, which then stay where they lie.
+        few = keys.limit(BROADCAST_PAGES + 1).count() <= BROADCAST_PAGES
+        found = self._committed("pages", PAGE).join(F.broadcast(keys) if few else keys, ["sha", "page"], "left_semi")
         return found.groupBy("sha", "page").agg(F.min_by("image", "version").alias("image"))
 
     def evict_pages(self, target: str, max_bytes: int) -> DataFrame:

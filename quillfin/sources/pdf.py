@@ -53,6 +53,23 @@ def pdf_pages(files: DataFrame, reader: PdfReader, settings: Settings) -> DataFr
     return files.select("path", "content").mapInPandas(run, PAGE)
 
 
+def image_texts(images: DataFrame, reader) -> DataFrame:
+    """Adds ``ocr_text`` to rows with ``content``; empty where the reader finds none or fails."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in images.schema), "ocr_text string"])
+
+    def text(content: bytes | None) -> str:
+        try:
+            return (reader.ocr(content) or "").strip() if content else ""
+        except Exception:  # noqa: BLE001 - one bad image must not lose the others
+            return ""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(ocr_text=[text(c) for c in frame["content"]])
+
+    return images.mapInPandas(run, schema)
+
+
 def pdf_replies(
     files: DataFrame, reader: PdfReader, model: TopicModel, settings: Settings, deadline: float | None = None
 ) -> DataFrame:

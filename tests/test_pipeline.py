@@ -228,6 +228,42 @@ def test_search_answers_in_part(spark, corpus, tmp_path):
     assert {os.path.basename(r["path"]) for r in found.results.collect()} == {"gpio.md"}
 
 
+class Seeing(PictureEmbedder):
+    def __reduce__(self):
+        return Seeing, (self.cache_words,)
+
+    def embed_images(self, images):
+        return self.embed_texts([i.split(b"\n")[-1].decode() for i in images])
+
+
+class SeenReader(FormFeedReader):
+    def ocr(self, image):
+        return "zebra crossing" if b"rest" in image else ""
+
+
+class Watching:
+    """Ranks some questions backwards, and only if it is shown pages."""
+
+    def generate(self, prompt, images):
+        n = prompt.count("(pages ")
+        if not images:
+            raise RuntimeError("nothing to see")
+        return json.dumps([{"id": i, "rank": n - i if "voltage" in prompt else i + 1, "reason": f"{len(images)} pages"} for i in range(n)])
+
+
+def test_images_are_documents_and_rerankers_see_pages(spark, corpus, tmp_path):
+    embedder = Seeing()
+    index = _index(spark, tmp_path, embedder)
+    models = Models(embedder, OutlineModel(), SeenReader())
+    queries = spark.createDataFrame([("a", "zebra"), ("b", "dac voltage")], "query_id string, query string")
+    answer = search(index, queries, [str(corpus)], models, conf.Settings(), top_k=3, reranker=Watching())
+    pictures = {r["modality"] for r in index.points().where("file_type = 'image'").collect()}
+    assert pictures == {"text", "image"}
+    rows = answer.results.collect()
+    assert "pic.png" in {os.path.basename(r["path"]) for r in rows if r["query_id"] == "a"}
+    assert {r["rerank_reason"] for r in rows if r["query_id"] == "b"} - {None}
+
+
 def test_two_writers_get_two_versions(spark, tmp_path):
     a, b = (Index(spark, str(tmp_path / "index"), 4) for _ in range(2))
     assert a.next_version() != b.next_version()
