@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillfin.functions import text as tx
+from quillfin.models.rerank import rank_prompt
+from quillfin.models.topics import text_prompt
 from quillfin.operators import cache, chunking, listing, state, topics
+from quillfin.operators.topics import page_label
 from quillfin.showcase import Showcase, table
-from quillfin.sources.content import file_type
+from quillfin.sources.content import decode_text, file_type
 
 shown = Showcase()
 add = shown.add
@@ -298,6 +301,41 @@ def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@add("SELECT doc_id, md5(text || chr(10) || 'a' || chr(10) || chr(65533)) AS text_md5 FROM documents")
+def decoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with the line ends of other systems and a byte that is no UTF-8."""
+    docs = table(spark, sf_dir, "documents")
+    crlf = F.encode(F.concat(F.replace("text", F.lit("\n"), F.lit("\r\n")), F.lit("\ra\r\n")), "UTF-8")
+    return docs.select("doc_id", F.md5(decode_text(F.concat(crlf, F.lit(b"\xff")))).alias("text_md5"))
+
+
+@add(r"""
+SELECT conv_id, turn, md5('Divide this ' || CASE role WHEN 'user' THEN 'Markdown' ELSE 'text file' END ||
+  ' into topics. Answer with a JSON array of {"title", "summary", "ranges": [[first line, last line]]}. Topics may overlap or be made of several ranges.' || chr(10) || '---' || chr(10) ||
+  array_to_string(list_transform(range(1, len(l) + 1), lambda i: lpad(CAST(i AS VARCHAR), 6, ' ') || '  ' || l[i]), chr(10))) AS prompt_md5
+FROM (SELECT *, string_split(text, chr(10)) AS l FROM conversations)""")
+def topic_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    language = tx.language_hint(F.concat(F.lit("/talk/"), F.when(F.col("role") == "user", "a.MD").otherwise("b.log")))
+    return turns.select("conv_id", "turn", F.md5(text_prompt(F.col("text"), language)).alias("prompt_md5"))
+
+
+@add(r"""
+WITH c AS (SELECT conv_id, string_agg('[' || turn || '] ' || role || ' (pages ' || (turn + 1) || '-' || (turn + 2) || ')' || chr(10) || chr(10) || substr(text, 1, 400), chr(10) || chr(10) ORDER BY turn) AS body
+  FROM conversations GROUP BY conv_id)
+SELECT conv_id, md5('Rank the candidates for the question. Answer with a JSON array of {"id", "rank", "score", "reason"}.' || chr(10) || 'Question: talk ' || conv_id || chr(10) || '---' || chr(10) || body) AS prompt_md5 FROM c""")
+def rank_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as questions, their turns as candidates."""
+    pages = page_label(F.array((F.col("turn") + 1).cast("int"), (F.col("turn") + 2).cast("int")), "-", 100)
+    entry = F.struct(
+        F.col("turn").alias("id"), F.col("role").alias("title"), F.lit(None).cast("string").alias("summary"), pages.alias("pages"),
+        F.substring("text", 1, 400).alias("excerpt"),
+    )
+    lists = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(entry)).alias("c"))
+    question = F.concat(F.lit("talk "), F.col("conv_id").cast("string"))
+    return lists.select("conv_id", F.md5(rank_prompt(question, F.col("c"))).alias("prompt_md5"))
+
+
 # ---- page cache ---------------------------------------------------------------------------------
 
 _CACHE_SQL = "e AS (SELECT doc_id, sha256(source) AS sha, doc_id AS page, n_chars AS bytes FROM documents)"
