@@ -68,11 +68,11 @@ def topic_chunks(sessions: DataFrame) -> DataFrame:
             "topic_id",
             "session",
             "part",
-            F.substring(title, 1, 200).alias("title"),
-            F.substring(summary, 1, 500).alias("summary"),
+            title.alias("title"),
+            summary.alias("summary"),
             "page_refs",
             F.col("f.page").alias("hero_page"),
-            F.substring(strip(F.concat(title, F.lit("\n"), summary)), 1, 2000).alias("excerpt"),
+            strip(F.concat(title, F.lit("\n"), summary)).alias("excerpt"),
             F.col("f.page").alias("order_key"),
         )
     )
@@ -130,7 +130,7 @@ def window_chunks(assignments: DataFrame, cold_pages: int = 20, max_pages: int =
             listed = zip(window["page"], window["topic_id"], window["title"], window["summary"])
             state.window([(int(p), t, n, s) for p, t, n, s in listed], int(window["newest"].iloc[0]))
         made = [
-            (key[0], title[:200], summary[:500], sorted(pages), hero, n)
+            (key[0], title, summary, sorted(pages), hero, n)
             for n, (_, (title, summary, pages, hero)) in enumerate(state.finish())
         ]
         return pd.DataFrame(made, columns=["path", "title", "summary", "page_refs", "hero_page", "part"])
@@ -139,7 +139,7 @@ def window_chunks(assignments: DataFrame, cold_pages: int = 20, max_pages: int =
     folded = rows.groupBy("path").applyInPandas(fold, WINDOW_CHUNK)
     text = F.concat("title", F.lit("\n"), "summary")
     return folded.withColumns(
-        {"excerpt": F.substring(strip(text), 1, 2000), "order_key": F.col("hero_page"), "topic_id": F.lit("window"), "session": F.lit(0)}
+        {"excerpt": strip(text), "order_key": F.col("hero_page"), "topic_id": F.lit("window"), "session": F.lit(0)}
     )
 
 

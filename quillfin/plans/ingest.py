@@ -249,12 +249,12 @@ def _text_chunks(
         chunk_id("path", "content_hash_sha256", F.col("order_key").cast("string")).alias("chunk_id"),
         F.col("content_hash_sha256").alias("file_sha256"),
         F.lit("text_topic").alias("kind"),
-        F.substring("t.title", 1, 200).alias("title"),
-        F.substring("t.summary", 1, 500).alias("summary"),
+        F.col("t.title").alias("title"),
+        F.col("t.summary").alias("summary"),
         "t.line_ranges",
         "t.char_ranges",
         "order_key",
-        F.substring("t.excerpt", 1, 2000).alias("excerpt"),
+        F.col("t.excerpt").alias("excerpt"),
         "t.slices",
     )
     body = points.text_body(F.col("title"), F.col("summary"), F.col("slices"))

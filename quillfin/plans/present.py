@@ -37,6 +37,15 @@ def project(hits: DataFrame) -> DataFrame:
     return hits.withColumns(changed)
 
 
+# Characters of a result that are shown; stored values are whole.
+SHOWN = {"title": 200, "summary": 500, "excerpt": 2000}
+
+
+def limited(results: DataFrame) -> DataFrame:
+    """Results with their texts at display length."""
+    return results.withColumns({c: F.substring(c, 1, n) for c, n in SHOWN.items()})
+
+
 def attach_pages(results: DataFrame, cache: DataFrame | None, mode: str = "path", root: str = "") -> DataFrame:
     """Add ``context_pages``: one entry per page ref, with image path or base64 where cached.
 

@@ -116,7 +116,7 @@ def search(
     if cut_first:
         best = points.best_per_group(rows, ["query_id"], F.col("chunk_id")).drop("rank")
         rows = points.ranked(best, ["query_id"], [F.desc("score"), F.col("segment_id")], wanted)
-    shown = present.project(rows)
+    shown = present.limited(present.project(rows))
     if reranker:
         shown = shown.checkpoint()
         heroes = shown.where((F.col("rank") <= settings.rerank_max_candidates) & F.col("hero_page").isNotNull())

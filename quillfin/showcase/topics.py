@@ -53,8 +53,8 @@ def topic_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 f AS (SELECT path, topic_id, session, part, arg_min(title, page) AS t, arg_min(summary, page) AS s, min(page) AS hero_page,
   string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) AS pages FROM st GROUP BY ALL),
 g AS (SELECT *, CASE WHEN t = '' THEN 'Topic starting on p.' || hero_page ELSE t END AS title FROM f)
-SELECT path, topic_id, CAST(session AS BIGINT) AS session, part, substr(title, 1, 200) AS title, substr(s, 1, 500) AS summary, pages, hero_page,
-  substr(title || chr(10) || s, 1, 2000) AS excerpt FROM g""")
+SELECT path, topic_id, CAST(session AS BIGINT) AS session, part, title, s AS summary, pages, hero_page,
+  title || chr(10) || s AS excerpt FROM g""")
 def topic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = topics.topic_chunks(topics.topic_sessions(hour_assignments(spark, sf_dir), COLD, CAP, block=64))
     return chunks.select(
