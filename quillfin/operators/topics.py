@@ -183,16 +183,14 @@ def merge_range_rows(ranges: DataFrame, keys: list[str], block: Column | None =
 
 def page_runs(pages: DataFrame, keys: list[str]) -> DataFrame:
     """Runs of consecutive pages per key: ``run_start, run_end, n_pages``."""
-    # A page is a range of length one.
-    merged = merge_range_rows(
-        pages.select(*keys, F.col("page").alias("start"), F.col("page").alias("end")), keys
-    )
-    return merged.select(
-        *keys,
-        F.col("range_start").alias("run_start"),
-        F.col("range_end").alias("run_end"),
-        (F.col("range_end") - F.col("range_start") + 1).alias("n_pages"),
+    existing = pages.select(*keys, "page").where(F.col("page").isNotNull()).distinct()
+    by_block = key_blocks(pages, keys, F.floor(F.col("page") / PAGE_BLOCK))
+    # Along a run the page and its number grow alike, so their difference names the run.
+    counted = running(existing, keys, [F.col("page")], by_block, [Running("nth", "count", F.lit(1))])
+    runs = counted.groupBy(*keys, (F.col("page") - F.col("nth")).alias("_run")).agg(
+        F.min("page").alias("run_start"), F.max("page").alias("run_end")
     )
+    return runs.drop("_run").withColumn("n_pages", F.col("run_end") - F.col("run_start") + 1)
 
 
 def page_label(page_refs: Column, dash: str = "–", max_chars: int | None = None) -> Column:
