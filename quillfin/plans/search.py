@@ -128,8 +128,8 @@ def search(
     mode, images = image_mode or settings.include_page_images_default, None
     if mode != "none":
         wanted = shown.where(F.size("page_refs") > 0).select(F.col("file_sha256").alias("sha"), F.explode("page_refs").alias("page"))
-        images = index.page_images(wanted)
-    shown = present.attach_pages(shown, images, mode, f"{index.root}/pages")
+        images = index.page_files(wanted) if mode == "path" else index.page_images(wanted)
+    shown = present.attach_pages(shown, images, mode, f"{index.root}/page_files")
     directories = shown.select(dirname(F.col("path")).alias("directory")).distinct()
     entries = directory_entries(directories, settings.location_respect_gitignore)
     kept = entries.where(~listing.ignored(F.col("name"), listing.ignore_patterns(F.col("rules"))))

@@ -8,8 +8,12 @@ that did not exist, so two writers never share one. Rows of a version are sorted
 
 from __future__ import annotations
 
+import os
 import time
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,6 +84,25 @@ class Index:
         found = self._committed("pages", PAGE).join(F.broadcast(keys) if few else keys, ["sha", "page"], "left_semi")
         return found.groupBy("sha", "page").agg(F.min_by("image", "version").alias("image"))
 
+    def page_files(self, wanted: DataFrame) -> DataFrame:
+        """Writes the wanted page images as files under ``page_files``, so that the paths in results can be
+        opened, and gives ``sha, page`` of those written. A file that is there is written again, with the
+        same bytes. Only the pages of results come here, not all stored ones."""
+        root = f"{self.root}/page_files"
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            store, base = pa_fs.FileSystem.from_uri(root if "://" in root else os.path.abspath(root))
+            for batch in batches:
+                for where, image in zip(batch.column("where").to_pylist(), batch.column("image")):
+                    file = f"{base}/{where}"
+                    store.create_dir(file.rpartition("/")[0], recursive=True)
+                    with store.open_output_stream(file) as out:
+                        out.write(image.as_buffer())
+                yield batch.select(["sha", "page"])
+
+        images = self.page_images(wanted).withColumn("where", cache.page_path(F.col("sha"), F.col("page")))
+        return images.select("sha", "page", "where", "image").mapInArrow(write, "sha string, page int").checkpoint()
+
     def evict_pages(self, target: str, max_bytes: int) -> DataFrame:
         """Write the page images that fit in ``max_bytes``, newest versions first, to another folder."""
         held = self._committed("pages", PAGE).dropDuplicates(["sha", "page"])
