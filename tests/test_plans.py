@@ -23,7 +23,7 @@ def test_no_product_of_two_tables(spark, name):
         assert "HashAggregate(keys=[]" in part
 
 
-@pytest.mark.parametrize("name", ["maxsim_topk", "text_search_topk", "grade_queries", "directory_listing"])
+@pytest.mark.parametrize("name", ["maxsim_topk", "text_search_topk", "directory_listing"])
 def test_rankings_are_cut_before_the_shuffle(spark, name):
     assert "WindowGroupLimit" in plan(spark, name) and "Partial" in plan(spark, name)
 
