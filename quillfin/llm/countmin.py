@@ -232,8 +232,8 @@ def unpacked_gaps(data: np.ndarray) -> np.ndarray:
 
 
 def _suspects(ids, keys, texts, window: int, bits: int, sketch: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Windows estimated repeated, per bucket of their hash; what the chunk itself can settle is a row
-    with no hashes."""
+    """Windows estimated repeated, per bucket of their hash; what the chunk itself can settle are rows
+    with no hashes, per bucket of their document."""
     parts = []
     for rows, start, h, check in _windows(texts, window):
         repeated = _estimated(h, bits, LEVELS - 1, sketch)
@@ -247,10 +247,14 @@ def _suspects(ids, keys, texts, window: int, bits: int, sketch: np.ndarray, buck
         leader = ids[rows[heads]][np.cumsum(heads) - 1] if len(h) else ids[:0]
         later = ids[rows] > leader
         if later.any():
-            by_row = np.argsort(rows[later], kind="stable")
-            own = (rows[later][by_row], start[later][by_row])
+            # Spread by document: what a chunk settles may be most of its windows.
             none = np.zeros(0, np.uint64)
-            out.append(_row(int(own[0][0]) % buckets, ids, keys, *own, none, none.astype(np.uint32)))
+            home = (mixed((ids ^ keys).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)[rows[later]]
+            by_row = np.lexsort((rows[later], home))
+            home, own_rows, own_start = home[by_row], rows[later][by_row], start[later][by_row]
+            cuts = np.flatnonzero(np.append(True, home[1:] != home[:-1]))
+            for begin, end in zip(cuts, np.append(cuts[1:], len(home))):
+                out.append(_row(int(home[begin]), ids, keys, own_rows[begin:end], own_start[begin:end], none, none.astype(np.uint32)))
         rows, start, h, check = rows[~later], start[~later], h[~later], check[~later]
         bucket = (h % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")

@@ -1,12 +1,14 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillfin.llm import countmin
-from quillfin.llm.countmin import drop_repeated, packed_gaps, repeated_windows, unpacked_gaps
+from quillfin.llm.countmin import _suspects, _unpacked, drop_repeated, packed_gaps, repeated_windows, unpacked_gaps
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -83,3 +85,19 @@ def test_empty_table(spark):
 def test_gaps_round_trip(values):
     data = np.frombuffer(packed_gaps(np.array(values, np.int64)), np.uint8)
     assert unpacked_gaps(data).tolist() == values
+
+
+def test_settled_windows_spread_over_all_buckets():
+    r, buckets, size, n = random.Random(4), 64, Counter(), 0
+    full = np.full(1 << 13, 255, np.uint8)
+    for chunk in range(30):
+        text = " ".join(f"w{r.randrange(10**6)}" for _ in range(40))
+        ids = np.array(sorted(r.sample(range(10**9), 50)), np.int64)
+        record = _suspects(ids, np.full(50, chunk, np.int64), pa.array([text] * 50), 13, 16, full, buckets)
+        for i in range(record.num_rows):
+            if not record.column("hash")[i].as_buffer().size:
+                own = _unpacked(record, i)
+                size[record.column("bucket")[i].as_py()] += len(own[0])
+                assert set(own[0].tolist()) <= set(ids[1:].tolist())
+                n += len(own[0])
+    assert n == 30 * 49 * 28 and len(size) == buckets and max(size.values()) < 3 * n / buckets
