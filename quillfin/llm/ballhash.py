@@ -44,6 +44,8 @@ _TILE = 1_024
 # standard error is 0.027 there, so the limit is two of these lower.
 TABLES, TABLE_BITS, SKETCH_BINS = 6, 40, 512
 SIMILARITY, ERROR = 0.8, 0.027
+# Members of a star that one task compares with those of other components.
+BLOCK_NODES = 4_096
 
 _ONE = np.uint64(1)
 
@@ -206,16 +208,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """``(id_col, sketch)`` per row: the low bit of each bin, packed; all zero for null and wordless texts."""
+    """``(id_col, text_key, sketch)`` per row: Spark's hash of the text, and the low bit of each bin, packed;
+    all zero for null and wordless texts."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = signatures(batch.column(1), SKETCH_BINS, 1, shingle)
+            bits = signatures(batch.column(2), SKETCH_BINS, 1, shingle)
             rows = [r.tobytes() for r in np.packbits(bits, axis=1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], [id_col, "sketch"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(rows, pa.binary())], [id_col, "text_key", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(made, f"`{id_col}` {kind}, sketch binary")
+    keyed = docs.select(id_col, F.xxhash64(text_col).alias("text_key"), text_col)
+    return keyed.mapInArrow(made, f"`{id_col}` {kind}, text_key long, sketch binary")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
@@ -223,13 +227,19 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ``similarity`` of their word shingles are linked, ``component_id`` is the smallest id reachable.
 
     Equal sketches (equal texts, all wordless or null texts) are one class. The six fingerprints of each
-    class go through one pass of half-balls, told apart by their upper bits. Every pair that meets, and
-    every class with the same fingerprint as a smaller one, is then checked by the whole sketches. Other
-    columns of ``docs`` are ignored.
+    class go through one pass of half-balls, told apart by their upper bits. The whole sketches decide.
+
+    The stars of the half-balls, and of each fingerprint around its smallest class, are compared first.
+    They stand for all pairs of a star only as far as they hold. So where a star is of several components
+    then, its members of different components are compared with each other: each with the most alike
+    one first, which joins most of what belongs together, then all that are still apart.
     """
     checkpoint_dir(docs.sparkSession)
     rows = sketches(docs, id_col, text_col, shingle).checkpoint()
-    classes = rows.groupBy("sketch").agg(F.min(id_col).alias("node")).checkpoint()
+    classes = (
+        rows.groupBy("sketch").agg(F.min(F.struct(F.col(id_col).alias("id"), "text_key")).alias("least"))
+        .select("sketch", F.xxhash64("sketch").alias("node"), "least.id", "least.text_key").checkpoint()
+    )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = _ONE << np.arange(TABLE_BITS - 1, -1, -1, dtype=np.uint64)
@@ -240,28 +250,103 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             node = np.repeat(batch.column(1).to_numpy(), TABLES)
             yield pa.RecordBatch.from_arrays([pa.array(fp.ravel().view(np.int64)), pa.array(node)], ["fp", "node"])
 
-    tables = classes.select("sketch", F.col("node").cast("long")).mapInArrow(cut, "fp long, node long").checkpoint()
-    heads = tables.groupBy("fp").agg(F.min("node").alias("head")).checkpoint()
-    met = links(heads, width=TABLE_BITS, tables=TABLES)
+    tables = classes.select("sketch", "node").mapInArrow(cut, "fp long, node long").checkpoint()
+    heads = tables.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n")).checkpoint()
+    met = links(heads, width=TABLE_BITS, tables=TABLES).checkpoint()
     of = lambda side: heads.select(F.col("fp").alias(side), F.col("head").alias(f"node_{side}"))
     across = met.join(of("a"), "a").join(of("b"), "b").select("node_a", "node_b")
     same = tables.join(heads, "fp").where("node <> head").select(F.col("head").alias("node_a"), F.col("node").alias("node_b"))
     pairs = across.unionAll(same).where("node_a <> node_b").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    sketch = lambda side: classes.select(F.col("node").cast("long").alias(side), F.col("sketch").alias(f"sketch_{side}"))
-    compared = pairs.join(sketch("a"), "a").join(sketch("b"), "b")
     limit = similarity - 2 * ERROR
+    compared = _alike(pairs, classes, limit).checkpoint()
+    labels = components(compared)
+    # Each star with its hub, and each fingerprint of several classes.
+    own = met.select("a").unionAll(heads.where("n > 1").select("fp")).distinct()
+    stars = met.unionAll(own.select("a", F.col("a").alias("b"))).toDF("hub", "fp")
+    for nearest in (True, False):
+        apart = _apart(stars, tables, classes, labels, limit, nearest).join(compared, ["a", "b"], "left_anti").checkpoint()
+        if apart.isEmpty():
+            continue
+        compared = compared.unionAll(apart)
+        labels = components(compared)
+    member = classes.join(labels, "node", "left").select("sketch", "id", F.coalesce("component", "node").alias("root"))
+    least = member.groupBy("root").agg(F.min("id").alias("component_id"))
+    named = member.join(least, "root").select("sketch", "component_id")
+    # A class may own any share of the rows; adaptive execution splits its side of this join.
+    return rows.join(named, "sketch").select(id_col, "component_id")
+
+
+def _alike(pairs: DataFrame, classes: DataFrame, limit: float) -> DataFrame:
+    """The pairs ``(a, b)`` of nodes whose sketches estimate a similarity of at least ``limit``."""
+    sketch = lambda side: classes.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}"))
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in (2, 3))
-            differ = np.bitwise_count(a ^ b).sum(1)
-            alike = pa.array(1 - 2 * differ / SKETCH_BINS >= limit)
+            a, b = (_bits(batch.column(c)) for c in (2, 3))
+            alike = pa.array(_estimate(np.bitwise_count(a ^ b).sum(1)) >= limit)
             yield batch.filter(alike).select([0, 1])
 
-    verified = compared.select("a", "b", "sketch_a", "sketch_b").mapInArrow(checked, "a long, b long")
-    labels = components(verified).withColumnRenamed("node", "labelled")
-    named = classes.join(labels, F.col("node").cast("long") == F.col("labelled"), "left").select(
-        "sketch", F.coalesce("component", F.col("node").cast("long")).alias("component_id")
-    )
-    # A class may own any share of the rows; adaptive execution splits its side of this join.
-    return rows.join(named, "sketch").select(id_col, "component_id")
+    both = pairs.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "sketch_a", "sketch_b")
+    return both.mapInArrow(checked, "a long, b long")
+
+
+def _bits(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), SKETCH_BINS // 64)
+
+
+def _estimate(differ: np.ndarray) -> np.ndarray:
+    return 1 - 2 * differ / SKETCH_BINS
+
+
+def _apart(stars: DataFrame, tables: DataFrame, classes: DataFrame, labels: DataFrame, limit: float, nearest: bool) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes that meet in a star, are of different components and have sketches alike;
+    all of them or, with ``nearest``, for each node the one most alike.
+
+    A star is dealt out over tasks: the members of its largest component and the owned ones of the others
+    in blocks, and to each block all members of the others.
+    """
+    placed = tables.join(labels, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("label"))
+    kinds = stars.join(placed.groupBy("fp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), "fp")
+    mixed_hubs = kinds.groupBy("hub").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("hub")
+    members = stars.join(mixed_hubs, "hub").join(placed, "fp").select("hub", "node", "label").checkpoint()
+    counts = members.groupBy("hub", "label").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("hub").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.ceil(F.sum("n") / BLOCK_NODES).alias("blocks"))
+    home = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))
+    dealt = (
+        members.join(sizes, "hub").join(classes.select("node", "sketch"), "node")
+        .withColumn("home", home).withColumn("main", F.col("label") == F.col("main"))
+        .withColumn("block", F.explode(F.when(F.col("main"), F.array("home")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
+        .select("hub", "block", "node", "label", "main", (F.col("home") == F.col("block")).alias("own"), "sketch")
+    )
+
+    def met(group: pa.Table) -> pa.Table:
+        return _across(group, limit, nearest)
+
+    return dealt.groupBy("hub", "block").applyInArrow(met, "a long, b long").distinct()
+
+
+def _across(group: pa.Table, limit: float, nearest: bool) -> pa.Table:
+    """Pairs of an owned member and one outside the largest component."""
+    node, label, main, own = (group.column(c).to_numpy() for c in ("node", "label", "main", "own"))
+    sketch = _bits(group.column("sketch"))
+    left, right = np.flatnonzero(own), np.flatnonzero(~main)
+    found, best, best_of = [], np.full(len(right), -np.inf), np.zeros(len(right), int)
+    step = max(1, (1 << 18) // max(len(right), 1))
+    for at in range(0, len(left) if len(right) else 0, step):
+        i = left[at : at + step]
+        alike = _estimate(np.bitwise_count(sketch[i][:, None] ^ sketch[right]).sum(2))
+        alike[(alike < limit) | (label[i][:, None] == label[right])] = -np.inf
+        if nearest:
+            to = alike.argmax(1)
+            some = alike[np.arange(len(i)), to] > 0
+            found.append((node[i[some]], node[right[to[some]]]))
+            top = alike.argmax(0)
+            better = alike[top, np.arange(len(right))] > best
+            best[better], best_of[better] = alike[top, np.arange(len(right))][better], i[top[better]]
+        else:
+            x, y = np.nonzero(alike > 0)
+            found.append((node[i[x]], node[right[y]]))
+    found.append((node[best_of[best > 0]], node[right[best > 0]]))
+    a, b = (np.concatenate(x) for x in zip(*found))
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})

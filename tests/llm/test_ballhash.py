@@ -6,8 +6,10 @@ import pyarrow as pa
 import pytest
 import xxhash
 
+from quillfin.llm import ballhash
 from quillfin.llm.ballhash import MASKS, _packed, _points, links, near_duplicates, similar_documents, simhashes
 from quillfin.llm.components import components
+from quillfin.llm.fingerprint import signatures
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -160,3 +162,47 @@ def test_similar_documents_of_a_table(spark):
     assert all(groups[c] == groups[i] for i, c in got if i < 9000)
     assert sum(found[i] == first[g] for i, g in groups.items()) >= 0.97 * len(groups)
     assert similar_documents(docs.limit(0)).collect() == []
+
+
+def plain_shingles(text, k=5):
+    w = text.split()
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+
+def shared(a, b):
+    return len(a & b) / len(a | b)
+
+
+def joined_groups(got):
+    groups = {}
+    for i, c in got.items():
+        groups.setdefault(c, []).append(i)
+    return groups
+
+
+@pytest.mark.parametrize("block", [4_096, 50])
+def test_copies_among_templated_pages_are_all_linked(spark, monkeypatch, block):
+    monkeypatch.setattr(ballhash, "BLOCK_NODES", block)
+    r = random.Random(8)
+    word = lambda: f"w{r.randrange(10**6)}"
+    template, texts, copies = [word() for _ in range(150)], [], []
+    for page in range(2_000):
+        texts.append(" ".join(template + [word() for _ in range(30 + page % 4 * 8)]))
+    for page in r.sample(range(2_000), 400):
+        w = texts[page].split()
+        for i in r.sample(range(len(w)), 3):
+            w[i] = word()
+        copies.append((page, len(texts)))
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: x["component_id"] for x in similar_documents(docs).collect()}
+    bits = np.packbits(signatures(pa.array(texts), 512, 1, 5), axis=1)
+    prints = bits[:, :30].reshape(len(texts), 6, 5)
+    n = 0
+    for a, b in copies:
+        meet = (np.bitwise_count(prints[a] ^ prints[b]).sum(1) <= 3).any()
+        estimate = 1 - 2 * np.bitwise_count(bits[a] ^ bits[b]).sum() / 512
+        if meet and estimate >= 0.746 and shared(plain_shingles(texts[a]), plain_shingles(texts[b])) >= 0.8:
+            assert got[a] == got[b]
+            n += 1
+    assert n > 300
