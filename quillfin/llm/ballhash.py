@@ -40,8 +40,8 @@ _TILE = 1_024
 
 # Sketches: so many fingerprints of so many bits, and bins in all; what two texts must agree in. At a
 # similarity of 0.8 a bit differs with probability 0.1, and one fingerprint or more of six is within
-# three bits with probability 0.96. The similarity that all bins together estimate then decides; its
-# standard error is 0.027 there, so the limit is two of these lower.
+# three bits with probability 0.96. Pairs then count as candidates by the similarity that all bins together
+# estimate; its standard error is 0.027 there, so the limit is two of these lower. The texts decide.
 TABLES, TABLE_BITS, SKETCH_BINS = 6, 40, 512
 SIMILARITY, ERROR = 0.8, 0.027
 # Members of a star that one task compares with those of other components.
@@ -227,7 +227,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ``similarity`` of their word shingles are linked, ``component_id`` is the smallest id reachable.
 
     Equal sketches (equal texts, all wordless or null texts) are one class. The six fingerprints of each
-    class go through one pass of half-balls, told apart by their upper bits. The whole sketches decide.
+    class go through one pass of half-balls, told apart by their upper bits. Pairs that the whole sketches
+    leave possible are decided by the shingles of their texts.
 
     The stars of the half-balls, and of each fingerprint around its smallest class, are compared first.
     They stand for all pairs of a star only as far as they hold. So where a star is of several components
@@ -259,7 +260,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     pairs = across.unionAll(same).where("node_a <> node_b").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
     limit = similarity - 2 * ERROR
     compared = _alike(pairs, classes, limit).checkpoint()
-    labels = components(compared)
+    verified = _sharing(compared, classes, docs, id_col, text_col, shingle, similarity).checkpoint()
+    labels = components(verified)
     # Each star with its hub, and each fingerprint of several classes.
     own = met.select("a").unionAll(heads.where("n > 1").select("fp")).distinct()
     stars = met.unionAll(own.select("a", F.col("a").alias("b"))).toDF("hub", "fp")
@@ -268,7 +270,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         if apart.isEmpty():
             continue
         compared = compared.unionAll(apart)
-        labels = components(compared)
+        verified = verified.unionAll(_sharing(apart, classes, docs, id_col, text_col, shingle, similarity)).checkpoint()
+        labels = components(verified)
     member = classes.join(labels, "node", "left").select("sketch", "id", F.coalesce("component", "node").alias("root"))
     least = member.groupBy("root").agg(F.min("id").alias("component_id"))
     named = member.join(least, "root").select("sketch", "component_id")
@@ -298,6 +301,37 @@ def _estimate(differ: np.ndarray) -> np.ndarray:
     return 1 - 2 * differ / SKETCH_BINS
 
 
+def _sharing(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` of nodes whose texts share at least ``similarity`` of their word shingles."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    first = classes.join(needed, "node").select("node", F.col("id").alias("_id"), F.col("text_key").alias("_key"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("_text"))
+    # Rows with the same id and text are one.
+    texts = texts.join(first, ["_id", "_key"]).dropDuplicates(["node"])
+    text = lambda side: texts.select(F.col("node").alias(side), F.col("_text").alias(f"text_{side}"))
+
+    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, end in rows_in_steps(batch.column(2)):
+                part = batch.slice(begin, end - begin)
+                keep = []
+                for a, b in zip(_shingles(part.column(2), shingle), _shingles(part.column(3), shingle)):
+                    shared = len(np.intersect1d(a, b, assume_unique=True))
+                    keep.append(shared >= similarity * (len(a) + len(b) - shared))
+                yield part.filter(pa.array(keep)).select([0, 1])
+
+    both = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
+    return both.mapInArrow(decided, "a long, b long")
+
+
+def _shingles(texts: pa.Array, shingle: int) -> list[np.ndarray]:
+    """The distinct shingle hashes of each text."""
+    w = words(texts)
+    first, count, bounds = w.runs(shingle, whole_if_shorter=True)
+    h = w.hashes(first, count)
+    return [np.unique(h[b:e]) for b, e in zip(bounds[:-1], bounds[1:])]
+
+
 def _apart(stars: DataFrame, tables: DataFrame, classes: DataFrame, labels: DataFrame, limit: float, nearest: bool) -> DataFrame:
     """Pairs ``(a, b)`` of nodes that meet in a star, are of different components and have sketches alike;
     all of them or, with ``nearest``, for each node the one most alike.

@@ -206,3 +206,23 @@ def test_copies_among_templated_pages_are_all_linked(spark, monkeypatch, block):
             assert got[a] == got[b]
             n += 1
     assert n > 300
+
+
+def test_links_have_the_exact_similarity(spark):
+    r = random.Random(9)
+    word = lambda: f"w{r.randrange(10**6)}"
+    texts = []
+    for g in range(300):
+        # Pairs of a common passage of 400 shingles and tails of their own, similar from 0.70 to 0.89.
+        passage, tail = [word() for _ in range(404)], 25 + g % 60
+        texts += [" ".join(passage + [word() for _ in range(tail)]) for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: x["component_id"] for x in similar_documents(docs).collect()}
+    found = missed = 0
+    for a in range(0, len(texts), 2):
+        alike = shared(plain_shingles(texts[a]), plain_shingles(texts[a + 1])) >= 0.8
+        assert alike or got[a] != got[a + 1]
+        found += alike and got[a] == got[a + 1]
+        missed += alike and got[a] != got[a + 1]
+    assert found >= 0.9 * (found + missed) and found > 100
+    assert all(len(g) <= 2 for g in joined_groups(got).values())
