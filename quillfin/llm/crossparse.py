@@ -2,9 +2,10 @@
 
 For each language a suffix automaton is built over a sample of its labelled texts. A text is cut into
 phrases, each the longest match with the language's sample from where the last one ended; few, long
-phrases mean that the sample predicts the text well. With ``c`` phrases over ``n`` characters and a sample
-of ``m`` characters, ``c * log2(m) / n`` estimates the cross entropy in bits a character; the language with
-the least of it wins.
+phrases mean that the sample predicts the text well. With ``c`` phrases over ``n`` characters, a sample of
+``m`` characters and an alphabet of ``a``, ``c * log2(m + a) / n`` estimates the cross entropy in bits a
+character, a phrase being a place in the sample or a letter it does not have; the language with the least
+of it wins.
 
 The parse never needs suffix links: a character that ends a match only has to be looked up at the root.
 So an automaton becomes one table of transitions, with a mark on those that begin a phrase, and a step of
@@ -110,7 +111,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", where
     texts: dict[str, list[str]] = {lang: [] for lang in sorted(langs)}
     for r in sorted(sampled.collect(), key=lambda r: (r["rank"], r["text"])):
         texts[r["lang"]].append(r["text"])
-    return build({lang: t for lang, t in texts.items() if any(c.isalpha() for x in t for c in x)})
+    return build({lang: t for lang, t in texts.items() if any(c.isalpha() for x in t for c in x)}, same_size=False)
 
 
 def _first_by_rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,17 +129,20 @@ def _first_of_group(group: pa.Table) -> pa.Table:
     return group.sort_by("rank").slice(0, SAMPLE_DOCS)
 
 
-def build(texts: dict[str, list[str]], model_chars: int = MODEL_CHARS) -> Models:
-    """One automaton for each language over up to ``model_chars`` characters of its texts, the same number
-    for each, so that no language has the longer memory."""
+def build(texts: dict[str, list[str]], model_chars: int = MODEL_CHARS, same_size: bool = True) -> Models:
+    """One automaton for each language over up to ``model_chars`` characters of its texts; with
+    ``same_size`` the same number for each, else as many as each has."""
     samples = {lang: _joined(own) for lang, own in texts.items()}
-    size = min([model_chars, ALL_CHARS // max(len(samples), 1), *(max(sum(map(len, s)), 1) for s in samples.values())])
+    most = min(model_chars, ALL_CHARS // max(len(samples), 1))
+    sizes = {lang: min(most, max(sum(map(len, s)), 1)) for lang, s in samples.items()}
+    if same_size:
+        sizes = dict.fromkeys(sizes, min(sizes.values(), default=1))
     seen = Counter(c for s in samples.values() for t in s for c in t if c.isalpha())
     letters = "".join(sorted(sorted(seen, key=lambda c: (-seen[c], c))[:MAX_LETTERS]))
     width = len(letters) + 2
     parts, roots, bits, offset = [], [], [], 0
     for lang, sample in samples.items():
-        automaton, left = SuffixAutomaton(), size
+        automaton, left = SuffixAutomaton(), sizes[lang]
         for text in sample:
             for code in _codes(text[:left], letters).tolist():
                 automaton.add(code)
@@ -156,7 +160,7 @@ def build(texts: dict[str, list[str]], model_chars: int = MODEL_CHARS) -> Models
         rows = np.where(rows < 0, root, rows)
         parts += [rows.ravel(), root]
         roots.append(offset + rows.size)
-        bits.append(np.log2(max(size, 2)))
+        bits.append(np.log2(sizes[lang] + width))
         offset += rows.size + width
     table = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
     return Models(list(samples), letters, table, np.array(roots, np.int64), np.array(bits))

@@ -104,3 +104,24 @@ def test_models_are_bounded():
     many = {f"l{i:02}": ["".join(r.choices("abcdefgh ", k=30_000))] for i in range(20)}
     models = build(many)
     assert len(models.table) * 4 < 64 << 20 and np.allclose(models.bits, models.bits[0])
+
+
+def test_a_language_of_one_short_text_leaves_the_others_alone(spark):
+    r = random.Random(5)
+    # Languages of the same letters and the same short words; only longer runs tell them apart.
+    parts = ["ka", "ro", "mi", "lu", "te", "so"]
+    vocabulary = {lang: ["".join(r.choices(parts, k=3)) for _ in range(60)] for lang in ("aa", "bb", "cc")}
+    rows = []
+    for i in range(360):
+        lang = r.choice(list(vocabulary))
+        rows.append((i, " ".join(r.choices(vocabulary[lang], k=r.randrange(8, 40))), lang))
+    held = F.expr("crc32(cast(doc_id as string)) % 3 = 1")
+
+    def accuracy(extra):
+        docs = spark.createDataFrame(rows + extra, "doc_id long, text string, lang string").repartition(4)
+        named = identify(docs, learn(docs, where=~held | F.expr("doc_id >= 1000"))).where(held & F.expr("doc_id < 1000")).collect()
+        return sum(g["lang_pred"] == g["lang"] for g in named) / len(named)
+
+    assert accuracy([]) > 0.98
+    assert accuracy([(1000, "karo milu teso kami", "xx")]) > 0.98
+    assert accuracy([(1000, "k", "xx")]) > 0.98
