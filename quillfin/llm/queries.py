@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillfin.llm import balance, ballhash, boosting, countmin, crossparse, divergence, factors, fingerprint, grouping, treescore
+from quillfin.llm import balance, ballhash, boosting, countmin, crossparse, divergence, factors, fingerprint, grouping, treescore, whitening
 from quillfin.showcase import Showcase, table
 
 shown = Showcase()
@@ -78,3 +78,8 @@ def op7_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = boosting.learn(docs, table(spark, sf_dir, "labels"), allowed=F.expr(_LEARNED))
     return boosting.scored(docs.withColumn("held_out", ~F.expr(_LEARNED)), model).drop("text")
+
+
+@shown.add()
+def op11_refined_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(table(spark, sf_dir, "embeddings"))
