@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillfin.llm import balance, ballhash, boosting, countmin, crossparse, divergence, factors, fingerprint, grouping, treescore, whitening
+from quillfin.llm import balance, ballhash, boosting, countmin, crossparse, divergence, factors, fingerprint, grouping, merkle, treescore, whitening
 from quillfin.showcase import Showcase, table
 
 shown = Showcase()
@@ -83,3 +83,10 @@ def op7_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @shown.add()
 def op11_refined_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.components(table(spark, sf_dir, "embeddings"))
+
+
+@shown.add()
+def op12_persistent_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fifth = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    found = merkle.manifest(merkle.tampered(table(spark, sf_dir, "documents"), fifth))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
