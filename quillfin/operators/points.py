@@ -109,24 +109,16 @@ def latest(rows: DataFrame, key: str, version: str) -> DataFrame:
     )
 
 
-# Tombstones of about 100 bytes that are broadcast at most.
-BROADCAST_TOMBSTONES = 300_000
-
-
 def live(points: DataFrame, tombstones: DataFrame | None, key: str = "segment_id", version: str = "version") -> DataFrame:
-    """Points that no later tombstone covers; a point written with or after its tombstone lives.
+    """Rows that no later tombstone covers; a row written with or after its tombstone lives.
 
-    Tombstones are broadcast while their number allows, so that no vector is shuffled; compaction keeps it
-    small. Beyond that both sides are shuffled by key.
+    For rows that are not files of an index, as their keys may have to be shuffled; what is stored goes by
+    positions (``operators.positions``).
     """
     if tombstones is None:
         return points
-    gone = tombstones.groupBy(key).agg(F.max(version).alias("gone_at"))
-    if tombstones.limit(BROADCAST_TOMBSTONES + 1).count() <= BROADCAST_TOMBSTONES:
-        gone = F.broadcast(gone)
-    return points.join(
-        gone.withColumnRenamed(key, "_k"), (F.col(key) == F.col("_k")) & (F.col("gone_at") > F.col(version)), "left_anti"
-    )
+    gone = tombstones.groupBy(F.col(key).alias("_k")).agg(F.max(version).alias("gone_at"))
+    return points.join(gone, (F.col(key) == F.col("_k")) & (F.col("gone_at") > F.col(version)), "left_anti")
 
 
 def in_paths(points: DataFrame, paths: DataFrame | list[str] | None) -> DataFrame:

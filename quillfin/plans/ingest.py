@@ -19,7 +19,8 @@ from quillfin.session import checkpoint_dir, ship_package
 from quillfin.settings import Settings
 from quillfin.sources import files as fs
 from quillfin.sources.content import decode_text
-from quillfin.sources.index import POINT, Index
+from quillfin.sources.index import POINT, Index, Run
+from quillfin.sources.manifests import Conflict
 from quillfin.sources.pdf import PdfReader, pdf_pages, pdf_replies
 
 CHUNK = (
@@ -48,10 +49,30 @@ class Models:
     pdf: PdfReader | None = None
 
 
+# How often an ingest is planned anew because another writer committed meanwhile.
+COMMIT_TRIES = 5
+
+
 def ingest(
     index: Index, paths: list[str], models: Models, settings: Settings, force: bool = False, purge: bool = True
 ) -> Ingested:
+    """Bring what the index holds of ``paths`` up to date, in one version.
+
+    If another writer commits first, the files are compared with what that one wrote and the rest is done.
+    """
     started = time.time()
+    for _ in range(COMMIT_TRIES):
+        try:
+            return _ingest(index, paths, models, settings, force, purge, started)
+        except Conflict as exc:
+            lost = exc
+            index.reload()
+    raise lost
+
+
+def _ingest(
+    index: Index, paths: list[str], models: Models, settings: Settings, force: bool, purge: bool, started: float
+) -> Ingested:
     paths = [os.path.realpath(p) for p in paths]
     spark = index.spark
     ship_package(spark)
@@ -71,19 +92,20 @@ def ingest(
     if stale.isEmpty() and (gone is None or gone.isEmpty()):
         return Ingested(_stats(planned, planned.select("path")), left_out.unionByName(unsupported), supported.select("path"), index.version)
 
-    version = index.next_version()
+    run = index.begin()
+    version = run.version
     # Files whose models are not done by then are named as late; all others are indexed.
-    chunks, failed = _plan(index, version, stale, models, settings, started + settings.indexing_timeout)
-    index.append("points", _points(chunks, models.embedder, settings, version))
+    chunks, failed = _plan(run, stale, models, settings, started + settings.indexing_timeout)
+    run.append("points", _points(chunks, models.embedder, settings, version))
     # From here on the written rows are the source, so no model runs twice.
-    written = index.written("points", POINT, version).select("path", "segment_id", F.col("vectors").isNull().alias("lost"))
+    written = run.written("points", POINT).select("path", "segment_id", F.col("vectors").isNull().alias("lost"))
     made = written.where("NOT lost").groupBy("path").agg(F.sort_array(F.collect_list("segment_id")).alias("_ids"))
     refused = written.where("lost").groupBy("path").agg(
         F.format_string("embed error: %d chunks could not be embedded", F.count("*")).alias("reason")
     )
     done = planned.where("action <> 'unchanged'").join(failed, "path", "left_anti")
-    index.append("tombstones", state.superseded_points(done, version))
-    index.append(
+    dead = [state.superseded_points(done, version).select("segment_id")]
+    run.append(
         "state",
         done.drop("point_ids").join(made, "path", "left").select(
             "path", "size", "mtime_ns", "content_hash_sha256",
@@ -94,9 +116,10 @@ def ingest(
         ),
     )
     if gone is not None:
-        index.append("tombstones", gone.select(F.explode("point_ids").alias("segment_id"), F.lit(version).cast("long").alias("version")))
-        index.append("state", _gone_rows(gone, version))
-    index.commit(version)
+        dead.append(gone.select(F.explode("point_ids").alias("segment_id")))
+        run.append("state", _gone_rows(gone, version))
+    run.delete(reduce(DataFrame.unionByName, dead))
+    run.commit()
     skipped = reduce(DataFrame.unionByName, [left_out, unsupported, failed, refused])
     finished = planned.select("path").join(failed, "path", "left_anti")
     return Ingested(_stats(planned, finished), skipped, supported.select("path"), version)
@@ -123,7 +146,7 @@ def _gone_rows(gone: DataFrame, version: int) -> DataFrame:
 
 
 def _plan(
-    index: Index, version: int, stale: DataFrame, models: Models, settings: Settings, deadline: float
+    run: Run, stale: DataFrame, models: Models, settings: Settings, deadline: float
 ) -> tuple[DataFrame, DataFrame]:
     """(chunks with bodies, files that failed with a reason) over all file types."""
     chunks, failed = [_image_chunks(stale, models)], []
@@ -135,7 +158,7 @@ def _plan(
         if missing:
             failed.append(mine.select("path", F.lit(missing).alias("reason")))
         else:
-            made, lost = plan(index, version, mine, models, settings, deadline)
+            made, lost = plan(run, mine, models, settings, deadline)
             chunks.append(made)
             failed.append(lost)
     return reduce(DataFrame.unionByName, chunks), reduce(DataFrame.unionByName, failed)
@@ -194,7 +217,7 @@ def _late_files(replies: DataFrame) -> DataFrame:
 
 
 def _text_chunks(
-    index: Index, version: int, stale: DataFrame, models: Models, settings: Settings, deadline: float
+    run: Run, stale: DataFrame, models: Models, settings: Settings, deadline: float
 ) -> tuple[DataFrame, DataFrame]:
     texts = fs.with_content(stale).select("path", "content_hash_sha256", decode_text("content").alias("text"))
     filled = texts.where(~is_blank(F.col("text")))
@@ -262,15 +285,15 @@ def _text_chunks(
 
 
 def _pdf_chunks(
-    index: Index, version: int, stale: DataFrame, models: Models, settings: Settings, deadline: float
+    run: Run, stale: DataFrame, models: Models, settings: Settings, deadline: float
 ) -> tuple[DataFrame, DataFrame]:
     content = fs.with_content(stale)
     pages = pdf_pages(content, models.pdf, settings).checkpoint()
     named = stale.select("path", F.col("content_hash_sha256").alias("sha"))
-    index.append(
+    run.append(
         "pages",
         pages.where("image IS NOT NULL").join(named, "path").select(
-            "sha", "page", "image", F.length("image").cast("long").alias("bytes"), F.lit(version).cast("long").alias("version")
+            "sha", "page", "image", F.length("image").cast("long").alias("bytes"), F.lit(run.version).cast("long").alias("version")
         ),
     )
     every = pdf_replies(content, models.pdf, models.topics, settings, deadline).checkpoint()

@@ -14,6 +14,7 @@ from quillfin.operators import chunking, maxsim, points, rerank
 from quillfin.session import spread
 from quillfin.showcase import Showcase, table
 from quillfin.showcase.files import CHUNK_SQL
+from quillfin.showcase.store import stored_live
 
 shown = Showcase()
 add = shown.add
@@ -101,7 +102,7 @@ def maxsim_soft_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = vector_points(spark, sf_dir)
     mean = F.aggregate("vectors", F.lit(0.0), lambda a, v: a + F.get(v, F.lit(0)).cast("double"))
     dead = pts.where(mean < 0).select("segment_id", F.lit(2).cast("long").alias("version"))
-    return maxsim.maxsim_topk(points.live(pts, dead), label_queries(spark, sf_dir), 10)
+    return maxsim.maxsim_topk(stored_live(spark, pts, dead), label_queries(spark, sf_dir), 10)
 
 
 _ROLLED = """rolled AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY score DESC, segment_id) AS rn FROM sc) WHERE rn = 1)"""

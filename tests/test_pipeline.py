@@ -119,11 +119,13 @@ def test_ingest_update_purge_and_search(spark, corpus, tmp_path):
     assert names == {"gpio.md", "_clock.c", "sheet.pdf"}
     assert _stats(ingest(reopened, [str(corpus)], models, settings, force=True)) == (1, 3, 0)
     assert reopened.points_count().first()[0] == 8
-    small = reopened.compact(str(tmp_path / "small"))
-    assert small.points_count().first()[0] == 8
-    refs = spark.createDataFrame([(r["sha"], r["page"]) for r in reopened._read("pages", PAGE).collect()], "sha string, page int")
+    refs = spark.createDataFrame([(r["sha"], r["page"]) for r in reopened._committed("pages", PAGE).collect()], "sha string, page int")
     images = lambda i: {(r["sha"], r["page"], bytes(r["image"])) for r in i.page_images(refs).collect()}
-    assert len(images(small)) == 3 and images(small) == images(reopened)
+    before = images(reopened)
+    reopened.compact()
+    assert len(before) == 3 and images(reopened) == before
+    assert len(reopened._manifests) == 1 and len(_index(spark, tmp_path, embedder)._manifests) == 1
+    assert reopened.points_count().first()[0] == reopened._positioned().count() == 8
 
     queries = spark.createDataFrame([("q1", "baud rate"), ("q2", "dac voltage")], "query_id string, query string")
     answer = search(reopened, queries, [str(corpus)], models, settings, top_k=3)
@@ -223,7 +225,7 @@ def test_search_answers_in_part(spark, corpus, tmp_path):
     answer = search(index, queries, [str(corpus)], Models(embedder, OutlineModel()), conf.Settings())
     assert answer.status == "partial" and "no queries today" in " ".join(answer.errors) and answer.results.count() == 0
     (corpus / "new.md").write_text("fresh pin")
-    index.next_version = lambda: 1 / 0
+    index.begin = lambda: 1 / 0
     found = search(index, queries, [str(corpus / "gpio.md"), str(corpus / "new.md")], Models(HashEmbedder(), OutlineModel()), conf.Settings())
     assert found.status == "partial" and "Indexing error" in found.errors[0]
     assert {os.path.basename(r["path"]) for r in found.results.collect()} == {"gpio.md"}
@@ -265,11 +267,6 @@ def test_images_are_documents_and_rerankers_see_pages(spark, corpus, tmp_path):
     assert {r["rerank_reason"] for r in rows if r["query_id"] == "b"} - {None}
 
 
-def test_two_writers_get_two_versions(spark, tmp_path):
-    a, b = (Index(spark, str(tmp_path / "index"), 4) for _ in range(2))
-    assert a.next_version() != b.next_version()
-
-
 def test_validation_queries(spark, tmp_path):
     file = tmp_path / "q.json"
     file.write_text(json.dumps({"queries": [{"id": "a", "query": "x", "paths": ["/p"], "expected_paths_contain": ["hit"]}]}))
@@ -293,7 +290,7 @@ def test_diff_table(spark):
 
 def test_index_refuses_another_dimension(spark, tmp_path):
     index = Index(spark, str(tmp_path / "index"), 4)
-    index.commit(index.next_version())
+    index.begin().commit()
     with pytest.raises(RuntimeError):
         Index(spark, str(tmp_path / "index"), 8)
 
