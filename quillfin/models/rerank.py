@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillfin.models.limits import Expired, within
 from quillfin.models.topics import TopicModel
 from quillfin.operators import rerank
 from quillfin.operators.topics import page_label
@@ -31,9 +32,10 @@ def rank_prompt(query: Column, candidates: Column) -> Column:
 
 
 def reranked(
-    results: DataFrame, queries: DataFrame, model: TopicModel, max_candidates: int, images: DataFrame | None = None
+    results: DataFrame, queries: DataFrame, model: TopicModel, max_candidates: int, images: DataFrame | None = None, timeout: float | None = None
 ) -> DataFrame:
-    """Results in the model's order with ``rerank_reason``; one model call per query.
+    """Results in the model's order with ``rerank_reason``; one model call per query, of ``timeout`` seconds at
+    most. Without a reply the order stays.
 
     ``images`` (``sha, page, image``) are the pages that the model sees: each candidate's hero page, in the
     order of the candidates, where there is one.
@@ -63,8 +65,8 @@ def reranked(
             replies = []
             for prompt, pictures in zip(batch.column("prompt").to_pylist(), batch.column("images").to_pylist()):
                 try:
-                    replies.append(model.generate(prompt, pictures))
-                except Exception:  # noqa: BLE001 - no reply, no change of order
+                    replies.append(within(lambda: model.generate(prompt, pictures), timeout))  # noqa: B023 - called at once
+                except (Expired, Exception):  # noqa: BLE001 - no reply, no change of order
                     replies.append(None)
             yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("candidates"), pa.array(replies, pa.string())], names=["query_id", "candidates", "reply"])
 

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from quillfin.functions.jsonx import repaired
 from quillfin.functions.text import numbered_lines
+from quillfin.models.limits import Expired, within
 
 ATTEMPTS = 3
 RETRY = "The last answer could not be read. Answer with the JSON alone.\n\n"
@@ -117,21 +118,25 @@ def _label(value) -> str:
     return re.sub(r"^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$", "", str(value)) if value and isinstance(value, (str, int, float)) else ""
 
 
-def ask(model: TopicModel, prompt: str, images: list[bytes], opener: str, deadline: float | None = None) -> str | None:
-    """A reply that holds JSON, within three attempts and before the deadline; else null."""
+def ask(model: TopicModel, prompt: str, images: list[bytes], opener: str, deadline: float | None = None, timeout: float | None = None) -> str | None:
+    """A reply that holds JSON, within three attempts and before the deadline; else null. The deadline, or
+    ``timeout`` seconds, ends a call that hangs; a model that has hung is not asked again."""
     for attempt in range(ATTEMPTS):
-        if deadline and time.time() > deadline:
+        left = deadline - time.time() if deadline is not None else None
+        if left is not None and left <= 0:
             return None
         try:
-            reply = model.generate(RETRY + prompt if attempt else prompt, images)
+            reply = within(lambda: model.generate(RETRY + prompt if attempt else prompt, images), min((t for t in (left, timeout) if t is not None), default=None))
             if found_value(reply, opener) is not None:
                 return reply
+        except Expired:
+            return None
         except Exception:  # noqa: BLE001 - a failing model is a missing reply, reported as a skip
             continue
     return None
 
 
-def text_replies(windows: DataFrame, model: TopicModel, deadline: float | None = None) -> DataFrame:
+def text_replies(windows: DataFrame, model: TopicModel, deadline: float | None = None, timeout: float | None = None) -> DataFrame:
     """Replace ``prompt`` by ``reply``; one model call per row, where the row lies. Behind the deadline the
     model is no longer called, and ``late`` says so."""
     keep = [c for c in windows.columns if c != "prompt"]
@@ -141,7 +146,7 @@ def text_replies(windows: DataFrame, model: TopicModel, deadline: float | None =
         for batch in batches:
             replies, late = [], []
             for prompt in batch.column("prompt").to_pylist():
-                replies.append(ask(model, prompt, [], "[", deadline))
+                replies.append(ask(model, prompt, [], "[", deadline, timeout))
                 late.append(replies[-1] is None and deadline is not None and time.time() > deadline)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in keep] + [pa.array(replies, pa.string()), pa.array(late)], names=[*keep, "reply", "late"]

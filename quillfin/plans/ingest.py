@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quillfin.functions import jsonx
 from quillfin.functions.text import basename, is_blank, language_hint
 from quillfin.models.embed import Embedder, embed
+from quillfin.models.limits import until
 from quillfin.models.topics import TopicModel, text_prompt, text_replies
 from quillfin.operators import chunking, listing, points, state, topics
 from quillfin.session import checkpoint_dir, ship_package
@@ -21,7 +22,7 @@ from quillfin.sources import files as fs
 from quillfin.sources.content import decode_text
 from quillfin.sources.index import POINT, Index, Run
 from quillfin.sources.manifests import Conflict
-from quillfin.sources.pdf import PdfReader, pdf_pages, pdf_replies
+from quillfin.sources.pdf import REPLY, PdfReader, pdf_pages, pdf_replies
 
 CHUNK = (
     "path string, chunk_id string, file_sha256 string, kind string, title string, summary string, page_refs array<int>, "
@@ -212,6 +213,12 @@ def _image_chunks(stale: DataFrame, models: Models) -> DataFrame:
     return _shaped(images.withColumn("body", F.concat_ws("\n\n", points.image_body(F.col("title"), F.col("summary")), words)))
 
 
+def _filled_late(pages: DataFrame) -> DataFrame:
+    """Replies of files whose job was ended: none, and late."""
+    none = pages.sparkSession.createDataFrame([], REPLY)
+    return none.unionByName(pages.select("path").distinct().withColumn("late", F.lit(True)), allowMissingColumns=True)
+
+
 def _late_files(replies: DataFrame) -> DataFrame:
     return replies.where("late").select("path").distinct().select("path", F.lit("indexing timeout").alias("reason"))
 
@@ -229,7 +236,9 @@ def _text_chunks(
         (F.col("first_line") - 1).alias("line_offset"),
         text_prompt(F.col("window_text"), language_hint(F.col("path"))).alias("prompt"),
     )
-    replies = text_replies(asked, models.topics, deadline).checkpoint()
+    replies = until(stale.sparkSession, deadline, lambda: text_replies(asked, models.topics, deadline, settings.model_timeout).checkpoint())
+    if replies is None:
+        replies = asked.withColumn("prompt", F.lit(None).cast("string")).withColumnRenamed("prompt", "reply").withColumn("late", F.lit(True))
     late = _late_files(replies)
     found = jsonx.parse_text_topics(replies)
     silent = replies.select("path", "window_no").join(found.select("path", "window_no").distinct(), ["path", "window_no"], "left_anti")
@@ -296,7 +305,9 @@ def _pdf_chunks(
             "sha", "page", "image", F.length("image").cast("long").alias("bytes"), F.lit(run.version).cast("long").alias("version")
         ),
     )
-    every = pdf_replies(content, models.pdf, models.topics, settings, deadline).checkpoint()
+    every = until(stale.sparkSession, deadline, lambda: pdf_replies(content, models.pdf, models.topics, settings, deadline).checkpoint())
+    if every is None:
+        every = _filled_late(pages)
     late = _late_files(every)
     replies = every.join(late, "path", "left_anti")
     parsed = jsonx.parse_page_topics(replies, settings.chunker_max_topics_per_call)

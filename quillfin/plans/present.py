@@ -126,7 +126,8 @@ def compact(results: DataFrame) -> DataFrame:
 
 
 def trim(results: DataFrame, sizes: DataFrame | None, budget_bytes: int) -> DataFrame:
-    """Results for a tool client: hero page only, excerpts of 400 characters, images within a budget.
+    """Results for a tool client: hero page only, excerpts of 400 characters, images within a budget; the
+    reranker's reason and the location stay if there are any.
 
     ``sizes``: ``page_image_path, image``. Images are taken in rank order; one that does not fit is
     skipped and does not use up the budget.
@@ -141,6 +142,7 @@ def trim(results: DataFrame, sizes: DataFrame | None, budget_bytes: int) -> Data
         F.substring("excerpt", 1, 400).alias("excerpt"),
         F.col("_hero.page").alias("hero_page"),
         F.col("_hero.page_image_path").alias("hero_page_image_path"),
+        *[c for c in ("rerank_reason", "location") if c in results.columns],
     )
     if sizes is None:
         return slim.withColumn("hero_page_image_b64", F.lit(None).cast("string"))

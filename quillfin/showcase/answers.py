@@ -125,7 +125,7 @@ fold AS (SELECT query_id, n, CASE WHEN img_size <= 1000 THEN img_size ELSE 0 END
   UNION ALL SELECT h.query_id, h.n, f.used + CASE WHEN f.used + h.img_size <= 1000 THEN h.img_size ELSE 0 END, coalesce(f.used + h.img_size <= 1000, false)
   FROM fold f JOIN hp h ON h.query_id = f.query_id AND h.n = f.n + 1)
 SELECT h.query_id, h.rank, md5(substr(h.excerpt, 1, 400)) AS excerpt_md5, hp.page AS hero_page, hp.img_path AS hero_page_image_path,
-  md5(CASE WHEN fold.kept THEN hp.img_b64 END) AS image_md5
+  md5(CASE WHEN fold.kept THEN hp.img_b64 END) AS image_md5, '/talk/' || h.query_id AS directory
 FROM hits h LEFT JOIN hp USING (query_id, rank) LEFT JOIN fold ON fold.query_id = hp.query_id AND fold.n = hp.n""")
 def trimmed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = page_images(spark, sf_dir).select(
@@ -134,7 +134,7 @@ def trimmed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     slim = present.trim(results(spark, sf_dir), images, 1000)
     return slim.select(
         "query_id", "rank", F.md5("excerpt").alias("excerpt_md5"), "hero_page", "hero_page_image_path",
-        F.md5("hero_page_image_b64").alias("image_md5"),
+        F.md5("hero_page_image_b64").alias("image_md5"), F.col("location.directory").alias("directory"),
     )
 
 

@@ -87,9 +87,9 @@ def pdf_replies(
                 state = OpenTopics(settings.chunker_topic_cold_pages, settings.chunker_topic_max_pages)
                 pages = _read(reader, content or b"", settings.ocr_threshold)
                 for number, window in enumerate(_windows(pages, stride)):
-                    late = deadline is not None and time.time() > deadline
-                    yield _ask(model, settings, state, path, number, window, late)
-                    if late:
+                    reply = _ask(model, settings, state, path, number, window, deadline)
+                    yield reply
+                    if reply["late"].iloc[0]:
                         break
 
     return files.select("path", "content").mapInPandas(run, REPLY)
@@ -100,14 +100,13 @@ def _windows(pages: Iterator, size: int) -> Iterator[list]:
         yield window
 
 
-def _ask(model, settings, state: OpenTopics, path: str, number: int, window: list, late: bool = False) -> pd.DataFrame:
+def _ask(model, settings, state: OpenTopics, path: str, number: int, window: list, deadline: float | None = None) -> pd.DataFrame:
     """The reply for one window; the open topics become what will be stored for it."""
     pages = [p for p, _, _ in window]
     limit = settings.chunker_max_topics_per_call
-    reply = None
-    if not late:
-        prompt = page_prompt([(p, t) for p, t, _ in window], state.running(), limit)
-        reply = ask(model, prompt, [i for _, _, i in window if i is not None], "{")
+    prompt = page_prompt([(p, t) for p, t, _ in window], state.running(), limit)
+    reply = ask(model, prompt, [i for _, _, i in window if i is not None], "{", deadline, settings.model_timeout)
+    late = reply is None and deadline is not None and time.time() > deadline
     rows = [(p, t, title, summary) for p, t, _, title, summary in page_topics(reply, pages, limit)]
     rows = rows or [(p, f"unparsed_{number}", unparsed_title(min(pages), max(pages)), "") for p in pages]
     state.window(rows, pages[-1])

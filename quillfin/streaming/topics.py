@@ -67,7 +67,7 @@ def closed_topics(pages: DataFrame, cold_pages: int = 20, max_pages: int = 15, i
 
 def _frame(path: str, closed: list) -> pd.DataFrame:
     rows = [
-        (path, topic, title[:200], summary[:500], sorted(int(p) for p in pages), int(hero))
+        (path, topic, title, summary, sorted(int(p) for p in pages), int(hero))
         for topic, (title, summary, pages, hero) in closed
     ]
     return pd.DataFrame(rows, columns=["path", "topic_id", "title", "summary", "page_refs", "hero_page"])
