@@ -1,8 +1,7 @@
 """Finding and reading files with Spark tasks.
 
-``walk`` lists a POSIX tree that all executors can reach (a shared mount), one directory level per
-job and one directory per row, so that no listing passes through the driver or a single task. It
-accounts for every skipped file. ``binary_files`` reads any Hadoop file system through Spark's own
+``walk`` lists a POSIX tree that all executors can reach (a shared mount) through the data source of
+``sources.tree``. It accounts for every skipped file. ``binary_files`` reads any Hadoop file system through Spark's own
 source, which leaves out empty files and names that start with ``_`` or ``.``.
 """
 
@@ -13,16 +12,18 @@ import hashlib
 import os
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillfin.operators.state import fingerprints
 from quillfin.session import checkpoint_dir
 from quillfin.settings import CONFIG_NAMES, Settings
+from quillfin.sources import tree
 from quillfin.sources.content import IMAGE_MAGIC, PDF_MAGIC, file_type
 
 _ENTRY = "path string, kind string, reason string"
@@ -45,25 +46,54 @@ def binary_files(spark: SparkSession, roots: list[str]) -> DataFrame:
 
 
 def walk(spark: SparkSession, paths: list[str], settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """``(files, skipped)``: distinct real paths to look at, and ``path, reason`` for the rest."""
+    """``(files, skipped)``: distinct real paths to look at, and ``path, reason`` for the rest.
+
+    One scan walks all requested directories (``sources.tree``). Links to directories are followed in rounds,
+    each entering the targets that no round has walked.
+    """
     checkpoint_dir(spark)
     requested = spark.createDataFrame([(p,) for p in paths], "path string").distinct()
-    level = requested.mapInPandas(_resolver(), _ENTRY).checkpoint()
-    levels = [level]
-    seen = level.where("kind = 'dir'").select("path")
-    frontier = seen
-    while not frontier.isEmpty():
-        level = frontier.repartition("path").mapInPandas(_lister(settings), _ENTRY).distinct().checkpoint()
-        levels.append(level)
-        # Links may lead back up, so a directory is entered once.
-        frontier = level.where("kind = 'dir'").select("path").distinct().join(seen, "path", "left_anti").checkpoint()
-        seen = seen.unionByName(frontier)
-    entries = reduce(DataFrame.unionByName, levels)
-    files = entries.where("kind = 'file'").select("path").distinct()
-    skipped = entries.where("kind = 'skip'").select("path", "reason").distinct()
+    first = requested.mapInPandas(_resolver(), _ENTRY).checkpoint()
+    # No more than were asked for.
+    roots = sorted(r["path"] for r in first.where("kind = 'dir'").select("path").distinct().collect())
+    outer = [r for i, r in enumerate(roots) if not any(_inside(r, o, settings) for o in roots[:i])]
+    rounds = [first]
+    if outer:
+        rounds.append(tree.tree(spark, outer, settings).select("path", "kind", "reason").checkpoint())
+    walked = spark.createDataFrame([(r,) for r in outer], "path string")
+    while True:
+        targets = rounds[-1].where("kind = 'link'").select("path").distinct()
+        new = targets.where(~_under_any(F.col("path"), outer, settings)).join(walked, "path", "left_anti").checkpoint()
+        if new.isEmpty():
+            break
+        rounds.append(new.repartition("path").mapInPandas(_walker(settings), _ENTRY).checkpoint())
+        walked = walked.unionByName(new)
+    found = reduce(DataFrame.unionByName, rounds)
+    files = found.where("kind = 'file'").select("path").distinct()
+    skipped = found.where("kind = 'skip'").select("path", "reason").distinct()
     return files, skipped
 
 
+def _inside(path: str, root: str, settings: Settings) -> bool:
+    """Whether a walk of ``root`` comes through ``path``."""
+    if path == root:
+        return True
+    base = root.rstrip("/") + "/"
+    return path.startswith(base) and (settings.include_hidden or "/." not in path[len(base) - 1 :])
+
+
+def _under_any(path: Column, roots: list[str], settings: Settings) -> Column:
+    """``_inside`` for any of the roots."""
+    inside = F.lit(False)
+    for root in roots:
+        base = root.rstrip("/") + "/"
+        seen = F.startswith(path, F.lit(base))
+        if not settings.include_hidden:
+            seen = seen & ~F.contains(F.substring(path, len(base), 1 << 20), F.lit("/."))
+        inside = inside | (path == root) | seen
+    return inside
+
+
 def _resolver():
     """Explicitly requested paths: files, directories, or reasons to skip."""
 
@@ -84,35 +114,16 @@ def _resolver():
     return run
 
 
-def _lister(settings: Settings):
-    """Children of directories; hidden names and config files vanish silently."""
-
-    def children(directory: str) -> Iterator[tuple[str, str, str | None]]:
-        try:
-            with os.scandir(directory) as found:
-                for entry in found:
-                    if entry.name.startswith(".") and not settings.include_hidden:
-                        continue
-                    real = os.path.realpath(entry.path)
-                    linked = entry.is_symlink()
-                    if os.path.isdir(real):
-                        if settings.follow_symlinks or not linked:
-                            yield real, "dir", None
-                    elif entry.name in CONFIG_NAMES:
-                        continue
-                    elif linked and not settings.follow_symlinks:
-                        yield real, "skip", "symlink"
-                    else:
-                        yield real, "file", None
-        except OSError as exc:
-            yield directory, "skip", f"walk error: {exc}"
+def _walker(settings: Settings):
+    """All that is below directories, as it is found."""
+    rules = tree.Rules(settings.include_hidden, settings.follow_symlinks)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for directory in frame["path"]:
-                rows = list(children(directory))
-                for at in range(0, len(rows), 10_000):
-                    yield pd.DataFrame(rows[at : at + 10_000], columns=["path", "kind", "reason"])
+                rows = (row[:3] for row in tree.below(directory, rules))
+                while part := list(islice(rows, 10_000)):
+                    yield pd.DataFrame(part, columns=["path", "kind", "reason"])
 
     return run
 
