@@ -121,7 +121,11 @@ def _step_features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     upper, lower = byte(_UPPER), byte(_LOWER)
     size = np.maximum(np.diff(offsets), 1)
     shouted, obfuscated = _odd_words(raw, offsets)
-    drawn = np.bincount(text_of[2:][(raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2]) & ~SPACE[raw[2:]]], minlength=rows) if len(raw) > 2 else np.zeros(rows)
+    drawn = np.zeros(rows)
+    if len(raw) > 2:
+        # Three equal bytes of one text; texts lie end to end here.
+        thrice = (raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2]) & (text_of[2:] == text_of[:-2]) & ~SPACE[raw[2:]]
+        drawn = np.bincount(text_of[2:][thrice], minlength=rows)
     return np.stack(
         [
             np.log1p(w.counts), total(word_odds > 0) / n, total(stem_odds > 0) / n, np.log1p(total(word_odds > 0)),

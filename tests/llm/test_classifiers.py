@@ -104,3 +104,17 @@ def test_plain_words_fold_signs():
     w, _ = boosting._terms(pa.array(["1D10T! Sh1t-head @ll", None]))
     words = [w.data[a:b].tobytes().decode() for a, b in zip(w.start, w.end)]
     assert words == re.findall(r"\S+", "idiot shit head all")
+
+
+def test_features_of_a_text_do_not_depend_on_its_neighbours():
+    r = random.Random(4)
+    texts = [None, "", "abc def", "baa", "aabb", "é́", "YOU 1diot!!!", "!!!", "a", "aa"] + ["".join(r.choice("aA !1é\n") for _ in range(r.randrange(30))) for _ in range(200)]
+    words_ = np.frombuffer(b"youabc", np.uint8)
+    known = np.sort(boosting.xxh64(words_, np.array([0, 3]), np.array([3, 6])))
+    lexicon = Lexicon({0: (known, np.array([2.0, 1.0]))})
+    together = features(pa.array(texts, pa.string()), lexicon)
+    for order in (sorted(range(len(texts)), key=lambda i: r.random()), range(len(texts))):
+        for cut in (1, 7):
+            for at in range(0, len(texts), cut):
+                part = list(order)[at : at + cut]
+                np.testing.assert_array_equal(features(pa.array([texts[i] for i in part], pa.string()), lexicon), together[part])
