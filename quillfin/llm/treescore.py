@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -44,10 +45,12 @@ ENDS = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
 }
 
-_MARKUP = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
-)
-_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+# One attribute or what stands between two. A value without quotes may hold quotes; a quote that is never closed
+# is a name like any other. Nothing is tried twice, so a tag costs its length.
+_VALUE = r"\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+"
+_ATTRIBUTES = rf"(?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+(?:{_VALUE})?+)?+|=)*+"
+_MARKUP = re.compile(rf"<!--(?:.*?-->|.*\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s/>=]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+))")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CLASS_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
@@ -74,6 +77,8 @@ def parsed(source: str) -> Page:
     """The tree of a page; open elements are ended as browsers do for the common cases."""
     page = Page()
     stack: list[int] = []
+    # Depths at which an element of each name is open, so that no search walks the stack.
+    open_at: dict[str, list[int]] = defaultdict(list)
     block = at = 0
 
     def open_(tag: str, unlikely: bool) -> None:
@@ -81,20 +86,21 @@ def parsed(source: str) -> Page:
         page.parent.append(stack[-1] if stack else -1)
         page.end.append(-1)
         page.unlikely.append(unlikely)
+        open_at[tag].append(len(stack))
         stack.append(len(page.tag) - 1)
 
     def close(depth: int) -> None:
         while len(stack) > depth:
-            page.end[stack.pop()] = len(page.tag)
+            e = stack.pop()
+            open_at[page.tag[e]].pop()
+            page.end[e] = len(page.tag)
+
+    def deepest(tags: set[str]) -> int:
+        return max((open_at[t][-1] for t in tags if open_at[t]), default=0)
 
     def find(wanted: set[str], stop: set[str]) -> int:
-        for depth in range(len(stack) - 1, 0, -1):
-            tag = page.tag[stack[depth]]
-            if tag in wanted:
-                return depth
-            if tag in stop:
-                break
-        return 0
+        depth = deepest(wanted)
+        return depth if depth >= deepest(stop) else 0
 
     open_("html", False)
     while at < len(source):

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -59,3 +60,22 @@ def test_extraction_keeps_rows_and_columns(spark):
     got = sorted(((g["page_id"] or 0, g["url"], g["n_chars"], g["text"][:10]) for g in extract(pages).collect()), key=str)
     assert got == sorted([(1, "u", len(PROSE), PROSE[:10])] * 2 + [(0, None, 0, ""), (2, "v", 150_000, ("漢字、" * 4)[:10])], key=str)
     assert extract(pages.limit(0)).columns == ["page_id", "url", "html", "text", "n_chars"]
+
+
+def test_quotes_inside_values_without_quotes_are_no_text():
+    page = f"<article><p class=it's>Hello, there.</p><p data-x=o'neil title=\"a > b\">{PROSE}</p><p x='>' y=a\"b>End<br/>line</p><p a = 'it' b='>last</p></article>"
+    assert main_text(page) == f"Hello, there. {PROSE} End line last"
+
+
+@pytest.mark.parametrize(
+    "part", ["<div>", "<b></i>", "<p x='", '<a b="c', "<table><tr><td>", "<li>", "</p>", "<!--", "<", "<a =", "<textarea>x</textare", "<ul><li>a</b>"]
+)
+def test_time_grows_with_the_length_of_the_page(part):
+    def cost(n):
+        began = time.process_time()
+        main_text(part * n)
+        return time.process_time() - began
+
+    small = min(cost(20_000) for _ in range(2))
+    # Ten times the page; a hundred times the time would be quadratic.
+    assert cost(200_000) < 35 * small + 2
