@@ -223,8 +223,10 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """``(id_col, component_id)`` per row of ``docs`` (ids not null): rows whose texts share at least
-    ``similarity`` of their word shingles are linked, ``component_id`` is the smallest id reachable.
+    """``(id_col, text_key, component_id, first)`` per row of ``docs`` (ids not null): rows whose texts share at
+    least ``similarity`` of their word shingles are linked, ``component_id`` is the smallest id reachable and
+    ``first`` says whether the row has that id and, of the texts with it in the component, the one with the
+    smallest ``text_key``, Spark's hash of the text. Rows with one id and other texts are other rows.
 
     Equal sketches (equal texts, all wordless or null texts) are one class. The six fingerprints of each
     class go through one pass of half-balls, told apart by their upper bits. Pairs that the whole sketches
@@ -272,11 +274,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         compared = compared.unionAll(apart)
         verified = verified.unionAll(_sharing(apart, classes, docs, id_col, text_col, shingle, similarity)).checkpoint()
         labels = components(verified)
-    member = classes.join(labels, "node", "left").select("sketch", "id", F.coalesce("component", "node").alias("root"))
-    least = member.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = member.join(least, "root").select("sketch", "component_id")
+    member = classes.join(labels, "node", "left").select("sketch", F.struct("id", "text_key").alias("own"), F.coalesce("component", "node").alias("root"))
+    least = member.groupBy("root").agg(F.min("own").alias("least"))
+    named = member.join(least, "root").select("sketch", "least")
     # A class may own any share of the rows; adaptive execution splits its side of this join.
-    return rows.join(named, "sketch").select(id_col, "component_id")
+    is_first = (F.col(id_col) == F.col("least.id")) & (F.col("text_key") == F.col("least.text_key"))
+    return rows.join(named, "sketch").select(id_col, "text_key", F.col("least.id").alias("component_id"), is_first.alias("first"))
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, limit: float) -> DataFrame:

@@ -64,15 +64,23 @@ def test_near_dedup_keeps_one_of_each_group(stages):
     after = Counter(r["doc_id"] for r in stages["near_dedup"].where("doc_id is not null").collect())
     assert set(after.values()) == {1}
     sets = {i: shingles(t) for i, t in before}
-    near = {i: {j for j in sets if j != i and len(sets[i] & sets[j]) >= 0.65 * len(sets[i] | sets[j])} for i in sets}
+    near = {i: {j for j in sets if j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])} for i in sets}
     for i in sets:
-        same = {j for j in near[i] if len(sets[i] & sets[j]) >= 0.87 * len(sets[i] | sets[j])}
+        same = {j for j in near[i] if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
         assert i in after or any(j < i for j in near[i])
         assert not (i in after and any(j in after for j in same))
     # Rows without an id stay as they are.
     assert stages["near_dedup"].where("doc_id is null").count() == stages["quality_rules"].where("doc_id is null").count()
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(0, b), (1, a), (1, b), (2, c), (2, a + " more"), (3, c), (3, c), (4, "alone " + b[:0] + " ".join(f"d{i}" for i in range(30)))]
+    docs = spark.createDataFrame([(i, t, "en", f"s{n}", len(t)) for n, (i, t) in enumerate([*rows, (4, rows[-1][1]), (None, b)])], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((str(r["doc_id"]), r["text"]) for r in corpus_pipeline.near_dedup(spark, docs.repartition(4), SF).collect())
+    assert got == sorted([("0", b), ("1", a), ("2", c), ("4", rows[-1][1]), ("None", b)])
+
+
 def test_substring_dedup_against_all_windows(stages):
     before = [(r["doc_id"], r["text"]) for r in stages["near_dedup"].collect()]
     got = sorted((str(r["doc_id"]), " ".join(words(r["text"]))) for r in stages["substring_dedup"].collect())
