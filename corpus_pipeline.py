@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillfin.llm import balance, ballhash, countmin, divergence, grouping
@@ -24,15 +24,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group; of rows with that id, one.
+    """One document of each near-duplicate group: the one with the smallest id, of texts with that id in the group
+    the one with the smallest hash, and of equal rows one.
 
     Rows without an id can't be named by another one and stay.
     """
     found = ballhash.similar_documents(docs.where("doc_id is not null"), shingle=SHINGLE)
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    named = docs.join(stay, "doc_id", "left_semi").withColumn("_nth", nth).where("_nth = 1").drop("_nth")
-    return named.select(*docs.columns).unionAll(docs.where("doc_id is null"))
+    stay = found.where("first").groupBy("doc_id", F.col("text_key").alias("_key")).agg(F.count("*").alias("_rows")).checkpoint()
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    once = keyed.join(stay.where("_rows = 1"), ["doc_id", "_key"], "left_semi").select(*docs.columns)
+    # Rows with the same id and text; their number may be any, so they are combined before they are shuffled.
+    rest = [c for c in docs.columns if c != "doc_id"]
+    several = keyed.join(stay.where("_rows > 1"), ["doc_id", "_key"], "left_semi").groupBy("doc_id", "_key").agg(F.min(F.struct(*rest)).alias("_row"))
+    picked = several.select("doc_id", "_row.*").select(*docs.columns)
+    return once.unionAll(picked).unionAll(docs.where("doc_id is null"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
