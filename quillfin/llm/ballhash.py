@@ -232,7 +232,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     class go through one pass of half-balls, told apart by their upper bits. Pairs that the whole sketches
     leave possible are decided by the shingles of their texts.
 
-    The stars of the half-balls, and of each fingerprint around its smallest class, are compared first.
+    The stars of the half-balls, and of each fingerprint around its smallest class, are compared first; texts
+    only where no verified links join the two already.
     They stand for all pairs of a star only as far as they hold. So where a star is of several components
     then, its members of different components are compared with each other: each with the most alike
     one first, which joins most of what belongs together, then all that are still apart.
@@ -261,9 +262,18 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     same = tables.join(heads, "fp").where("node <> head").select(F.col("head").alias("node_a"), F.col("node").alias("node_b"))
     pairs = across.unionAll(same).where("node_a <> node_b").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
     limit = similarity - 2 * ERROR
-    compared = _alike(pairs, classes, limit).checkpoint()
-    verified = _sharing(compared, classes, docs, id_col, text_col, shingle, similarity).checkpoint()
+    estimated = _alike(pairs, classes, limit).checkpoint()
+    compared = estimated.select("a", "b")
+    # Texts are read for a forest first, each class with the one most alike; then for pairs that it leaves apart.
+    forest = estimated.groupBy("a").agg(F.max_by("b", F.struct("alike", "b")).alias("b")).unionAll(
+        estimated.groupBy("b").agg(F.max_by("a", F.struct("alike", "a")).alias("a")).select("a", "b")
+    ).distinct().checkpoint()
+    verified = _sharing(forest, classes, docs, id_col, text_col, shingle, similarity).checkpoint()
     labels = components(verified)
+    rest = _between(compared.join(forest, ["a", "b"], "left_anti"), labels).checkpoint()
+    if not rest.isEmpty():
+        verified = verified.unionAll(_sharing(rest, classes, docs, id_col, text_col, shingle, similarity)).checkpoint()
+        labels = components(verified)
     # Each star with its hub, and each fingerprint of several classes.
     own = met.select("a").unionAll(heads.where("n > 1").select("fp")).distinct()
     stars = met.unionAll(own.select("a", F.col("a").alias("b"))).toDF("hub", "fp")
@@ -282,18 +292,26 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return rows.join(named, "sketch").select(id_col, "text_key", F.col("least.id").alias("component_id"), is_first.alias("first"))
 
 
+def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` of nodes that are not of one component."""
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+    named = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return named.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+
 def _alike(pairs: DataFrame, classes: DataFrame, limit: float) -> DataFrame:
-    """The pairs ``(a, b)`` of nodes whose sketches estimate a similarity of at least ``limit``."""
+    """``(a, b, alike)`` for the pairs of nodes whose sketches estimate a similarity of at least ``limit``."""
     sketch = lambda side: classes.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}"))
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (_bits(batch.column(c)) for c in (2, 3))
-            alike = pa.array(_estimate(np.bitwise_count(a ^ b).sum(1)) >= limit)
-            yield batch.filter(alike).select([0, 1])
+            alike = _estimate(np.bitwise_count(a ^ b).sum(1))
+            found = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike.astype(np.float32))], ["a", "b", "alike"])
+            yield found.filter(pa.array(alike >= limit))
 
     both = pairs.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "sketch_a", "sketch_b")
-    return both.mapInArrow(checked, "a long, b long")
+    return both.mapInArrow(checked, "a long, b long, alike float")
 
 
 def _bits(column: pa.Array) -> np.ndarray:
