@@ -321,14 +321,18 @@ def maxsim_topk(
             .groupBy("query_id", "segment_id", "group_id")
             .agg(F.round(F.sum("score"), SCORE_DECIMALS).alias("score"))
         )
-    merged = reduce(DataFrame.unionByName, found)
+    return best(reduce(DataFrame.unionByName, found), group, k)
+
+
+def best(scored: DataFrame, group: str | None, k: int) -> DataFrame:
+    """The best ``k`` of ``(query_id, segment_id, group_id, score)`` for each query, one point for each group."""
     if group is not None:
-        merged = merged.groupBy("query_id", "group_id").agg(
+        scored = scored.groupBy("query_id", "group_id").agg(
             F.min(F.struct((-F.col("score")).alias("neg"), "segment_id")).alias("b")
         ).select("query_id", "b.segment_id", (-F.col("b.neg")).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "segment_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "segment_id")
     return (
-        merged.withColumn("rank", F.row_number().over(best))
+        scored.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
         .select("query_id", "rank", "segment_id", "score")
     )

@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillfin.models.embed import HashEmbedder, embed
-from quillfin.operators import chunking, maxsim, points, rerank
+from quillfin.operators import chunking, maxsim, points, pruning, rerank
 from quillfin.session import spread
 from quillfin.showcase import Showcase, table
 from quillfin.showcase.files import CHUNK_SQL
-from quillfin.showcase.store import stored_live
+from quillfin.showcase.store import scratch, stored_live
 
 shown = Showcase()
 add = shown.add
@@ -66,6 +66,7 @@ best AS (SELECT query_id, qi, point, max(list_inner_product(qv, v)) AS b FROM qt
 sc AS (SELECT query_id, segment_id, chunk_id, modality, path, first_mean, v0, round(sum(b), 6) AS score
   FROM best JOIN pt USING (point) GROUP BY ALL)
 """
+_ROLLED = """rolled AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY score DESC, segment_id) AS rn FROM sc) WHERE rn = 1)"""
 _TOP = "SELECT query_id, CAST(rank AS INTEGER) AS rank, segment_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, segment_id) AS rank FROM {src}) WHERE rank <= {k}"
 
 
@@ -85,6 +86,20 @@ def maxsim_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxsim.maxsim_topk(vector_points(spark, sf_dir), label_queries(spark, sf_dir), 10)
 
 
+@add(f"WITH {_VECTOR_SQL} {_TOP.format(src='sc', k=10)}")
+def maxsim_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows from a table in blocks, of which only those are scored that can reach the tenth best."""
+    stored = pruning.write_blocks(vector_points(spark, sf_dir), scratch(spark, "blocks"))
+    return pruning.pruned_topk(stored, label_queries(spark, sf_dir), 10).result
+
+
+@add(f"WITH {_VECTOR_SQL}, {_ROLLED} {_TOP.format(src='rolled', k=10)}")
+def rollup_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best chunks by their best point, with the same blocks left out."""
+    stored = pruning.write_blocks(vector_points(spark, sf_dir), scratch(spark, "blocks"))
+    return pruning.pruned_topk(stored, label_queries(spark, sf_dir), 10, group="chunk_id").result
+
+
 @add(f"""WITH {_VECTOR_SQL},
 sizes AS (SELECT path, count(*) AS n FROM pt GROUP BY path),
 kept AS (SELECT * FROM sc WHERE path IN (SELECT path FROM sizes WHERE n >= (SELECT avg(n) FROM sizes)))
@@ -105,9 +120,6 @@ def maxsim_soft_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxsim.maxsim_topk(stored_live(spark, pts, dead), label_queries(spark, sf_dir), 10)
 
 
-_ROLLED = """rolled AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY score DESC, segment_id) AS rn FROM sc) WHERE rn = 1)"""
-
-
 @add(f"WITH {_VECTOR_SQL}, {_ROLLED} {_TOP.format(src='rolled', k=10)}")
 def rollup_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxsim.maxsim_topk(vector_points(spark, sf_dir), label_queries(spark, sf_dir), 10, group="chunk_id")
