@@ -7,14 +7,17 @@ phrases mean that the sample predicts the text well. With ``c`` phrases over ``n
 character, a phrase being a place in the sample or a letter it does not have; the language with the least
 of it wins.
 
-The parse never needs suffix links: a character that ends a match only has to be looked up at the root.
-So an automaton becomes one table of transitions, with a mark on those that begin a phrase, and a step of
-all blocks of all texts in all languages is one array lookup. The models are bounded by parameters:
-languages times sample size times alphabet.
+Every label is learned, and every letter of the samples has a code of its own, whatever its script; marks
+that combine with letters count as letters. The parse never needs suffix links: a character that ends a match
+only has to be looked up at the root. The transitions of all automata lie in one array, each state's row
+shifted so that rows share it without meeting, and an entry names its state. A step of all blocks of all
+texts in all languages is two array lookups, and one more where a phrase ends. The array grows with the
+characters of the samples, which are bounded by parameters, and not with languages times alphabet.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,14 +34,13 @@ from quillfin.llm.words import rows_in_steps
 SAMPLE_DOCS = 120
 DOC_CHARS = 400
 MODEL_CHARS = 24_000
-ALL_CHARS = 200_000
-# Most languages, the most frequent first, and most letters that get a symbol of their own.
-MAX_LANGS = 64
-MAX_LETTERS = 120
+ALL_CHARS = 2_000_000
+# First choices of a language are made in so many groups, then from these.
+SALTS = 256
 # Texts are parsed in blocks of so many characters; the end of a block ends a phrase.
 BLOCK = 4096
 UNKNOWN = "und"
-# Code of everything that is not a letter; letters follow, unknown ones share code 1.
+# Code of everything that is not a letter; letters follow, those of no sample share code 1.
 GAP, OTHER = 0, 1
 
 
@@ -90,9 +92,10 @@ class Models:
     langs: list[str]
     # Letters with a code of their own, in the order of their codes from 2 on.
     letters: str
-    # Entry of state s and code c, at s + c: twice the next state's place, plus 1 if a phrase begins.
+    # Entry of state s and code c, at base[s] + c: s and the next state, 32 bits each; another s where there is none.
     table: np.ndarray
-    # Place of each language's root, and the bits that a phrase costs.
+    base: np.ndarray
+    # Each language's root, and the bits that a phrase costs.
     roots: np.ndarray
     bits: np.ndarray
 
@@ -106,11 +109,12 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", where
     begin = F.pmod(rank, F.greatest(F.length(text_col) - DOC_CHARS, F.lit(0)) + 1).cast("int")
     excerpt = F.substring(F.col(text_col), begin + 1, F.lit(DOC_CHARS))
     rows = allowed.select(F.col(lang_col).cast("string").alias("lang"), rank.alias("rank"), excerpt.alias("text"))
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    sampled = rows.where(F.col("lang").isin(langs)).mapInArrow(_first_by_rank, rows.schema).groupBy("lang").applyInArrow(_first_of_group, rows.schema)
-    texts: dict[str, list[str]] = {lang: [] for lang in sorted(langs)}
-    for r in sorted(sampled.collect(), key=lambda r: (r["rank"], r["text"])):
-        texts[r["lang"]].append(r["text"])
+    salt = F.pmod(F.xxhash64("rank", "text"), F.lit(SALTS))
+    sampled = rows.mapInArrow(_first_by_rank, rows.schema).groupBy("lang", salt).applyInArrow(_first_of_group, rows.schema)
+    sampled = sampled.groupBy("lang").applyInArrow(_first_of_group, rows.schema)
+    texts: dict[str, list[str]] = {}
+    for r in sorted(sampled.collect(), key=lambda r: (r["lang"], r["rank"], r["text"])):
+        texts.setdefault(r["lang"], []).append(r["text"])
     return build({lang: t for lang, t in texts.items() if any(c.isalpha() for x in t for c in x)}, same_size=False)
 
 
@@ -119,14 +123,14 @@ def _first_by_rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     held: pa.Table | None = None
     for batch in batches:
         table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
-        order = table.select(["lang", "rank"]).to_pandas().sort_values(["lang", "rank"], kind="stable")
+        order = table.to_pandas().sort_values(["lang", "rank", "text"], kind="stable")
         held = table.take(pa.array(order.groupby("lang").head(SAMPLE_DOCS).index.to_numpy())).combine_chunks()
     if held is not None:
         yield from held.to_batches()
 
 
 def _first_of_group(group: pa.Table) -> pa.Table:
-    return group.sort_by("rank").slice(0, SAMPLE_DOCS)
+    return group.sort_by([("rank", "ascending"), ("text", "ascending")]).slice(0, SAMPLE_DOCS)
 
 
 def build(texts: dict[str, list[str]], model_chars: int = MODEL_CHARS, same_size: bool = True) -> Models:
@@ -137,10 +141,11 @@ def build(texts: dict[str, list[str]], model_chars: int = MODEL_CHARS, same_size
     sizes = {lang: min(most, max(sum(map(len, s)), 1)) for lang, s in samples.items()}
     if same_size:
         sizes = dict.fromkeys(sizes, min(sizes.values(), default=1))
-    seen = Counter(c for s in samples.values() for t in s for c in t if c.isalpha())
-    letters = "".join(sorted(sorted(seen, key=lambda c: (-seen[c], c))[:MAX_LETTERS]))
+    seen = Counter(c for s in samples.values() for t in s for c in t if c != " ")
+    # The most frequent letters first, so that rows of transitions are short.
+    letters = "".join(sorted(seen, key=lambda c: (-seen[c], c)))
     width = len(letters) + 2
-    parts, roots, bits, offset = [], [], [], 0
+    rows, roots, offset = [], [], 1
     for lang, sample in samples.items():
         automaton, left = SuffixAutomaton(), sizes[lang]
         for text in sample:
@@ -150,48 +155,84 @@ def build(texts: dict[str, list[str]], model_chars: int = MODEL_CHARS, same_size
             left -= min(left, len(text))
             if not left:
                 break
-        rows = np.full((len(automaton.next), width), -1, np.int64)
-        for state, transitions in enumerate(automaton.next):
-            for code, target in transitions.items():
-                rows[state, code] = 2 * (offset + target * width)
-        # Where a match ends, the phrase that begins is looked up at the root; unknown there, it is a phrase
-        # of its own. What comes then, or first in a block, begins one, too: a root of marked entries only.
-        root = np.where(rows[0] < 0, 2 * (offset + rows.size), rows[0]) + 1
-        rows = np.where(rows < 0, root, rows)
-        parts += [rows.ravel(), root]
-        roots.append(offset + rows.size)
-        bits.append(np.log2(sizes[lang] + width))
-        offset += rows.size + width
-    table = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
-    return Models(list(samples), letters, table, np.array(roots, np.int64), np.array(bits))
+        found = [(state, code, target) for state, own in enumerate(automaton.next) for code, target in own.items()]
+        rows.append(np.array(found, np.int64).reshape(-1, 3) + [offset, 0, offset])
+        roots.append(offset)
+        offset += len(automaton.next)
+    table, base = _shared_rows(np.concatenate(rows) if rows else np.zeros((0, 3), np.int64), offset, width)
+    bits = np.array([np.log2(sizes[lang] + width) for lang in samples])
+    return Models(list(samples), letters, table, base, np.array(roots, np.int64), bits)
+
+
+def _shared_rows(transitions: np.ndarray, states: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """One array for the (state, code, target) rows of all states, and where each state's row begins in it.
+
+    States with several transitions are placed first, where all their places are free; those with a single
+    one, which most have, then fill what is free. State 0 and state ``states`` have none.
+    """
+    state, code, target = transitions[np.lexsort((transitions[:, 1], transitions[:, 0]))].T
+    n = np.bincount(state, minlength=states + 1)
+    first = np.cumsum(n) - n
+    base = np.zeros(states + 1, np.int64)
+    used, top = np.zeros(4 * width + 2 * len(state) + 1024, bool), 0
+    several = np.flatnonzero(n > 1)
+    for s in several[np.argsort(-n[several], kind="stable")].tolist():
+        own = code[first[s] : first[s] + n[s]]
+        for at in range(max(top - int(own[-1]) - 40, 0), top - int(own[0]), max(13, (int(own[-1]) - int(own[0]) + 40) // 8)):
+            if not used[at + own].any():
+                break
+        else:
+            at = max(top - int(own[0]), 0)
+        if at + width >= len(used):
+            used = np.append(used, np.zeros(len(used), bool))
+        used[at + own] = True
+        base[s], top = at, max(top, at + int(own[-1]) + 1)
+    single = np.flatnonzero(n == 1)
+    free = np.flatnonzero(~np.append(used[:top], np.zeros(len(single), bool)))[: len(single)]
+    base[single] = free - code[first[single]]
+    # A row may begin before the first place, and any code may be looked up in any row.
+    base += width
+    table = np.zeros(int(base.max()) + width, np.int64)
+    table[base[state] + code] = state << 32 | target
+    return table, base
 
 
 def _joined(texts: list[str]) -> list[str]:
     return [x for x in (normal(t) for t in texts) if x]
 
 
+def _is_letter(c: str) -> bool:
+    """Letters, and the marks that some scripts write on them."""
+    return c.isalpha() or unicodedata.category(c) in ("Mn", "Mc")
+
+
 def normal(text: str) -> str:
     """Lower case, everything but letters as single spaces; for the sample only."""
-    return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
+    return " ".join("".join(c if _is_letter(c) else " " for c in text.lower()).split())
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
 
 
 def _codes(text: str, letters: str) -> np.ndarray:
-    return _code_table(letters)[np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")]
+    return _code_table(letters)[0][_points(text)]
 
 
-_TABLES: dict[str, np.ndarray] = {}
+_TABLES: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _code_table(letters: str) -> np.ndarray:
-    """Code of every code point; capitals have those of their small letters."""
+def _code_table(letters: str) -> tuple[np.ndarray, np.ndarray]:
+    """Code of every code point, capitals with those of their small letters, and whether it makes a text one
+    with a letter."""
     if letters not in _TABLES:
-        points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
-        table = np.zeros(0x110000, np.uint8)
         own = {c: i + 2 for i, c in enumerate(letters)}
         at = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000]
-        table[at] = [own.get(c.lower(), OTHER) if c.isalpha() else GAP for c in points]
+        table, alone = np.zeros(0x110000, np.int32), np.zeros(0x110000, bool)
+        table[at] = [own.get(c.lower(), OTHER) if _is_letter(c) else GAP for c in map(chr, at)]
+        alone[at] = [c.isalpha() for c in map(chr, at)]
         _TABLES.clear()
-        _TABLES[letters] = table
+        _TABLES[letters] = table, alone
     return _TABLES[letters]
 
 
@@ -200,10 +241,11 @@ def phrases(texts: list[str], models: Models) -> tuple[np.ndarray, np.ndarray, n
 
     Runs of characters that are no letters count as one gap.
     """
-    table = _code_table(models.letters)
-    codes = table[np.frombuffer("".join(texts).encode("utf-32-le", "replace"), "<u4")]
+    table, alone = _code_table(models.letters)
+    points = _points("".join(texts))
+    codes = table[points]
     owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    has_letter = np.bincount(owner[codes != GAP], minlength=len(texts)) > 0
+    has_letter = np.bincount(owner[alone[points]], minlength=len(texts)) > 0
     keep = (codes != GAP) | np.append(True, (codes[:-1] != GAP) | (owner[1:] != owner[:-1]))[: len(codes)]
     codes, owner = codes[keep], owner[keep]
     n = np.bincount(owner, minlength=len(texts))
@@ -215,12 +257,20 @@ def phrases(texts: list[str], models: Models) -> tuple[np.ndarray, np.ndarray, n
     order = np.argsort(-size, kind="stable")
     begin, text, size = begin[order], text[order], size[order]
     live = np.searchsorted(-size, -np.arange(size.max(initial=0)), side="left")
-    state = np.repeat(models.roots[:, None], len(begin), 1)
+    # The last state has no transitions: what comes first in a block, or after an unknown letter, begins a phrase.
+    nowhere = len(models.base) - 1
+    state = np.full((len(models.langs), len(begin)), nowhere, np.int64)
     count = np.zeros(state.shape, np.int32)
     for step, k in enumerate(live):
-        found = models.table[state[:, :k] + codes[begin[:k] + step]]
-        count[:, :k] += found & 1
-        state[:, :k] = found >> 1
+        code = codes[begin[:k] + step]
+        entry = models.table[models.base[state[:, :k]] + code]
+        missed = entry >> 32 != state[:, :k]
+        count[:, :k] += missed
+        lang, column = np.nonzero(missed)
+        root = models.roots[lang]
+        again = models.table[models.base[root] + code[column]]
+        entry[lang, column] = np.where(again >> 32 == root, again, nowhere)
+        state[:, :k] = entry & 0xFFFFFFFF
     total = np.stack([np.bincount(text, c, len(texts)) for c in count]) if len(models.langs) else np.zeros((0, len(texts)))
     return total.T, n, has_letter
 

@@ -125,3 +125,43 @@ def test_a_language_of_one_short_text_leaves_the_others_alone(spark):
     assert accuracy([]) > 0.98
     assert accuracy([(1000, "karo milu teso kami", "xx")]) > 0.98
     assert accuracy([(1000, "k", "xx")]) > 0.98
+
+
+SCRIPTS = {
+    "thai": (0x0E01, 0x0E2F, "\u0e31\u0e34\u0e35\u0e38\u0e48\u0e49"),
+    "devanagari": (0x0915, 0x093A, "\u093e\u093f\u0940\u0941\u0947\u094d"),
+    "armenian": (0x0561, 0x0587, ""),
+    "hangul": (0xAC00, 0xAE00, ""),
+    "han": (0x4E00, 0x5000, ""),
+    "greek": (0x03B1, 0x03CA, ""),
+    "cyrillic": (0x0430, 0x0450, ""),
+    "arabic": (0x0627, 0x063B, ""),
+    "hebrew": (0x05D0, 0x05EB, ""),
+    "georgian": (0x10D0, 0x10F1, ""),
+}
+
+
+def test_eighty_labels_in_ten_scripts():
+    r = random.Random(6)
+    vocabulary = {}
+    for name, (low, high, marks) in SCRIPTS.items():
+        letters = [chr(i) for i in range(low, high) if chr(i).isalpha()]
+        for nth in range(8):
+            word = lambda: "".join(r.choice(letters) + (r.choice(marks) if marks and r.random() < 0.5 else "") for _ in range(r.randrange(2, 7)))
+            vocabulary[f"{name}{nth}"] = [word() for _ in range(50)]
+    made = lambda lang: " ".join(r.choices(vocabulary[lang], k=r.randrange(15, 50)))
+    models = build({lang: [made(lang) for _ in range(25)] for lang in vocabulary}, same_size=False)
+    assert len(models.langs) == 80 and len(models.letters) > 1000
+    for lang in vocabulary:
+        named, _ = predict([made(lang) for _ in range(20)], models)
+        assert named.count(lang) >= 19, lang
+
+
+def test_every_label_is_learned(spark):
+    rows = [(i, f"{chr(0x4E00 + i)}{chr(0x5200 + i)} " * 20, f"l{i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    assert all(g["lang_pred"] == g["lang"] for g in identify(docs, learn(docs)).collect())
+
+
+def test_marks_alone_are_no_letters():
+    assert predict(["\u0e31\u0e34", "\u0e01\u0e34"], build({"th": ["\u0e01\u0e34\u0e02"]}))[0] == ["und", "th"]
