@@ -39,7 +39,7 @@ GROUPS = 64
 # Pieces longer than this share of the capacity are grouped; the others are small. Each is tried: with
 # few small pieces to fill the gaps it is better to group less. A half is none of them: configurations would be
 # single pieces, and the plan best-fit decreasing.
-LARGE = (1 / 8, 1 / 4, 1 / 3)
+LARGE = (1 / 8, 1 / 4, 3 / 8, 7 / 16)
 END_ID = 0
 
 Place = tuple[int, int, int, int, int, int]
