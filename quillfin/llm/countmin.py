@@ -1,19 +1,21 @@
 """Substring dedup with a count-min prefilter.
 
-Two sketches are filled one after the other: the first with every 13-word window, once per document, the
-second with only those windows that the first one estimates as repeated. A last pass looks every window
-up in the second sketch and sends on those estimated as repeated there. A sketch never underestimates, so
-no repeated window is lost. What is sent on is grouped exactly, by 96 bits of hash, to find the smallest
-document of each window.
-
-Each chunk of texts sends its sketch in sparse form (sorted cells as gaps, about a byte each); cells are
-merged per segment, and all that is kept of a merged counter is whether it reached two. Inside a chunk,
-repeats are settled before the shuffle: only the chunk's smallest document of a window is sent on. A
-passage that a third of all documents share is therefore sent once per chunk.
-
-A merged sketch is broadcast. Its size follows the input up to ``MAX_BITS`` (64 MB), a bound that holds
-for any input; beyond about 300 million windows more and more windows pass it, up to all, which costs
-shuffle in proportion to the input but never changes the result.
+Texts are dealt to chunks of a few megabytes by hash, once; three passes read that one shuffle.
+
+1. Each chunk sketches its distinct windows: one row of counters, ``CELLS_PER_WINDOW`` of them for each window
+   of the whole input. Nearly all counters of a chunk are zero, so the sketch travels in sparse form, as sorted
+   cells, about three bytes each. Sketches are merged segment by segment. A merged counter never underestimates
+   in how many chunks a window is, so no repeated window is lost. Each chunk is told, one bit for each of
+   its cells, which counters reached two.
+2. Each chunk sends the windows whose counter did, once each with the smallest of its documents, to be grouped
+   exactly by 96 bits of hash. A chunk is told which of its windows a smaller document elsewhere has.
+3. Each chunk cuts these, and what its own documents repeat among themselves, which never left it.
+
+No sketch is ever whole in one place: the row of counters grows with the input, and so does the number of
+segments, each merged by a task of its own. So the share of unique windows that pass (about one in
+``CELLS_PER_WINDOW``) and the memory of a task are the same for any input. A passage that a third of all documents
+share is sent once per chunk. What shrinks with the input are the messages between a chunk and a
+segment: at 30 GB of text about 900 windows, at 3 TB nine.
 """
 
 from __future__ import annotations
@@ -23,26 +25,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillfin.llm.words import Words, chained, mixed, rows_in_steps, utf8, words
-from quillfin.session import checkpoint_dir
 
 WINDOW = 13
-LEVELS = 2
-MIN_BITS, MAX_BITS = 16, 29
-CELLS_PER_WINDOW = 4
-# Cells that one reduce task merges at a time.
-SEGMENT_BITS = 22
-# Text that one chunk handles, and windows of the input for each reduce group of suspected ones.
+CELLS_PER_WINDOW = 64
+# Text of one chunk, and windows of the input for each segment of the sketch.
 CHUNK_BYTES = 6 << 20
-WINDOWS_PER_BUCKET = 4_000_000
-# Reduce groups for each one that gathers the results of documents.
-BUCKETS_PER_HOME = 4
+WINDOWS_PER_SEGMENT = 4_000_000
 # Average bytes of a word and its space, only to size the sketch.
 WORD_BYTES = 6
 
+# Columns that travel with each row: its id, hashes that tell rows apart, equal rows and the chunk.
+_ID, _TEXT_KEY, _ROW_KEY, _COPIES, _CHUNK = (f"_countmin_{x}" for x in ("id", "text_key", "row_key", "copies", "chunk"))
+
 
 def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """All columns of ``docs`` plus ``n_words``, ``n_removed``, ``kept_sha256`` and ``kept_text``.
@@ -51,103 +50,105 @@ def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     smaller id. ``kept_text`` is the text without these words and the white space behind them;
     ``kept_sha256`` digests the kept words joined by one space. Null and wordless texts have no windows.
     Rows with a null id lose nothing and make others lose nothing; rows with the same id don't count
-    against each other. Columns of ``docs`` with the names of the new ones are replaced.
+    against each other. Rows equal in all columns are combined batch by batch before the shuffle and come back
+    in their number. Columns of ``docs`` with the names of the new ones are replaced.
     """
-    checkpoint_dir(docs.sparkSession)
-    starts = repeated_windows(docs, id_col, text_col, window)
-    new = ["n_words", "n_removed", "kept_sha256", "kept_text"]
-    rest = [c for c in docs.columns if c not in new and c != text_col]
-    keyed = docs.select(*rest, text_col, F.xxhash64(text_col).alias("_text_key"))
-    found = starts.select(F.col("id").alias(id_col), F.col("key").alias("_text_key"), F.col("starts").alias("_starts"))
-    marked = keyed.join(found, [id_col, "_text_key"], "left").select(*rest, text_col, "_starts")
-    schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema.fields[:-1]]
-        + ["n_words long", "n_removed long", "kept_sha256 string", "kept_text string"]
-    )
+    new = {"n_words": "long", "n_removed": "long", "kept_sha256": "string", "kept_text": "string"}
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    edges = segment_edges(size // WORD_BYTES)
+    rows = _dealt(docs.select(*[c for c in docs.columns if c not in new]), id_col, text_col, 1 + size // CHUNK_BYTES)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin, end in rows_in_steps(batch.column(batch.num_columns - 2)):
-                part = batch.slice(begin, end - begin)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], *_kept(part.column(part.num_columns - 2), part.column(part.num_columns - 1), window)],
-                    [*part.schema.names[:-1], *new],
-                )
+    def sketched(group: pa.Table) -> pa.Table:
+        return _sketch(_Distinct(group, text_col, window), edges, _chunk_of(group))
 
-    return marked.mapInArrow(cut, schema)
+    def suspected(group: pa.Table, hits: pa.Table) -> pa.Table:
+        return _suspects(_Distinct(group, text_col, window), hits, edges, _chunk_of(group))
 
+    def cut(group: pa.Table, gone: pa.Table) -> pa.Table:
+        return _cut(group, gone, text_col, window)
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``(id, key, starts)``: windows of a row, as packed 32-bit word positions, that also start in a
-    document with a smaller id. ``key`` is Spark's hash of the text; rows equal in both share a result."""
-    spark = docs.sparkSession
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")
+    by_chunk = rows.groupBy(_CHUNK)
+    cells = by_chunk.applyInArrow(sketched, "segment long, chunk long, gaps binary")
+    hits = cells.groupBy("segment").applyInArrow(_merged, "segment long, chunk long, bits binary")
+    sent = by_chunk.cogroup(hits.groupBy("chunk")).applyInArrow(
+        suspected, "segment long, chunk long, number binary, ids binary, document binary, hash binary, check binary"
     )
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_windows = size // WORD_BYTES
-    bits = min(max(int(max(n_windows, 1) * CELLS_PER_WINDOW).bit_length(), MIN_BITS), MAX_BITS)
-    sketch = None
-    for level in range(LEVELS):
-        sketch = spark.sparkContext.broadcast(_sketch(rows, window, bits, level, sketch))
-    buckets = max(1, n_windows // WINDOWS_PER_BUCKET)
-    homes = 1 + buckets // BUCKETS_PER_HOME
-
-    def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, keys, texts in _chunks(batches):
-            yield _suspects(ids, keys, texts, window, bits, sketch.value, buckets)
-
-    def settled(group: pa.Table) -> pa.Table:
-        return _settled(group, homes)
-
-    packed = "ids binary, keys binary, row binary, start binary"
-    sent = rows.mapInArrow(suspected, f"bucket int, {packed}, hash binary, check binary")
-    found = sent.groupBy("bucket").applyInArrow(settled, f"home int, {packed}")
-    return found.groupBy("home").applyInArrow(_by_document, "id long, key long, starts binary")
-
-
-def _sketch(rows: DataFrame, window: int, bits: int, level: int, before) -> np.ndarray:
-    """Which cells of this level's sketch at least two documents hit, as packed bits, over all windows
-    that the level before (a broadcast) estimates as repeated."""
-    segment_bits = min(SEGMENT_BITS, bits)
-
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, _, texts in _chunks(batches):
-            yield _sparse(ids, texts, window, bits, segment_bits, level, before.value if before else None)
-
-    def merged(group: pa.Table) -> pa.Table:
-        twice = _merged_segment(group.column("gaps"), 1 << segment_bits)
-        return pa.table({"segment": group.column("segment")[:1], "twice": [np.packbits(twice).tobytes()]})
-
-    cells = rows.mapInArrow(sketched, "segment int, gaps binary")
-    segments = cells.groupBy("segment").applyInArrow(merged, "segment int, twice binary")
-    # One bitmap of at most 2^MAX_BITS bits, whatever the input.
-    out = np.zeros((1 << (bits - segment_bits), 1 << (segment_bits - 3)), np.uint8)
-    for r in segments.toLocalIterator():
-        out[r["segment"]] = np.frombuffer(r["twice"], np.uint8)
-    return out.ravel()
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
-    """Ids, keys and texts of chunks of rows, in the order of their ids."""
-    held, size = [], 0
+    gone = sent.groupBy("segment").applyInArrow(_settled, "chunk long, number binary")
+    kept_columns = [f for f in rows.schema.fields if f.name not in (_ID, _TEXT_KEY, _ROW_KEY, _CHUNK)]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept_columns] + [f"{n} {t}" for n, t in new.items()])
+    done = by_chunk.cogroup(gone.groupBy("chunk")).applyInArrow(cut, schema)
+    each = F.explode(F.array_repeat(F.lit(0), F.col(_COPIES))).alias(_COPIES)
+    return done.select(*[c for c in done.columns if c != _COPIES], each).drop(_COPIES)
+
+
+def segment_edges(n_windows: int) -> np.ndarray:
+    """The sketch's segments: the first cell of each, and behind them the number of all cells, a power of two."""
+    bits = max(int(max(n_windows, 1) * CELLS_PER_WINDOW).bit_length(), 8)
+    segments = 1 + n_windows // WINDOWS_PER_SEGMENT
+    return np.array([(s << bits) // segments for s in range(segments)] + [1 << bits], np.int64)
+
+
+def _dealt(docs: DataFrame, id_col: str, text_col: str, chunks: int) -> DataFrame:
+    """``docs`` and the columns above. A row's chunk follows from its values, so a lost one is made again as it was."""
+    others = [
+        # Maps and variants have no hash.
+        F.to_json(F.struct(f.name)) if any(k in f.dataType.simpleString() for k in ("map<", "variant")) else F.col(f"`{f.name}`")
+        for f in docs.schema.fields if f.name != text_col
+    ]
+    keyed = docs.select(
+        "*", F.col(id_col).cast("long").alias(_ID), F.xxhash64(text_col).alias(_TEXT_KEY),
+        F.xxhash64(F.col(text_col).isNull(), *others).alias(_ROW_KEY), F.lit(1).alias(_COPIES),
+    )
+    combined = keyed.mapInArrow(_combined, keyed.schema)
+    return combined.withColumn(_CHUNK, F.pmod(F.xxhash64(_TEXT_KEY, _ROW_KEY), F.lit(chunks)))
+
+
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch that are equal in both hashes, as one with their number."""
     for batch in batches:
-        for begin, end in rows_in_steps(batch.column(2), CHUNK_BYTES):
-            part = batch.slice(begin, end - begin)
-            held.append(part)
-            size += utf8(part.column(2))[1][-1]
-            if size >= CHUNK_BYTES:
-                yield _ordered(held)
-                held, size = [], 0
-    if held:
-        yield _ordered(held)
+        keys = np.stack([batch.column(_TEXT_KEY).to_numpy(), batch.column(_ROW_KEY).to_numpy()], 1)
+        _, first, copies = np.unique(keys, axis=0, return_index=True, return_counts=True)
+        if len(first) == len(keys):
+            yield batch
+        else:
+            at = batch.schema.get_field_index(_COPIES)
+            yield batch.take(pa.array(first)).set_column(at, _COPIES, pa.array(copies.astype(np.int32)))
 
 
-def _ordered(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    together = pa.Table.from_batches(held).combine_chunks()
-    ids = together.column(0).to_numpy()
-    order = np.argsort(ids, kind="stable")
-    return ids[order], together.column(1).to_numpy()[order], together.column(2).take(pa.array(order))
+def _chunk_of(group: pa.Table) -> int:
+    return group.column(_CHUNK)[0].as_py() if group.num_rows else 0
+
+
+class _Distinct:
+    """The distinct windows of a chunk in the order of their hashes, whatever order its rows come in.
+
+    ``number`` is that of each occurrence, in row ``row`` at word ``start``; ``least`` the smallest id of each distinct one.
+    """
+
+    def __init__(self, group: pa.Table, text_col: str, window: int):
+        # Rows without an id have no windows here.
+        id_ = group.column(_ID).combine_chunks()
+        texts = group.column(text_col).combine_chunks()
+        self.texts = pc.if_else(id_.is_valid(), texts, pa.scalar(None, texts.type))
+        self.ids = id_.fill_null(0).to_numpy()
+        parts = list(_windows(self.texts, window))
+        kinds = (np.int64, np.int64, np.uint64, np.uint64)
+        row, start, h, check = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, k) for k in kinds)
+        check = check.astype(np.uint32)
+        order = np.lexsort((check, h))
+        self.row, self.start, h, check = row[order], start[order], h[order], check[order]
+        head = np.append(True, (h[1:] != h[:-1]) | (check[1:] != check[:-1]))[: len(h)]
+        first = np.flatnonzero(head)
+        self.number = np.cumsum(head) - 1
+        self.hash, self.check = h[first], check[first]
+        self.least = np.minimum.reduceat(self.ids[self.row], first) if len(first) else self.ids[:0]
+
+    def cells(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct cells, where each segment of them begins and ends, and the cell of each distinct window."""
+        all_ = (self.hash >> np.uint64(64 - (int(edges[-1]).bit_length() - 1))).astype(np.int64)
+        head = np.append(True, all_[1:] != all_[:-1])[: len(all_)]
+        cells = all_[head]
+        return cells, np.searchsorted(cells, edges), np.cumsum(head) - 1
 
 
 def _windows(texts: pa.Array, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -163,49 +164,26 @@ def _windows(texts: pa.Array, window: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield rows, first - w.first[rows - begin], chained(one, window)[first], chained(mixed(one + np.uint64(1)), window)[first]
 
 
-def _cells(h: np.ndarray, bits: int, level: int) -> np.ndarray:
-    return ((mixed(h + np.uint64(level)) if level else h) >> np.uint64(64 - bits)).astype(np.int64)
+def _sketch(chunk: _Distinct, edges: np.ndarray, name: int) -> pa.Table:
+    """The counters that are not zero, per segment."""
+    cells, cuts, _ = chunk.cells(edges)
+    hit = np.flatnonzero(np.diff(cuts))
+    gaps = [packed_gaps(cells[cuts[s] : cuts[s + 1]] - edges[s]) for s in hit]
+    return pa.table({"segment": pa.array(hit, pa.int64()), "chunk": pa.array([name] * len(hit), pa.int64()), "gaps": pa.array(gaps, pa.binary())})
 
 
-def _estimated(h: np.ndarray, bits: int, level: int, sketch: np.ndarray) -> np.ndarray:
-    """Which windows the sketch of a level estimates as repeated."""
-    cell = _cells(h, bits, level)
-    return (sketch[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0
-
-
-def _sparse(ids: np.ndarray, texts: pa.Array, window: int, bits: int, segment_bits: int, level: int, before: np.ndarray | None) -> pa.RecordBatch:
-    """The chunk's sketch: for each segment the cells hit, twice if hit by two documents."""
-    parts = []
-    for r, _, h, _ in _windows(texts, window):
-        passed = slice(None) if before is None else _estimated(h, bits, level - 1, before)
-        parts.append((ids[r[passed]], h[passed]))
-    out = []
-    if parts:
-        owner, h = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(h, kind="stable")
-        owner, h = owner[order], h[order]
-        once = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))[: len(h)]
-        cell = np.sort(_cells(h[once], bits, level))
-        # Counters saturate at two: a third hit of a cell says nothing new.
-        cell = cell[np.append([True, True], cell[2:] != cell[:-2])[: len(cell)]]
-        segment = cell >> segment_bits
-        heads = np.flatnonzero(np.append(True, segment[1:] != segment[:-1])[: len(cell)])
-        for begin, end in zip(heads, np.append(heads[1:], len(cell))):
-            out.append((int(segment[begin]), packed_gaps(cell[begin:end] & ((1 << segment_bits) - 1))))
-    kinds = (pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out)) or [[], []], kinds)], ["segment", "gaps"])
-
-
-def _merged_segment(lists: pa.ChunkedArray, cells: int) -> np.ndarray:
-    seen, twice = np.zeros(cells, bool), np.zeros(cells, bool)
-    for gaps in lists:
-        cell = unpacked_gaps(np.frombuffer(gaps.as_buffer(), np.uint8))
-        new = np.append(True, cell[1:] != cell[:-1])
-        twice[cell[~new]] = True
-        cell = cell[new]
-        twice[cell[seen[cell]]] = True
-        seen[cell] = True
-    return twice
+def _merged(group: pa.Table) -> pa.Table:
+    """For each chunk's cells of a segment, whether their merged counter reached two."""
+    lists = [unpacked_gaps(np.frombuffer(gaps.as_buffer(), np.uint8)) for gaps in group.column("gaps")]
+    cell = np.concatenate(lists)
+    # Each list ascends, which a stable sort makes use of.
+    order = np.argsort(cell, kind="stable")
+    same = cell[order[1:]] == cell[order[:-1]]
+    twice = np.zeros(len(cell), bool)
+    twice[order] = np.append(False, same) | np.append(same, False)
+    ends = np.cumsum([len(x) for x in lists])
+    bits = [np.packbits(x).tobytes() for x in np.split(twice, ends[:-1])]
+    return group.select(["segment", "chunk"]).append_column("bits", pa.array(bits, pa.binary()))
 
 
 def packed_gaps(ascending: np.ndarray) -> bytes:
@@ -231,105 +209,69 @@ def unpacked_gaps(data: np.ndarray) -> np.ndarray:
     return np.cumsum(gaps)
 
 
-def _suspects(ids, keys, texts, window: int, bits: int, sketch: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Windows estimated repeated, per bucket of their hash; what the chunk itself can settle are rows
-    with no hashes, per bucket of their document."""
-    parts = []
-    for rows, start, h, check in _windows(texts, window):
-        repeated = _estimated(h, bits, LEVELS - 1, sketch)
-        parts.append((rows[repeated], start[repeated], h[repeated], check[repeated].astype(np.uint32)))
+def _suspects(chunk: _Distinct, hits: pa.Table, edges: np.ndarray, name: int) -> pa.Table:
+    """Windows whose merged counter reached two, each with the chunk's smallest document, per segment."""
+    cells, cuts, cell_of = chunk.cells(edges)
+    twice = np.zeros(len(cells), bool)
+    for segment, bits in zip(hits.column("segment").to_pylist(), hits.column("bits")):
+        begin, end = cuts[segment], cuts[segment + 1]
+        twice[begin:end] = np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), count=end - begin)
+    number = np.flatnonzero(twice[cell_of])
+    bounds = np.searchsorted(cell_of[number], cuts)
     out = []
-    if parts:
-        rows, start, h, check = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((check, h))  # stable: rows stay in the order of their ids
-        rows, start, h, check = rows[order], start[order], h[order], check[order]
-        heads = np.append(True, (h[1:] != h[:-1]) | (check[1:] != check[:-1]))[: len(h)]
-        leader = ids[rows[heads]][np.cumsum(heads) - 1] if len(h) else ids[:0]
-        later = ids[rows] > leader
-        if later.any():
-            # Spread by document: what a chunk settles may be most of its windows.
-            none = np.zeros(0, np.uint64)
-            home = (mixed((ids ^ keys).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)[rows[later]]
-            by_row = np.lexsort((rows[later], home))
-            home, own_rows, own_start = home[by_row], rows[later][by_row], start[later][by_row]
-            cuts = np.flatnonzero(np.append(True, home[1:] != home[:-1]))
-            for begin, end in zip(cuts, np.append(cuts[1:], len(home))):
-                out.append(_row(int(home[begin]), ids, keys, own_rows[begin:end], own_start[begin:end], none, none.astype(np.uint32)))
-        rows, start, h, check = rows[~later], start[~later], h[~later], check[~later]
-        bucket = (h % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(cuts)):
-            i = order[cuts[b] : cuts[b + 1]]
-            out.append(_row(int(b), ids, keys, rows[i], start[i], h[i], check[i]))
-    names = ["bucket", "ids", "keys", "row", "start", "hash", "check"]
-    kinds = [pa.int32(), *[pa.binary()] * 6]
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out)) or [[]] * 7, kinds)], names)
-
-
-def _row(bucket, ids, keys, rows, start, h, check) -> tuple:
-    return (bucket, *_documents(ids, keys, rows, start), h.tobytes(), check.tobytes())
-
-
-def _documents(ids: np.ndarray, keys: np.ndarray, rows: np.ndarray, start: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
-    """The documents used, and for each window its document among them and its first word."""
-    used, local = np.unique(rows, return_inverse=True)
-    return ids[used].tobytes(), keys[used].tobytes(), _small(local), _small(start)
+    for s in np.flatnonzero(np.diff(bounds)):
+        own = number[bounds[s] : bounds[s + 1]]
+        ids, document = np.unique(chunk.least[own], return_inverse=True)
+        out.append((int(s), name, packed_gaps(own), ids.tobytes(), _small(document), chunk.hash[own].tobytes(), chunk.check[own].tobytes()))
+    kinds = {"segment": pa.int64(), "chunk": pa.int64(), **{c: pa.binary() for c in ("number", "ids", "document", "hash", "check")}}
+    return pa.table({c: pa.array(x, k) for (c, k), x in zip(kinds.items(), list(zip(*out)) or [[]] * 7)})
 
 
 def _small(a: np.ndarray) -> bytes:
     return a.astype(np.uint16 if a.max(initial=0) < 1 << 16 else np.uint32).tobytes()
 
 
-def _unpacked(record: pa.RecordBatch, i: int) -> list[np.ndarray]:
-    """Id, text key and first word of each window of a row."""
-    ids, keys = (np.frombuffer(record.column(c)[i].as_buffer(), np.int64) for c in ("ids", "keys"))
-    row, start = (record.column(c)[i].as_buffer() for c in ("row", "start"))
-    # Documents are numbered without gaps, so their number gives the width; then that of the other is known.
-    row = np.frombuffer(row, np.uint16 if len(ids) <= 1 << 16 else np.uint32)
-    start = np.frombuffer(start, np.uint16 if start.size == 2 * len(row) else np.uint32)
-    return [ids[row], keys[row], start.astype(np.uint32)]
-
-
-def _settled(group: pa.Table, homes: int) -> pa.Table:
-    """The windows of this bucket that a smaller document has, too, by the home of their document."""
-    found: list[list[np.ndarray]] = []
-    open_: list[list[np.ndarray]] = []
+def _settled(group: pa.Table) -> pa.Table:
+    """Of each chunk's windows of a segment, those that a smaller document of another chunk has, too."""
+    parts = []
     for record in group.to_batches():
         for i in range(record.num_rows):
-            own = _unpacked(record, i)
-            h, check = (np.frombuffer(record.column(c)[i].as_buffer(), k) for c, k in (("hash", np.uint64), ("check", np.uint32)))
-            if len(h):
-                open_.append([*own, h, check])
-            else:
-                found.append(own)
-    if open_:
-        ids, keys, start, h, check = (np.concatenate(c) for c in zip(*open_))
-        order = np.lexsort((ids, check, h))
-        ids, keys, start, h, check = ids[order], keys[order], start[order], h[order], check[order]
-        heads = np.append(True, (h[1:] != h[:-1]) | (check[1:] != check[:-1]))
-        later = ids > ids[heads][np.cumsum(heads) - 1]
-        found.append([ids[later], keys[later], start[later]])
-    ids, keys, start = (np.concatenate(c) for c in zip(*found))
-    home = (mixed(ids.view(np.uint64)) % np.uint64(homes)).astype(np.int32)
-    out = []
-    for at in np.unique(home):
-        mine = home == at
-        documents, local = np.unique(np.stack([ids[mine], keys[mine]], 1), axis=0, return_inverse=True)
-        out.append((at, *_documents(documents[:, 0], documents[:, 1], local.ravel(), start[mine])))
-    kinds = {"home": pa.int32(), **{c: pa.binary() for c in ("ids", "keys", "row", "start")}}
-    return pa.table({c: pa.array(x, k) for (c, k), x in zip(kinds.items(), list(zip(*out)) or [[]] * 5)})
-
-
-def _by_document(group: pa.Table) -> pa.Table:
-    """One row for each document of a home."""
-    parts = [_unpacked(record, i) for record in group.to_batches() for i in range(record.num_rows)]
-    ids, keys, start = (np.concatenate(c) for c in zip(*parts))
-    order = np.lexsort((start, keys, ids))
-    ids, keys, start = ids[order], keys[order], start[order]
-    heads = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]))[: len(ids)])
-    packed = [start[b:e].tobytes() for b, e in zip(heads, np.append(heads[1:], len(ids)))]
-    return pa.table({"id": ids[heads], "key": keys[heads], "starts": pa.array(packed, pa.binary())})
+            ids, h, check = (np.frombuffer(record.column(c)[i].as_buffer(), k) for c, k in (("ids", np.int64), ("hash", np.uint64), ("check", np.uint32)))
+            document = record.column("document")[i].as_buffer()
+            parts.append((ids[np.frombuffer(document, np.uint16 if document.size == 2 * len(h) else np.uint32)], h, check))
+    ids, h, check = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((ids, check, h))
+    a, b, c = ids[order], h[order], check[order]
+    heads = np.append(True, (b[1:] != b[:-1]) | (c[1:] != c[:-1]))
+    later = np.zeros(len(ids), bool)
+    later[order] = a > a[heads][np.cumsum(heads) - 1]
+    ends = np.cumsum([len(p[0]) for p in parts])
+    found = []
+    for mine, number in zip(np.split(later, ends[:-1]), group.column("number")):
+        found.append(packed_gaps(unpacked_gaps(np.frombuffer(number.as_buffer(), np.uint8))[mine]) if mine.any() else None)
+    out = pa.table({"chunk": group.column("chunk"), "number": pa.array(found, pa.binary())})
+    return out.filter(out.column("number").is_valid())
+
+
+def _cut(group: pa.Table, gone: pa.Table, text_col: str, window: int) -> pa.Table:
+    """The rows of a chunk without the windows that a smaller document has, in this chunk or another one."""
+    chunk = _Distinct(group, text_col, window)
+    elsewhere = np.zeros(len(chunk.hash), bool)
+    for number in gone.column("number"):
+        elsewhere[unpacked_gaps(np.frombuffer(number.as_buffer(), np.uint8))] = True
+    out = elsewhere[chunk.number] | (chunk.ids[chunk.row] > chunk.least[chunk.number])
+    row, start = chunk.row[out], chunk.start[out]
+    order = np.argsort(row, kind="stable")
+    cuts = np.searchsorted(row[order], np.arange(group.num_rows + 1))
+    start = start[order].astype(np.uint32)
+    starts = pa.array([start[b:e].tobytes() if b < e else None for b, e in zip(cuts[:-1], cuts[1:])], pa.binary())
+    texts = group.column(text_col).combine_chunks()
+    steps = [_kept(texts.slice(b, e - b), starts.slice(b, e - b), window) for b, e in rows_in_steps(texts)]
+    kinds = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.string()}
+    kept = group.drop_columns([_ID, _TEXT_KEY, _ROW_KEY, _CHUNK])
+    for i, (name, kind) in enumerate(kinds.items()):
+        kept = kept.append_column(name, pa.chunked_array([s[i] for s in steps], kind))
+    return kept
 
 
 def _kept(texts: pa.Array, starts: pa.Array, window: int) -> list[pa.Array]:

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from quillfin.llm import countmin
-from quillfin.llm.countmin import _suspects, _unpacked, drop_repeated, packed_gaps, repeated_windows, unpacked_gaps
+from quillfin.llm.countmin import drop_repeated, packed_gaps, unpacked_gaps
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -65,20 +65,20 @@ def test_against_all_windows(spark):
 
 def test_many_chunks_segments_and_buckets(spark, monkeypatch):
     # The driver's settings travel with the functions that it sends to the tasks.
-    monkeypatch.setattr(countmin, "SEGMENT_BITS", 10)
-    monkeypatch.setattr(countmin, "WINDOWS_PER_BUCKET", 50)
+    monkeypatch.setattr(countmin, "CHUNK_BYTES", 1000)
+    monkeypatch.setattr(countmin, "WINDOWS_PER_SEGMENT", 50)
     check(spark, sample_rows(2))
 
 
 def test_a_full_sketch_loses_nothing(spark, monkeypatch):
-    monkeypatch.setattr(countmin, "MAX_BITS", 4)
+    monkeypatch.setattr(countmin, "CHUNK_BYTES", 1000)
+    monkeypatch.setattr(countmin, "segment_edges", lambda n: np.array([0, 4, 16], np.int64))
     check(spark, sample_rows(3))
 
 
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert drop_repeated(docs).collect() == []
-    assert repeated_windows(docs).collect() == []
 
 
 @pytest.mark.parametrize("values", [[], [0], [0, 0, 1, 127, 128, 255, 16_383, 16_384, 2**28, 2**34, 2**34]])
@@ -87,17 +87,50 @@ def test_gaps_round_trip(values):
     assert unpacked_gaps(data).tolist() == values
 
 
-def test_settled_windows_spread_over_all_buckets():
-    r, buckets, size, n = random.Random(4), 64, Counter(), 0
-    full = np.full(1 << 13, 255, np.uint8)
-    for chunk in range(30):
-        text = " ".join(f"w{r.randrange(10**6)}" for _ in range(40))
-        ids = np.array(sorted(r.sample(range(10**9), 50)), np.int64)
-        record = _suspects(ids, np.full(50, chunk, np.int64), pa.array([text] * 50), 13, 16, full, buckets)
-        for i in range(record.num_rows):
-            if not record.column("hash")[i].as_buffer().size:
-                own = _unpacked(record, i)
-                size[record.column("bucket")[i].as_py()] += len(own[0])
-                assert set(own[0].tolist()) <= set(ids[1:].tolist())
-                n += len(own[0])
-    assert n == 30 * 49 * 28 and len(size) == buckets and max(size.values()) < 3 * n / buckets
+def test_rows_equal_in_all_columns_are_combined_and_come_back(spark):
+    r = random.Random(5)
+    text = " ".join(f"w{r.randrange(10**6)}" for _ in range(40))
+    rows = [(7, text)] * 300 + [(9, text)] * 200 + [(7, "other " + text), (None, text), (None, text)]
+    check(spark, rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    batches = countmin._dealt(docs, "doc_id", "text", 4)
+    assert batches.count() < 20 and batches.agg({countmin._COPIES: "sum"}).first()[0] == len(rows)
+
+
+def test_columns_of_any_type_and_clashing_names_stay(spark):
+    docs = spark.createDataFrame([(1, "a", {"k": 1}, 5), (1, "a", {"k": 2}, 5)], "doc_id long, text string, m map<string,int>, segment int")
+    assert sorted(r["m"]["k"] for r in drop_repeated(docs).where("segment = 5").collect()) == [1, 2]
+
+
+def passed(n_windows, chunks, shared):
+    """Cells of ``n_windows`` random windows dealt to chunks, of which the first ``shared`` are in all of them,
+    through the sketch: the share of unique and of shared windows that pass, segment by segment, and bytes a window."""
+    r = np.random.default_rng(6)
+    edges = countmin.segment_edges(n_windows)
+    bits = int(edges[-1]).bit_length() - 1
+    common = r.integers(0, 1 << 63, shared, dtype=np.uint64) << np.uint64(1)
+    # Of a large sketch one segment is tried, filled as all are.
+    lo, hi = int(edges[0]), int(edges[1])
+    per_chunk = n_windows // (len(edges) - 1) // chunks
+    own, sent = [], 0
+    for c in range(chunks):
+        cells = np.unique(np.append(r.integers(lo, hi, per_chunk), (common >> np.uint64(64 - bits)).astype(np.int64) % (hi - lo)))
+        own.append((c, cells, packed_gaps(cells)))
+        sent += len(own[-1][2])
+    group = pa.table({"segment": pa.array([0] * chunks, pa.int64()), "chunk": pa.array(range(chunks), pa.int64()), "gaps": pa.array([x[2] for x in own], pa.binary())})
+    merged = countmin._merged(group)
+    both = (common >> np.uint64(64 - bits)).astype(np.int64) % (hi - lo)
+    unique_hits = shared_hits = n_unique = 0
+    for (_, cells, _), b in zip(own, merged.column("bits")):
+        twice = np.unpackbits(np.frombuffer(b.as_buffer(), np.uint8), count=len(cells)).astype(bool)
+        is_shared = np.isin(cells, both)
+        shared_hits += int(twice[is_shared].all())
+        unique_hits += twice[~is_shared].sum()
+        n_unique += (~is_shared).sum()
+    return unique_hits / n_unique, shared_hits == chunks, sent / (n_unique + shared * chunks)
+
+
+@pytest.mark.parametrize("n_windows, chunks", [(400_000_000, 400), (4_000_000_000, 4_000), (40_000_000_000, 4_000)])
+def test_the_filter_works_alike_at_any_size(n_windows, chunks):
+    unique, shared, width = passed(n_windows, chunks, 50)
+    assert unique < 2.5 / countmin.CELLS_PER_WINDOW and shared and width < 5
