@@ -7,9 +7,11 @@ with the length. The distance that chance alone makes is about the square root o
 ``n`` words that hit ``k`` bins, so the limit for words follows that.
 
 References come from all documents, in two passes. A word is common if it makes up a share of at least
-``COMMON`` of a language's words. Such a word has that share in at least one part of the corpus, so the
-first pass only sends on the words that reach it in the part that one task reads, and the second counts
-exactly these. What reaches the driver is bounded by the number of languages.
+``COMMON`` of a language's words. The first pass counts words part by part and sends on those with a share of at
+least ``COMMON / FINER`` of a part. What is not sent is less than that share of the language, so a word whose
+sum of sent counts is below ``COMMON * (1 - 1 / FINER)`` of the language's words is not common. That is judged in
+Spark; at most ``1 / COMMON / (1 - 1 / FINER)`` words of a language (1,111) are left, however its rows are
+dealt to parts. They alone reach the driver, and the second pass counts them exactly.
 """
 
 from __future__ import annotations
@@ -23,8 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillfin.llm.words import Words, chained, mixed, rows_in_steps, utf8, words, xxh64
+from quillfin.session import checkpoint_dir
 
 COMMON = 1 / 1000
+# A part sends on words down to this fraction of the common share.
+FINER = 10
 # Languages with fewer words than this have no reference.
 MIN_REFERENCE_WORDS = 1_000
 # Texts with fewer words than this are not compared.
@@ -86,14 +91,19 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")
     )
-    first = rows.mapInArrow(lambda batches: _first_pass(batches, common), "lang string, word long, n long, classes array<long>")
+    first = rows.mapInArrow(lambda batches: _first_pass(batches, common / FINER), "lang string, word long, n long, classes array<long>")
     # Rows with a word are candidates; those without carry the counts of a part.
     summed = first.groupBy("lang", "word").agg(
         F.sum("n").alias("n"), *[F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(CLASSES)]
     )
-    got = summed.collect()
-    totals = {r["lang"]: r for r in got if r["word"] is None and r["n"] >= MIN_REFERENCE_WORDS}
-    candidates = {lang: np.sort(np.array([r["word"] for r in got if r["lang"] == lang and r["word"] is not None], np.int64).view(np.uint64)) for lang in totals}
+    checkpoint_dir(docs.sparkSession)
+    summed = summed.checkpoint()
+    large = summed.where(F.col("word").isNull() & (F.col("n") >= MIN_REFERENCE_WORDS))
+    totals = {r["lang"]: r for r in large.collect()}
+    candidates = {lang: np.zeros(0, np.uint64) for lang in totals}
+    near = _near_common(summed, common).groupBy("lang").agg(F.sort_array(F.collect_list("word")).alias("words"))
+    for r in near.collect():
+        candidates[r["lang"]] = np.sort(np.array(r["words"], np.int64).view(np.uint64))
     counted = rows.mapInArrow(lambda batches: _second_pass(batches, candidates), "lang string, word long, n long")
     exact: dict[str, list] = {lang: [] for lang in totals}
     for r in counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
@@ -109,6 +119,14 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     return out
 
 
+def _near_common(summed: DataFrame, common: float) -> DataFrame:
+    """``(lang, word)`` of the words that may be common, from the sums of what parts sent: a bounded number a language."""
+    whole = summed.where(F.col("word").isNull() & (F.col("n") >= MIN_REFERENCE_WORDS)).select("lang", F.col("n").alias("all"))
+    # Rounding must not lose a word that just reaches the share.
+    least = F.col("all") * F.lit(common * (1 - 1 / FINER) * (1 - 1e-9))
+    return summed.where(F.col("word").isNotNull()).join(whole, "lang").where(F.col("n") >= least).select("lang", "word")
+
+
 def _word_hashes(w: Words) -> np.ndarray:
     return w.hashes(np.arange(len(w.start)), np.ones(len(w.start), np.int64))
 

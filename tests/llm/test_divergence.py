@@ -74,6 +74,24 @@ def test_references_are_exact_counts(spark, monkeypatch, part_words):
     assert {r.lang for r in found} == {"en", "漢"}
 
 
+def test_rare_language_over_many_parts_sends_few_words_to_the_driver(spark, monkeypatch):
+    # A thousand words that are frequent in one part each, and a few that are so everywhere.
+    r = random.Random(7)
+    rows = []
+    for i in range(200):
+        own = [f"p{i}w{k}" for k in range(20)]
+        rows.append((i, " ".join(r.choices([*own, "the", "of", "and"], k=90)), "xx"))
+    near = divergence._near_common
+    seen = []
+    monkeypatch.setattr(divergence, "_near_common", lambda summed, common: seen.append((summed.count(), near(summed, common).count())) or near(summed, common))
+    (found,) = references(frame(spark, rows).repartition(200), common=0.01)
+    sent, left = seen[0]
+    assert sent > 3_000 and left <= 1 / 0.01 / (1 - 1 / divergence.FINER)
+    counts = Counter(w for _, t, _ in rows for w in t.split())
+    want = {int(h): c / 18_000 for w in counts for h, c in [(hashed(w)[0], counts[w])] if c >= 180}
+    assert dict(zip((int(x) for x in found.words), found.word_shares.tolist())) == pytest.approx(want) and len(want) == 3
+
+
 def hashed(word):
     w = words(pa.array([word]))
     return w.hashes(np.zeros(1, int), np.ones(1, int)).tolist()
