@@ -30,6 +30,32 @@ def op5_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.mixed(sized).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
+# Shares are dealt round by round as the rule is worded; 60 rounds are more than there are sources to fill up.
+@shown.add(
+    r"""
+    WITH RECURSIVE sized AS (
+        SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+    sources AS (
+        SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+            [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS weight
+        FROM sized GROUP BY source),
+    rounds AS (
+        SELECT source, source_size, weight, FALSE AS reached, CAST(0 AS DOUBLE) AS share, 0 AS nth FROM sources
+        UNION ALL
+        SELECT source, source_size, weight, reached OR level * weight > 3 * source_size, level * weight, nth + 1 FROM (
+            SELECT *, CAST(sum(source_size) OVER () - sum(CASE WHEN reached THEN 3 * source_size ELSE 0 END) OVER () AS DOUBLE)
+                / sum(CASE WHEN reached THEN 0 ELSE weight END) OVER () AS level
+            FROM rounds WHERE nth < 60))
+    SELECT doc_id, size, source_size, round(CASE WHEN reached THEN 3 * source_size ELSE share END, 3) AS target
+    FROM sized JOIN rounds r ON r.source IS NOT DISTINCT FROM sized.source AND nth = 60
+    """
+)
+def entropy_mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sized = docs.select("doc_id", "source", balance.word_count(F.col("text")).alias("size"))
+    return balance.mixed(sized).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
 @shown.add()
 def op4_group_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -43,6 +69,33 @@ def op1_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("text", "lang")
 
 
+# The part of the rules that SQL can say, from the same rows. Rows are numbered, so that ids may repeat.
+@shown.add(
+    r"""
+    WITH split AS (
+        SELECT row_number() OVER () AS nth, doc_id, coalesce(text, '') AS text,
+            regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+            list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+        FROM documents),
+    spread AS (SELECT nth, unnest(w) AS word, unnest(range(len(w))) AS i FROM split),
+    joined AS (SELECT nth, i, string_agg(word, ' ') OVER later AS run, count(*) OVER later AS n FROM spread
+        WINDOW later AS (PARTITION BY nth ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+    runs AS (SELECT nth, i, count(*) OVER (PARTITION BY nth, run) AS times FROM joined WHERE n = 8),
+    covered AS (SELECT DISTINCT nth, i + unnest(range(8)) AS word FROM runs WHERE times > 1),
+    repeats AS (SELECT nth, count(*) AS n FROM covered GROUP BY nth),
+    counted AS (
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(coalesce(array_to_string(w, ''), '')) AS BIGINT) AS word_chars,
+            CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+            CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+        FROM split LEFT JOIN repeats USING (nth))
+    SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted
+    """
+)
+def divergence_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = divergence.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 @shown.add()
 def op9_permutation_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
