@@ -21,6 +21,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +33,7 @@ MAX_QUERY_BYTES = 64 << 20
 _PROBE_TOKENS = 8192
 _TILE_CELLS = 1 << 20  # similarity cells of one tile (8 MB of float64, near the cache size)
 _BATCH_CELLS = 8 << 20  # scores or maxima a task holds before passing them on
+_STEP_CHARS = 1 << 18  # text embedded at a time, whose vectors are tens of times its size
 
 
 def segment_max(cells: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -282,13 +284,24 @@ def _embedding(run, model: Embedder):
     """``run`` over batches of text: embedded next to the scoring, so vectors never leave the worker."""
 
     def to_vectors(batch: pa.RecordBatch) -> pa.RecordBatch:
+        # Only this step's vectors are held, however many rows and bytes Spark puts in a batch.
         found = model.embed_texts([t or "" for t in batch.column("text").to_pylist()])
         return pa.RecordBatch.from_arrays(
             [batch.column("segment_id"), batch.column("group_id"), to_arrow_multivectors(found, model.dim)],
             names=["segment_id", "group_id", "vectors"],
         )
 
-    return lambda batches: run(to_vectors(b) for b in batches)
+    return lambda batches: run(to_vectors(s) for b in batches for s in _text_steps(b))
+
+
+def _text_steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of the batch with about ``_STEP_CHARS`` bytes of text each, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _STEP_CHARS, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
 def maxsim_topk(
