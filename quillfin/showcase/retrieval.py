@@ -224,9 +224,8 @@ def text_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 rolled AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, substr(segment_id, 1, 10) ORDER BY score DESC, segment_id) AS rn FROM sc) WHERE rn = 1)
 {_TOP.format(src='rolled', k=10)}""")
 def text_search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same search rolled up to the best chunk per document, over materialised multivectors."""
-    stored = embed(text_chunks(spark, sf_dir), "text", HashEmbedder())
-    return maxsim.maxsim_topk(stored, text_queries(spark, sf_dir), 10, group="doc")
+    """The same search rolled up to the best chunk per document."""
+    return maxsim.maxsim_topk(text_chunks(spark, sf_dir), text_queries(spark, sf_dir), 10, group="doc", text_model=HashEmbedder())
 
 
 @add(rf"""WITH w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS ws FROM conversations),

@@ -3,7 +3,9 @@
 import numpy as np
 import pyarrow as pa
 
+import __spark_entry__ as entry
 from quillfin.operators import maxsim
+from tests.test_plans import SF
 
 
 class Recorder:
@@ -27,3 +29,8 @@ def test_texts_of_a_large_batch_are_embedded_in_steps():
     assert [v[0][0] for b in made for v in b.column("vectors").to_pylist()] == [len(t or "") for t in texts]
     whole = [s for s in model.sizes if s <= maxsim._STEP_CHARS]
     assert len(model.sizes) - len(whole) == 1 and len(whole) > 5
+
+
+def test_document_search_moves_no_vectors(spark):
+    plan = entry.queries()["text_search_documents"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "vectors" not in plan
