@@ -18,7 +18,7 @@ with the data: at most 2,081 different fingerprints lie within two bits of a poi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from quillfin.llm.components import components
 from quillfin.llm.fingerprint import signatures
 from quillfin.llm.words import mixed, rows_in_steps, words
-from quillfin.session import checkpoint_dir
+from quillfin.session import checkpoint_dir, gathered
 
 RADIUS = 3
 SHINGLE = 3
@@ -46,6 +46,8 @@ TABLES, TABLE_BITS, SKETCH_BINS = 6, 40, 512
 SIMILARITY, ERROR = 0.8, 0.027
 # Members of a star that one task compares with those of other components.
 BLOCK_NODES = 4_096
+# Pairs of texts that one task compares.
+PAIRS_PER_TASK = 1_000
 
 _ONE = np.uint64(1)
 
@@ -245,6 +247,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         .select("sketch", F.xxhash64("sketch").alias("node"), "least.id", "least.text_key").checkpoint()
     )
 
+    # What follows are small rows, a few for each class; so many tasks do for them.
+    n = classes.count()
+    classes = gathered(classes, n)
+    few = lambda df: gathered(df, TABLES * n)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = _ONE << np.arange(TABLE_BITS - 1, -1, -1, dtype=np.uint64)
         for batch in batches:
@@ -255,22 +262,23 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array(fp.ravel().view(np.int64)), pa.array(node)], ["fp", "node"])
 
     tables = classes.select("sketch", "node").mapInArrow(cut, "fp long, node long").checkpoint()
-    heads = tables.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n")).checkpoint()
-    met = links(heads, width=TABLE_BITS, tables=TABLES).checkpoint()
+    heads = few(tables.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n"))).checkpoint()
+    met = few(links(heads, width=TABLE_BITS, tables=TABLES)).checkpoint()
     of = lambda side: heads.select(F.col("fp").alias(side), F.col("head").alias(f"node_{side}"))
-    across = met.join(of("a"), "a").join(of("b"), "b").select("node_a", "node_b")
+    across = few(met.join(of("a"), "a")).join(of("b"), "b").select("node_a", "node_b")
     same = tables.join(heads, "fp").where("node <> head").select(F.col("head").alias("node_a"), F.col("node").alias("node_b"))
-    pairs = across.unionAll(same).where("node_a <> node_b").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    joined = few(across).unionAll(few(same)).where("node_a <> node_b")
+    pairs = few(joined.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
     limit = similarity - 2 * ERROR
-    estimated = _alike(pairs, classes, limit).checkpoint()
+    estimated = few(_alike(pairs, classes, limit, few)).checkpoint()
     compared = estimated.select("a", "b")
     # Texts are read for a forest first, each class with the one most alike; then for pairs that it leaves apart.
-    forest = estimated.groupBy("a").agg(F.max_by("b", F.struct("alike", "b")).alias("b")).unionAll(
+    forest = few(estimated.groupBy("a").agg(F.max_by("b", F.struct("alike", "b")).alias("b")).unionAll(
         estimated.groupBy("b").agg(F.max_by("a", F.struct("alike", "a")).alias("a")).select("a", "b")
-    ).distinct().checkpoint()
+    ).distinct()).checkpoint()
     verified = _sharing(forest, classes, docs, id_col, text_col, shingle, similarity).checkpoint()
     labels = components(verified)
-    rest = _between(compared.join(forest, ["a", "b"], "left_anti"), labels).checkpoint()
+    rest = few(_between(compared.join(forest, ["a", "b"], "left_anti"), labels)).checkpoint()
     if not rest.isEmpty():
         verified = verified.unionAll(_sharing(rest, classes, docs, id_col, text_col, shingle, similarity)).checkpoint()
         labels = components(verified)
@@ -278,7 +286,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     own = met.select("a").unionAll(heads.where("n > 1").select("fp")).distinct()
     stars = met.unionAll(own.select("a", F.col("a").alias("b"))).toDF("hub", "fp")
     for nearest in (True, False):
-        apart = _apart(stars, tables, classes, labels, limit, nearest).join(compared, ["a", "b"], "left_anti").checkpoint()
+        apart = few(_apart(stars, tables, classes, labels, limit, nearest, few).join(compared, ["a", "b"], "left_anti")).checkpoint()
         if apart.isEmpty():
             continue
         compared = compared.unionAll(apart)
@@ -299,7 +307,7 @@ def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return named.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
 
-def _alike(pairs: DataFrame, classes: DataFrame, limit: float) -> DataFrame:
+def _alike(pairs: DataFrame, classes: DataFrame, limit: float, few: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``(a, b, alike)`` for the pairs of nodes whose sketches estimate a similarity of at least ``limit``."""
     sketch = lambda side: classes.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}"))
 
@@ -310,7 +318,7 @@ def _alike(pairs: DataFrame, classes: DataFrame, limit: float) -> DataFrame:
             found = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike.astype(np.float32))], ["a", "b", "alike"])
             yield found.filter(pa.array(alike >= limit))
 
-    both = pairs.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "sketch_a", "sketch_b")
+    both = few(pairs.join(sketch("a"), "a")).join(sketch("b"), "b").select("a", "b", "sketch_a", "sketch_b")
     return both.mapInArrow(checked, "a long, b long, alike float")
 
 
@@ -324,11 +332,12 @@ def _estimate(differ: np.ndarray) -> np.ndarray:
 
 def _sharing(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """The pairs ``(a, b)`` of nodes whose texts share at least ``similarity`` of their word shingles."""
+    n = pairs.count()
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    first = classes.join(needed, "node").select("node", F.col("id").alias("_id"), F.col("text_key").alias("_key"))
+    first = gathered(classes.join(needed, "node"), 2 * n).select("node", F.col("id").alias("_id"), F.col("text_key").alias("_key"))
     texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("_text"))
     # Rows with the same id and text are one.
-    texts = texts.join(first, ["_id", "_key"]).dropDuplicates(["node"])
+    texts = gathered(texts.join(first, ["_id", "_key"]), n, PAIRS_PER_TASK).dropDuplicates(["node"])
     text = lambda side: texts.select(F.col("node").alias(side), F.col("_text").alias(f"text_{side}"))
 
     def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,8 +350,9 @@ def _sharing(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
                     keep.append(shared >= similarity * (len(a) + len(b) - shared))
                 yield part.filter(pa.array(keep)).select([0, 1])
 
-    both = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(decided, "a long, b long")
+    left = gathered(pairs.join(text("a"), "a"), n, PAIRS_PER_TASK)
+    both = left.join(text("b"), "b").select("a", "b", "text_a", "text_b")
+    return gathered(both, n, PAIRS_PER_TASK).mapInArrow(decided, "a long, b long")
 
 
 def _shingles(texts: pa.Array, shingle: int) -> list[np.ndarray]:
@@ -353,22 +363,22 @@ def _shingles(texts: pa.Array, shingle: int) -> list[np.ndarray]:
     return [np.unique(h[b:e]) for b, e in zip(bounds[:-1], bounds[1:])]
 
 
-def _apart(stars: DataFrame, tables: DataFrame, classes: DataFrame, labels: DataFrame, limit: float, nearest: bool) -> DataFrame:
+def _apart(stars: DataFrame, tables: DataFrame, classes: DataFrame, labels: DataFrame, limit: float, nearest: bool, few: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Pairs ``(a, b)`` of nodes that meet in a star, are of different components and have sketches alike;
     all of them or, with ``nearest``, for each node the one most alike.
 
     A star is dealt out over tasks: the members of its largest component and the owned ones of the others
-    in blocks, and to each block all members of the others.
+    in blocks, and to each block all members of the others. ``few`` deals a table out over fewer tasks.
     """
-    placed = tables.join(labels, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("label"))
-    kinds = stars.join(placed.groupBy("fp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), "fp")
+    placed = few(tables.join(labels, "node", "left")).select("fp", "node", F.coalesce("component", "node").alias("label"))
+    kinds = few(stars.join(placed.groupBy("fp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), "fp"))
     mixed_hubs = kinds.groupBy("hub").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("hub")
-    members = stars.join(mixed_hubs, "hub").join(placed, "fp").select("hub", "node", "label").checkpoint()
+    members = few(few(stars.join(mixed_hubs, "hub")).join(placed, "fp").select("hub", "node", "label")).checkpoint()
     counts = members.groupBy("hub", "label").agg(F.count("*").alias("n"))
     sizes = counts.groupBy("hub").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.ceil(F.sum("n") / BLOCK_NODES).alias("blocks"))
     home = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))
     dealt = (
-        members.join(sizes, "hub").join(classes.select("node", "sketch"), "node")
+        few(few(members.join(sizes, "hub")).join(classes.select("node", "sketch"), "node"))
         .withColumn("home", home).withColumn("main", F.col("label") == F.col("main"))
         .withColumn("block", F.explode(F.when(F.col("main"), F.array("home")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
         .select("hub", "block", "node", "label", "main", (F.col("home") == F.col("block")).alias("own"), "sketch")

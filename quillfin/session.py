@@ -86,3 +86,11 @@ def spread(df, *keys: str):
     if df.rdd.getNumPartitions() >= 2 * cores:
         return df
     return df.repartition(4 * cores, *keys)
+
+
+def gathered(df, rows: int, per_task: int = 250_000):
+    """As few partitions as ``rows`` rows need, but one for each core; for small tables that pass many shuffles
+    and checkpoints, each of which otherwise writes files for every shuffle partition. Never more than there are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(cores, -(-rows // per_task)))
