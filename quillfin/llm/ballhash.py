@@ -22,12 +22,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillfin.llm.components import components
 from quillfin.llm.fingerprint import signatures
-from quillfin.llm.words import mixed, rows_in_steps, words
+from quillfin.llm.words import mixed, rows_in_steps, utf8, words
 from quillfin.session import checkpoint_dir, gathered
 
 RADIUS = 3
@@ -44,10 +44,10 @@ _TILE = 1_024
 # estimate; its standard error is 0.027 there, so the limit is two of these lower. The texts decide.
 TABLES, TABLE_BITS, SKETCH_BINS = 6, 40, 512
 SIMILARITY, ERROR = 0.8, 0.027
-# Members of a star that one task compares with those of other components.
-BLOCK_NODES = 4_096
-# Pairs of texts that one task compares.
-PAIRS_PER_TASK = 1_000
+# Members of a star or texts of a region, and bytes of these texts, in a block; a task compares one or two blocks.
+BLOCK_NODES, BLOCK_BYTES = 4_096, 8 << 20
+# Texts that one task reads.
+TEXTS_PER_TASK = 1_000
 
 _ONE = np.uint64(1)
 
@@ -210,18 +210,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """``(id_col, text_key, sketch)`` per row: Spark's hash of the text, and the low bit of each bin, packed;
-    all zero for null and wordless texts."""
+    """``(id_col, text_key, sketch, n_bytes)`` per row: Spark's hash of the text, the low bit of each bin, packed
+    (all zero for null and wordless texts), and the length of the text."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = signatures(batch.column(2), SKETCH_BINS, 1, shingle)
             rows = [r.tobytes() for r in np.packbits(bits, axis=1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(rows, pa.binary())], [id_col, "text_key", "sketch"])
+            n_bytes = pa.array(np.diff(utf8(batch.column(2))[1]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(rows, pa.binary()), n_bytes], [id_col, "text_key", "sketch", "n_bytes"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = docs.select(id_col, F.xxhash64(text_col).alias("text_key"), text_col)
-    return keyed.mapInArrow(made, f"`{id_col}` {kind}, text_key long, sketch binary")
+    return keyed.mapInArrow(made, f"`{id_col}` {kind}, text_key long, sketch binary, n_bytes long")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
@@ -231,20 +232,18 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     smallest ``text_key``, Spark's hash of the text. Rows with one id and other texts are other rows.
 
     Equal sketches (equal texts, all wordless or null texts) are one class. The six fingerprints of each
-    class go through one pass of half-balls, told apart by their upper bits. Pairs that the whole sketches
-    leave possible are decided by the shingles of their texts.
-
-    The stars of the half-balls, and of each fingerprint around its smallest class, are compared first; texts
-    only where no verified links join the two already.
-    They stand for all pairs of a star only as far as they hold. So where a star is of several components
-    then, its members of different components are compared with each other: each with the most alike
-    one first, which joins most of what belongs together, then all that are still apart.
+    class go through one pass of half-balls, told apart by their upper bits.
+
+    Sketches divide the classes into regions: the pairs of the stars that they leave possible are linked, and
+    so are regions with members that meet in a star and are as much alike, by a pair for each two regions
+    that grow together there. All texts of a region are then compared with each other, where they lie
+    together, and only links that join something leave the task. So no table holds the pairs of a group.
     """
     checkpoint_dir(docs.sparkSession)
     rows = sketches(docs, id_col, text_col, shingle).checkpoint()
     classes = (
-        rows.groupBy("sketch").agg(F.min(F.struct(F.col(id_col).alias("id"), "text_key")).alias("least"))
-        .select("sketch", F.xxhash64("sketch").alias("node"), "least.id", "least.text_key").checkpoint()
+        rows.groupBy("sketch").agg(F.min(F.struct(F.col(id_col).alias("id"), "text_key", "n_bytes")).alias("least"))
+        .select("sketch", F.xxhash64("sketch").alias("node"), "least.id", "least.text_key", "least.n_bytes").checkpoint()
     )
 
     # What follows are small rows, a few for each class; so many tasks do for them.
@@ -271,27 +270,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     pairs = few(joined.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
     limit = similarity - 2 * ERROR
     estimated = few(_alike(pairs, classes, limit, few)).checkpoint()
-    compared = estimated.select("a", "b")
-    # Texts are read for a forest first, each class with the one most alike; then for pairs that it leaves apart.
-    forest = few(estimated.groupBy("a").agg(F.max_by("b", F.struct("alike", "b")).alias("b")).unionAll(
-        estimated.groupBy("b").agg(F.max_by("a", F.struct("alike", "a")).alias("a")).select("a", "b")
-    ).distinct()).checkpoint()
-    verified = _sharing(forest, classes, docs, id_col, text_col, shingle, similarity).checkpoint()
-    labels = components(verified)
-    rest = few(_between(compared.join(forest, ["a", "b"], "left_anti"), labels)).checkpoint()
-    if not rest.isEmpty():
-        verified = verified.unionAll(_sharing(rest, classes, docs, id_col, text_col, shingle, similarity)).checkpoint()
-        labels = components(verified)
     # Each star with its hub, and each fingerprint of several classes.
     own = met.select("a").unionAll(heads.where("n > 1").select("fp")).distinct()
     stars = met.unionAll(own.select("a", F.col("a").alias("b"))).toDF("hub", "fp")
-    for nearest in (True, False):
-        apart = few(_apart(stars, tables, classes, labels, limit, nearest, few).join(compared, ["a", "b"], "left_anti")).checkpoint()
-        if apart.isEmpty():
-            continue
-        compared = compared.unionAll(apart)
-        verified = verified.unionAll(_sharing(apart, classes, docs, id_col, text_col, shingle, similarity)).checkpoint()
-        labels = components(verified)
+    across = _apart(stars, tables, classes, components(estimated), limit, few)
+    regions = components(few(estimated.unionAll(across)))
+    labels = _joined(regions, classes, docs, id_col, text_col, shingle, similarity)
     member = classes.join(labels, "node", "left").select("sketch", F.struct("id", "text_key").alias("own"), F.coalesce("component", "node").alias("root"))
     least = member.groupBy("root").agg(F.min("own").alias("least"))
     named = member.join(least, "root").select("sketch", "least")
@@ -300,26 +284,18 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return rows.join(named, "sketch").select(id_col, "text_key", F.col("least.id").alias("component_id"), is_first.alias("first"))
 
 
-def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` of nodes that are not of one component."""
-    of = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
-    named = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return named.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-
-
 def _alike(pairs: DataFrame, classes: DataFrame, limit: float, few: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``(a, b, alike)`` for the pairs of nodes whose sketches estimate a similarity of at least ``limit``."""
+    """The pairs ``(a, b)`` of nodes whose sketches estimate a similarity of at least ``limit``."""
     sketch = lambda side: classes.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}"))
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (_bits(batch.column(c)) for c in (2, 3))
             alike = _estimate(np.bitwise_count(a ^ b).sum(1))
-            found = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike.astype(np.float32))], ["a", "b", "alike"])
-            yield found.filter(pa.array(alike >= limit))
+            yield batch.filter(pa.array(alike >= limit)).select([0, 1])
 
     both = few(pairs.join(sketch("a"), "a")).join(sketch("b"), "b").select("a", "b", "sketch_a", "sketch_b")
-    return both.mapInArrow(checked, "a long, b long, alike float")
+    return both.mapInArrow(checked, "a long, b long")
 
 
 def _bits(column: pa.Array) -> np.ndarray:
@@ -330,29 +306,108 @@ def _estimate(differ: np.ndarray) -> np.ndarray:
     return 1 - 2 * differ / SKETCH_BINS
 
 
-def _sharing(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """The pairs ``(a, b)`` of nodes whose texts share at least ``similarity`` of their word shingles."""
-    n = pairs.count()
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    first = gathered(classes.join(needed, "node"), 2 * n).select("node", F.col("id").alias("_id"), F.col("text_key").alias("_key"))
-    texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("_text"))
-    # Rows with the same id and text are one.
-    texts = gathered(texts.join(first, ["_id", "_key"]), n, PAIRS_PER_TASK).dropDuplicates(["node"])
-    text = lambda side: texts.select(F.col("node").alias(side), F.col("_text").alias(f"text_{side}"))
-
-    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin, end in rows_in_steps(batch.column(2)):
-                part = batch.slice(begin, end - begin)
-                keep = []
-                for a, b in zip(_shingles(part.column(2), shingle), _shingles(part.column(3), shingle)):
-                    shared = len(np.intersect1d(a, b, assume_unique=True))
-                    keep.append(shared >= similarity * (len(a) + len(b) - shared))
-                yield part.filter(pa.array(keep)).select([0, 1])
+def _joined(regions: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """``(node, component)`` for the nodes that are linked: of the nodes of each region (``component`` of ``regions``),
+    those whose texts share at least ``similarity`` of their word shingles.
 
-    left = gathered(pairs.join(text("a"), "a"), n, PAIRS_PER_TASK)
-    both = left.join(text("b"), "b").select("a", "b", "text_a", "text_b")
-    return gathered(both, n, PAIRS_PER_TASK).mapInArrow(decided, "a long, b long")
+    A region is dealt out in blocks. One of a single block is done with its first comparison. Of the others each
+    block is joined by itself, twice, dealt out in two ways, which joins most of what belongs together. Then
+    each block meets each block of the members outside of the largest component.
+    """
+    named = regions.withColumnRenamed("component", "region").join(classes, "node").select("region", "node", "id", "text_key", "n_bytes")
+    sizes = named.groupBy("region").agg(_blocks().alias("blocks"))
+    nodes = named.join(sizes, "region").checkpoint()
+    n = nodes.count()
+    large = nodes.where("blocks > 1")
+
+    def compared(dealt: DataFrame) -> DataFrame:
+        first = dealt.select("node", F.col("id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+        texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("text"))
+        # Rows with the same id and text are one.
+        texts = gathered(texts.join(first, ["_id", "_key"]), n, TEXTS_PER_TASK).dropDuplicates(["node"]).select("node", "text")
+        placed = dealt.select("region", "block", "node", "label").join(texts, "node").select("region", "block", "node", "label", "text")
+        within = lambda group: _within(group, shingle, similarity)
+        return placed.groupBy("region", "block").applyInArrow(within, "a long, b long").checkpoint()
+
+    def labelled(links: DataFrame) -> DataFrame:
+        return large.join(components(links), "node", "left").withColumn("label", F.coalesce("component", "node"))
+
+    links = compared(nodes.withColumn("label", F.col("node")).withColumn("block", _dealt(0, "blocks")))
+    if large.isEmpty():
+        return components(links)
+    links = links.unionAll(compared(labelled(links).withColumn("block", _dealt(1, "blocks"))))
+    members = labelled(links).checkpoint()
+    kinds = members.groupBy("region", "label").agg(F.count("*").alias("n"))
+    members = members.join(kinds.groupBy("region").agg(F.max_by("label", F.struct("n", "label")).alias("main")), "region")
+    others = members.where("label <> main")
+    both = members.join(others.groupBy("region").agg(_blocks().alias("other_blocks")), "region")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    rows = both.withColumn("i", _dealt(0, "blocks")).withColumn("j", upto("other_blocks"))
+    columns = both.where("label <> main").withColumn("i", upto("blocks")).withColumn("j", _dealt(2, "other_blocks"))
+    dealt = rows.unionAll(columns).withColumn("block", F.col("i") * F.col("other_blocks") + F.col("j")).dropDuplicates(["region", "block", "node"])
+    return components(links.unionAll(compared(dealt)))
+
+
+def _blocks() -> Column:
+    """How many blocks the rows of a group are dealt out in."""
+    return F.ceil(F.greatest(F.sum("n_bytes") / BLOCK_BYTES, F.count("*") / BLOCK_NODES, F.lit(1)))
+
+
+def _dealt(seed: int, blocks: str) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(seed)), F.col(blocks))
+
+
+def _within(group: pa.Table, shingle: int, similarity: float) -> pa.Table:
+    """Pairs of nodes whose texts share enough shingles, as few as join the labels that such pairs join."""
+    node, label = (group.column(c).to_numpy() for c in ("node", "label"))
+    if (label == label[0]).all():
+        return _pairs(node, [])
+    sets = []
+    for part in group.column("text").chunks:
+        for begin, end in rows_in_steps(part):
+            sets += _shingles(part.slice(begin, end - begin), shingle)
+    sizes = np.array([len(x) for x in sets])
+    bounds = np.append(0, sizes.cumsum())
+    _, of = np.unique(np.concatenate(sets), return_inverse=True)
+    # The members with each shingle lie one after the other.
+    holders = np.repeat(np.arange(len(sets)), sizes)[np.argsort(of, kind="stable")]
+    times = np.bincount(of, minlength=1)
+    begins = times.cumsum() - times
+
+    def alike(i: int) -> np.ndarray:
+        mine = of[bounds[i] : bounds[i + 1]]
+        n = times[mine]
+        at = np.repeat(begins[mine] - (n.cumsum() - n), n) + np.arange(n.sum())
+        shared = np.bincount(holders[at], minlength=len(sets))
+        return np.flatnonzero(shared >= similarity * (sizes[i] + sizes - shared))
+
+    return _pairs(node, _joins(label, alike))
+
+
+def _joins(label: np.ndarray, alike: Callable[[int], np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of alike members that join all labels that alike members join, one pair for each that is joined to another.
+
+    Of two labels one is not the largest in the end, so it is enough to look at the members of all others.
+    """
+    _, of = np.unique(label, return_inverse=True)
+    waiting, found = np.ones(len(of), bool), []
+    while True:
+        todo = np.flatnonzero(waiting & (of != np.bincount(of).argmax()))
+        if not len(todo):
+            return found
+        i = todo[0]
+        waiting[i] = False
+        near = alike(i)
+        near = near[of[near] != of[i]]
+        while len(near):
+            found.append((i, near[0]))
+            of[of == of[near[0]]] = of[i]
+            near = near[of[near] != of[i]]
+
+
+def _pairs(node: np.ndarray, found: list[tuple[int, int]]) -> pa.Table:
+    ends = np.sort(node[np.array(found, int).reshape(-1, 2)], axis=1)
+    return pa.table({"a": pa.array(ends[:, 0]), "b": pa.array(ends[:, 1])})
 
 
 def _shingles(texts: pa.Array, shingle: int) -> list[np.ndarray]:
@@ -363,9 +418,9 @@ def _shingles(texts: pa.Array, shingle: int) -> list[np.ndarray]:
     return [np.unique(h[b:e]) for b, e in zip(bounds[:-1], bounds[1:])]
 
 
-def _apart(stars: DataFrame, tables: DataFrame, classes: DataFrame, labels: DataFrame, limit: float, nearest: bool, few: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Pairs ``(a, b)`` of nodes that meet in a star, are of different components and have sketches alike;
-    all of them or, with ``nearest``, for each node the one most alike.
+def _apart(stars: DataFrame, tables: DataFrame, classes: DataFrame, labels: DataFrame, limit: float, few: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes that meet in a star, are of different components and have sketches alike; of
+    each block as few as join the components that such pairs join.
 
     A star is dealt out over tasks: the members of its largest component and the owned ones of the others
     in blocks, and to each block all members of the others. ``few`` deals a table out over fewer tasks.
@@ -376,42 +431,28 @@ def _apart(stars: DataFrame, tables: DataFrame, classes: DataFrame, labels: Data
     members = few(few(stars.join(mixed_hubs, "hub")).join(placed, "fp").select("hub", "node", "label")).checkpoint()
     counts = members.groupBy("hub", "label").agg(F.count("*").alias("n"))
     sizes = counts.groupBy("hub").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.ceil(F.sum("n") / BLOCK_NODES).alias("blocks"))
-    home = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))
+    home = _dealt(1, "blocks")
     dealt = (
         few(few(members.join(sizes, "hub")).join(classes.select("node", "sketch"), "node"))
         .withColumn("home", home).withColumn("main", F.col("label") == F.col("main"))
         .withColumn("block", F.explode(F.when(F.col("main"), F.array("home")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
-        .select("hub", "block", "node", "label", "main", (F.col("home") == F.col("block")).alias("own"), "sketch")
+        .select("hub", "block", "node", "label", (F.col("home") == F.col("block")).alias("own"), "sketch")
     )
 
-    def met(group: pa.Table) -> pa.Table:
-        return _across(group, limit, nearest)
+    def joins(group: pa.Table) -> pa.Table:
+        return _across(group, limit)
 
-    return dealt.groupBy("hub", "block").applyInArrow(met, "a long, b long").distinct()
+    return dealt.groupBy("hub", "block").applyInArrow(joins, "a long, b long").distinct()
 
 
-def _across(group: pa.Table, limit: float, nearest: bool) -> pa.Table:
-    """Pairs of an owned member and one outside the largest component."""
-    node, label, main, own = (group.column(c).to_numpy() for c in ("node", "label", "main", "own"))
+def _across(group: pa.Table, limit: float) -> pa.Table:
+    """Pairs of members, one of them owned, with sketches alike, as few as join the labels that such pairs join."""
+    node, label, own = (group.column(c).to_numpy() for c in ("node", "label", "own"))
     sketch = _bits(group.column("sketch"))
-    left, right = np.flatnonzero(own), np.flatnonzero(~main)
-    found, best, best_of = [], np.full(len(right), -np.inf), np.zeros(len(right), int)
-    step = max(1, (1 << 18) // max(len(right), 1))
-    for at in range(0, len(left) if len(right) else 0, step):
-        i = left[at : at + step]
-        alike = _estimate(np.bitwise_count(sketch[i][:, None] ^ sketch[right]).sum(2))
-        alike[(alike < limit) | (label[i][:, None] == label[right])] = -np.inf
-        if nearest:
-            to = alike.argmax(1)
-            some = alike[np.arange(len(i)), to] > 0
-            found.append((node[i[some]], node[right[to[some]]]))
-            top = alike.argmax(0)
-            better = alike[top, np.arange(len(right))] > best
-            best[better], best_of[better] = alike[top, np.arange(len(right))][better], i[top[better]]
-        else:
-            x, y = np.nonzero(alike > 0)
-            found.append((node[i[x]], node[right[y]]))
-    found.append((node[best_of[best > 0]], node[right[best > 0]]))
-    a, b = (np.concatenate(x) for x in zip(*found))
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+    everyone, owned = np.arange(len(node)), np.flatnonzero(own)
+
+    def alike(i: int) -> np.ndarray:
+        among = everyone if own[i] else owned
+        return among[_estimate(np.bitwise_count(sketch[among] ^ sketch[i]).sum(1)) >= limit]
+
+    return _pairs(node, _joins(label, alike))

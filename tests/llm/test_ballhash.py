@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 from quillfin.llm import ballhash
-from quillfin.llm.ballhash import MASKS, _packed, _points, links, near_duplicates, similar_documents, simhashes
+from quillfin.llm.ballhash import MASKS, _across, _joins, _packed, _points, _within, links, near_duplicates, similar_documents, simhashes
 from quillfin.llm.components import components
 from quillfin.llm.fingerprint import signatures
 
@@ -226,3 +226,51 @@ def test_links_have_the_exact_similarity(spark):
         missed += alike and got[a] != got[a + 1]
     assert found >= 0.9 * (found + missed) and found > 100
     assert all(len(g) <= 2 for g in joined_groups(got).values())
+
+
+def test_a_large_group_of_alike_sketches_makes_no_more_pairs_than_members():
+    n = 500
+    group = pa.table({"node": range(n), "label": range(n), "own": [True] * n, "sketch": [bytes(64)] * n})
+    pairs = _across(group, 0.7).to_pylist()
+    assert len(pairs) == n - 1
+    assert set(plain_joined(range(n), [(p["a"], p["b"]) for p in pairs]).values()) == {0}
+
+
+def plain_joined(label, pairs):
+    """The smallest label that the pairs of members reach, by member."""
+    label = dict(enumerate(label))
+    for a, b in pairs:
+        lo, hi = sorted((label[a], label[b]))
+        label = {i: lo if x == hi else x for i, x in label.items()}
+    return label
+
+
+def test_joins_of_random_graphs_are_a_forest_of_the_same_components():
+    r = random.Random(10)
+    for _ in range(200):
+        n = r.randrange(1, 30)
+        label = [r.randrange(n) for _ in range(n)]
+        edges = {(r.randrange(n), r.randrange(n)) for _ in range(r.randrange(2 * n))}
+        edges |= {(b, a) for a, b in edges}
+        found = _joins(np.array(label), lambda i: np.array(sorted(b for a, b in edges if a == i), int))
+        assert set(found) <= edges
+        want = plain_joined(label, edges)
+        assert plain_joined(label, found) == want
+        assert len(found) == len(set(label)) - len(set(want.values()))
+
+
+def test_texts_of_a_group_are_joined_as_all_pairs_join_them():
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[: r.randrange(20, 60)] + [f"x{r.randrange(40)}"] * r.randrange(3)) for _ in range(120)]
+    texts += ["", None, "one", "one two", " ".join(f"z{i}" for i in range(30))]
+    label = [i // 2 if i < 20 else i for i in range(len(texts))]
+    group = pa.table({"node": range(len(texts)), "label": label, "text": pa.chunked_array([texts[:50], texts[50:]])})
+    sets = [plain_shingles(t or "") or {t} for t in texts]
+    alike = [(a, b) for a in range(len(sets)) for b in range(a) if texts[a] and texts[b] and shared(sets[a], sets[b]) >= 0.8]
+    got = [(p["a"], p["b"]) for p in _within(group, 5, 0.8).to_pylist()]
+    # Texts without words are one class before this step, so only two of them are alike here.
+    wordless = (len(texts) - 5, len(texts) - 4)
+    assert set(got) - {wordless} <= {tuple(sorted(p)) for p in alike}
+    assert plain_joined(label, got) == plain_joined(label, [*alike, wordless])
+    assert len(got) < len(texts) < len(alike)
